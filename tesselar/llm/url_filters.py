@@ -52,8 +52,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
         .agg(F.max("r_action").alias("r_action"))  # block beats allow on the same expression
         .withColumn("short", F.substring("r_digest", 1, PREFIX_HEX))
     )
-    # Only path lengths that some rule has can be a rule's path: a set of small integers.
-    lengths = rules.agg(F.array_sort(F.collect_set(F.length("r_path"))).alias("lengths")).scalar()
+    # Only path lengths that some rule has can be a rule's path: one row, a set of small integers.
+    lengths = F.array(*[F.lit(n) for n in rules.agg(F.array_sort(F.collect_set(F.length("r_path")))).first()[0]]).cast("array<int>")
     host, path = url_parts(F.col(url))
     rows = pages.select(F.col(key).alias("k"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
     parts = F.split("host", r"\.")
