@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules, url_filters
+from . import packing, quality_rules, url_filters
 
 QUERIES = {
     "op2_url_filters": url_filters.query,
+    "op3_packing": packing.query,
     "op5_quality_rules": quality_rules.query,
 }
 
