@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, url_filters
+from . import decontamination, packing, quality_rules, url_filters
 
 QUERIES = {
+    "op1_decontamination": decontamination.query,
     "op2_url_filters": url_filters.query,
     "op3_packing": packing.query,
     "op5_quality_rules": quality_rules.query,
