@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, packing, quality_rules, url_filters
+from . import decontamination, html_text, packing, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_url_filters": url_filters.query,
     "op3_packing": packing.query,
     "op5_quality_rules": quality_rules.query,
+    "op6_toxicity": toxicity.query,
     "op7_html_extraction": html_text.query,
 }
 
