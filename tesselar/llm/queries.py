@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, packing, quality_rules, toxicity, url_filters
+from . import decontamination, html_text, line_dedup, packing, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -11,8 +11,10 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op6_toxicity": toxicity.query,
     "op7_html_extraction": html_text.query,
+    "op10_line_dedup": line_dedup.query,
 }
 
 SQL = {
     "op2_url_filters": url_filters.SQL,
+    "op10_line_dedup": line_dedup.SQL,
 }
