@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, line_dedup, packing, quality_rules, toxicity, url_filters
+from . import decontamination, html_text, language_id, line_dedup, packing, quality_rules, toxicity, url_filters
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op6_toxicity": toxicity.query,
     "op7_html_extraction": html_text.query,
+    "op9_language_id": language_id.query,
     "op10_line_dedup": line_dedup.query,
 }
 
