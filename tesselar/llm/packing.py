@@ -18,24 +18,33 @@ executor gives the same sequences.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, table
+from .common import table
 
 END_ID = 1
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16 * 2048
 #: A task holds at most so many tokens of tails, and so many words and characters of its word cache.
 POOL_TOKENS = 2_000_000
-CACHE_WORDS, CACHE_CHARS = 400_000, 8_000_000
-BATCH_ROWS = 200
+CACHE_WORDS, CACHE_CHARS = 600_000, 20_000_000
+BATCH_ROWS, BATCH_CHARS = 2_000, 8_000_000
+#: Letters whose lower case and normal form are known beforehand, and how the vocabulary writes their bytes.
+PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+#: A mark that ends a word is a piece of its own, and is set apart so that fewer words differ.
+MARK = r"([A-Za-z])([.,])( |$)"
+BYTE_LETTERS = {b: chr(256 + i) for i, b in enumerate([*range(33), *range(127, 161), 173]) if b != 32}
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
@@ -46,30 +55,68 @@ def default_tokenizer() -> str:
 
 
 class WordEncoder:
-    """Ids of texts as little-endian 32-bit bytes; words between blanks are encoded once and kept in a bounded cache.
+    """Ids of texts; words between blanks are encoded once and kept in a bounded cache.
 
     The vocabulary's pre-tokenizer never joins text across white space, so the ids
-    of a text are those of its words in a row.
+    of a text are those of its words in a row. A word of plain Latin letters is one
+    piece: it goes to the merges in lower case, past normalizer and pre-tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known, self.chars = Tokenizer.from_file(path), {}, 0
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > CACHE_WORDS or self.chars > CACHE_CHARS:
-            self.known, self.chars = {}, 0
-            new = list(set().union(*split))
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            for word, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[word] = array("I", found.ids).tobytes()
-        self.chars += sum(map(len, new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer, self.merges = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merges.normalizer, self.merges.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.CharDelimiterSplit(" ")
+        self.known: dict[str, bytes] = {}
+        self.chars = 0
+
+    def slow(self, words: list[str]) -> list[bytes]:
+        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def fast(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words of plain letters."""
+        found: list[bytes] = []
+        for at in range(0, len(words), 5000):
+            joined = " ".join(words[at : at + 5000])
+            if not joined.isascii():
+                joined = joined.encode().decode("latin-1").translate(BYTE_LETTERS)
+            made = self.merges.encode(joined, add_special_tokens=False)
+            ids, of = array("I", made.ids).tobytes(), made.word_ids
+            ends = [4 * i for i, (p, q) in enumerate(zip(of, of[1:]), 1) if p != q] + [len(ids)]
+            found += [ids[a:b] for a, b in zip([0, *ends], ends)]
+        return found
+
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        known = self.known
+        if len(known) > CACHE_WORDS or self.chars > CACHE_CHARS:
+            known.clear()
+            self.chars = 0
+        new = [w for w in words if w not in known]
+        if new:
+            self.chars += sum(map(len, new))
+            plain = {w: w.lower() for w in new if PLAIN.fullmatch(w)}
+            lower = sorted({v for v in plain.values() if v not in known}, key=str.isascii)
+            known.update(zip(lower, self.fast(lower), strict=True))
+            for word, v in plain.items():
+                known[word] = known[v]
+            odd = [w for w in new if w not in plain]
+            known.update(zip(odd, self.slow(odd), strict=True))
+        return list(map(known.__getitem__, words))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of each text."""
+        lists = pc.split_pattern(pc.replace_substring_regex(texts, MARK, r"\1 \2\3"), " ")
+        flat = lists.flatten().dictionary_encode()
+        found = np.array([*self.ids_of(flat.dictionary.to_pylist()), None], object)[:-1]
+        ids = found[flat.indices.to_numpy()].tolist()
+        cuts = (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+        return [b"".join(ids[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder per Python worker, which keeps its cache from task to task."""
+    return WordEncoder(path)
 
 
 class TierPacker:
@@ -157,16 +204,32 @@ class TierPacker:
                     parts.pop(0)
             self.window(taken, size)
 
-    def rows(self, with_ids: bool) -> pd.DataFrame:
+    def rows(self, with_ids: bool) -> pa.RecordBatch:
         rows, self.out = self.out, []
-        frame = pd.DataFrame(
-            [(doc, start, len(ids) // 4, zlib.crc32(ids), total, seq, at, tier, step) for doc, start, ids, total, seq, at, tier, step in rows],
-            columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"],
-        )
-        frame["doc_id"] = frame["doc_id"].astype("Int64")
-        if with_ids:
-            frame["ids"] = [ids for _, _, ids, *_ in rows]
-        return frame
+        doc, start, ids, total, sequence, at, tier, step = zip(*rows, strict=True)
+        columns = {
+            "doc_id": pa.array(doc, pa.int64()),
+            "start": pa.array(start, pa.int64()),
+            "length": pa.array([len(x) // 4 for x in ids], pa.int64()),
+            "ids_crc32": pa.array(map(zlib.crc32, ids), pa.int64()),
+            "doc_tokens": pa.array(total, pa.int64()),
+            "sequence_id": pa.array(sequence, pa.int64()),
+            "offset": pa.array(at, pa.int64()),
+            "tier": pa.array(tier, pa.int32()),
+            "step_group": pa.array(step, pa.int64()),
+        }
+        return pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
+
+
+def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of at most BATCH_ROWS rows and about BATCH_CHARS bytes of text."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS))
+        end = max(at + 1, min(at + BATCH_ROWS, end))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, with_ids: bool = True) -> DataFrame:
@@ -176,13 +239,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
     """
     path = tokenizer or default_tokenizer()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = WordEncoder(path), array("I", [END_ID]).tobytes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, end = encoder_of(path), array("I", [END_ID]).tobytes()
         packer = TierPacker(tiers, step_tokens, TaskContext.get().partitionId() << 36)
-        for pdf in batches(frames, BATCH_ROWS):
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for doc, ids in zip(pdf["doc_id"], encoder.encode(texts), strict=True):
-                packer.add(None if pd.isna(doc) else int(doc), ids + end)
+        for batch in (piece for whole in batches for piece in pieces_of(whole)):
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode(pc.fill_null(batch.column(1), "")), strict=True):
+                packer.add(doc, ids + end)
                 if packer.held >= POOL_TOKENS:
                     packer.flush()
             if packer.out:
@@ -191,7 +253,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
         if packer.out:
             yield packer.rows(with_ids)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, SCHEMA + (", ids binary" if with_ids else ""))
+    # The words are cut at blanks; a line's end counts as one.
+    texts = docs.select(F.col("doc_id").cast("long"), F.replace(F.col("text").cast("string"), F.lit("\n"), F.lit(" ")).alias("text"))
+    return texts.mapInArrow(run, SCHEMA + (", ids binary" if with_ids else ""))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
