@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, line_dedup, packing, quality_rules, toxicity, url_filters
+from . import decontamination, html_text, language_id, line_dedup, packing, quality_rules, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
     "op2_url_filters": url_filters.query,
     "op3_packing": packing.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_quality_rules": quality_rules.query,
     "op6_toxicity": toxicity.query,
     "op7_html_extraction": html_text.query,
@@ -17,5 +18,6 @@ QUERIES = {
 
 SQL = {
     "op2_url_filters": url_filters.SQL,
+    "op4_substring_dedup": substring_dedup.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
