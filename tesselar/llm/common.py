@@ -46,6 +46,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # the cleaner can then drop shuffle files that nothing needs any more
     return spark.read.schema(df.schema).parquet(path)
 
 
