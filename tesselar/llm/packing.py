@@ -221,12 +221,12 @@ class TierPacker:
         return pa.RecordBatch.from_pydict(columns | ({"ids": pa.array(ids, pa.binary())} if with_ids else {}))
 
 
-def pieces_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Slices of at most BATCH_ROWS rows and about BATCH_CHARS bytes of text."""
+def pieces_of(batch: pa.RecordBatch, chars: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of at most BATCH_ROWS rows and about `chars` bytes of text, which is the second column."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
-        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + BATCH_CHARS))
+        end = int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + chars))
         end = max(at + 1, min(at + BATCH_ROWS, end))
         yield batch.slice(at, end - at)
         at = end

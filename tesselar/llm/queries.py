@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontamination, html_text, language_id, line_dedup, packing, quality_rules, substring_dedup, toxicity, url_filters
+import corpus_pipeline
+
+from . import decontamination, html_text, language_id, line_dedup, ngram_join, packing, quality_rules, substring_dedup, toxicity, url_filters
 
 QUERIES = {
     "op1_decontamination": decontamination.query,
@@ -12,12 +14,15 @@ QUERIES = {
     "op5_quality_rules": quality_rules.query,
     "op6_toxicity": toxicity.query,
     "op7_html_extraction": html_text.query,
+    "op8_ngram_join": ngram_join.query,
     "op9_language_id": language_id.query,
     "op10_line_dedup": line_dedup.query,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL = {
     "op2_url_filters": url_filters.SQL,
     "op4_substring_dedup": substring_dedup.SQL,
+    "op8_ngram_join": ngram_join.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }

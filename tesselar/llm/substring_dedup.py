@@ -42,6 +42,8 @@ ANCHOR = 8
 #: Contexts of one anchor beyond which its windows are compared by hash, and contexts in a shard.
 HOT = 64
 SHARD = 20_000
+#: Texts that a task works on at a time have about so many bytes.
+PIECE_CHARS = 2_000_000
 FIRST = -(2**63)
 
 
@@ -193,7 +195,7 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 def _count_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces_of(whole)):
+        for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS)):
             found = find_anchors(*word_hashes(batch.column(1)), length)[0]
             anchor, n = np.unique(found, return_counts=True)
             yield pa.RecordBatch.from_pydict({"anchor": anchor.view(np.int64), "n": n})
@@ -203,7 +205,7 @@ def _count_anchors(length: int):
 
 def _list_anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces_of(whole)):
+        for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS)):
             words, cuts = word_hashes(batch.column(1))
             anchor, row, start, end = find_anchors(words, cuts, length)
             doc, twin = (batch.column(i).to_numpy(zero_copy_only=False)[row] for i in (0, 2))
@@ -218,7 +220,7 @@ def _cut_contexts(length: int):
     """Contexts with their words; of hot anchors the hash of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces_of(whole)):
+        for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS)):
             words, cuts = word_hashes(batch.column(1))
             lists = {name: batch.column(name) for name in ("start", "size", "anchor", "hot")}
             row = np.repeat(np.arange(batch.num_rows), np.diff(lists["start"].offsets.to_numpy()))
@@ -297,7 +299,7 @@ def cut_words(text: str | None, starts: list[int] | None, sizes: list[int] | Non
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in (piece for whole in batches for piece in pieces_of(whole)):
+    for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS)):
         rows = [cut_words(*row) for row in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)))]
         columns = list(zip(*rows)) or [(), (), ()]
         yield pa.RecordBatch.from_pydict({"row": batch.column(0), "kept": pa.array(columns[0], pa.string()), "n_words": pa.array(columns[1], pa.int64()), "n_removed": pa.array(columns[2], pa.int64())})
