@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, unstage
 from .hashing import mix, spans, word_hashes
 from .packing import pieces_of
 
@@ -124,7 +124,7 @@ def _prefixes(levels, noise: float, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_ = np.frombuffer(levels.value, np.uint8)
         for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS)):
-            tokens, classes, infos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            tokens, classes, places, heads = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in shingle_sets(batch.column(1), size):
                 if not len(s):
                     continue
@@ -132,8 +132,9 @@ def _prefixes(levels, noise: float, size: int, percent: int):
                 at = np.arange(len(prefix))
                 tokens.append(prefix)
                 classes.append(np.full(len(prefix), class_of(s)))
-                infos.append(len(s) << 36 | at << 8 | matches << 1 | (at < short))
-            yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "class": np.concatenate(classes), "info": np.concatenate(infos)})
+                places.append(at)
+                heads.append(len(s) << 36 | matches << 1 | (at < short))
+            yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "class": np.concatenate(classes), "place": np.concatenate(places).astype(np.int32), "head": np.concatenate(heads)})
 
     return run
 
@@ -231,12 +232,15 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
         levels[block * BLOCK : (block + 1) * BLOCK] = level
     mean = (known.agg(F.sum("n")).first()[0] or 0) / BUCKETS
     shared = spark.sparkContext.broadcast(bytes(levels))
-    listed = texts.mapInArrow(_prefixes(shared, mean + 3 * mean**0.5, size, percent), "token long, class long, info long")
-    listed = stage(listed, "ngram-prefixes")
+    listed = texts.mapInArrow(_prefixes(shared, mean + 3 * mean**0.5, size, percent), "token long, class long, place int, head long")
+    # Place and head lie in columns of their own on disk, where they compress, and in one number from here on.
+    prefixes = stage(listed, "ngram-prefixes")
+    listed = prefixes.select("token", "class", F.col("head").bitwiseOR(F.shiftleft(F.col("place").cast("long"), 8)).alias("info"))
     # Shingles of one row only, or in no short prefix, can't make a pair: one sum counts both.
     often = listed.groupBy("token").agg(F.sum(F.lit(1) + F.shiftleft(F.col("info").bitwiseAND(F.lit(1)), 32)).alias("n"))
     often = often.where((F.shiftright("n", 32) > 0) & (F.col("n").bitwiseAND(F.lit((1 << 32) - 1)) > 1)).select("token")
     rows = stage(listed.join(often, "token").groupBy("token", "class").agg(F.min("info").alias("info")), "ngram-rows")
+    unstage(prefixes)
     lead = rows.groupBy("token").agg(F.min(F.struct("class", "info")).alias("lead"))
     stars = (
         rows.join(lead, "token")
