@@ -13,7 +13,7 @@ is met with its whole prefix, the smaller with the shorter one that its size all
 and the places of a shared shingle bound the overlap.
 
 Groups need no expansion into pairs: equal sets are one class from the start. Classes
-are first compared with one leader for each prefix shingle, so that groups
+are first compared, for a few turns, with the leader of most of their prefix shingles, so that groups
 of near copies fall together; then candidates are made only between different groups.
 On a shingle with many groups, members of its largest group are met by all
 others but not by each other. All candidates are verified on their whole sets.
@@ -44,6 +44,8 @@ PERCENT = 80
 BUCKETS, BLOCK = 1 << 22, 1 << 12
 #: Longest extension of a prefix, and the cost of a candidate in rows.
 MAX_MATCHES, VERIFY_COST = 8, 10.0
+#: Turns of comparing classes with leaders, which only spare candidates; what they leave is met in full.
+TURNS = 4
 #: Texts that a task works on at a time have about so many bytes.
 PIECE_CHARS = 2_000_000
 FIRST = -(2**63)
@@ -196,9 +198,24 @@ def components(links: DataFrame, label: str = "components") -> DataFrame:
         edges = stage(small.where("u != v").distinct(), label)
 
 
+def with_roots(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    return rows.join(groups.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+
+
+def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
+    """One pair (x, y) at most for each class x: y is of another group and the leader of most of the shingles of x.
+
+    A shingle's leader is its class with the smallest hash; each turn has another hash.
+    """
+    lead = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("h"), "class", "info", "root")).alias("lead"))
+    met = rows.join(lead, "token").where((F.col("root") != F.col("lead.root")) & similar_sizes(n_of(F.col("info")), n_of(F.col("lead.info")), percent))
+    shared = met.groupBy(F.col("class").alias("x"), F.col("lead.class").alias("y")).count()
+    return shared.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
+
+
 def candidates(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """Pairs (x, y) of classes of different groups that share enough prefix shingles."""
-    grouped = stage(rows.join(groups.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class")), "ngram-grouped")
+    grouped = stage(with_roots(rows, groups), "ngram-grouped")
     counted = grouped.groupBy("token", "root").count()
     mixed = counted.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
     mixed = stage(grouped.join(mixed, "token"), "ngram-mixed")
@@ -241,23 +258,19 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     often = often.where((F.shiftright("n", 32) > 0) & (F.col("n").bitwiseAND(F.lit((1 << 32) - 1)) > 1)).select("token")
     rows = stage(listed.join(often, "token").groupBy("token", "class").agg(F.min("info").alias("info")), "ngram-rows")
     unstage(prefixes)
-    lead = rows.groupBy("token").agg(F.min(F.struct("class", "info")).alias("lead"))
-    stars = (
-        rows.join(lead, "token")
-        .where((F.col("class") != F.col("lead.class")) & similar_sizes(n_of(F.col("info")), n_of(F.col("lead.info")), percent))
-        .select(F.col("class").alias("x"), F.col("lead.class").alias("y"))
-        .distinct()
-    )
-    stars = stage(stars, "ngram-stars")
     tied = rows.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("token")
     wanted = rows.join(tied, "token", "left_semi").select("class").distinct()
     homes = known.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc").alias("doc")).select("doc").distinct()
     sets = stage(texts.join(homes, "doc", "left_semi").mapInArrow(_sets(size), "class long, members array<long>"), "ngram-sets")
-    near = stage(verified(stars, sets, percent), "ngram-near")
-    groups = components(near, "ngram-groups")
+    groups = spark.createDataFrame([], "node long, root long")
+    for turn in range(TURNS):
+        stars = stage(star_pairs(with_roots(rows, groups), turn, percent), "ngram-stars")
+        near = stage(verified(stars, sets, percent), "ngram-near")
+        if near.isEmpty():
+            break
+        groups = components(near.unionByName(groups.toDF("x", "y")), "ngram-groups")
     more = stage(candidates(rows, groups, percent), "ngram-candidates")
-    found = verified(more, sets, percent)
-    roots = components(near.unionByName(found), "ngram-components")
+    roots = components(verified(more, sets, percent).unionByName(groups.toDF("x", "y")), "ngram-components")
     firsts = known.where("n > 0").groupBy("class").agg(F.min("doc").alias("doc")).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     firsts = firsts.select("class", "root", "doc")
     least = firsts.groupBy("root").agg(F.min("doc").alias("component_id"))
