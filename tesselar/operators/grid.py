@@ -71,10 +71,11 @@ def video_grid(data: Dataset, window: tuple[int, int, int], overlap: float = 0.0
     spans = data.videos.select(F.col("id").alias("video_id"), "width", "height").join(lengths, "video_id")
     for name, size, step in (("t0", "frames", t), ("y0", "height", h), ("x0", "width", w)):
         spans = spans.withColumn(name, F.explode(g.window_starts(F.col(size), step, overlap)))
-    on = (frames["video_id"] == spans["video_id"]) & (F.col("place") >= F.col("t0")) & (F.col("place") < F.col("t0") + t)
+    framed = frames.withColumnRenamed("video_id", "f_video")
+    on = (F.col("f_video") == F.col("video_id")) & (F.col("place") >= F.col("t0")) & (F.col("place") < F.col("t0") + t)
     d = lambda c: c.cast("double")
     boxes = (d(F.col("x0")), d(F.col("y0")), d(F.col("x0") + w), d(F.col("y0") + h))
-    placed = spans.join(frames.drop("video_id"), frames["video_id"].eqNullSafe(spans["video_id"]) & on).select(
+    placed = spans.join(framed, on).select(
         "video_id", "t0", "x0", "y0", "image_id", *[c.alias(n) for c, n in zip(g.scale(boxes, 1 / F.col("vid_scale")), ("x1", "y1", "x2", "y2"))]
     )
     met = overlaps(placed, data.annots, how="left")
