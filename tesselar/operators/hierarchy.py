@@ -46,6 +46,10 @@ class Tree:
 def _lse(xs: list[Column]) -> Column:
     if len(xs) == 1:
         return xs[0]
+    if len(xs) > 4:  # as an array, which keeps the generated code small
+        held = F.array(*xs)
+        wide = F.array(F.struct(held.alias("xs"), F.array_max(held).alias("top")))
+        return F.transform(wide, lambda s: s["top"] + F.log(F.aggregate(s["xs"], F.lit(0.0), lambda a, x: a + F.exp(x - s["top"]))))[0]
     top = F.greatest(*xs)
     return top + F.log(sum((F.exp(x - top) for x in xs[1:]), F.exp(xs[0] - top)))
 

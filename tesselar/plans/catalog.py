@@ -257,7 +257,7 @@ def catfreq_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived(spark, sf_dir)
     split = F.element_at(F.array(*map(F.lit, ("train", "vali", "test"))), (F.col("image_id") % 3 + 1).cast("int"))
     named = d.annots.join(F.broadcast(d.categories.select(F.col("id").alias("category_id"), "name")), "category_id")
-    wide = named.withColumn("split", split).groupBy("name").pivot("split", ["train", "vali", "test"]).agg(F.count("*")).na.fill(0)
+    wide = named.withColumn("split", split).groupBy("name").pivot("split", ["train", "vali", "test"]).agg(F.count(F.lit(1))).na.fill(0)
     return wide.withColumn("total", F.col("train") + F.col("vali") + F.col("test"))
 
 
