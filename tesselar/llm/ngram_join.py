@@ -124,16 +124,17 @@ def prefix_of(shingles: np.ndarray, level: np.ndarray, noise: float, percent: in
 
 def _prefixes(levels, noise: float, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = np.frombuffer(levels.value, np.uint8)
+        table_, seen = np.frombuffer(levels.value, np.uint8), set()  # a class is listed once a task
         for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS)):
             tokens, classes, places, heads = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in shingle_sets(batch.column(1), size):
-                if not len(s):
+                if not len(s) or (name := class_of(s)) in seen:
                     continue
+                seen.add(name)
                 prefix, matches, short = prefix_of(s, table_[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], noise, percent)
                 at = np.arange(len(prefix))
                 tokens.append(prefix)
-                classes.append(np.full(len(prefix), class_of(s)))
+                classes.append(np.full(len(prefix), name))
                 places.append(at)
                 heads.append(len(s) << 36 | matches << 1 | (at < short))
             yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "class": np.concatenate(classes), "place": np.concatenate(places).astype(np.int32), "head": np.concatenate(heads)})
@@ -253,13 +254,13 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     # Place and head lie in columns of their own on disk, where they compress, and in one number from here on.
     prefixes = stage(listed, "ngram-prefixes")
     listed = prefixes.select("token", "class", F.col("head").bitwiseOR(F.shiftleft(F.col("place").cast("long"), 8)).alias("info"))
-    # Shingles of one row only, or in no short prefix, can't make a pair: one sum counts both.
-    often = listed.groupBy("token").agg(F.sum(F.lit(1) + F.shiftleft(F.col("info").bitwiseAND(F.lit(1)), 32)).alias("n"))
-    often = often.where((F.shiftright("n", 32) > 0) & (F.col("n").bitwiseAND(F.lit((1 << 32) - 1)) > 1)).select("token")
-    rows = stage(listed.join(often, "token").groupBy("token", "class").agg(F.min("info").alias("info")), "ngram-rows")
+    # Shingles of one class only, or in no short prefix, can't make a pair. One shuffle by shingle serves
+    # the distinct classes, the counts and the join.
+    once = listed.repartition("token").groupBy("token", "class").agg(F.min("info").alias("info"))
+    often = once.groupBy("token").agg(F.count("*").alias("classes"), F.max(F.col("info").bitwiseAND(F.lit(1))).alias("short")).where("classes > 1 and short = 1").select("token")
+    rows = stage(once.join(often, "token"), "ngram-rows")
     unstage(prefixes)
-    tied = rows.groupBy("token").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a != b").select("token")
-    wanted = rows.join(tied, "token", "left_semi").select("class").distinct()
+    wanted = rows.select("class").distinct()
     homes = known.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc").alias("doc")).select("doc").distinct()
     sets = stage(texts.join(homes, "doc", "left_semi").mapInArrow(_sets(size), "class long, members array<long>"), "ngram-sets")
     groups = spark.createDataFrame([], "node long, root long")
