@@ -262,6 +262,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     unstage(prefixes)
     wanted = rows.select("class").distinct()
     homes = known.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc").alias("doc")).select("doc").distinct()
+    # Staged, so that Spark knows its size: a short list is broadcast and texts stay in place, a longer one is joined by shuffle.
+    homes = stage(homes, "ngram-homes")
     sets = stage(texts.join(homes, "doc", "left_semi").mapInArrow(_sets(size), "class long, members array<long>"), "ngram-sets")
     groups = spark.createDataFrame([], "node long, root long")
     for turn in range(TURNS):
