@@ -230,8 +230,10 @@ def candidates(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
         & (((nx <= ny) & short_of(F.col("ix"))) | ((ny <= nx) & short_of(F.col("iy"))))
         & ((F.least(ax, ay) + F.least(nx - ax, ny - ay)) * (100 + percent) >= percent * (nx + ny))
     )
+    # Which of the two is in the main group differs from shingle to shingle: one order, so that all shared ones count together.
     return (
-        met.groupBy("x", "y")
+        met.withColumns({"x": F.least("x", "y"), "y": F.greatest("x", "y")})
+        .groupBy("x", "y")
         .agg(F.count("*").alias("shared"), F.min(F.least(matches_of(F.col("ix")), matches_of(F.col("iy")))).alias("least"))
         .where("shared >= least")
         .select("x", "y")
