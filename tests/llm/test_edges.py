@@ -156,6 +156,28 @@ def test_fm_index_counts():
         assert max(0, hi[0] - lo[0]) == sum(list(text[i : i + len(pattern)]) == pattern for i in range(len(text)))
 
 
+def test_quality_cutoffs_of_small_strata(spark):
+    """A stratum of a few hundred good documents gets a rule, a smaller one none, and good ones stay within the bound."""
+    r = random.Random(3)
+    rows, labels = [], []
+    for lang, good, bad in [("en", 400, 60), ("de", 220, 30), ("es", 100, 30)]:
+        for i in range(good + bad):
+            lines = [" ".join(f"{lang}{r.randrange(5000)}" for _ in range(12)) for _ in range(4)]
+            if i >= good:
+                lines[0] += " " + "#" * r.choice([30, 60, 90])
+            elif i % 5 == 0:
+                lines.append(lines[0][:20])  # many good documents repeat a line, as does one of junk
+                lines.append(lines[0][:20])
+            rows.append((len(rows), "\n".join(lines + [lines[1][:20]] * 2 * (i == good)), lang))
+            labels.append((len(labels), int(i < good), 0))
+    got = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, LABELS)).collect()
+    kept = {}
+    for x in got:
+        key = rows[x["doc_id"]][2], labels[x["doc_id"]][1]
+        kept[key] = kept.get(key, 0) + x["kept"]
+    assert kept == {("en", 1): 400, ("en", 0): 0, ("de", 1): 220, ("de", 0): 0, ("es", 1): 100, ("es", 0): 30}
+
+
 def edits(a, b):
     """Least word edits of a against any passage of b."""
     row = [0] * (len(b) + 1)
