@@ -30,7 +30,7 @@ BATCH_ROWS = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-NEVER_SHOWN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas svg math datalist select textarea".split())
+NEVER_SHOWN = frozenset("head script style template noscript title iframe noembed noframes object audio video canvas datalist".split())
 PARAGRAPH = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 BLOCK = PARAGRAPH | frozenset("html body div section article aside header footer nav main address form fieldset figcaption details summary li dt dd tr caption center dir menu legend".split())
 CLOSES_P = (BLOCK | frozenset(["plaintext"])) - frozenset("html body li dt dd tr caption legend summary figcaption".split())
@@ -53,7 +53,11 @@ SCOPE = frozenset("table td th caption html body button".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
-CSS_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
+CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
+CSS_PIECE = re.compile(r"([^{};]*)([{};])")
+#: Conditions of @media that hold on every screen.
+SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:all|screen)\s*", re.I)
+SHOWING = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
@@ -72,10 +76,11 @@ def attributes_of(source: str) -> dict[str, str]:
     return found
 
 
-def build(source: str) -> tuple[Node, list[str]]:
-    """The tree of a page, and its style sheets."""
+def build(source: str, hidden: set[str] | frozenset = frozenset()) -> tuple[Node, list[str], bool]:
+    """The tree of a page, its style sheets, and whether it is deeper than MAX_DEPTH; there hidden elements still hold what is in them."""
     root = Node("html", {})
-    stack, styles, at = [root], [], 0
+    stack, styles, at, deep = [root], [], 0, False
+    cover: tuple[int, Node] | None = None  # the outermost hidden element past MAX_DEPTH
 
     def close_to(wanted: set | frozenset, bounds: set | frozenset) -> bool:
         for i in range(len(stack) - 1, 0, -1):
@@ -116,6 +121,10 @@ def build(source: str) -> tuple[Node, list[str]]:
             wanted, bounds = IMPLIED[tag]
             while close_to(wanted, bounds):
                 pass
+        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot") and len(stack) < MAX_DEPTH:
+            row = Node("tr", {})
+            stack[-1].children.append(row)
+            stack.append(row)
         node = Node(tag, attributes_of(found[3]))
         stack[-1].children.append(node)
         if tag in RAW:
@@ -128,15 +137,42 @@ def build(source: str) -> tuple[Node, list[str]]:
                 node.children.append(html.unescape(raw))
             else:
                 node.children.append(raw)
-        elif tag not in VOID and not found[3].endswith("/") and len(stack) < MAX_DEPTH:
+        elif tag not in VOID and not found[3].endswith("/"):
+            if cover and not (len(stack) > cover[0] and stack[cover[0]] is cover[1]):
+                cover = None
+            if len(stack) >= MAX_DEPTH and not cover:
+                deep = True
+                if visible(node, hidden):
+                    continue
+                cover = len(stack), node
             stack.append(node)
     text(at, len(source))
-    return root, styles
+    return root, styles, deep
+
+
+def rules_of(sheet: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of the rules that hold on every screen; those in other at-rules are left out."""
+    outer: list[tuple[str, int]] = []  # open blocks, and where they begin
+    for found in CSS_PIECE.finditer(sheet := CSS_COMMENT.sub(" ", sheet)):
+        if found[2] == "{":
+            outer.append((found[1].strip(), found.end()))
+        elif found[2] == "}" and outer:
+            head, start = outer.pop()
+            if not head.startswith("@") and all(any(SCREEN.fullmatch(m.strip() if i == 0 else "@media " + m.strip()) for i, m in enumerate(h.split(","))) for h, _ in outer):
+                yield head, sheet[start : found.start(2)]
 
 
 def hidden_selectors(styles: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id) that style sheets hide."""
-    return {s.strip() for sheet in styles for selectors, body in CSS_RULE.findall(sheet) if HIDING.search(body) for s in selectors.split(",") if re.fullmatch(r"[.#]?[\w-]+", s.strip())}
+    """Simple selectors (tag, .class, #id) that style sheets hide and that no later rule of theirs shows again."""
+    last: dict[tuple[str, str], tuple[bool, bool]] = {}
+    for sheet in styles:
+        for selectors, body in rules_of(sheet):
+            for name, value, forced in SHOWING.findall(body):
+                for s in selectors.split(","):
+                    key = s.strip(), name.lower()
+                    if re.fullmatch(r"[.#]?[\w-]+", key[0]) and (forced or not last.get(key, (False, False))[1]):
+                        last[key] = bool(HIDING.fullmatch(f"{name}:{value}")), bool(forced)
+    return {s for (s, _), (hides, _) in last.items() if hides}
 
 
 def visible(node: Node, hidden: set[str]) -> bool:
@@ -190,7 +226,12 @@ def render(node: Node, hidden: set[str], out: Layout) -> None:
             continue
         if not visible(child, hidden):
             continue
-        if tag == "img":
+        if tag in ("option", "optgroup", "select", "textarea"):
+            out.add(" ")
+            out.add(child.attributes.get("label", "") + " " if tag == "optgroup" else "")
+            render(child, hidden, out)
+            out.add(" ")
+        elif tag == "img":
             out.add(child.attributes.get("alt", ""))
         elif tag not in BLOCK:
             render(child, hidden, out)
@@ -261,17 +302,30 @@ def rows_of(node: Node, hidden: set[str]) -> Iterator[Node]:
                 yield from rows_of(child, hidden)
 
 
+def strays(node: Node, hidden: set[str]) -> Iterator[Node | str]:
+    """What stands in a table outside its cells."""
+    for child in node.children:
+        if isinstance(child, str):
+            if child.strip() and node.tag not in ("colgroup", "col"):
+                yield child
+        elif child.tag in ("thead", "tbody", "tfoot", "tr"):
+            if visible(child, hidden):
+                yield from strays(child, hidden)
+        elif child.tag not in ("colgroup", "col") and not (node.tag == "tr" and child.tag in ("td", "th")):
+            yield child
+
+
 def render_table(node: Node, hidden: set[str], out: Layout) -> None:
     """Caption and stray content as blocks, then the cells in columns, two blanks apart."""
     loose = Node("div", {})
-    loose.children = [c for c in node.children if not isinstance(c, str) and c.tag not in ("thead", "tbody", "tfoot", "tr", "colgroup", "col")]
+    loose.children = list(strays(node, hidden))
     render(loose, hidden, out)
     out.end_line()
     grid = []
     for row in rows_of(node, hidden):
         cells = []
         for cell in row.children:
-            if not isinstance(cell, str) and visible(cell, hidden):
+            if not isinstance(cell, str) and cell.tag in ("td", "th") and visible(cell, hidden):
                 inner = Layout()
                 render(cell, hidden, inner)
                 inner.end_line()
@@ -293,9 +347,12 @@ def render_table(node: Node, hidden: set[str], out: Layout) -> None:
 
 def text_of(source: str) -> str:
     """All visible text of a page, laid out."""
-    root, styles = build(source)
+    root, styles, deep = build(source)
+    hidden = hidden_selectors(styles)
+    if deep and hidden:
+        root = build(source, hidden)[0]
     out = Layout()
-    render(root, hidden_selectors(styles), out)
+    render(root, hidden, out)
     out.end_line()
     return "\n".join(out.lines)
 

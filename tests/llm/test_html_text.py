@@ -28,6 +28,27 @@ def test_layout(source, text):
     assert text_of(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<style>@media print {nav, .side {display:none}} @media (max-width: 9em) {p {display:none}}</style><nav>a</nav><p class=side>b", "a\n\nb"),
+        ("<style>@media screen {.x {display:none}} @import url(a); .y {display:none}</style><i class=x>a</i><i class=y>b</i>c", "c"),
+        ("<style>.x {display:none} .x {display:block}</style><i class=x>a</i>", "a"),
+        ("<style>.x {display:none !important} .x {display:block}</style><i class=x>a</i>b", "b"),
+        ("<style>.x {display:none}</style>" + "<div>" * 200 + "<p class=x>a<p>b", "b"),
+        ("<style>/* } */ .x {color:red; display:none}</style><i class=x>a</i>b", "b"),
+        ("<table><tbody><td>x<td>y</table>", "x  y"),
+        ("<table><td>x<td>y<tr><td>z</table>", "x  y\nz"),
+        ("<table>one<tbody>two<tr>three<td>x</table>", "onetwothree\nx"),
+        ("<math><mi>a</mi><mo>+</mo></math> <svg><text>b</text></svg>", "a+ b"),
+        ("x<select><option>a<option>b</select><textarea>c &amp; d</textarea>", "x a b c & d"),
+        ("<div>" * 200 + "<p hidden>a</p><script>b</script><i style='display:none'>c<b>d</b></i>e", "e"),
+    ],
+)
+def test_all_visible_text(source, text):
+    assert text_of(source) == text
+
+
 def test_deep_and_long():
     assert text_of("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert len(text_of("<p>word</p>" * 20000)) == 6 * 20000 - 2
