@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import stage, table
+from tesselar.llm.common import stage, table, words_of
 from tesselar.llm.decontamination import drop_leaks
 from tesselar.llm.line_dedup import dedup_lines
 from tesselar.llm.ngram_join import near_groups
@@ -14,9 +14,11 @@ from tesselar.llm.quality_rules import judge
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass; rows that share a doc_id stay only if all of them pass."""
-    bad = judge(docs, table(spark, sf_dir, "labels")).where(~F.col("kept")).select(F.col("doc_id").alias("__doc")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__doc")), "left_anti")
+    """Documents that pass; each row is judged by its own text and language, whatever ids it shares."""
+    bad = judge(docs, table(spark, sf_dir, "labels"), keys=True).where(~F.col("kept"))
+    bad = bad.select(F.col("doc_id").alias("__doc"), F.col("stratum").alias("__stratum"), F.col("twin").alias("__twin")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__twin")) & (F.coalesce("lang", F.lit("")) == F.col("__stratum"))
+    return docs.join(bad, same, "left_anti")
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,12 +26,18 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; of repeated rows (all columns equal) one."""
-    near = near_groups(docs)
+    """One row of each group, that with the smallest id, then hash of text; texts without words stay, of equal rows one."""
+    near = stage(near_groups(docs), "near-groups")
     repeated = near.groupBy("doc_id", "twin").count().where("count > 1").limit(1).count()
-    gone = near.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__doc"), F.col("twin").alias("__twin")).distinct()
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__twin")), "left_anti")
-    return kept.dropDuplicates() if repeated else kept
+    first = near.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "twin")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("__doc"), F.col("first.twin").alias("__twin"))
+    worded = F.size(words_of(F.col("text"))) > 0
+    kept = docs.where(worded).join(first, F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__twin")), "left_semi")
+    bare = docs.where(~worded)
+    if repeated:
+        kept = kept.withColumn("__twin", F.xxhash64("text")).dropDuplicates(["doc_id", "__twin"]).drop("__twin")
+        bare = bare.dropDuplicates()
+    return kept.unionAll(bare)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -241,7 +241,7 @@ def candidates(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """doc_id, twin (xxhash64 of the text), n_shingles and component_id for each row of docs."""
+    """doc_id, twin (xxhash64 of the text), n_shingles, component_id and group (null without words) for each row of docs."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.col("text").cast("string").alias("text"))
     profiled = stage(texts.withColumn("twin", F.xxhash64("text")).mapInArrow(_profile(size), "doc long, twin long, n long, class long, block int, counts binary, width int"), "ngram-profile")
@@ -279,14 +279,14 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) ->
     firsts = known.where("n > 0").groupBy("class").agg(F.min("doc").alias("doc")).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     firsts = firsts.select("class", "root", "doc")
     least = firsts.groupBy("root").agg(F.min("doc").alias("component_id"))
-    named = firsts.join(least, "root").select("class", "component_id")
+    named = firsts.join(least, "root").select("class", "component_id", F.col("root").alias("group"))
     out = known.join(named, "class", "left")
     plain = lambda c: F.nullif(c, F.lit(FIRST))
-    return out.select(plain(F.col("doc")).alias("doc_id"), "twin", F.col("n").alias("n_shingles"), plain(F.coalesce("component_id", "doc")).alias("component_id"))
+    return out.select(plain(F.col("doc")).alias("doc_id"), "twin", F.col("n").alias("n_shingles"), plain(F.coalesce("component_id", "doc")).alias("component_id"), "group")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("twin")
+    return near_groups(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("twin", "group")
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -48,12 +48,13 @@ BROADCAST_STRATA = 10_000
 
 
 def count_features(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """Key, stratum and the counts of each row's whole text."""
+    """Key, stratum, hash and the counts of each row's whole text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), t.alias("t"))
+    df = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.xxhash64(F.col(text)).alias("twin"), t.alias("t"))
     df = df.select(
         "doc_id",
         "stratum",
+        "twin",
         words_of(F.col("t")).alias("words"),
         F.filter(F.split("t", "\n"), lambda line: F.btrim(line, F.lit(WHITE_SPACE)) != "").alias("lines"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
@@ -62,6 +63,7 @@ def count_features(docs: DataFrame, key: str = "doc_id", text: str = "text", str
     df = df.select(
         "doc_id",
         "stratum",
+        "twin",
         "n_symbols",
         "n_shouts",
         F.size("words").cast("long").alias("n_words"),
@@ -168,8 +170,8 @@ def choose_cutoffs(features: DataFrame, labels: DataFrame, alpha: float = ALPHA,
     )
 
 
-def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """doc_id, counts, base_failed and kept for each row of docs."""
+def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, keys: bool = False) -> DataFrame:
+    """doc_id, counts, base_failed and kept for each row of docs; with keys also stratum and twin (xxhash64 of the text), which decide."""
     features = stage(count_features(docs), "quality-counts")
     cutoffs = stage(choose_cutoffs(features, labels, alpha, delta), "quality-cutoffs")
     if cutoffs.count() <= BROADCAST_STRATA:
@@ -186,6 +188,7 @@ def judge(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float
         "n_repeat_words",
         base_failed().alias("base_failed"),
         (~base_failed() & ~beyond).alias("kept"),
+        *(["stratum", "twin"] if keys else []),
     )
 
 
