@@ -4,25 +4,25 @@ A document's set holds its distinct shingles of SHINGLE words (A-Z lower-cased);
 shingle. Two documents link at a Jaccard similarity of PERCENT or more.
 
 Shingles have one global order, rare ones first: how often each is in the corpus is
-counted over all documents in a fixed number of hash buckets (the order only
+counted over all documents in hash buckets (the order only
 steers cost, never the result). If two sets are similar, then with a prefix of n - overlap + l
 shingles of each they share at least l prefix shingles. Each document picks its l: it lengthens its
 prefix while the estimated cost of candidates, divided by l, falls faster than
-rows are added. A pair is a candidate if it shares the smaller l of the two. The larger set of a pair
-is met with its whole prefix, the smaller with the shorter one that its size allows,
-and the places of a shared shingle bound the overlap.
-
-Groups need no expansion into pairs: equal sets are one class from the start. Classes
-are first compared, for a few turns, with the leader of most of their prefix shingles, so that groups
-of near copies fall together; then candidates are made only between different groups.
-On a shingle with many groups, members of its largest group are met by all
-others but not by each other. All candidates are verified on their whole sets.
+rows are added. A pair is a candidate if it shares the smaller l of the two and, as what one prefix does not share
+is missing from the other set, as many shingles as the sizes ask for beyond the prefixes; the places of a
+shared shingle bound the overlap too.
+
+Groups need no expansion into pairs: equal sets are one class from the start. In turns, classes outside the
+main group of a shingle are compared with a few leaders from that group, other ones each turn, until a turn
+finds no new link, so that groups of near copies fall together; then all candidates
+between different groups are listed, but for the pairs already compared. On a shingle with many groups, members of its
+largest group are met by all others but not by each other. All candidates are verified on their whole sets.
 Sets and classes are named by 64-bit hashes (wrong with odds of 2^-64 a pair).
 
 Edge cases: null texts and texts without words have an empty set and link with nothing;
 a null doc_id sorts before all others; repeated rows are rows of one class;
-rows with one doc_id and different texts are judged apart; an empty table gives no rows;
-extra columns are ignored.
+rows with one doc_id and different texts are judged apart; of equally many shared shingles the smaller class
+is the leader; long texts are worked on one at a time; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stage, table, unstage
@@ -44,8 +45,8 @@ PERCENT = 80
 BUCKETS, BLOCK = 1 << 22, 1 << 12
 #: Longest extension of a prefix, and the cost of a candidate in rows.
 MAX_MATCHES, VERIFY_COST = 8, 10.0
-#: Turns of comparing classes with leaders, which only spare candidates; what they leave is met in full.
-TURNS = 4
+#: Turns of comparing classes with leaders, and leaders of a shingle in all but the first; they only spare candidates, what they leave is met in full.
+TURNS, LEADERS = 12, 4
 #: Texts that a task works on at a time have about so many bytes.
 PIECE_CHARS = 2_000_000
 FIRST = -(2**63)
@@ -69,16 +70,16 @@ def class_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles).sum(dtype=np.uint64) + np.uint64(len(shingles))])).view(np.int64)[0])
 
 
-def _profile(size: int):
+def _profile(size: int, buckets: int):
     """A row for each text: doc, twin, n, class; at the end of each task its counts by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(BUCKETS, np.int64)
+        counts = np.zeros(buckets, np.int64)
         names = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("block", pa.int32()), ("counts", pa.binary()), ("width", pa.int32())])
         for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS)):
             sets = shingle_sets(batch.column(1), size)
             if sets:
-                np.add.at(counts, (np.concatenate(sets) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+                np.add.at(counts, (np.concatenate(sets) & np.uint64(buckets - 1)).astype(np.int64), 1)
             rows = len(sets)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.int32())],
@@ -106,8 +107,8 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int32()), "levels": pa.array(levels, pa.binary())})
 
 
-def prefix_of(shingles: np.ndarray, level: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int, int]:
-    """Prefix shingles of a set in the global order, its l, and how many of them count if it is the smaller set.
+def prefix_of(shingles: np.ndarray, level: np.ndarray, noise: float, percent: int) -> tuple[np.ndarray, int]:
+    """Prefix shingles of a set in the global order, and its l.
 
     shingles are sorted by hash; level has their frequency levels.
     """
@@ -118,35 +119,42 @@ def prefix_of(shingles: np.ndarray, level: np.ndarray, noise: float, percent: in
     often = np.maximum(0.0, np.exp2(level[order[: n - need + most]] / 8.0) - 1 - noise)
     cost = [n - need + m + VERIFY_COST * often[: n - need + m].sum() / m for m in range(1, most + 1)]
     matches = int(np.argmin(cost)) + 1
-    short = n + -2 * percent * n // (100 + percent) + matches  # n - ceil(2t/(1+t) n) + l
-    return shingles[order[: n - need + matches]], matches, short
+    return shingles[order[: n - need + matches]], matches
 
 
 def _prefixes(levels, noise: float, size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table_, seen = np.frombuffer(levels.value, np.uint8), set()  # a class is listed once a task
+        mask = np.uint64(len(table_) - 1)
         for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS)):
-            tokens, classes, places, heads = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            tokens, classes, infos = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for s in shingle_sets(batch.column(1), size):
                 if not len(s) or (name := class_of(s)) in seen:
                     continue
                 seen.add(name)
-                prefix, matches, short = prefix_of(s, table_[(s & np.uint64(BUCKETS - 1)).astype(np.int64)], noise, percent)
-                at = np.arange(len(prefix))
+                prefix, matches = prefix_of(s, table_[(s & mask).astype(np.int64)], noise, percent)
                 tokens.append(prefix)
                 classes.append(np.full(len(prefix), name))
-                places.append(at)
-                heads.append(len(s) << 36 | matches << 1 | (at < short))
-            yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "class": np.concatenate(classes), "place": np.concatenate(places).astype(np.int32), "head": np.concatenate(heads)})
+                infos.append(np.arange(len(prefix)) << 8 | len(s) << 36 | matches)
+            yield pa.RecordBatch.from_pydict({"token": np.concatenate(tokens).view(np.int64), "class": np.concatenate(classes), "info": np.concatenate(infos)})
 
     return run
 
 
-def _sets(size: int):
+def _similar(size: int, percent: int):
+    """The pairs whose whole sets, made anew from the two texts, are similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS)):
-            sets = shingle_sets(batch.column(1), size)
-            yield pa.RecordBatch.from_pydict({"class": pa.array([class_of(s) for s in sets], pa.int64()), "members": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
+        for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS // 2)):
+            x, y = (batch.column(name).to_numpy() for name in ("x", "y"))
+            texts = pa.chunked_array([batch.column("tx"), batch.column("ty")])
+            names, at = np.unique(np.concatenate([x, y]), return_index=True)  # a leader is in many pairs
+            sets = dict(zip(names.tolist(), shingle_sets(texts.take(pa.array(at)).combine_chunks(), size), strict=True))
+            near = []
+            for u, v in zip(x.tolist(), y.tolist(), strict=True):
+                shared = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+                near.append(100 * shared >= percent * (len(sets[u]) + len(sets[v]) - shared))
+            yield batch.select(["x", "y"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
@@ -160,23 +168,31 @@ def at_of(info: Column) -> Column:
 
 
 def matches_of(info: Column) -> Column:
-    return F.shiftright(info, 1).bitwiseAND(F.lit(127))
+    return info.bitwiseAND(F.lit(255))
 
 
-def short_of(info: Column) -> Column:
-    return info.bitwiseAND(F.lit(1)) == 1
+def can_be_similar(ix: Column, iy: Column, percent: int) -> Column:
+    """Whether the sizes, and the places of a shared shingle, leave room for enough shared shingles."""
+    nx, ny, ax, ay = n_of(ix), n_of(iy), at_of(ix), at_of(iy)
+    return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & ((F.least(ax, ay) + F.least(nx - ax, ny - ay)) * (100 + percent) >= percent * (nx + ny))
 
 
-def similar_sizes(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def enough(shared: Column, ix: Column, iy: Column, percent: int) -> Column:
+    """Whether a pair that shares so many prefix shingles can be similar.
 
+    One of the two prefixes ends first in the global order; what of it is not shared is missing from the other set.
+    """
+    nx, ny, lx, ly = n_of(ix), n_of(iy), matches_of(ix), matches_of(iy)
+    ceil = lambda a, b: F.floor((a + F.lit(b - 1)) / F.lit(b))
+    rest = F.greatest(ceil(nx * percent, 100) - lx, ceil(ny * percent, 100) - ly)
+    return shared >= F.greatest(F.least(lx, ly), ceil((nx + ny) * percent, 100 + percent) - rest)
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (x, y) whose whole sets are similar."""
-    a = sets.select(F.col("class").alias("x"), F.col("members").alias("a"))
-    b = sets.select(F.col("class").alias("y"), F.col("members").alias("b"))
-    both = pairs.join(a, "x").join(b, "y").select("x", "y", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("shared"))
-    return both.where(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("x", "y")
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
+    """The pairs (x, y) whose whole sets are similar; pairs are staged, so that a short list travels to the texts."""
+    wanted = texts.join(pairs.select(F.col("y").alias("class")).distinct(), "class", "left_semi")
+    a, b = texts.select(F.col("class").alias("x"), F.col("text").alias("tx")), wanted.select(F.col("class").alias("y"), F.col("text").alias("ty"))
+    return pairs.join(a, "x").join(b, "y").select("x", "tx", "y", "ty").mapInArrow(_similar(size, percent), "x long, y long")
 
 
 def components(links: DataFrame, label: str = "components") -> DataFrame:
@@ -203,79 +219,97 @@ def with_roots(rows: DataFrame, groups: DataFrame) -> DataFrame:
     return rows.join(groups.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
 
 
-def star_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """One pair (x, y) at most for each class x: y is of another group and the leader of most of the shingles of x.
+def star_pairs(rows: DataFrame, turn: int, leaders: int, percent: int) -> DataFrame:
+    """Pairs (x, y) of a class outside the main group of its shingles with leaders of these; at most `leaders` for each x.
 
-    A shingle's leader is its class with the smallest hash; each turn has another hash.
+    rows: token, class, info, root and main. A shingle's leaders are the classes of its main group with the smallest
+    hashes, of as many hashes that no other turn has.
     """
-    lead = rows.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "class").alias("h"), "class", "info", "root")).alias("lead"))
-    met = rows.join(lead, "token").where((F.col("root") != F.col("lead.root")) & similar_sizes(n_of(F.col("info")), n_of(F.col("lead.info")), percent))
-    shared = met.groupBy(F.col("class").alias("x"), F.col("lead.class").alias("y")).count()
-    return shared.groupBy("x").agg(F.max_by("y", F.struct("count", "y")).alias("y"))
-
-
-def candidates(rows: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) of classes of different groups that share enough prefix shingles."""
-    grouped = stage(with_roots(rows, groups), "ngram-grouped")
-    counted = grouped.groupBy("token", "root").count()
-    mixed = counted.groupBy("token").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    mixed = stage(grouped.join(mixed, "token"), "ngram-mixed")
+    by_token = W.partitionBy("token")
+    hashed = lambda i: F.struct(F.xxhash64(F.lit(turn), F.lit(i), "class").alias("h"), "class", "info")
+    lead = [F.min(F.when(F.col("root") == F.col("main"), hashed(i))).over(by_token) for i in range(leaders)]
+    led = F.array_distinct(F.transform(F.array(*lead), lambda c: F.struct(c["class"].alias("class"), c["info"].alias("info"))))
+    x = rows.repartition("token").withColumn("led", led).where("root != main").select("class", "info", F.explode("led").alias("lead"))
+    x = x.where(can_be_similar(F.col("info"), F.col("lead.info"), percent))
+    shared = x.groupBy(F.col("class").alias("x"), F.col("lead.class").alias("y")).agg(F.count("*").alias("shared"), F.max("info").alias("ix"), F.max("lead.info").alias("iy"))
+    shared = shared.where(enough(F.col("shared"), F.col("ix"), F.col("iy"), percent))
+    best = W.partitionBy("x").orderBy(F.desc("shared"), "y")
+    return shared.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= leaders).select("x", "y")
+
+
+def mixed_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows of the shingles that several groups share: token, class, info, its root, and the token's main (largest) group."""
+    grouped = with_roots(rows, groups).repartition("token")
+    counted = grouped.withColumn("same", F.count("*").over(W.partitionBy("token", "root")))
+    by_token = W.partitionBy("token")
+    mixed = counted.select("token", "class", "info", "root", F.max(F.struct("same", "root")).over(by_token)["root"].alias("main"), (F.min("root").over(by_token) != F.max("root").over(by_token)).alias("several"))
+    return stage(mixed.where("several").drop("several"), "ngram-mixed")
+
+
+def candidates(mixed: DataFrame, percent: int) -> DataFrame:
+    """All pairs (x, y) of classes of different groups that share enough prefix shingles."""
     x = mixed.where("root != main").select("token", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("info").alias("ix"))
     y = mixed.select("token", F.col("class").alias("y"), F.col("root").alias("ry"), F.col("info").alias("iy"), (F.col("root") == F.col("main")).alias("in_main"))
-    nx, ny, ax, ay = n_of(F.col("ix")), n_of(F.col("iy")), at_of(F.col("ix")), at_of(F.col("iy"))
-    met = x.join(y, "token").where(
-        (F.col("rx") != F.col("ry"))
-        & (F.col("in_main") | (F.col("x") < F.col("y")))
-        & similar_sizes(nx, ny, percent)
-        & (((nx <= ny) & short_of(F.col("ix"))) | ((ny <= nx) & short_of(F.col("iy"))))
-        & ((F.least(ax, ay) + F.least(nx - ax, ny - ay)) * (100 + percent) >= percent * (nx + ny))
-    )
+    met = x.join(y, "token").where((F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & can_be_similar(F.col("ix"), F.col("iy"), percent))
     # Which of the two is in the main group differs from shingle to shingle: one order, so that all shared ones count together.
-    return (
-        met.withColumns({"x": F.least("x", "y"), "y": F.greatest("x", "y")})
-        .groupBy("x", "y")
-        .agg(F.count("*").alias("shared"), F.min(F.least(matches_of(F.col("ix")), matches_of(F.col("iy")))).alias("least"))
-        .where("shared >= least")
-        .select("x", "y")
-    )
+    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.struct("ix", "iy")).otherwise(F.struct(F.col("iy").alias("ix"), F.col("ix").alias("iy"))).alias("i"))
+    shared = met.groupBy("x", "y").agg(F.count("*").alias("shared"), F.max("i.ix").alias("ix"), F.max("i.iy").alias("iy"))
+    return shared.where(enough(F.col("shared"), F.col("ix"), F.col("iy"), percent)).select("x", "y")
+
+
+def texts_of(rows: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
+    """class and text, once for each class of rows."""
+    homes = known.join(rows.select("class").distinct(), "class", "left_semi").groupBy("class", "doc", "twin").count()
+    homes = homes.groupBy("class").agg(F.min(F.struct("doc", "twin", "count")).alias("home")).select("class", "home.*")
+    # Staged, so that Spark knows its size: a short list is broadcast and texts stay in place, a longer one is joined by shuffle.
+    homes = stage(homes, "ngram-homes")
+    found = texts.withColumn("twin", F.xxhash64("text")).join(homes, ["doc", "twin"]).select("class", "text")
+    if not homes.where("count > 1").isEmpty():
+        found = found.dropDuplicates(["class"])
+    return stage(found, "ngram-texts")
 
 
-def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
-    """doc_id, twin (xxhash64 of the text), n_shingles, component_id and group (null without words) for each row of docs."""
+def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, buckets: int = BUCKETS) -> DataFrame:
+    """doc_id, twin (xxhash64 of the text), n_shingles, component_id and group (null without words) for each row of docs.
+
+    buckets (a power of two) are those of the frequency count: more of them tell rare shingles apart in larger corpora.
+    """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"), F.col("text").cast("string").alias("text"))
-    profiled = stage(texts.withColumn("twin", F.xxhash64("text")).mapInArrow(_profile(size), "doc long, twin long, n long, class long, block int, counts binary, width int"), "ngram-profile")
+    profiled = stage(texts.withColumn("twin", F.xxhash64("text")).mapInArrow(_profile(size, buckets), "doc long, twin long, n long, class long, block int, counts binary, width int"), "ngram-profile")
     known = profiled.where("block is null").select("doc", "twin", "n", "class")
-    levels = bytearray(BUCKETS)
+    levels = bytearray(buckets)
     summed = profiled.where("block is not null").select("block", "counts", "width").repartition("block").mapInArrow(_add_counts, "block int, levels binary")
-    for block, level in summed.collect():  # BUCKETS bytes, whatever the input
+    for block, level in summed.collect():  # `buckets` bytes, whatever the input
         levels[block * BLOCK : (block + 1) * BLOCK] = level
-    mean = (known.agg(F.sum("n")).first()[0] or 0) / BUCKETS
+    mean = (known.agg(F.sum("n")).first()[0] or 0) / buckets
     shared = spark.sparkContext.broadcast(bytes(levels))
-    listed = texts.mapInArrow(_prefixes(shared, mean + 3 * mean**0.5, size, percent), "token long, class long, place int, head long")
-    # Place and head lie in columns of their own on disk, where they compress, and in one number from here on.
-    prefixes = stage(listed, "ngram-prefixes")
-    listed = prefixes.select("token", "class", F.col("head").bitwiseOR(F.shiftleft(F.col("place").cast("long"), 8)).alias("info"))
-    # Shingles of one class only, or in no short prefix, can't make a pair. One shuffle by shingle serves
-    # the distinct classes, the counts and the join.
+    listed = texts.mapInArrow(_prefixes(shared, mean + 3 * mean**0.5, size, percent), "token long, class long, info long")
+    # One shuffle by shingle serves the distinct classes and the count; shingles of one class only can't make a pair.
     once = listed.repartition("token").groupBy("token", "class").agg(F.min("info").alias("info"))
-    often = once.groupBy("token").agg(F.count("*").alias("classes"), F.max(F.col("info").bitwiseAND(F.lit(1))).alias("short")).where("classes > 1 and short = 1").select("token")
-    rows = stage(once.join(often, "token"), "ngram-rows")
-    unstage(prefixes)
-    wanted = rows.select("class").distinct()
-    homes = known.join(wanted, "class", "left_semi").groupBy("class").agg(F.min("doc").alias("doc")).select("doc").distinct()
-    # Staged, so that Spark knows its size: a short list is broadcast and texts stay in place, a longer one is joined by shuffle.
-    homes = stage(homes, "ngram-homes")
-    sets = stage(texts.join(homes, "doc", "left_semi").mapInArrow(_sets(size), "class long, members array<long>"), "ngram-sets")
+    rows = once.withColumn("classes", F.count("*").over(W.partitionBy("token"))).where("classes > 1").drop("classes")
+    rows = stage(rows, "ngram-rows")
+    kept = texts_of(rows, known, texts)
     groups = spark.createDataFrame([], "node long, root long")
-    for turn in range(TURNS):
-        stars = stage(star_pairs(with_roots(rows, groups), turn, percent), "ngram-stars")
-        near = stage(verified(stars, sets, percent), "ngram-near")
+    tested = spark.createDataFrame([], "x long, y long")
+    for turn in range(TURNS + 1):
+        mixed = mixed_rows(rows, groups)
+        unstage(rows)
+        rows = mixed.select("token", "class", "info")  # a shingle of one group stays one
+        if turn == TURNS:
+            break
+        pairs = star_pairs(mixed, turn, LEADERS if turn else 1, percent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = stage(pairs.join(tested, ["x", "y"], "left_anti"), "ngram-stars")
+        tested = tested.unionAll(pairs)
+        near = stage(verified(pairs, kept, percent, size), "ngram-near")
         if near.isEmpty():
             break
-        groups = components(near.unionByName(groups.toDF("x", "y")), "ngram-groups")
-    more = stage(candidates(rows, groups, percent), "ngram-candidates")
-    roots = components(verified(more, sets, percent).unionByName(groups.toDF("x", "y")), "ngram-components")
+        groups = components(groups.toDF("x", "y").unionAll(near), "ngram-groups")
+    more = stage(candidates(mixed, percent).join(tested, ["x", "y"], "left_anti"), "ngram-candidates")
+    found = stage(verified(more, kept, percent, size), "ngram-found")
+    unstage(mixed)
+    unstage(kept)
+    roots = groups if found.isEmpty() else components(groups.toDF("x", "y").unionAll(found), "ngram-components")
     firsts = known.where("n > 0").groupBy("class").agg(F.min("doc").alias("doc")).join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     firsts = firsts.select("class", "root", "doc")
     least = firsts.groupBy("root").agg(F.min("doc").alias("component_id"))

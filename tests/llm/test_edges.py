@@ -133,13 +133,14 @@ def test_candidates_brute(spark, seed):
     r = random.Random(seed)
     roots = {c: c - c % 4 for c in range(12)}
     lists = {t: r.sample(sorted(roots), r.randrange(2, 7)) for t in range(30)}
-    lists |= {100: [0, 1, 4], 101: [0, 4, 5]}
+    lists |= {100: [0, 1, 4], 101: [0, 4, 5], 102: [0, 4]}
     matches = {c: r.randrange(2, 5) for c in roots}
     matches[0] = matches[4] = 2
-    rows = [(t, c, 10 << 36 | matches[c] << 1 | 1) for t, cs in lists.items() for c in cs]
+    rows = [(t, c, 10 << 36 | matches[c]) for t, cs in lists.items() for c in cs]
     groups = spark.createDataFrame([(c, root) for c, root in roots.items() if c != root], "node long, root long")
-    got = ngram_join.candidates(spark.createDataFrame(rows, "token long, class long, info long"), groups, 80).collect()
-    want = {(a, b) for a in roots for b in roots if a < b and roots[a] != roots[b] and sum(a in cs and b in cs for cs in lists.values()) >= min(matches[a], matches[b])}
+    mixed = ngram_join.mixed_rows(spark.createDataFrame(rows, "token long, class long, info long"), groups)
+    got = ngram_join.candidates(mixed, 80).collect()
+    want = {(a, b) for a in roots for b in roots if a < b and roots[a] != roots[b] and sum(a in cs and b in cs for cs in lists.values()) > min(matches[a], matches[b])}  # one more, by sizes
     assert (0, 4) in want and len(got) == len(want)
     assert {tuple(sorted(x)) for x in got} == want
 
