@@ -12,9 +12,8 @@ rows are added. A pair is a candidate if it shares the smaller l of the two and,
 is missing from the other set, as many shingles as the sizes ask for beyond the prefixes; the places of a
 shared shingle bound the overlap too.
 
-Groups need no expansion into pairs: equal sets are one class from the start. In turns, classes outside the
-main group of a shingle are compared with a few leaders from that group, other ones each turn, until a turn
-finds no new link, so that groups of near copies fall together; then all candidates
+Groups need no expansion into pairs: equal sets are one class from the start. In a few turns, classes outside the
+main group of a shingle are compared with leaders from that group, so that groups of near copies fall together; then all candidates
 between different groups are listed, but for the pairs already compared. On a shingle with many groups, members of its
 largest group are met by all others but not by each other. All candidates are verified on their whole sets.
 Sets and classes are named by 64-bit hashes (wrong with odds of 2^-64 a pair).
@@ -46,7 +45,7 @@ BUCKETS, BLOCK = 1 << 22, 1 << 12
 #: Longest extension of a prefix, and the cost of a candidate in rows.
 MAX_MATCHES, VERIFY_COST = 8, 10.0
 #: Turns of comparing classes with leaders, and leaders of a shingle in all but the first; they only spare candidates, what they leave is met in full.
-TURNS, LEADERS = 12, 4
+TURNS, LEADERS = 2, 4
 #: Texts that a task works on at a time have about so many bytes.
 PIECE_CHARS = 2_000_000
 FIRST = -(2**63)
@@ -177,15 +176,15 @@ def can_be_similar(ix: Column, iy: Column, percent: int) -> Column:
     return (F.least(nx, ny) * 100 >= F.greatest(nx, ny) * percent) & ((F.least(ax, ay) + F.least(nx - ax, ny - ay)) * (100 + percent) >= percent * (nx + ny))
 
 
-def enough(shared: Column, ix: Column, iy: Column, percent: int) -> Column:
-    """Whether a pair that shares so many prefix shingles can be similar.
+def needed(ix: Column, iy: Column, percent: int) -> Column:
+    """How many prefix shingles a similar pair shares at least.
 
     One of the two prefixes ends first in the global order; what of it is not shared is missing from the other set.
     """
     nx, ny, lx, ly = n_of(ix), n_of(iy), matches_of(ix), matches_of(iy)
     ceil = lambda a, b: F.floor((a + F.lit(b - 1)) / F.lit(b))
     rest = F.greatest(ceil(nx * percent, 100) - lx, ceil(ny * percent, 100) - ly)
-    return shared >= F.greatest(F.least(lx, ly), ceil((nx + ny) * percent, 100 + percent) - rest)
+    return F.greatest(F.least(lx, ly), ceil((nx + ny) * percent, 100 + percent) - rest)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
@@ -220,41 +219,56 @@ def with_roots(rows: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def star_pairs(rows: DataFrame, turn: int, leaders: int, percent: int) -> DataFrame:
-    """Pairs (x, y) of a class outside the main group of its shingles with leaders of these; at most `leaders` for each x.
+    """Pairs (x, y) of a class outside the main group of its shingles (in the first turn, of any class) with leaders of these.
 
-    rows: token, class, info, root and main. A shingle's leaders are the classes of its main group with the smallest
-    hashes, of as many hashes that no other turn has.
+    rows: token, class, info, root and main. The first leader of a shingle is the class of its main group in which the fewest
+    shingles are rarer, as a copy with few changes of its own is near to most others; the rest have
+    the smallest hashes, of other hashes each turn. Each x gets the leaders that it shares most with, one less than a shingle has.
     """
     by_token = W.partitionBy("token")
-    hashed = lambda i: F.struct(F.xxhash64(F.lit(turn), F.lit(i), "class").alias("h"), "class", "info")
-    lead = [F.min(F.when(F.col("root") == F.col("main"), hashed(i))).over(by_token) for i in range(leaders)]
+    ranked = lambda i: F.struct((F.lit(0) if i else at_of(F.col("info"))).cast("long").alias("at"), F.xxhash64(F.lit(turn), F.lit(i), "class").alias("h"), "class", "info")
+    among = F.lit(True) if turn == 0 else F.col("root") == F.col("main")
+    lead = [F.min(F.when(among, ranked(i))).over(by_token) for i in range(leaders)]
     led = F.array_distinct(F.transform(F.array(*lead), lambda c: F.struct(c["class"].alias("class"), c["info"].alias("info"))))
-    x = rows.repartition("token").withColumn("led", led).where("root != main").select("class", "info", F.explode("led").alias("lead"))
-    x = x.where(can_be_similar(F.col("info"), F.col("lead.info"), percent))
+    x = rows.repartition("token").withColumn("led", led).where(F.lit(turn == 0) | (F.col("root") != F.col("main"))).select("class", "info", F.explode("led").alias("lead"))
+    x = x.where((F.col("class") != F.col("lead.class")) & can_be_similar(F.col("info"), F.col("lead.info"), percent))
     shared = x.groupBy(F.col("class").alias("x"), F.col("lead.class").alias("y")).agg(F.count("*").alias("shared"), F.max("info").alias("ix"), F.max("lead.info").alias("iy"))
-    shared = shared.where(enough(F.col("shared"), F.col("ix"), F.col("iy"), percent))
+    shared = shared.where(F.col("shared") >= needed(F.col("ix"), F.col("iy"), percent))
     best = W.partitionBy("x").orderBy(F.desc("shared"), "y")
-    return shared.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= leaders).select("x", "y")
+    return shared.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= leaders - 1).select("x", "y")
 
 
 def mixed_rows(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Rows of the shingles that several groups share: token, class, info, its root, and the token's main (largest) group."""
+    """Rows of the shingles that several groups share: token, class, info, its root, the token's main (largest) group and number of classes."""
     grouped = with_roots(rows, groups).repartition("token")
     counted = grouped.withColumn("same", F.count("*").over(W.partitionBy("token", "root")))
     by_token = W.partitionBy("token")
-    mixed = counted.select("token", "class", "info", "root", F.max(F.struct("same", "root")).over(by_token)["root"].alias("main"), (F.min("root").over(by_token) != F.max("root").over(by_token)).alias("several"))
+    mixed = counted.select("token", "class", "info", "root", F.max(F.struct("same", "root")).over(by_token)["root"].alias("main"), F.count("*").over(by_token).alias("classes"), (F.min("root").over(by_token) != F.max("root").over(by_token)).alias("several"))
     return stage(mixed.where("several").drop("several"), "ngram-mixed")
 
 
 def candidates(mixed: DataFrame, percent: int) -> DataFrame:
-    """All pairs (x, y) of classes of different groups that share enough prefix shingles."""
-    x = mixed.where("root != main").select("token", F.col("class").alias("x"), F.col("root").alias("rx"), F.col("info").alias("ix"))
-    y = mixed.select("token", F.col("class").alias("y"), F.col("root").alias("ry"), F.col("info").alias("iy"), (F.col("root") == F.col("main")).alias("in_main"))
-    met = x.join(y, "token").where((F.col("rx") != F.col("ry")) & (F.col("in_main") | (F.col("x") < F.col("y"))) & can_be_similar(F.col("ix"), F.col("iy"), percent))
-    # Which of the two is in the main group differs from shingle to shingle: one order, so that all shared ones count together.
-    met = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.when(F.col("x") < F.col("y"), F.struct("ix", "iy")).otherwise(F.struct(F.col("iy").alias("ix"), F.col("ix").alias("iy"))).alias("i"))
-    shared = met.groupBy("x", "y").agg(F.count("*").alias("shared"), F.max("i.ix").alias("ix"), F.max("i.iy").alias("iy"))
-    return shared.where(enough(F.col("shared"), F.col("ix"), F.col("iy"), percent)).select("x", "y")
+    """All pairs (x, y) of classes of different groups that share enough prefix shingles.
+
+    What two classes have to share is known from their sizes, so a pair is met on those of its shingles
+    only that few classes have: with the shingles of each class in one order, the first shared one
+    has as many behind it in both lists. What the pair shares in all is then counted once.
+    """
+    own = W.partitionBy("class")
+    ranked = mixed.withColumns({"nth": F.row_number().over(own.orderBy("classes", "token")), "of": F.count("*").over(own)})
+    ranked = ranked.select("token", "class", "root", "info", (F.col("of") - F.col("nth") + 1).alias("left"), (F.col("root") == F.col("main")).alias("in_main")).where(F.col("left") >= 1)
+    side = lambda c: ranked.select("token", F.col("class").alias(c), F.col("root").alias(f"r{c}"), F.col("info").alias(f"i{c}"), F.col("left").alias(f"l{c}"), F.col("in_main").alias(f"m{c}"))
+    ix, iy = F.col("ix"), F.col("iy")
+    met = side("x").where("not mx").join(side("y"), "token").where(
+        (F.col("rx") != F.col("ry")) & (F.col("my") | (F.col("x") < F.col("y"))) & can_be_similar(ix, iy, percent) & (F.least("lx", "ly") >= needed(ix, iy, percent))
+    )
+    # Which of the two is in the main group differs from shingle to shingle: one order for both.
+    pairs = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    lists = mixed.groupBy("class").agg(F.collect_list("token").alias("tokens"), F.max("info").alias("info"))
+    a = lists.select(F.col("class").alias("x"), F.col("tokens").alias("tx"), F.col("info").alias("ix"))
+    b = lists.select(F.col("class").alias("y"), F.col("tokens").alias("ty"), F.col("info").alias("iy"))
+    shared = F.size(F.array_intersect("tx", "ty"))
+    return pairs.join(a, "x").join(b, "y").where(shared >= needed(ix, iy, percent)).select("x", "y")
 
 
 def texts_of(rows: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
@@ -298,7 +312,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE, bu
         rows = mixed.select("token", "class", "info")  # a shingle of one group stays one
         if turn == TURNS:
             break
-        pairs = star_pairs(mixed, turn, LEADERS if turn else 1, percent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = star_pairs(mixed, turn, LEADERS if turn else 2, percent).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         pairs = stage(pairs.join(tested, ["x", "y"], "left_anti"), "ngram-stars")
         tested = tested.unionAll(pairs)
         near = stage(verified(pairs, kept, percent, size), "ngram-near")
