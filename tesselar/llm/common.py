@@ -58,6 +58,11 @@ def unstage(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def hinted(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A staged table of narrow rows, to be broadcast if it has few enough of them (about 60 MB); a longer one is joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stage, table, unstage
+from .common import hinted, stage, table, unstage
 from .hashing import mix, spans, word_hashes
 from .packing import pieces_of
 
@@ -188,8 +188,9 @@ def needed(ix: Column, iy: Column, percent: int) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int = SHINGLE) -> DataFrame:
-    """The pairs (x, y) whose whole sets are similar; pairs are staged, so that a short list travels to the texts."""
-    wanted = texts.join(pairs.select(F.col("y").alias("class")).distinct(), "class", "left_semi")
+    """The pairs (x, y) whose whole sets are similar; a short list of staged pairs travels to the texts."""
+    pairs = hinted(pairs)
+    wanted = texts.join(hinted(pairs.select(F.col("y").alias("class")).distinct()), "class", "left_semi")
     a, b = texts.select(F.col("class").alias("x"), F.col("text").alias("tx")), wanted.select(F.col("class").alias("y"), F.col("text").alias("ty"))
     return pairs.join(a, "x").join(b, "y").select("x", "tx", "y", "ty").mapInArrow(_similar(size, percent), "x long, y long")
 
@@ -275,9 +276,8 @@ def texts_of(rows: DataFrame, known: DataFrame, texts: DataFrame) -> DataFrame:
     """class and text, once for each class of rows."""
     homes = known.join(rows.select("class").distinct(), "class", "left_semi").groupBy("class", "doc", "twin").count()
     homes = homes.groupBy("class").agg(F.min(F.struct("doc", "twin", "count")).alias("home")).select("class", "home.*")
-    # Staged, so that Spark knows its size: a short list is broadcast and texts stay in place, a longer one is joined by shuffle.
     homes = stage(homes, "ngram-homes")
-    found = texts.withColumn("twin", F.xxhash64("text")).join(homes, ["doc", "twin"]).select("class", "text")
+    found = texts.withColumn("twin", F.xxhash64("text")).join(hinted(homes), ["doc", "twin"]).select("class", "text")
     if not homes.where("count > 1").isEmpty():
         found = found.dropDuplicates(["class"])
     return stage(found, "ngram-texts")
