@@ -1,7 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching on words.
 
-Texts and test items are lower-cased and reduced to words of letters and digits. An
-item of n words may have e = floor(RATE * n) word edits (insert, delete, replace). It is split
+Texts and test items are lower-cased and reduced to words of letters and digits; each letter of a script without
+blanks (SEPARATE) is a word of its own. An
+item of n words may have e = floor(RATE * n) word edits (insert, delete, replace), none below MIN_WORDS words. It is split
 into e + 1 pieces; a copy within the budget has at least one piece unharmed, so
 every text is searched for exact pieces by one Aho-Corasick automaton, and around each hit
 Myers' bit-parallel algorithm finds the least edit distance of the item to any
@@ -9,8 +10,8 @@ passage there. Pieces and items are broadcast in chunks of at most CHUNK_CHARS
 characters; a larger benchmark takes one scan of the documents for each chunk.
 
 Edge cases: null or empty texts and items match nothing; items of fewer than
-MIN_WORDS words are too short to tell a leak from common speech and are not
-searched; repeated document rows are reported for each row, repeated items under each
+MIN_WORDS words are found as exact copies only; null ids of documents and items are reported as such; long
+texts are searched whole; of equally close passages the first is reported; repeated document rows are reported for each row, repeated items under each
 of their ids; an empty benchmark gives no rows; extra columns are ignored.
 """
 
@@ -28,12 +29,14 @@ RATE = 0.2
 MIN_WORDS = 6
 CHUNK_CHARS = 8_000_000
 BATCH_ROWS = 500
+SEPARATE = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 SCHEMA = "doc_id long, item_id long, distance int, budget int, item_words int, start_word int, end_word int"
 
 
 def normalized(text: Column) -> Column:
     """Lower-case words of letters and digits, each followed by one blank, after a leading blank."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    apart = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), SEPARATE, " $0 ")
+    return F.concat(F.lit(" "), F.regexp_replace(apart, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
 
 
 def split_item(words: list[str], budget: int) -> list[tuple[int, int]]:
@@ -88,9 +91,9 @@ class Searcher:
         self.items, self.pieces, pieces = [], ahocorasick.Automaton(), {}
         for item_id, text in items:
             words = text.split()
-            if len(words) < MIN_WORDS:
+            if not words:
                 continue
-            budget = int(rate * len(words))
+            budget = int(rate * len(words)) if len(words) >= MIN_WORDS else 0
             for a, b in split_item(words, budget):
                 pieces.setdefault(f" {' '.join(words[a:b])} ", []).append((len(self.items), a))
             self.items.append((item_id, words, budget))
@@ -138,7 +141,7 @@ class Searcher:
 def chunks(items: DataFrame, limit: int = CHUNK_CHARS) -> Iterator[list[tuple[int, str]]]:
     """Items in lists of at most `limit` characters (a longer item alone)."""
     some, held = [], 0
-    for item_id, text in items.select("item_id", normalized(F.col("text")).alias("text")).where("item_id is not null").toLocalIterator():
+    for item_id, text in items.select("item_id", normalized(F.col("text")).alias("text")).toLocalIterator():
         if some and held + len(text) > limit:
             yield some
             some, held = [], 0
@@ -160,7 +163,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, rate: float = RATE, limit: int
             for pdf in batches(frames, BATCH_ROWS):
                 rows = [(doc, *hit) for doc, text in zip(pdf["doc_id"], pdf["t"], strict=True) for hit in searcher.find(text)]
                 if rows:
-                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                    yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         found = texts.mapInPandas(run, SCHEMA)
         out = found if out is None else out.unionAll(found)
