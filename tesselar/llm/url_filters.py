@@ -6,7 +6,8 @@ of their SHA-256 digests; the full digest then confirms a hit, and the longest
 rule wins (on equal length the longer host; on the same expression block beats allow).
 The rules may be any size: Spark broadcasts them only below its own size limit.
 
-Edge cases: a null URL or one without "://" has empty host and path, fits no rule
+Edge cases: a long URL is expanded only as far as some rule's host and path go; an empty pages table gives no rows;
+a null URL or one without "://" has empty host and path, fits no rule
 and gets the default verdict. Repeated rows are judged one by one; extra columns
 of the input are ignored; an empty rule table leaves every row to the default.
 """
@@ -52,12 +53,13 @@ def filter_urls(pages: DataFrame, rules: DataFrame, key: str = "page_id", url: s
         .agg(F.max("r_action").alias("r_action"))  # block beats allow on the same expression
         .withColumn("short", F.substring("r_digest", 1, PREFIX_HEX))
     )
-    # Only path lengths that some rule has can be a rule's path: one row, a set of small integers.
-    lengths = F.array(*[F.lit(n) for n in rules.agg(F.array_sort(F.collect_set(F.length("r_path")))).first()[0]]).cast("array<int>")
+    # Only path lengths and numbers of labels that some rule has can be a rule's: one row, two sets of small integers.
+    dots = lambda host: F.length(host) - F.length(F.replace(host, F.lit("."), F.lit("")))
+    n_paths, n_dots = rules.agg(F.array_sort(F.collect_set(F.length("r_path"))), F.array_sort(F.collect_set(dots(F.col("r_host"))))).first()
+    lengths = F.array(*map(F.lit, n_paths)).cast("array<int>")
     host, path = url_parts(F.col(url))
     rows = pages.select(F.col(key).alias("k"), host.alias("host"), path.alias("path")).withColumn("row", F.monotonically_increasing_id())
-    parts = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    suffixes = F.array_compact(F.array(*[F.when(dots(F.col("host")) >= n, F.substring_index("host", ".", -n - 1)) for n in n_dots]).cast("array<string>"))
     wide = rows.withColumn("prefixes", F.filter(lengths, lambda n: n <= F.length("path")))
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform("prefixes", lambda n: F.sha2(F.concat_ws("\n", h, F.substring(F.col("path"), F.lit(1), n)), 256))))
     tried = wide.select("row", "k", "host", "path", F.explode_outer(F.when(F.col("host") != "", keys)).alias("digest"))
