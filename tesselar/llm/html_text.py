@@ -7,7 +7,7 @@ visibility:hidden from style attributes and from simple style-sheet selectors).
 is laid out as text: blocks on lines of their own, blank lines around paragraphs,
 bullets and numbers for lists, table cells aligned by column, pre kept as it is.
 
-Edge cases: null html gives null text, empty html an empty text; broken markup
+Edge cases: null html gives null text, empty html an empty text; long pages are rendered whole; an empty table gives no rows; broken markup
 never fails (stray end tags are ignored, open elements are closed at the end);
 elements nested deeper than MAX_DEPTH are laid out at that depth; repeated rows are
 rendered one by one; extra columns are ignored.
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import batches, table
 
 MAX_DEPTH = 150
+#: A table is laid out in columns up to so many characters for each one of its text.
+MOST_PADDING = 20
 BATCH_ROWS = 200
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +56,7 @@ SCOPE = frozenset("table td th caption html body button".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.S)
 CSS_COMMENT = re.compile(r"/\*.*?(?:\*/|$)", re.S)
-CSS_PIECE = re.compile(r"([^{};]*)([{};])")
+CSS_MARK = re.compile(r"[{};]")
 #: Conditions of @media that hold on every screen.
 SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:all|screen)\s*", re.I)
 SHOWING = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
@@ -153,13 +155,15 @@ def build(source: str, hidden: set[str] | frozenset = frozenset()) -> tuple[Node
 def rules_of(sheet: str) -> Iterator[tuple[str, str]]:
     """Selectors and declarations of the rules that hold on every screen; those in other at-rules are left out."""
     outer: list[tuple[str, int]] = []  # open blocks, and where they begin
-    for found in CSS_PIECE.finditer(sheet := CSS_COMMENT.sub(" ", sheet)):
-        if found[2] == "{":
-            outer.append((found[1].strip(), found.end()))
-        elif found[2] == "}" and outer:
+    begin, sheet = 0, CSS_COMMENT.sub(" ", sheet)
+    for found in CSS_MARK.finditer(sheet):
+        before, begin = sheet[begin : found.start()], found.end()
+        if found[0] == "{":
+            outer.append((before.strip(), found.end()))
+        elif found[0] == "}" and outer:
             head, start = outer.pop()
             if not head.startswith("@") and all(any(SCREEN.fullmatch(m.strip() if i == 0 else "@media " + m.strip()) for i, m in enumerate(h.split(","))) for h, _ in outer):
-                yield head, sheet[start : found.start(2)]
+                yield head, sheet[start : found.start()]
 
 
 def hidden_selectors(styles: list[str]) -> set[str]:
@@ -315,8 +319,14 @@ def strays(node: Node, hidden: set[str]) -> Iterator[Node | str]:
             yield child
 
 
+def span_of(source: str) -> int:
+    """Columns that a cell spans; as in browsers 1000 at most."""
+    digits = re.match(r"\s*0*(\d{0,5})", source)[1]
+    return max(1, min(int(digits or 1), 1000))
+
+
 def render_table(node: Node, hidden: set[str], out: Layout) -> None:
-    """Caption and stray content as blocks, then the cells in columns, two blanks apart."""
+    """Caption and stray content as blocks, then the cells in columns, two blanks apart; without columns where padding would swell the text."""
     loose = Node("div", {})
     loose.children = list(strays(node, hidden))
     render(loose, hidden, out)
@@ -329,18 +339,23 @@ def render_table(node: Node, hidden: set[str], out: Layout) -> None:
                 inner = Layout()
                 render(cell, hidden, inner)
                 inner.end_line()
-                span = cell.attributes.get("colspan", "1")
                 cells.append([line for line in inner.lines if line])
-                cells += [[]] * (min(int(span), 100) - 1 if span.isascii() and span.isdigit() else 0)
+                cells += [[]] * (span_of(cell.attributes.get("colspan", "")) - 1)
         grid.append(cells)
     width = [0] * max(map(len, grid), default=0)
     for cells in grid:
         for i, lines in enumerate(cells):
             width[i] = max([width[i], *map(len, lines)])
+    tall = sum(max(map(len, cells), default=0) for cells in grid)
+    text = sum(len(line) for cells in grid for lines in cells for line in lines)
+    aligned = tall * sum(w + 2 for w in width) <= MOST_PADDING * (text + 1000)
     for cells in grid:
         lines = []
         for k in range(max(map(len, cells), default=0)):
-            lines.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(cells, width)).rstrip())
+            if aligned:
+                lines.append("  ".join((c[k] if k < len(c) else "").ljust(w) for c, w in zip(cells, width)).rstrip())
+            else:
+                lines.append("  ".join(c[k] for c in cells if k < len(c)))
         if lines:
             out.put(lines)
 
