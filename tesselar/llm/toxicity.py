@@ -11,7 +11,8 @@ inside quotation marks or after a reporting word it counts as quoted, near other
 abuse. A logistic regression over these counts gives the score.
 
 Edge cases: null and empty texts have no hits and get the score of a text without
-any; repeated rows are scored one by one; a label that is given twice counts as toxic if either
+any; long texts are scored whole; an empty table gives no rows; a null doc_id counts as held out, as no label names it;
+repeated rows are scored one by one; a label that is given twice, and a text that several labels mark, count as toxic if either
 is; without labels, or without toxic ones, every score is the base rate or 0; extra
 columns are ignored.
 """
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from .common import batches, stage, table
 
-#: At most so many labelled rows are learned from (the first by hash), and so many stems make the lexicon.
+#: At most so many labelled rows are learned from (the first by hash); the lexicon is as long as they make it.
 TRAIN_ROWS = 30_000
-LEXICON_SIZE = 2_000
+#: Stems have so many letters; a longer term is found by its first MAX_STEM ones.
 MIN_STEM, MAX_STEM = 4, 16
 MIN_TEXTS, MIN_RATIO = 5, 20.0
 CONTEXT = 12
@@ -57,17 +58,18 @@ def labelled_sample(labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def held_out(doc_id):
-    return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
-def learn_lexicon(docs: DataFrame, sample: DataFrame, size: int = LEXICON_SIZE) -> list[str]:
+def learn_lexicon(docs: DataFrame, sample: DataFrame) -> list[str]:
     """Stems that mark toxic texts, each the longest that is as frequent as its prefixes."""
     texts = (
         docs.select("doc_id", "text")
         .join(F.broadcast(sample), "doc_id")
         .where("text is not null")
         .select("toxic", F.xxhash64("text").alias("h"), F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+")).alias("words"))
-        .dropDuplicates(["h"])
+        .groupBy("h")
+        .agg(F.max("toxic").alias("toxic"), F.first("words").alias("words"))
     )
     words = texts.select(F.explode("words").alias("word"), "toxic").groupBy("word").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
     stems = (
@@ -80,14 +82,20 @@ def learn_lexicon(docs: DataFrame, sample: DataFrame, size: int = LEXICON_SIZE)
     if not n["bad"]:
         return []
     ratio = ((F.col("bad") + 0.5) / (n["bad"] + 1)) / ((F.col("good") + 0.5) / ((n["good"] or 0) + 1))
-    found = stems.where((F.col("bad") >= max(MIN_TEXTS, n["bad"] // 60)) & (ratio >= MIN_RATIO)).withColumn("ratio", ratio).orderBy(F.desc("ratio"), "stem").limit(size).collect()
-    chosen: list[str] = []
+    found = stems.where((F.col("bad") >= max(MIN_TEXTS, n["bad"] // 60)) & (ratio >= MIN_RATIO)).withColumn("ratio", ratio).orderBy(F.desc("ratio"), "stem").collect()
+    begins: dict[str, list] = {}
     for row in found:
-        if any(row["stem"].startswith(c) or c.startswith(row["stem"]) for c in chosen):
+        for n in range(MIN_STEM, len(row["stem"]) + 1):
+            begins.setdefault(row["stem"][:n], []).append(row)
+    chosen, prefixes = set(), set()
+    for row in found:
+        stem = row["stem"]
+        if stem in prefixes or any(stem[:n] in chosen for n in range(MIN_STEM, len(stem) + 1)):
             continue
-        longer = [x["stem"] for x in found if x["stem"].startswith(row["stem"]) and x["bad"] >= 0.9 * row["bad"]]
-        chosen.append(max(longer, key=lambda s: (len(s), s)))
-    return sorted(set(chosen))
+        longest = max((x["stem"] for x in begins[stem] if x["bad"] >= 0.9 * row["bad"]), key=lambda s: (len(s), s))
+        chosen.add(longest)
+        prefixes.update(longest[:n] for n in range(MIN_STEM, len(longest) + 1))
+    return sorted(chosen)
 
 
 def edits_allowed(term: str) -> int:
