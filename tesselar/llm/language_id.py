@@ -7,7 +7,8 @@ neighbours are not independent), the likelihood of the declared markup language
 smoothed hierarchically: all rows, then the address suffix, then the host, each with SMOOTH
 pseudo-rows of the level above; the row's own contribution is left out of its host's counts.
 
-Edge cases: null or empty text is decided by the other evidence; a null or malformed
+Edge cases: null or empty text is decided by the other evidence; long texts count whole, with the weight of
+EFFECTIVE trigrams; of equally likely languages the first by name is taken; a null id stays null; a null or malformed
 URL has an empty host; repeated rows are judged one by one; an empty table gives no rows;
 without any labelled document there are no languages to choose from and lang is null;
 extra columns are ignored.
@@ -32,10 +33,8 @@ from .html_text import text_of
 from .packing import pieces_of
 from .url_filters import url_parts
 
-#: About so many labelled documents are learned from (chosen by hash), and so many trigrams kept a language.
+#: About so many labelled documents are learned from (chosen by hash), which bounds the model.
 TRAIN_ROWS = 20_000
-MAX_GRAMS = 20_000
-MAX_LANGUAGES = 200
 EFFECTIVE = 60
 SMOOTH = 5.0
 CACHE_WORDS = 300_000
@@ -49,9 +48,10 @@ def grams(word: str) -> list[str]:
 
 
 def learn_text_model(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, dict[str, float]]:
-    """Log probability of each kept trigram for each language; "" is that of an unseen one."""
-    n = max(1, docs.count())
-    sample = docs.where("lang is not null and text is not null").where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / n)) + 1).select("lang", "text")
+    """Log probability of each trigram of the sample for each language; "" is that of an unseen one."""
+    labelled = docs.where("lang is not null and text is not null")
+    n = max(1, labelled.count())
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, rows / n)) + 1).select("lang", "text")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words: dict[str, Counter] = {}
@@ -66,12 +66,13 @@ def learn_text_model(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict[str, dict[
             yield pd.DataFrame({"lang": lang, "gram": list(total), "n": list(total.values())})
 
     counted = stage(sample.mapInPandas(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
-    langs = [r["lang"] for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    seen: dict[str, dict[str, int]] = {}
+    for lang, gram, k in counted.collect():  # as many as the sample has
+        seen.setdefault(lang, {})[gram] = k
     model = {}
-    for lang in sorted(langs):
-        top = counted.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(MAX_GRAMS).collect()
-        total = sum(r["n"] for r in top) + len(top) + 1
-        model[lang] = {r["gram"]: math.log((r["n"] + 1) / total) for r in top} | {"": math.log(1 / total)}
+    for lang in sorted(seen):
+        total = sum(seen[lang].values()) + len(seen[lang]) + 1
+        model[lang] = {gram: math.log((k + 1) / total) for gram, k in sorted(seen[lang].items())} | {"": math.log(1 / total)}
     return model
 
 
