@@ -1,12 +1,12 @@
 """Line dedup by spread over sites: boilerplate lines of many sites are kept once.
 
 Each line is named by two 64-bit hashes. A small HyperLogLog sketch of the sites per line
-merges in the shuffle; lines whose estimate is near the threshold get an exact
-distinct count. A line on at least SITES sites is boilerplate: its first occurrence
+merges in the shuffle. A line in fewer places than SITES can't be on as many sites; one whose estimate is beyond what
+SITES - 1 sites can give is boilerplate for sure; all lines between get an exact distinct count, so that none is lost. A line on at least SITES sites is boilerplate: its first occurrence
 (smallest doc_id, then position) stays, every other one is removed from its text.
 
 Lines of fewer than MIN_WORDS words are never removed; white space at a line's
-ends does not count. Edge cases: null text stays null; a null site is no site; a null doc_id
+ends does not count; long texts and lines count whole. Edge cases: null text stays null; a null site is no site; a null doc_id
 sorts before all others; a repeated row is treated as its twin, so a line's first
 occurrence stays in both; an empty table gives no rows; all columns of the input are kept,
 whatever their names.
@@ -17,13 +17,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, stage, table
+from .common import WHITE_SPACE, hinted, stage, table, unstage
 
 SITES = 6
 MIN_WORDS = 3
-#: Sketches of 16 registers (relative error 0.26); estimates within these factors of SITES are counted exactly.
-RSD = 0.39
-NEAR = (0.3, 3.0)
+#: Relative error that gives sketches of 16 registers.
+RSD, REGISTERS = 0.39, 16
 
 
 def lines_of(docs: DataFrame, site: str, min_words: int) -> DataFrame:
@@ -37,40 +36,48 @@ def lines_of(docs: DataFrame, site: str, min_words: int) -> DataFrame:
     )
 
 
+def sure_from(sites: int) -> float:
+    """Estimates from here on come from at least `sites` sites: fewer leave so many registers empty that they can't reach it."""
+    empty = REGISTERS - (sites - 1)
+    return 0.673 * REGISTERS**2 / empty + 1 if empty > 0 else float("inf")
+
+
 def boilerplate(lines: DataFrame, sites: int) -> DataFrame:
     """h1, h2 and the first occurrence of each line that is on at least `sites` sites."""
     spread = stage(
         lines.groupBy("h1", "h2")
-        .agg(F.approx_count_distinct("site", RSD).alias("about"), F.min(F.struct("doc", "pos")).alias("first"))
-        .where(F.col("about") >= NEAR[0] * sites),
+        .agg(F.approx_count_distinct("site", RSD).alias("about"), F.count("site").alias("places"), F.min(F.struct("doc", "pos")).alias("first"))
+        .where(F.col("places") >= sites),
         "line-spread",
     )
-    near = spread.where(F.col("about") < NEAR[1] * sites)
+    near = spread.where(F.col("about") < sure_from(sites))
     exact = (
         lines.where("site is not null")
-        .join(near.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        .join(hinted(near.select("h1", "h2")), ["h1", "h2"], "left_semi")
         .groupBy("h1", "h2", "site")
         .agg(F.lit(1).alias("one"))
         .groupBy("h1", "h2")
         .agg(F.count("*").alias("n"))
         .where(F.col("n") >= sites)
     )
-    sure = spread.where(F.col("about") >= NEAR[1] * sites)
+    sure = spread.where(F.col("about") >= sure_from(sites))
     return sure.select("h1", "h2", "first").unionAll(near.join(exact, ["h1", "h2"]).select("h1", "h2", "first"))
 
 
 def dedup_lines(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS, site: str = "source", counts: bool = False) -> DataFrame:
     """docs with the repeats of boilerplate lines cut from text; with counts also n_lines and n_removed."""
-    lines = lines_of(docs, site, min_words)
+    lines = stage(lines_of(docs, site, min_words), "line-hashes")
     marked = stage(boilerplate(lines, sites), "line-boilerplate")
     removed = (
         lines.drop("site")
-        .join(marked, ["h1", "h2"])
+        .join(hinted(marked), ["h1", "h2"])
         .where(~F.struct("doc", "pos").eqNullSafe(F.col("first")))
         .groupBy("doc", "twin")
         .agg(F.collect_set("pos").alias("cut_lines"))
     )
-    removed = stage(removed, "line-removed").select(F.coalesce("doc", F.lit(-(2**63))).alias("__doc"), F.col("twin").alias("__twin"), F.col("cut_lines").alias("__cut"))
+    removed = stage(removed, "line-removed")
+    unstage(lines)
+    removed = removed.select(F.coalesce("doc", F.lit(-(2**63))).alias("__doc"), F.col("twin").alias("__twin"), F.col("cut_lines").alias("__cut"))
     keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__twin": F.xxhash64("text")})
     joined = keyed.join(removed, ["__doc", "__twin"], "left").withColumn("__lines", F.split("text", "\n"))
     left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__cut")), lambda i: F.get("__lines", i))
