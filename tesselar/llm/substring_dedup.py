@@ -10,7 +10,7 @@ a wavelet matrix of packed bits); contexts are streamed through it by backward s
 gives their matching statistics, cut at the threshold: one step to the left for each
 window, between steps the interval widens to all suffixes with the same length - 1 words. A window is
 reported if the earliest text position of its interval lies before its own.
-An anchor with more than HOT contexts would fill a shard; its windows are
+An anchor with more than HOT contexts would fill a shard alone; its windows are
 compared by their hashes in a grouped aggregation instead, which is exact too.
 
 Words are runs of characters other than ASCII white space. "Earlier" is a smaller doc_id, or
@@ -20,8 +20,8 @@ Removal works on words: kept words are joined by one blank.
 Edge cases: null and empty texts have no words; texts shorter than the threshold stay
 whole; a null doc_id sorts first; rows that repeat a doc_id and its text count
 as one document and get the same result, rows with the same doc_id and other texts are
-documents ordered by a hash of the text; an empty table gives no rows; all
-columns of the input are kept by dedup_substrings, whatever their names.
+documents ordered by a hash of the text; an empty table gives no rows; of the input's
+columns remove_repeats returns doc_id alone, whatever other names there are.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ from .packing import pieces_of
 LENGTH = 20
 ANCHOR = 8
 #: Contexts of one anchor beyond which its windows are compared by hash, and contexts in a shard.
-HOT = 64
+HOT = 2_000
 SHARD = 20_000
 #: Texts that a task works on at a time have about so many bytes.
 PIECE_CHARS = 2_000_000
@@ -273,7 +273,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     later = seen.join(firsts.select("anchor", "context", "first"), ["anchor", "context"]).where(F.struct("doc", "twin", "start") != F.col("first")).select("doc", "twin", "start", "size")
     several = firsts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
     open_ = firsts.join(several, "anchor").select("first.*", "size", "anchor", (F.col("contexts") > HOT).alias("hot"))
-    by_doc = open_.groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "size", "anchor", "hot")).alias("at"))
+    by_doc = open_.groupBy("doc", "twin").agg(F.collect_set(F.struct("start", "size", "anchor", "hot")).alias("at"))
     cut = texts.join(by_doc, ["doc", "twin"]).select("doc", "text", "twin", "at.start", "at.size", "at.anchor", "at.hot")
     contexts = stage(cut.mapInArrow(_cut_contexts(length), "route long, words binary, doc long, twin long, start int"), "substring-contexts")
     cold, hot = contexts.where("words is not null"), contexts.where("words is null").drop("words")
@@ -308,7 +308,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, kept (the words left, joined by blanks), n_words and n_removed for each row."""
     keyed = with_key(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    marks = find_repeats(keyed, length).groupBy("doc", "twin").agg(F.collect_list(F.struct("start", "size")).alias("at"))
+    marks = find_repeats(keyed, length).groupBy("doc", "twin").agg(F.collect_set(F.struct("start", "size")).alias("at"))
     marked = keyed.join(marks, (F.col("__doc") == F.col("doc")) & (F.col("__twin") == F.col("twin")), "left")
     rows = marked.select(F.col("doc_id").cast("long").alias("row"), "text", "at.start", "at.size").mapInArrow(_remove, "row long, kept string, n_words long, n_removed long")
     return rows.withColumnRenamed("row", "doc_id")
