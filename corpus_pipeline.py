@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import stage, table, words_of
+from tesselar.llm.common import stage, table, unstage, words_of
 from tesselar.llm.decontamination import drop_leaks
 from tesselar.llm.line_dedup import dedup_lines
 from tesselar.llm.ngram_join import near_groups
@@ -22,6 +22,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without repeats of boilerplate lines; null texts stay null, a text may become empty."""
     return dedup_lines(docs)
 
 
@@ -41,10 +42,12 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that hold no test item; null and empty texts stay, repeated rows are judged one by one."""
     return drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences; a null text is packed as an empty one, an empty table gives no rows."""
     return pack(docs)
 
 
@@ -62,6 +65,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+    for k, (name, step) in enumerate(STAGES[:-1]):
+        done = stage(step(spark, docs, sf_dir), name.replace(" ", "-"))
+        if k:
+            unstage(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
