@@ -87,3 +87,78 @@ def portable_hash(key: Column, seed: int) -> Column:
     """0 .. 2^31 - 2, the same in any engine; two rounds make neighbours independent."""
     once = (key + F.lit(seed * 7919)) * F.lit(48271).cast("long") % F.lit(2147483647)
     return (once + F.lit(seed * 7919)) * F.lit(48271).cast("long") % F.lit(2147483647)
+
+
+#: An affine map (a, b, c, d, e, f): x' = a x + b y + c, y' = d x + e y + f.
+Affine = tuple[Column, Column, Column, Column, Column, Column]
+
+
+def affine(values: Column | None) -> Affine:
+    """The six numbers of an array; null is the identity."""
+    one = (1.0, 0.0, 0.0, 0.0, 1.0, 0.0)
+    return tuple(F.lit(v) if values is None else F.coalesce(F.get(values, F.lit(i)).cast("double"), F.lit(v)) for i, v in enumerate(one))
+
+
+def scaling(by: Column) -> Affine:
+    zero = F.lit(0.0)
+    return by, zero, zero, zero, by, zero
+
+
+def translation(dx: Column, dy: Column) -> Affine:
+    zero, one = F.lit(0.0), F.lit(1.0)
+    return one, zero, dx, zero, one, dy
+
+
+def compose(m: Affine, n: Affine) -> Affine:
+    """The map that applies n first, then m."""
+    a, b, c, d, e, f = m
+    p, q, r, s, t, u = n
+    return a * p + b * s, a * q + b * t, a * r + b * u + c, d * p + e * s, d * q + e * t, d * r + e * u + f
+
+
+def invert(m: Affine) -> Affine:
+    """The inverse map; null where there is none."""
+    a, b, c, d, e, f = m
+    det = F.nullif(a * e - b * d, F.lit(0.0))
+    return e / det, -b / det, (b * f - c * e) / det, -d / det, a / det, (c * d - a * f) / det
+
+
+def warp(box_: Box, m: Affine) -> Box:
+    """The axis-aligned box around the four mapped corners."""
+    x1, y1, x2, y2 = box_
+    a, b, c, d, e, f = m
+    xs = [a * x + b * y + c for x in (x1, x2) for y in (y1, y2)]
+    ys = [d * x + e * y + f for x in (x1, x2) for y in (y1, y2)]
+    return F.least(*xs), F.least(*ys), F.greatest(*xs), F.greatest(*ys)
+
+
+def quantize(box_: Box) -> Box:
+    """Whole-number box around a box."""
+    return F.floor(box_[0]), F.floor(box_[1]), F.ceil(box_[2]), F.ceil(box_[3])
+
+
+def padded(box_: Box, pad_y: Column, pad_x: Column) -> Box:
+    return box_[0] - pad_x, box_[1] - pad_y, box_[2] + pad_x, box_[3] + pad_y
+
+
+def coerce_pad(pad: Column, dims: int = 2) -> Column:
+    """Padding before and after each dimension from an array: null is none, one number is for all dimensions,
+    one number a dimension is for both its ends, two numbers a dimension are before and after."""
+    n = F.size(pad)
+    same = lambda i: F.struct(F.get(pad, F.lit(i)).alias("lo"), F.get(pad, F.lit(i)).alias("hi"))
+    zero = F.struct(F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"))
+    each = F.array(*[same(i) for i in range(dims)])
+    both = F.array(*[F.struct(F.get(pad, F.lit(2 * i)).alias("lo"), F.get(pad, F.lit(2 * i + 1)).alias("hi")) for i in range(dims)])
+    wrong = F.raise_error(F.lit("padding does not fit the dimensions")).cast("array<struct<lo:bigint,hi:bigint>>")
+    return F.when(pad.isNull(), F.array(*[zero] * dims)).when(n == 1, F.array(*[same(0)] * dims)).when(n == dims, each).when(n == 2 * dims, both).otherwise(wrong)
+
+
+def fill_value(constant: Column, nodata: Column) -> Column:
+    """Value of pixels outside an image: the given one, else NaN for float data without values, else 0."""
+    return F.coalesce(constant.cast("double"), F.when(nodata.isin("float", "auto"), F.lit(float("nan"))).otherwise(F.lit(0.0)))
+
+
+def resampling(interpolation: Column, antialias: Column) -> tuple[Column, Column]:
+    """(interpolation, antialias) with defaults: linear, and smoothing for all but nearest."""
+    kind = F.when(interpolation.isNull() | (interpolation == "auto"), "linear").otherwise(interpolation)
+    return kind, F.coalesce(antialias, kind != "nearest")

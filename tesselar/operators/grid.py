@@ -31,7 +31,7 @@ def image_grid(data: Dataset, window: tuple[int, int] | None, overlap: float = 0
     of any class that is not negative).
     """
     windows = image_windows(data.images, window, overlap)
-    names = F.broadcast(data.categories.select(F.col("id").alias("category_id"), F.lower("name").alias("name"))) if data.categories is not None else None
+    names = data.categories.select(F.col("id").alias("category_id"), F.lower("name").alias("name")) if data.categories is not None else None
     met = overlaps(windows, data.annots, how="left").join(names, "category_id", "left")
     counts = F.col("name").isin(*map(str.lower, interest)) if interest else ~F.col("name").isin(*negative)
     ignored, size = F.col("name") == "ignore", g.area(g.box())

@@ -8,23 +8,13 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..operators import grid, hierarchy, overlap, sampling
 from ..sources.annotations import PRELUDE, derived
+from .registry import QUERIES, SQL, registered
 
 TREE = hierarchy.Tree((None, 8, 8, 8, 9, 9, 9, None, None, None))
-QUERIES, SQL = {}, {}
 #: Fixed query windows of the overlap queries.
 WINDOWS = ((0, 0, 200, 200), (100, 50, 400, 250), (250, 150, 500, 500))
 
 
-def registered(name: str, sql: str | None = None):
-    def keep(f):
-        QUERIES[name] = f
-        if sql:
-            SQL[name] = sql
-        return f
-
-    return keep
-
-
 def _windows(data) -> DataFrame:
     boxes = F.array(*[F.struct(*[F.lit(float(v)).alias(n) for v, n in zip(w, ("x1", "y1", "x2", "y2"))]) for w in WINDOWS])
     return data.images.select(F.col("id").alias("image_id"), F.inline(boxes))
@@ -256,7 +246,7 @@ def class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catfreq_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived(spark, sf_dir)
     split = F.element_at(F.array(*map(F.lit, ("train", "vali", "test"))), (F.col("image_id") % 3 + 1).cast("int"))
-    named = d.annots.join(F.broadcast(d.categories.select(F.col("id").alias("category_id"), "name")), "category_id")
+    named = d.annots.join(d.categories.select(F.col("id").alias("category_id"), "name"), "category_id")
     wide = named.withColumn("split", split).groupBy("name").pivot("split", ["train", "vali", "test"]).agg(F.count(F.lit(1))).na.fill(0)
     return wide.withColumn("total", F.col("train") + F.col("vali") + F.col("test"))
 
@@ -265,7 +255,7 @@ def catfreq_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_roots_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     cats = derived(spark, sf_dir).categories
     parents = cats.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("has", F.lit(True))
-    return cats.join(F.broadcast(parents), "id", "left").select("id", F.col("parent_id").isNull().alias("is_root"), F.col("has").isNull().alias("is_leaf"))
+    return cats.join(parents, "id", "left").select("id", F.col("parent_id").isNull().alias("is_root"), F.col("has").isNull().alias("is_leaf"))
 
 
 @registered("embed_slice", PRELUDE + """ SELECT id, least(greatest(0, x - 20), 400) AS lo,
@@ -282,3 +272,6 @@ def infer_target_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     eh, ew = g.window_extent(F.col("m"), F.col("w"), F.col("h"))
     (x0, x1), (y0, y1) = g.centred_slice(F.col("x") + F.col("w") / 2, ew), g.centred_slice(F.col("y") + F.col("h") / 2, eh)
     return rows.select("id", "m", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
+
+
+from . import rasters, samples, selection  # noqa: E402,F401  they register their own queries
