@@ -1,0 +1,170 @@
+"""Queries on pixels: every image has a made-up raster of a twentieth of its size, and a coarser third channel."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import grid, rasters
+from ..sources.annotations import PRELUDE, derived
+from .registry import registered
+
+TILE = 16
+#: Channels r and g of the raster's size and b of a third of it, with their numbers.
+CHANNELS = """SELECT id AS gid, channel, c, CAST(CASE WHEN channel = 'b' THEN ceil(height / 60) ELSE height / 20 END AS INT) AS height,
+  CAST(CASE WHEN channel = 'b' THEN ceil(width / 60) ELSE width / 20 END AS INT) AS width, CAST(height / 20 AS INT) AS img_height, CAST(width / 20 AS INT) AS img_width
+  FROM {images}, (VALUES ('r', 0), ('g', 1), ('b', 3)) AS v(channel, c)"""
+PIXELS = PRELUDE + f""",
+ch AS ({CHANNELS.format(images='images')}),
+py AS (SELECT *, unnest(range(height)) AS y FROM ch),
+px AS (SELECT gid, channel, height, width, y, unnest(range(width)) AS x, c FROM py),
+pix AS (SELECT gid, channel, y, x, ((gid * 31 + y * 13 + x * 7 + c * 17) % 256)::DOUBLE AS v FROM px)"""
+DIGEST = "count(*) AS n, sum(v) AS total, sum(v * ((y * 31 + x * 17) % 101)) AS check_sum"
+
+
+def _raster(spark: SparkSession, sf_dir: str):
+    d = derived(spark, sf_dir)
+    channels = spark.sql(CHANNELS, images=d.images)
+    value = lambda y, x: (F.col("gid") * 31 + y * 13 + x * 7 + F.col("c") * 17) % 256
+    return d, channels, rasters.made_tiles(channels, value, TILE)
+
+
+def _digest(lines: DataFrame, *keys: str) -> DataFrame:
+    pixels = lines.select(*keys, "y", F.posexplode("values").alias("at", "v"), *(["x"] if "x" in lines.columns else []))
+    x = F.col("x") + F.col("at") if "x" in lines.columns else F.col("at")
+    return pixels.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * ((F.col("y") * 31 + x * 17) % 101)).alias("check_sum"))
+
+
+def _digest_pixels(pixels: DataFrame, *keys: str) -> DataFrame:
+    return pixels.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * ((F.col("y") * 31 + F.col("x") * 17) % 101)).alias("check_sum"))
+
+
+@registered("region_pixels", PIXELS + f" SELECT gid AS sample_id, channel, {DIGEST} FROM pix WHERE y >= 3 AND y < 12 AND x >= 5 AND x < 22 GROUP BY ALL")
+def region_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, _, tiles = _raster(spark, sf_dir)
+    regions = rasters.whole_images(d.images).withColumns({c: F.lit(v).cast("long") for c, v in (("y0", 3), ("y1", 12), ("x0", 5), ("x1", 22))})
+    return _digest(rasters.region_lines(tiles, regions, TILE), "sample_id", "channel")
+
+
+@registered("image_pixels", PIXELS + f" SELECT gid AS sample_id, {DIGEST} FROM pix WHERE channel = 'g' GROUP BY ALL")
+def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, _, tiles = _raster(spark, sf_dir)
+    regions = rasters.whole_images(d.images).withColumn("channel", F.lit("g"))
+    return _digest(rasters.region_lines(tiles, regions, TILE), "sample_id")
+
+
+@registered("sample_2d_padded", PIXELS + """,
+wd AS (SELECT id AS gid, unnest(range(-3, 12)) AS y, (width / 20)::INT + 4 AS x1 FROM images),
+wx AS (SELECT gid, y, unnest(range(-2, x1)) AS x FROM wd)
+SELECT w.gid AS sample_id, c.channel, count(*) AS n, sum(coalesce(v, -1)) AS total, sum(coalesce(v, -1) * (((w.y + 3) * 31 + (w.x + 2) * 17) % 101)) AS check_sum
+FROM wx w, (VALUES ('r'), ('g')) AS c(channel) LEFT JOIN pix p ON p.gid = w.gid AND p.channel = c.channel AND p.y = w.y AND p.x = w.x GROUP BY ALL""")
+def sample_2d_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, channels, tiles = _raster(spark, sf_dir)
+    regions = d.images.select(F.col("id").alias("sample_id"), F.col("id").alias("gid"), F.lit(-3).cast("long").alias("y0"), F.lit(12).cast("long").alias("y1"), F.lit(-2).cast("long").alias("x0"), (F.col("width") / 20 + 4).cast("long").alias("x1"))
+    wanted = channels.where("channel <> 'b'").select(F.col("gid").alias("sample_id"), "channel")
+    return _digest(rasters.padded_lines(tiles, regions, wanted, -1.0, TILE), "sample_id", "channel")
+
+
+def _whole_grid(channels: DataFrame, scale) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return channels.select(F.col("gid").alias("sample_id"), F.lit(0).alias("rel_frame"), "gid", "channel", zero.alias("y0"), F.col("img_height").cast("long").alias("y1"), zero.alias("x0"), F.col("img_width").cast("long").alias("x1"), F.array(scale, F.lit(0.0), F.lit(0.0), F.lit(0.0), scale, F.lit(0.0)).alias("warp"))
+
+
+@registered("channel_align_nearest", PIXELS + """,
+im AS (SELECT DISTINCT gid, img_height, img_width FROM ch), iy AS (SELECT *, unnest(range(img_height)) AS y FROM im), ix AS (SELECT gid, y, unnest(range(img_width)) AS x FROM iy)
+SELECT i.gid AS sample_id, count(*) AS n, sum(v) AS total, sum(v * ((i.y * 31 + i.x * 17) % 101)) AS check_sum FROM ix i JOIN pix p ON p.gid = i.gid AND p.channel = 'b' AND p.y = floor((i.y + 0.5) / 3) AND p.x = floor((i.x + 0.5) / 3) GROUP BY ALL""")
+def channel_align_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, channels, tiles = _raster(spark, sf_dir)
+    aux = channels.where("channel = 'b'")
+    return _digest_pixels(rasters.aligned_pixels(tiles, _whole_grid(aux, F.lit(1 / 3)), TILE), "sample_id")
+
+
+@registered("fused_region", PIXELS + " SELECT a.gid AS sample_id, count(*) AS n, sum(a.v * b.v) AS total FROM pix a JOIN pix b ON a.gid = b.gid AND a.y = b.y AND a.x = b.x AND a.channel = 'r' AND b.channel = 'g' WHERE a.y < 8 AND a.x < 8 GROUP BY ALL")
+def fused_region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, channels, tiles = _raster(spark, sf_dir)
+    part = _whole_grid(channels.where("channel <> 'b'"), F.lit(1.0)).withColumns({"y1": F.lit(8).cast("long"), "x1": F.lit(8).cast("long")})
+    wide = rasters.fused(rasters.aligned_pixels(tiles, part, TILE), ["r", "g"])
+    return wide.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum(F.col("r") * F.col("g")).alias("total"))
+
+
+@registered("sample_3d_pixels", PIXELS + """,
+fr AS (SELECT id AS gid, video_id AS sample_id, frame_index AS rel_frame, vid_scale AS s FROM images WHERE frame_index < 2),
+wy AS (SELECT *, unnest(range(2, 8)) AS y FROM fr), wx AS (SELECT *, unnest(range(3, 11)) AS x FROM wy)
+SELECT sample_id, rel_frame, count(*) AS n, sum(v) AS total, sum(v * ((w.y * 31 + w.x * 17) % 101)) AS check_sum FROM wx w JOIN pix p ON p.gid = w.gid AND p.channel = 'r' AND p.y = floor((w.y + 0.5) / s) AND p.x = floor((w.x + 0.5) / s) GROUP BY ALL""")
+def sample_3d_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, _, tiles = _raster(spark, sf_dir)
+    back = 1 / F.col("vid_scale")
+    c = lambda v: F.lit(v).cast("long")
+    grids = grid.ordered_frames(d.images).where("place < 2").select(F.col("video_id").alias("sample_id"), F.col("place").alias("rel_frame"), F.col("image_id").alias("gid"), F.lit("r").alias("channel"), c(2).alias("y0"), c(8).alias("y1"), c(3).alias("x0"), c(11).alias("x1"), F.array(back, F.lit(0.0), F.lit(0.0), F.lit(0.0), back, F.lit(0.0)).alias("warp"))
+    return _digest_pixels(rasters.aligned_pixels(tiles, grids, TILE), "sample_id", "rel_frame")
+
+
+@registered("native_jagged", PRELUDE + f", ch AS ({CHANNELS.format(images='images')}) SELECT gid, channel, height, width, round(img_width / width, 6) AS scale FROM ch")
+def native_jagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rasters.native_parts(_raster(spark, sf_dir)[1]).withColumn("scale", F.round("scale", 6))
+
+
+@registered("largest_part", PRELUDE + f", ch AS ({CHANNELS.format(images='images')}) SELECT gid, 'g' AS channel, height, width FROM ch WHERE channel = 'g'")
+def largest_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rasters.largest_part(_raster(spark, sf_dir)[1])
+
+
+def _assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = derived(spark, sf_dir).images
+    own = images.withColumns({"file_name": F.when(F.col("id") % 5 > 0, F.concat(F.lit("img"), F.col("id").cast("string"), F.lit(".png"))), "channels": F.lit("r|g")})
+    three = lambda v: F.array(*[F.lit(x) for x in (v, 0.0, 0.0, 0.0, v, 0.0)])
+    aux = images.where("id % 2 = 0").select(F.col("id").alias("gid"), F.concat(F.lit("aux"), F.col("id").cast("string"), F.lit(".tif")).alias("file_name"), F.lit("b").alias("channels"), F.when(F.col("id") % 4 == 0, three(4.0)).alias("warp_aux_to_img"), F.when(F.col("id") % 4 == 2, three(0.5)).alias("warp_img_to_aux"))
+    return rasters.asset_table(own, aux)
+
+
+ASSETS = PRELUDE + """,
+asst AS (SELECT id AS gid, unnest(['r', 'g']) AS channel, 'img' || id || '.png' AS file_name, 1.0::DOUBLE AS scale FROM images WHERE id % 5 > 0
+  UNION ALL SELECT id, 'b', 'aux' || id || '.tif', CASE WHEN id % 4 = 0 THEN 4.0 ELSE 2.0 END FROM images WHERE id % 2 = 0)"""
+
+
+@registered("asset_table", ASSETS + " SELECT * FROM asst")
+def asset_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _assets(spark, sf_dir).select("gid", "channel", "file_name", F.get("warp", F.lit(0)).alias("scale"))
+
+
+@registered("channel_union", ASSETS + " SELECT video_id AS sample_id, string_agg(DISTINCT channel, '|' ORDER BY channel) AS channels FROM asst JOIN images i ON i.id = gid GROUP BY 1")
+def channel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = derived(spark, sf_dir).images.select(F.col("video_id").alias("sample_id"), F.col("id").alias("gid"))
+    return rasters.channel_union(frames, rasters.wanted_channels(_assets(spark, sf_dir))).withColumn("channels", F.array_join("channels", "|"))
+
+
+@registered("nonzero_check", PIXELS + " SELECT gid, channel, max(v * (gid % 7 <> 0)::INT) > 0 AS has_data FROM pix GROUP BY ALL")
+def nonzero_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tiles = _raster(spark, sf_dir)[2].withColumn("values", F.transform("values", lambda v: F.when(F.col("gid") % 7 == 0, F.lit(0.0)).otherwise(v)))
+    return rasters.empty_channels(tiles)
+
+
+@registered("tile_validation", PRELUDE + f""", ch AS ({CHANNELS.format(images='images')}), ti AS (SELECT gid, channel, ceil(height / 16) * ceil(width / 16) AS n FROM ch)
+SELECT gid, channel, CASE gid % 10 WHEN 0 THEN 1 ELSE 0 END::BIGINT AS missing, CASE gid % 10 WHEN 1 THEN 1 ELSE 0 END::BIGINT AS repeated, CASE gid % 10 WHEN 2 THEN n ELSE 0 END::BIGINT AS misfit FROM ti WHERE gid % 10 < 3""")
+def tile_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, channels, tiles = _raster(spark, sf_dir)
+    first = (F.col("ty") == 0) & (F.col("tx") == 0)
+    broken = tiles.where(~(first & (F.col("gid") % 10 == 0))).unionAll(tiles.where(first & (F.col("gid") % 10 == 1)))
+    broken = broken.withColumn("values", F.when(F.col("gid") % 10 == 2, F.slice("values", 1, 1)).otherwise(F.col("values")))
+    broken = broken.withColumn("values", F.when((F.col("gid") % 10 == 2) & (F.col("th") * F.col("tw") == 1), F.array().cast("array<double>")).otherwise(F.col("values")))
+    return rasters.tile_faults(broken, channels, TILE)
+
+
+@registered("ingest_left", PRELUDE + f", ch AS ({CHANNELS.format(images='images')}) SELECT gid, channel FROM ch WHERE gid % 3 = 0")
+def ingest_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, channels, tiles = _raster(spark, sf_dir)
+    return rasters.not_ingested(channels, tiles.where("gid % 3 <> 0")).select("gid", "channel")
+
+
+@registered("compress_heuristic", PRELUDE + """ SELECT id, CASE id % 4 WHEN 0 THEN 'JPEG' WHEN 1 THEN 'LZW' ELSE CASE WHEN id % 3 = 0 AND id % 5 < 3 THEN 'JPEG' ELSE 'RAW' END END AS codec FROM images""")
+def compress_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = derived(spark, sf_dir).images
+    name = F.concat(F.lit("a.b/img"), F.col("id").cast("string"), F.element_at(F.array(*map(F.lit, (".JPG", ".png", ".tif", ""))), (F.col("id") % 4 + 1).cast("int")))
+    codec = rasters.compression_of(name, F.when(F.col("id") % 3 == 0, "uint8").otherwise("uint16"), F.when(F.col("id") % 5 < 3, 3).otherwise(1))
+    return images.select("id", codec.alias("codec"))
+
+
+@registered("cache_path_hash", PRELUDE + " SELECT id, substr(sha1('images/' || id || '.png'), 1, 2) || '/' || substr(sha1('images/' || id || '.png'), 3) || '.cog.tif' AS path FROM images")
+def cache_path_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit(".png"))
+    return derived(spark, sf_dir).images.select("id", rasters.cache_path(name, ".cog.tif").alias("path"))
