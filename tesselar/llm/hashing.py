@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes that are hashed in one go, which bounds the arrays.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 BYTE_FACTOR, WORD_FACTOR = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 

@@ -47,7 +47,7 @@ MAX_MATCHES, VERIFY_COST = 8, 10.0
 #: Turns of comparing classes with leaders, and leaders of a shingle in all but the first; they only spare candidates, what they leave is met in full.
 TURNS, LEADERS = 2, 4
 #: Texts that a task works on at a time have about so many bytes.
-PIECE_CHARS = 2_000_000
+PIECE_CHARS = 500_000
 FIRST = -(2**63)
 
 
@@ -73,7 +73,7 @@ def _profile(size: int, buckets: int):
     """A row for each text: doc, twin, n, class; at the end of each task its counts by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(buckets, np.int64)
+        counts = np.zeros(buckets, np.uint32)
         names = pa.schema([("doc", pa.int64()), ("twin", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("block", pa.int32()), ("counts", pa.binary()), ("width", pa.int32())])
         for batch in (piece for whole in batches for piece in pieces_of(whole, PIECE_CHARS)):
             sets = shingle_sets(batch.column(1), size)

@@ -38,8 +38,8 @@ TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 16 * 2048
 #: A task holds at most so many tokens of tails, and so many words and characters of its word cache.
 POOL_TOKENS = 2_000_000
-CACHE_WORDS, CACHE_CHARS = 600_000, 20_000_000
-BATCH_ROWS, BATCH_CHARS = 2_000, 8_000_000
+CACHE_WORDS, CACHE_CHARS = 250_000, 8_000_000
+BATCH_ROWS, BATCH_CHARS = 2_000, 3_000_000
 #: Letters whose lower case and normal form are known beforehand, and how the vocabulary writes their bytes.
 PLAIN = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 #: A mark that ends a word is a piece of its own, and is set apart so that fewer words differ.
