@@ -89,7 +89,7 @@ def sample_boxes(resolved: DataFrame) -> DataFrame:
     """resolved with the padded box (sx1, sy1, sx2, sy2) of each sample and the offset (dx, dy) into it."""
     box = g.padded(tuple(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1")), F.col("pad_y"), F.col("pad_x"))
     named = resolved.withColumns({c: v for c, v in zip(("sx1", "sy1", "sx2", "sy2"), box)})
-    return named.withColumns({"dx": -F.col("sx1"), "dy": -F.col("sy1")})
+    return named.withColumns({"dx": F.lit(0.0) - F.col("sx1"), "dy": F.lit(0.0) - F.col("sy1")})
 
 
 def sample_frames(resolved: DataFrame, images: DataFrame) -> DataFrame:
