@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.annotations import Dataset
-from .overlap import boxed, overlaps, union_area
+from .overlap import overlaps, union_area
 
 NEGATIVE = ("ignore", "background")
-KEY = ["image_id", "x1", "y1"]
 
 
 def image_windows(images: DataFrame, window: tuple[int, int] | None, overlap: float = 0.0) -> DataFrame:
@@ -32,28 +31,21 @@ def image_grid(data: Dataset, window: tuple[int, int] | None, overlap: float = 0
     """
     windows = image_windows(data.images, window, overlap)
     names = data.categories.select(F.col("id").alias("category_id"), F.lower("name").alias("name")) if data.categories is not None else None
-    met = overlaps(windows, data.annots, how="left").join(names, "category_id", "left")
     counts = F.col("name").isin(*map(str.lower, interest)) if interest else ~F.col("name").isin(*negative)
     ignored, size = F.col("name") == "ignore", g.area(g.box())
+    met = overlaps(windows, data.annots, how="left", clipped=True).join(names, "category_id", "left")
     grid = met.groupBy("image_id", "x1", "y1", "x2", "y2").agg(
         F.array_sort(F.collect_set("aid")).alias("aids"),
         F.count(F.when(counts & F.col("aid").isNotNull(), 1)).alias("n_counted"),
-        F.count(F.when(ignored, 1)).alias("n_ignored"),
+        F.collect_set(F.when(ignored, F.col("clipped"))).alias("ignored"),
         F.coalesce(F.sum(F.when(ignored, F.col("annot_area"))), F.lit(0.0)).alias("ignored_sum"),
         F.coalesce(F.max(F.when(ignored, F.col("shared"))), F.lit(0.0)).alias("ignored_max"),
     )
     if ignore_over:
-        over = lambda c: F.col(c) / size > ignore_over
+        over = lambda c: c / size > ignore_over
         # Only windows that pass the cheap bound and have several such boxes need the exact union.
-        unsure = grid.where(over("ignored_sum") & ~over("ignored_max") & (F.col("n_ignored") > 1)).select("image_id", "x1", "y1", "x2", "y2")
-        keyed = unsure.withColumn("key", F.struct(*KEY))
-        boxes = boxed(data.annots).join(names, "category_id").where("name = 'ignore'").withColumnRenamed("image_id", "a_image")
-        w, b = g.box(), g.box("a")
-        clipped = keyed.join(boxes, (F.col("image_id") == F.col("a_image")) & g.touches(b, w)).select(
-            "key", *[f(F.col("a" + n), F.col(m)).alias(n) for n, m, f in (("x1", "x1", F.greatest), ("y1", "y1", F.greatest), ("x2", "x2", F.least), ("y2", "y2", F.least))]
-        )
-        unions = union_area(clipped, "key").select("key.*", "union_area")
-        grid = grid.join(unions, KEY, "left").where(~(over("ignored_sum") & (over("ignored_max") | F.coalesce(over("union_area"), F.lit(False)))))
+        whole = F.when(F.size("ignored") > 1, over(union_area(F.col("ignored")))).otherwise(False)
+        grid = grid.where(~F.when(~over(F.col("ignored_sum")), False).when(over(F.col("ignored_max")), True).otherwise(whole))
     return grid.select("image_id", "x1", "y1", "x2", "y2", "aids", "n_counted", (F.col("n_counted") > 0).alias("is_positive"))
 
 

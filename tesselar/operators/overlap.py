@@ -6,7 +6,7 @@ range as residual condition; many annotations on one image are left to AQE's ske
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -19,10 +19,11 @@ def boxed(annots: DataFrame) -> DataFrame:
     )
 
 
-def overlaps(windows: DataFrame, annots: DataFrame, visible: float = 0.0, how: str = "inner") -> DataFrame:
+def overlaps(windows: DataFrame, annots: DataFrame, visible: float = 0.0, how: str = "inner", clipped: bool = False) -> DataFrame:
     """windows (image_id, x1, y1, x2, y2, ...) with aid, category_id, iou, iooa and shared of each annotation that touches.
 
     visible: least share of the annotation that must be inside (strict); 0 asks for contact only.
+    clipped: also the part of the annotation's box inside the window.
     """
     a = boxed(annots).withColumnRenamed("image_id", "a_image")
     w, b = g.box(), g.box("a")
@@ -30,7 +31,9 @@ def overlaps(windows: DataFrame, annots: DataFrame, visible: float = 0.0, how: s
     if visible > 0:
         on = on & (g.iooa(w, b) > visible)
     met = windows.join(a, on, how)
-    return met.select(*windows.columns, "aid", "category_id", g.iou(w, b).alias("iou"), g.iooa(w, b).alias("iooa"), g.shared_area(w, b).alias("shared"), g.area(b).alias("annot_area"))
+    edges = [f(F.col("a" + n), F.col(n)).alias(n) for n, f in (("x1", F.greatest), ("y1", F.greatest), ("x2", F.least), ("y2", F.least))]
+    more = [F.struct(*edges).alias("clipped")] if clipped else []
+    return met.select(*windows.columns, *more, "aid", "category_id", g.iou(w, b).alias("iou"), g.iooa(w, b).alias("iooa"), g.shared_area(w, b).alias("shared"), g.area(b).alias("annot_area"))
 
 
 def annotations_of(images: DataFrame, annots: DataFrame) -> DataFrame:
@@ -38,10 +41,18 @@ def annotations_of(images: DataFrame, annots: DataFrame) -> DataFrame:
     return annots.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi")
 
 
-def union_area(boxes: DataFrame, key: str) -> DataFrame:
-    """Exact area of the union of each key's boxes (x1, y1, x2, y2), by coordinate compression."""
-    edges = lambda lo, hi: boxes.select(key, F.explode(F.array(lo, hi)).alias("e")).distinct()
-    slabs = lambda lo, hi, a, b: edges(lo, hi).select(key, F.col("e").alias(a), F.expr(f"lead(e) OVER (PARTITION BY {key} ORDER BY e)").alias(b)).where(f"{b} is not null")
-    strips = slabs("x1", "x2", "sx", "ex").join(boxes, key).where("x1 <= sx AND x2 >= ex").select(key, "sx", "ex", "y1", "y2").distinct()
-    rows = strips.join(slabs("y1", "y2", "sy", "ey"), key).where("y1 <= sy AND y2 >= ey").select(key, "sx", "ex", "sy", "ey").distinct()
-    return rows.groupBy(key).agg(F.sum((F.col("ex") - F.col("sx")) * (F.col("ey") - F.col("sy"))).alias("union_area"))
+def union_area(boxes: Column) -> Column:
+    """Exact area of the union of an array of boxes (x1, y1, x2, y2): slabs between their x edges, intervals joined along y in each."""
+    edges = F.array_sort(F.array_distinct(F.concat(F.transform(boxes, lambda b: b["x1"]), F.transform(boxes, lambda b: b["x2"]))))
+    start = F.struct(F.lit(0.0).alias("covered"), F.lit(float("-inf")).alias("end"))
+
+    def add(a: Column, b: Column) -> Column:
+        fresh = F.greatest(b["y2"] - F.greatest(b["y1"], a["end"]), F.lit(0.0))
+        return F.struct((a["covered"] + fresh).alias("covered"), F.greatest(a["end"], b["y2"]).alias("end"))
+
+    def slab(lo: Column, hi: Column) -> Column:
+        spans = F.transform(F.filter(boxes, lambda b: (b["x1"] <= lo) & (b["x2"] >= hi)), lambda b: F.struct(b["y1"], b["y2"]))
+        return (hi - lo) * F.aggregate(F.array_sort(spans), start, add, lambda a: a["covered"])
+
+    slabs = F.transform(edges, lambda lo, i: F.when(i + F.lit(1) < F.size(edges), slab(lo, F.get(edges, i + F.lit(1)))).otherwise(0.0))
+    return F.aggregate(slabs, F.lit(0.0), lambda a, x: a + x)

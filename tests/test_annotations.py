@@ -1,5 +1,6 @@
 import json
 import math
+import random
 
 import duckdb
 import pytest
@@ -50,8 +51,15 @@ def test_windows(spark):
 
 
 def test_union_area(spark):
-    boxes = spark.createDataFrame([(1, 0.0, 0.0, 4.0, 4.0), (1, 2.0, 2.0, 6.0, 6.0), (2, 0.0, 0.0, 1.0, 1.0), (2, 5.0, 5.0, 6.0, 7.0)], "k int, x1 double, y1 double, x2 double, y2 double")
-    assert sorted(map(tuple, overlap.union_area(boxes, "k").collect())) == [(1, 28.0), (2, 3.0)]
+    r = random.Random(4)
+    lists = [[(0, 0, 4, 4), (2, 2, 6, 6)], [(0, 0, 1, 1), (5, 5, 6, 7)], [], [(1, 1, 1, 5)]]
+    for _ in range(60):
+        corners = [(r.randrange(9), r.randrange(9)) for _ in range(r.randrange(1, 12))]
+        lists.append([(x, y, x + r.randrange(5), y + r.randrange(5)) for x, y in corners])
+    rows = [(i, [tuple(map(float, b)) for b in boxes]) for i, boxes in enumerate(lists)]
+    df = spark.createDataFrame(rows, "k int, boxes array<struct<x1: double, y1: double, x2: double, y2: double>>")
+    want = [len({(x, y) for a, b, c, d in boxes for x in range(a, c) for y in range(b, d)}) for boxes in lists]
+    assert [row[1] for row in df.select("k", overlap.union_area(F.col("boxes"))).orderBy("k").collect()] == want
 
 
 def test_tree_facts(spark):
