@@ -78,11 +78,28 @@ def sink_log_softmax(energy: Column, tree: Tree) -> list[Column]:
     return [_lse([e[j] for j in tree.leaves_below(i)]) - norm for i in range(len(e))]
 
 
+def softmax(energy: Column, tree: Tree) -> list[Column]:
+    """Probability of each class: that among its siblings times that of its parent."""
+    return [F.exp(x) for x in source_log_softmax(energy, tree)]
+
+
 def nll(logp: list[Column], target: Column) -> Column:
     """Loss of one row; null for a target that is no class."""
     return -F.get(F.array(*logp), target)
 
 
+def cross_entropy(energy: Column, target: Column, tree: Tree) -> Column:
+    """Loss of one row, from energies; coarse targets ignore what lies below them."""
+    return nll(source_log_softmax(energy, tree), target)
+
+
+def reduced(loss: Column, reduction: str = "mean") -> Column:
+    """The loss over all rows as "mean" or "sum" (aggregates), or of each row as "none"."""
+    if reduction not in ("mean", "sum", "none"):
+        raise ValueError(f"unknown reduction {reduction!r}")
+    return {"mean": F.avg, "sum": F.sum, "none": lambda x: x}[reduction](loss)
+
+
 def gini(p: list[Column]) -> Column:
     return F.lit(1.0) - sum((x * x for x in p[1:]), p[0] * p[0])
 
@@ -118,8 +135,15 @@ def prob_decision(p: list[Column], tree: Tree, thresh: float = 0.1) -> Column:
     return walk(tree.roots)
 
 
-def decision(p: list[Column], tree: Tree, thresh: float = 0.5, criterion: Callable = gini, ignore: frozenset[int] = frozenset(), always: frozenset[int] = frozenset()) -> Column:
-    """struct(node, conf): refine a class where its children say much more than an even split would."""
+def decision(p: list[Column], tree: Tree, thresh: float = 0.5, criterion: Callable | str = gini, ignore: frozenset[int] = frozenset(), always: frozenset[int] = frozenset()) -> Column:
+    """struct(node, conf): refine a class where its children say much more than an even split would.
+
+    criterion: gini, entropy, their names, or "prob", which is prob_decision. Ignored classes are treated as
+    absent; classes of `always` are refined whatever the gain is.
+    """
+    if criterion == "prob":
+        return prob_decision(p, tree, thresh)
+    criterion = {"gini": gini, "entropy": entropy}[criterion] if isinstance(criterion, str) else criterion
     if not set(tree.roots) - ignore:
         raise ValueError("all roots are ignored")
 

@@ -56,3 +56,19 @@ def union_area(boxes: Column) -> Column:
 
     slabs = F.transform(edges, lambda lo, i: F.when(i + F.lit(1) < F.size(edges), slab(lo, F.get(edges, i + F.lit(1)))).otherwise(0.0))
     return F.aggregate(slabs, F.lit(0.0), lambda a, x: a + x)
+
+
+def uncovered_area(images: DataFrame, annots: DataFrame, cell: int = 256) -> DataFrame:
+    """id, covered and uncovered (areas) of each image; unions are taken in cells, so that a crowded image is spread over tasks."""
+    size = images.select(F.col("id").alias("image_id"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
+    b = boxed(annots).join(size, "image_id")
+    x1, y1, x2, y2 = (F.greatest("ax1", F.lit(0.0)), F.greatest("ay1", F.lit(0.0)), F.least("ax2", "width"), F.least("ay2", "height"))
+    inside = b.select("image_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).where("x1 < x2 AND y1 < y2").distinct()
+    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.ceil(F.col(hi) / cell) - 1)
+    cut = inside.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
+    part = lambda f, name, at: f(F.col(name), (F.col(at) * cell).cast("double")).alias(name)
+    cut = cut.withColumns({"ex": F.col("cx") + 1, "ey": F.col("cy") + 1})
+    box = F.struct(part(F.greatest, "x1", "cx"), part(F.greatest, "y1", "cy"), part(F.least, "x2", "ex"), part(F.least, "y2", "ey"))
+    unions = cut.groupBy("image_id", "cx", "cy").agg(union_area(F.collect_set(box)).alias("area")).groupBy("image_id").agg(F.sum("area").alias("covered"))
+    covered = F.coalesce("covered", F.lit(0.0))
+    return size.join(unions, "image_id", "left").select(F.col("image_id").alias("id"), covered.alias("covered"), (F.col("width") * F.col("height") - covered).alias("uncovered"))
