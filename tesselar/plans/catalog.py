@@ -50,10 +50,10 @@ def neg_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.negative_anchors(sampling.targets(derived(spark, sf_dir)))
 
 
-@registered("load_annotations", PRELUDE + " SELECT image_id, id, category_id, x, y, w, h FROM annots WHERE image_id IN (SELECT id FROM images WHERE frame_index = 0)")
+@registered("load_annotations", PRELUDE + " SELECT image_id, id, category_id, x, y, w, h FROM annots WHERE image_id IN (SELECT id FROM images)")
 def load_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived(spark, sf_dir)
-    return overlap.annotations_of(d.images.where("frame_index = 0"), d.annots).select("image_id", "id", "category_id", "x", "y", "w", "h")
+    return overlap.annotations_of(d.images, d.annots).select("image_id", "id", "category_id", "x", "y", "w", "h")
 
 
 @registered("overlap_join", PRELUDE + WINDOW_SQL + BOXES_SQL + f" SELECT w.image_id, x1, y1, x2, y2, aid FROM win w JOIN b ON {MET}")
