@@ -26,6 +26,12 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened where df has a column of that name already."""
+    have = {c.lower() for c in df.columns}
+    return [name + "_" * next(n for n in range(len(have) + 1) if name.lower() + "_" * n not in have) for name in names]
+
+
 def staging_dir(spark: SparkSession) -> str:
     """The shared folder for staged tables: spark.checkpoint.dir of the session.
 

@@ -2,14 +2,15 @@
 
 A small tree builder applies the implied-tag rules of HTML (paragraphs, list
 items, table parts, void and raw-text elements); visibility rules drop what a browser
-does not show (head matter, scripts, the hidden attribute, display:none and
-visibility:hidden from style attributes and from simple style-sheet selectors). The rest
+does not show: head matter, scripts, the hidden attribute, closed details and dialogs, and what display and
+visibility say, cascaded from style attributes and from style sheets for all screens (selectors of tags, ids, classes
+and attributes below one another). A visible element in an invisible one is shown. The rest
 is laid out as text: blocks on lines of their own, blank lines around paragraphs,
-bullets and numbers for lists, table cells aligned by column, pre kept as it is.
+bullets and numbers for lists, table cells aligned by column, with spans, pre kept as it is.
 
 Edge cases: null html gives null text, empty html an empty text; long pages are rendered whole; an empty table gives no rows; broken markup
 never fails (stray end tags are ignored, open elements are closed at the end);
-elements nested deeper than MAX_DEPTH are laid out at that depth; repeated rows are
+elements nested deeper than MAX_DEPTH are laid out at that depth, and a hidden one hides all it holds; repeated rows are
 rendered one by one; extra columns are ignored.
 """
 
@@ -60,15 +61,17 @@ CSS_MARK = re.compile(r"[{};]")
 #: Conditions of @media that hold on every screen.
 SCREEN = re.compile(r"@media\s+(?:only\s+)?(?:all|screen)\s*", re.I)
 SHOWING = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: Parts of selectors that are understood.
+COMPOUND = re.compile(r"(?:\*|[\w-]+)?(?:[.#][\w-]+|\[[^\]]*\])*")
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "parent", "looks")
 
-    def __init__(self, tag: str, attributes: dict[str, str]):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: dict[str, str], parent: Node | None = None):
+        self.tag, self.attributes, self.children, self.parent = tag, attributes, [], parent
+        self.looks: tuple[bool, bool | None] | None = None  # displayed, and visible where it says so itself
 
 
 def attributes_of(source: str) -> dict[str, str]:
@@ -78,27 +81,49 @@ def attributes_of(source: str) -> dict[str, str]:
     return found
 
 
-def build(source: str, hidden: set[str] | frozenset = frozenset()) -> tuple[Node, list[str], bool]:
-    """The tree of a page, its style sheets, and whether it is deeper than MAX_DEPTH; there hidden elements still hold what is in them."""
+class Open:
+    """The open elements: tag, the node that gets their content, and whether text in them is lost; the nearest of a tag is found at once."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node, bool]] = []
+        self.places: dict[str, list[int]] = {}
+        self.push("html", root, False)
+
+    def push(self, tag: str, node: Node, mute: bool) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, node, mute))
+
+    def pop(self, down_to: int) -> None:
+        while len(self.stack) > down_to:
+            self.places[self.stack.pop()[0]].pop()
+
+    def nearest(self, tags: set | frozenset) -> int:
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=0)
+
+    def close_to(self, wanted: set | frozenset, bounds: set | frozenset) -> bool:
+        at = self.nearest(wanted)
+        if at == 0 or at < self.nearest(bounds):
+            return False
+        self.pop(at)
+        return True
+
+
+def build(source: str, sheet: Sheet) -> tuple[Node, list[str], bool]:
+    """The tree of a page, its style sheets, and whether it is deeper than MAX_DEPTH.
+
+    An element past that depth is an empty child of the last one above it, and what it holds follows; unless it is hidden, then that is left out.
+    """
     root = Node("html", {})
-    stack, styles, at, deep = [root], [], 0, False
-    cover: tuple[int, Node] | None = None  # the outermost hidden element past MAX_DEPTH
-
-    def close_to(wanted: set | frozenset, bounds: set | frozenset) -> bool:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in wanted:
-                del stack[i:]
-                return True
-            if stack[i].tag in bounds:
-                return False
-        return False
+    open_, styles, at, deep = Open(root), [], 0, False
+    stack = open_.stack
 
     def text(start: int, end: int) -> None:
         if end > start:
             value = source[start:end]
-            if stack[-1].tag == "head" and value.strip():
-                stack.pop()
-            stack[-1].children.append(html.unescape(value) if "&" in value else value)
+            if stack[-1][0] == "head" and value.strip():
+                open_.pop(len(stack) - 1)
+            if not stack[-1][2]:
+                stack[-1][1].children.append(html.unescape(value) if "&" in value else value)
 
     while found := TOKEN.search(source, at):
         text(at, found.start())
@@ -107,51 +132,56 @@ def build(source: str, hidden: set[str] | frozenset = frozenset()) -> tuple[Node
             continue
         tag = name.lower()
         if found[1]:
-            if tag == "p" and not any(n.tag == "p" for n in stack):
-                stack[-1].children.append(Node("p", {}))
+            if tag == "p" and not open_.places.get("p"):
+                stack[-1][1].children.append(Node("p", {}, stack[-1][1]))
             elif tag not in VOID and tag not in ("html", "body"):
-                close_to({tag}, SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset(["html"] + ["table"] * (tag != "table")))
+                open_.close_to({tag}, SCOPE - {tag} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset(["html"] + ["table"] * (tag != "table")))
             continue
         if tag == "html":
             root.attributes |= {k: v for k, v in attributes_of(found[3]).items() if k not in root.attributes}
             continue
-        if stack[-1].tag == "head" and tag not in HEAD_ONLY:
-            stack.pop()
+        if stack[-1][0] == "head" and tag not in HEAD_ONLY:
+            open_.pop(len(stack) - 1)
         if tag in CLOSES_P:
-            close_to({"p"}, SCOPE)
+            open_.close_to({"p"}, SCOPE)
         if tag in IMPLIED:
             wanted, bounds = IMPLIED[tag]
-            while close_to(wanted, bounds):
+            while open_.close_to(wanted, bounds):
                 pass
-        if tag in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot") and len(stack) < MAX_DEPTH:
-            row = Node("tr", {})
-            stack[-1].children.append(row)
-            stack.append(row)
-        node = Node(tag, attributes_of(found[3]))
-        stack[-1].children.append(node)
+        if tag in ("td", "th") and stack[-1][0] in ("table", "tbody", "thead", "tfoot") and len(stack) < MAX_DEPTH:
+            row = Node("tr", {}, stack[-1][1])
+            row.parent.children.append(row)
+            open_.push("tr", row, stack[-1][2])
+        node = Node(tag, attributes_of(found[3]), stack[-1][1])
+        node.parent.children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             raw = source[at : end.start() if end else len(source)]
             at = end.end() if end else len(source)
             if tag == "style":
-                styles.append(raw)
+                if on_screen(node.attributes.get("media", "")):
+                    styles.append(raw)
             elif tag in ("title", "textarea"):
                 node.children.append(html.unescape(raw))
             else:
                 node.children.append(raw)
         elif tag not in VOID and not found[3].endswith("/"):
-            if cover and not (len(stack) > cover[0] and stack[cover[0]] is cover[1]):
-                cover = None
-            if len(stack) >= MAX_DEPTH and not cover:
-                deep = True
-                if visible(node, hidden):
-                    continue
-                cover = len(stack), node
-            stack.append(node)
+            mute = stack[-1][2]
+            if len(stack) < MAX_DEPTH:
+                open_.push(tag, node, mute)
+                continue
+            deep = True
+            displayed, visible = sheet.looks(node)
+            open_.push(tag, node.parent, mute or not displayed or visible is False)
     text(at, len(source))
     return root, styles, deep
 
 
+def on_screen(media: str) -> bool:
+    """Whether a list of media conditions holds on every screen."""
+    return not media.strip() or any(SCREEN.fullmatch(f"@media {m.strip()}") for m in media.split(","))
+
+
 def rules_of(sheet: str) -> Iterator[tuple[str, str]]:
     """Selectors and declarations of the rules that hold on every screen; those in other at-rules are left out."""
     outer: list[tuple[str, int]] = []  # open blocks, and where they begin
@@ -162,30 +192,79 @@ def rules_of(sheet: str) -> Iterator[tuple[str, str]]:
             outer.append((before.strip(), found.end()))
         elif found[0] == "}" and outer:
             head, start = outer.pop()
-            if not head.startswith("@") and all(any(SCREEN.fullmatch(m.strip() if i == 0 else "@media " + m.strip()) for i, m in enumerate(h.split(","))) for h, _ in outer):
+            if not head.startswith("@") and all(h.lower().startswith("@media") and on_screen(h[6:]) for h, _ in outer):
                 yield head, sheet[start : found.start()]
 
 
-def hidden_selectors(styles: list[str]) -> set[str]:
-    """Simple selectors (tag, .class, #id) that style sheets hide and that no later rule of theirs shows again."""
-    last: dict[tuple[str, str], tuple[bool, bool]] = {}
-    for sheet in styles:
-        for selectors, body in rules_of(sheet):
-            for name, value, forced in SHOWING.findall(body):
-                for s in selectors.split(","):
-                    key = s.strip(), name.lower()
-                    if re.fullmatch(r"[.#]?[\w-]+", key[0]) and (forced or not last.get(key, (False, False))[1]):
-                        last[key] = bool(HIDING.fullmatch(f"{name}:{value}")), bool(forced)
-    return {s for (s, _), (hides, _) in last.items() if hides}
-
-
-def visible(node: Node, hidden: set[str]) -> bool:
-    a = node.attributes
-    if node.tag in NEVER_SHOWN or "hidden" in a or (node.tag == "dialog" and "open" not in a):
-        return False
-    if "style" in a and HIDING.search(a["style"]):
-        return False
-    return not hidden or not (node.tag in hidden or f"#{a.get('id')}" in hidden or any(f".{c}" in hidden for c in a.get("class", "").split()))
+class Compound:
+    """One part of a selector: a tag, ids, classes and attributes that an element must have."""
+
+    def __init__(self, source: str):
+        self.tag = re.match(r"[\w-]*", source)[0].lower()
+        self.ids, self.classes = re.findall(r"#([\w-]+)", source), re.findall(r"\.([\w-]+)", re.sub(r"\[[^]]*\]", "", source))
+        self.attributes = [(n.lower(), (a or b or c) if eq else None) for n, eq, a, b, c in re.findall(r"\[\s*([\w-]+)\s*(=)?\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]*))\s*\]", source)]
+        self.weight = len(self.ids), len(self.classes) + len(self.attributes), int(bool(self.tag))
+        self.key = "#" + self.ids[0] if self.ids else "." + self.classes[0] if self.classes else self.tag or "*"
+
+    def fits(self, node: Node) -> bool:
+        a = node.attributes
+        return (
+            self.tag in ("", node.tag)
+            and all(a.get("id") == i for i in self.ids)
+            and (not self.classes or set(self.classes) <= set(a.get("class", "").split()))
+            and all(n in a and v in (None, a[n]) for n, v in self.attributes)
+        )
+
+
+class Sheet:
+    """What style sheets say on display and visibility. Selectors are compounds with descendant and child combinators; others are left out."""
+
+    def __init__(self, styles: list[str]):
+        self.rules: dict[str, list] = {}
+        n = 0
+        for source in styles:
+            for selectors, body in rules_of(source):
+                for name, value, forced in SHOWING.findall(body) if selectors else ():
+                    for selector in selectors.split(","):
+                        n += 1
+                        parts = re.findall(r">|[^\s>]+", selector)
+                        if parts and ">" not in (parts[0], parts[-1]) and all(p == ">" or COMPOUND.fullmatch(p) for p in parts):
+                            chain = [(">" if i and parts[i - 1] == ">" else " ", Compound(p)) for i, p in enumerate(parts) if p != ">"]
+                            weight = tuple(map(sum, zip(*(c.weight for _, c in chain))))
+                            self.rules.setdefault(chain[-1][1].key, []).append((chain, (bool(forced), False, weight, n), name.lower(), value.lower()))
+
+    def fits(self, node: Node, chain: list) -> bool:
+        if not chain[-1][1].fits(node):
+            return False
+        found = [node]
+        for (how, _), (_, part) in zip(chain[:0:-1], chain[-2::-1]):
+            if how == ">":
+                up = [n.parent for n in found if n.parent]
+            else:  # the lowest element that fits has the most ancestors
+                up, n = [], found[0].parent
+                while n:
+                    up.append(n)
+                    n = n.parent
+            found = [n for n in up if part.fits(n)]
+            if not found:
+                return False
+        return True
+
+    def looks(self, node: Node) -> tuple[bool, bool | None]:
+        """Whether an element is displayed, and whether it is visible if it says so itself."""
+        if node.looks is None:
+            a, best = node.attributes, {}
+            keys = ["*", node.tag, f"#{a.get('id')}", *(f".{c}" for c in set(a.get("class", "").split()))] if self.rules else []
+            said = [(rank, name, value) for k in keys for chain, rank, name, value in self.rules.get(k, ()) if self.fits(node, chain)]
+            if "style" in a:
+                said += [((bool(forced), True, (), i), name.lower(), value.lower()) for i, (name, value, forced) in enumerate(SHOWING.findall(a["style"]))]
+            for rank, name, value in said:
+                if value not in ("inherit", "unset", "revert") and (name not in best or best[name][0] < rank):
+                    best[name] = rank, value
+            away = "hidden" in a or (node.tag == "dialog" and "open" not in a)
+            displayed = best["display"][1] != "none" if "display" in best else not away
+            node.looks = displayed and node.tag not in NEVER_SHOWN, best["visibility"][1] == "visible" if "visibility" in best else None
+        return node.looks
 
 
 class Layout:
@@ -217,135 +296,174 @@ class Layout:
         self.lines += [line.rstrip() for line in lines]
 
 
-def render(node: Node, hidden: set[str], out: Layout) -> None:
+def shown_children(node: Node, sheet: Sheet, shown: bool) -> Iterator[tuple[Node | str, bool]]:
+    """Children that are displayed, and whether they are visible; of closed details only the summary."""
+    closed, summary = node.tag == "details" and "open" not in node.attributes, False
     for child in node.children:
         if isinstance(child, str):
-            out.add(child)
+            if not closed:
+                yield child, shown
+            continue
+        if closed and (child.tag != "summary" or summary):
+            continue
+        summary |= child.tag == "summary"
+        displayed, visible = sheet.looks(child)
+        if displayed:
+            yield child, shown if visible is None else visible
+
+
+def render(node: Node, sheet: Sheet, out: Layout, shown: bool = True) -> None:
+    for child, seen in shown_children(node, sheet, shown):
+        if isinstance(child, str):
+            if seen:
+                out.add(child)
             continue
         tag = child.tag
         if tag == "br":
             if out.inline:
                 out.inline[-1] = out.inline[-1].rstrip(" ")
                 out.inline.append("\n")
-            continue
-        if not visible(child, hidden):
-            continue
-        if tag in ("option", "optgroup", "select", "textarea"):
+        elif tag in ("option", "optgroup", "select", "textarea"):
             out.add(" ")
-            out.add(child.attributes.get("label", "") + " " if tag == "optgroup" else "")
-            render(child, hidden, out)
+            if seen and tag == "optgroup":
+                out.add(child.attributes.get("label", "") + " ")
+            render(child, sheet, out, seen)
             out.add(" ")
         elif tag == "img":
-            out.add(child.attributes.get("alt", ""))
+            if seen:
+                out.add(child.attributes.get("alt", ""))
         elif tag not in BLOCK:
-            render(child, hidden, out)
+            render(child, sheet, out, seen)
             if tag in ("td", "th"):
                 out.add(" ")
         else:
             blank = tag in PARAGRAPH
             out.end_line(blank)
             if tag in ("ul", "ol", "menu", "dir"):
-                render_list(child, hidden, out)
+                render_list(child, sheet, out, seen)
             elif tag == "table":
-                render_table(child, hidden, out)
+                render_table(child, sheet, out, seen)
             elif tag == "pre":
-                lines = "".join(strings(child, hidden)).split("\n")
+                lines = "".join(strings(child, sheet, seen)).split("\n")
                 lines = lines[not lines[0] : len(lines) - (len(lines) > 1 and not lines[-1])]
                 if any(line.strip() for line in lines):
                     out.put(lines)
             elif tag in ("dd", "blockquote"):
-                put_indented(child, hidden, out, "  ", "  ")
+                put_indented(child, sheet, out, seen, "  ", "  ")
             elif tag == "hr":
-                out.put(["---"])
+                if seen:
+                    out.put(["---"])
             else:
-                render(child, hidden, out)
+                render(child, sheet, out, seen)
             out.end_line(blank)
 
 
-def strings(node: Node, hidden: set[str]) -> Iterator[str]:
-    for child in node.children:
+def strings(node: Node, sheet: Sheet, shown: bool) -> Iterator[str]:
+    for child, seen in shown_children(node, sheet, shown):
         if isinstance(child, str):
-            yield child
+            if seen:
+                yield child
         elif child.tag == "br":
             yield "\n"
-        elif visible(child, hidden):
-            yield from strings(child, hidden)
+        else:
+            yield from strings(child, sheet, seen)
 
 
-def put_indented(node: Node, hidden: set[str], out: Layout, first: str, rest: str) -> None:
+def put_indented(node: Node, sheet: Sheet, out: Layout, shown: bool, first: str, rest: str) -> None:
     inner = Layout()
-    render(node, hidden, inner)
+    render(node, sheet, inner, shown)
     inner.end_line()
     if inner.lines:
         out.put([(rest if i else first) + line if line else "" for i, line in enumerate(inner.lines)])
 
 
-def render_list(node: Node, hidden: set[str], out: Layout) -> None:
-    start = node.attributes.get("start", "")
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-    for child in node.children:
+def number_of(source: str) -> int | None:
+    return int(source) if re.fullmatch(r"\s*-?\d{1,9}\s*", source) else None
+
+
+def render_list(node: Node, sheet: Sheet, out: Layout, shown: bool) -> None:
+    start = number_of(node.attributes.get("start", ""))
+    number = 1 if start is None else start
+    for child, seen in shown_children(node, sheet, shown):
         if isinstance(child, str):
-            out.add(child)
-        elif visible(child, hidden):
-            out.end_line()
-            if child.tag == "li":
-                mark = f"{number}. " if node.tag == "ol" else "- "
-                number += 1
-                put_indented(child, hidden, out, mark, " " * len(mark))
-            else:
-                put_indented(child, hidden, out, "  ", "  ")
+            if seen:
+                out.add(child)
+            continue
+        out.end_line()
+        if child.tag == "li":
+            own = number_of(child.attributes.get("value", ""))
+            number = number if own is None else own
+            mark = f"{number}. " if node.tag == "ol" else "- "
+            number += 1
+            put_indented(child, sheet, out, seen, mark if seen else "", " " * len(mark))
+        else:
+            put_indented(child, sheet, out, seen, "  ", "  ")
     out.end_line()
 
 
-def rows_of(node: Node, hidden: set[str]) -> Iterator[Node]:
-    for child in node.children:
-        if not isinstance(child, str) and visible(child, hidden):
+def rows_of(node: Node, sheet: Sheet, shown: bool) -> Iterator[tuple[Node, bool]]:
+    for child, seen in shown_children(node, sheet, shown):
+        if not isinstance(child, str):
             if child.tag == "tr":
-                yield child
+                yield child, seen
             elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from rows_of(child, hidden)
+                yield from rows_of(child, sheet, seen)
 
 
-def strays(node: Node, hidden: set[str]) -> Iterator[Node | str]:
+def strays(node: Node, sheet: Sheet, shown: bool) -> Iterator[Node | str]:
     """What stands in a table outside its cells."""
-    for child in node.children:
+    for child, seen in shown_children(node, sheet, shown):
         if isinstance(child, str):
-            if child.strip() and node.tag not in ("colgroup", "col"):
+            if seen and child.strip() and node.tag not in ("colgroup", "col"):
                 yield child
         elif child.tag in ("thead", "tbody", "tfoot", "tr"):
-            if visible(child, hidden):
-                yield from strays(child, hidden)
+            yield from strays(child, sheet, seen)
         elif child.tag not in ("colgroup", "col") and not (node.tag == "tr" and child.tag in ("td", "th")):
             yield child
 
 
-def span_of(source: str) -> int:
-    """Columns that a cell spans; as in browsers 1000 at most."""
-    digits = re.match(r"\s*0*(\d{0,5})", source)[1]
-    return max(1, min(int(digits or 1), 1000))
+def span_of(source: str, most: int = 1000) -> int:
+    """Columns or rows that a cell spans; as in browsers 1000 columns and 65534 rows at most, and 0 rows (to the end) for "0"."""
+    digits = re.match(r"\s*0*(\d{0,6})", source)[1]
+    return max(1, min(int(digits or 1), most))
+
+
+def grid_of(node: Node, sheet: Sheet, shown: bool) -> list[list[list[str]]]:
+    """Lines of each cell by row and column; where a cell spans more, the places are empty."""
+    grid, taken = [], {}  # taken: rows that a cell from above still covers, by column
+    for row, seen in rows_of(node, sheet, shown):
+        cells: list[list[str]] = []
+        covered = {c for c, left in taken.items() if left > 0}
+        for cell, visible in shown_children(row, sheet, seen):
+            if isinstance(cell, str) or cell.tag not in ("td", "th"):
+                continue
+            while len(cells) in covered:
+                cells.append([])
+            inner = Layout()
+            render(cell, sheet, inner, visible)
+            inner.end_line()
+            down, wide = span_of(cell.attributes.get("rowspan", ""), 65534), span_of(cell.attributes.get("colspan", ""))
+            if down > 1:
+                taken |= {c: down for c in range(len(cells), len(cells) + wide)}
+            cells.append([line for line in inner.lines if line])
+            cells += [[]] * (wide - 1)
+        taken = {c: left - 1 for c, left in taken.items() if left > 1}
+        grid.append(cells)
+    return grid
 
 
-def render_table(node: Node, hidden: set[str], out: Layout) -> None:
+def render_table(node: Node, sheet: Sheet, out: Layout, shown: bool) -> None:
     """Caption and stray content as blocks, then the cells in columns, two blanks apart; without columns where padding would swell the text."""
     loose = Node("div", {})
-    loose.children = list(strays(node, hidden))
-    render(loose, hidden, out)
+    loose.children = list(strays(node, sheet, shown))
+    render(loose, sheet, out, shown)
     out.end_line()
-    grid = []
-    for row in rows_of(node, hidden):
-        cells = []
-        for cell in row.children:
-            if not isinstance(cell, str) and cell.tag in ("td", "th") and visible(cell, hidden):
-                inner = Layout()
-                render(cell, hidden, inner)
-                inner.end_line()
-                cells.append([line for line in inner.lines if line])
-                cells += [[]] * (span_of(cell.attributes.get("colspan", "")) - 1)
-        grid.append(cells)
+    grid = grid_of(node, sheet, shown)
     width = [0] * max(map(len, grid), default=0)
     for cells in grid:
         for i, lines in enumerate(cells):
-            width[i] = max([width[i], *map(len, lines)])
+            if lines:
+                width[i] = max(width[i], *map(len, lines))
     tall = sum(max(map(len, cells), default=0) for cells in grid)
     text = sum(len(line) for cells in grid for lines in cells for line in lines)
     aligned = tall * sum(w + 2 for w in width) <= MOST_PADDING * (text + 1000)
@@ -362,12 +480,14 @@ def render_table(node: Node, hidden: set[str], out: Layout) -> None:
 
 def text_of(source: str) -> str:
     """All visible text of a page, laid out."""
-    root, styles, deep = build(source)
-    hidden = hidden_selectors(styles)
-    if deep and hidden:
-        root = build(source, hidden)[0]
+    root, styles, deep = build(source, Sheet([]))
+    sheet = Sheet(styles)
+    if deep and sheet.rules:
+        root = build(source, sheet)[0]
+    elif deep:
+        sheet = Sheet([])
     out = Layout()
-    render(root, hidden, out)
+    render(root, sheet, out)
     out.end_line()
     return "\n".join(out.lines)
 

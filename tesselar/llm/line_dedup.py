@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE_SPACE, hinted, stage, table, unstage
+from .common import WHITE_SPACE, hinted, stage, table, unstage, unused
 
 SITES = 6
 MIN_WORDS = 3
@@ -77,14 +77,15 @@ def dedup_lines(docs: DataFrame, sites: int = SITES, min_words: int = MIN_WORDS,
     )
     removed = stage(removed, "line-removed")
     unstage(lines)
-    removed = removed.select(F.coalesce("doc", F.lit(-(2**63))).alias("__doc"), F.col("twin").alias("__twin"), F.col("cut_lines").alias("__cut"))
-    keyed = docs.withColumns({"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__twin": F.xxhash64("text")})
-    joined = keyed.join(removed, ["__doc", "__twin"], "left").withColumn("__lines", F.split("text", "\n"))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__cut")), lambda i: F.get("__lines", i))
-    text = F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    doc, twin, cut, split = unused(docs, "__doc", "__twin", "__cut", "__lines")
+    removed = removed.select(F.coalesce("doc", F.lit(-(2**63))).alias(doc), F.col("twin").alias(twin), F.col("cut_lines").alias(cut))
+    keyed = docs.withColumns({doc: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), twin: F.xxhash64("text")})
+    joined = keyed.join(removed, [doc, twin], "left").withColumn(split, F.split("text", "\n"))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(cut)), lambda i: F.get(split, i))
+    text = F.when(F.col(cut).isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     out = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
     if counts:
-        out += [F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines")).cast("long").alias("n_lines"), F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("n_removed")]
+        out += [F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"), F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_removed")]
     return joined.select(*out)
 
 

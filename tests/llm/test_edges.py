@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselar.llm import decontamination, html_text, language_id, line_dedup, ngram_join, packing, quality_rules, substring_dedup, toxicity, url_filters
 
-CLASH = ["doc", "twin", "anchor", "context", "token", "class", "block", "n", "t", "words", "site", "line", "row", "host"]
+CLASH = ["doc", "twin", "anchor", "context", "token", "class", "block", "n", "t", "words", "site", "line", "row", "host", "__doc", "__twin", "__Cut", "__lines", "__stratum", "__doc_"]
 PROSE = " ".join(f"word{i % 97} other{i}" for i in range(60))
 LONG = " ".join(f"w{i * 7919 % 5003}" for i in range(40_000))
 DOCS = [
@@ -36,7 +36,7 @@ def operators(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 0, 1), (None, 1, 1), (6, None, None)], LABELS)
     items = spark.createDataFrame([(1, " ".join(PROSE.split()[:30])), (None, "x"), (2, None), (3, "")], "item_id long, text string")
     rules = spark.createDataFrame(url_filters.RULES, "host string, path string, action string")
-    pages = lambda d: d.select("doc_id", *CLASH[:-1], F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
+    pages = lambda d: d.select("doc_id", *CLASH, F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
     return {
         "decontamination": lambda d: decontamination.drop_leaks(d, items),
         "leaks": lambda d: decontamination.find_leaks(d, items),

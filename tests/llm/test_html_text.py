@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from tesselar.llm.html_text import extract_text, text_of
@@ -49,6 +51,44 @@ def test_all_visible_text(source, text):
     assert text_of(source) == text
 
 
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>d", "b\nd"),
+        ("<style>.x{display:none}</style><p class=x style='display:block'>a<p class=x>b", "a"),
+        ("<style>.x{display:none !important}</style><p class=x style='display:block'>a<p>b", "b"),
+        ("<style media=print>p{display:none}</style><p>a", "a"),
+        ("<style media='screen, print'>p{display:none}</style><p>a</p>b", "b"),
+        ("<style>div.no{display:none}</style><div class=no>a</div><p class=no>b", "b"),
+        ("<style>.a .b{display:none}</style><div class=a><i><i class=b>x</i></i>y</div><i class=b>z</i>", "y\nz"),
+        ("<style>.a > .b{display:none}</style><div class=a><i><i class=b>x</i></i><i class=b>y</i></div>", "x"),
+        ("<style>.a > .m .b{display:none}</style><div class=a><div class=m><div class=m><i class=b>x</i></div></div>y</div>", "y"),
+        ("<style>#i{display:block} .x{display:none}</style><p id=i class=x>a<p class=x>b", "a"),
+        ("<style>[data-x=off]{display:none} p:hover{display:none}</style><p data-x=off>a<p data-x=on>b", "b"),
+        ("<style>[hidden]{display:block}</style><p hidden>a", "a"),
+        ("<details><summary>s</summary>a<p>b</details><details open><summary>t</summary>c</details>", "s\nt\nc"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>", "a  b    c\nd       e"),
+        ("<ol><li value=7>a<li>b<li value=x>c</ol>", "7. a\n8. b\n9. c"),
+        ("<ol style='visibility:hidden'><li>a<li style='visibility:visible'>b</ol>", "2. b"),
+        ("<div>" * 200 + "<p hidden>a<p>b<ul><li hidden>c<li>d</ul>", "b\n\nd"),
+        ("<style>a" + " " * 5000 + "b > , > , > c, :x {display:none} i > {display:none}</style><b>a</b><i>b</i>", "ab"),
+        ("<div>" * 200 + "<i style='visibility:hidden'>a</i>b", "b"),
+        ("<style>.x{display:none}</style>" + "<div>" * 200 + "<div class=x>a<div>b</div>c</div>d", "d"),
+    ],
+)
+def test_shown_as_in_a_browser(source, text):
+    assert text_of(source) == text
+
+
+@pytest.mark.parametrize("inner", ["<div>", "<b>", "<p hidden>", "<ul><li>", "<div style='visibility:hidden'>"])
+def test_nested_hidden_page_is_linear(inner):
+    page = "<div>" * 160 + "<div hidden>" + inner * 32_000 + "x"
+    began = time.time()
+    assert text_of(page) == ""
+    assert time.time() - began < 3
+
+
 def test_deep_and_long():
     assert text_of("<div>" * 5000 + "x" + "</div>" * 5000) == "x"
     assert len(text_of("<p>word</p>" * 20000)) == 6 * 20000 - 2

@@ -22,3 +22,17 @@ def test_keep_one_of_each_group(spark, sf_dir):
     assert [r for r in got if r in apart] == sorted(apart, key=str)
     rest = [r for r in got if r not in apart]
     assert len(rest) == 2 and {r[0] for r in rest} == {None, 4}
+
+
+def test_clashing_columns_are_kept(spark, sf_dir):
+    """Extra columns of any name come through each stage as they are; an empty table stays empty."""
+    extra = ["__doc", "__twin", "__CUT", "__lines", "__stratum", "twin", "doc", "first", "group"]
+    lines = "\n".join([CLEAN, "one boilerplate line here", OTHER])
+    rows = [(i, f"site{i} " + lines, "en", f"s{i}", *[f"{c}{i}" for c in extra]) for i in range(8)]
+    docs = spark.createDataFrame(rows, COLUMNS + "".join(f", `{c}` string" for c in extra))
+    for name, step in c.STAGES[:-1]:
+        got = step(spark, docs, sf_dir)
+        assert got.columns == docs.columns and step(spark, docs.limit(0), sf_dir).count() == 0
+        for r in got.collect():
+            assert r[4:] == rows[r["doc_id"]][4:], name
+    assert {r["text"].count("boilerplate") for r in c.cut_lines(spark, docs, sf_dir).where("doc_id > 0").collect()} == {0}
