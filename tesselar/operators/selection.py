@@ -1,4 +1,4 @@
-"""Pools of training items, negatives relative to anchors, spread-out positives, folds and splits."""
+"""Pools of training items, negatives relative to anchors, spread-out positives."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.annotations import Dataset
+from .ordinals import with_ordinal
 from .overlap import boxed
 
 BACKGROUND = 0
@@ -20,18 +21,6 @@ class MissingNegatives(LookupError):
     """Negatives are asked for where no pool of them was made, or fewer exist than asked for."""
 
 
-def with_ordinal(df: DataFrame, order: list, name: str = "ordinal") -> DataFrame:
-    """df with places from 0 in an order without ties; sorted by range, so no task holds it all."""
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist()
-    sizes = sorted(ranged.groupBy("__part").count().collect())  # one number a partition
-    before, starts = 0, {}
-    for part, n in sizes:
-        starts[part], before = before, before + n
-    place = F.row_number().over(W.partitionBy("__part").orderBy(*order)) - 1
-    offset = F.create_map(*[F.lit(v) for kv in starts.items() for v in kv])[F.col("__part")] if starts else F.lit(0)
-    return ranged.withColumn(name, (place + offset).cast("long")).drop("__part")
-
-
 def numbered_anchors(anchors: DataFrame) -> DataFrame:
     """Anchors (w, h relative to the shorter image side) with at, their place; there are at most as many as negative_anchors gives."""
     return anchors.select("w", "h", (F.row_number().over(W.orderBy(g.portable_hash(F.col("aid"), 0), "aid")) - 1).alias("at"))
@@ -122,33 +111,6 @@ def spread_positives(targets: DataFrame, window: tuple[int, int], thresh: float
     return rows.select("gid", F.explode(kept).alias("p")).select(F.col("p.aid").alias("aid"), "gid")
 
 
-def histograms(annots: DataFrame) -> DataFrame:
-    """image_id and its class histogram as text ("class:count" in class order)."""
-    counts = annots.where("category_id is not null").groupBy("image_id", "category_id").agg(F.count("*").alias("n"))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("category_id", "n"))), lambda s: F.concat_ws(":", s["category_id"].cast("string"), s["n"].cast("string")))
-    return counts.groupBy("image_id").agg(F.concat_ws(",", listed).alias("histogram"))
-
-
-def stratified_folds(annots: DataFrame, k: int = 3, seed: int = 0, buckets: int = 64) -> DataFrame:
-    """image_id and its fold 0 .. k - 1: images (groups) of one class histogram are dealt out in turn.
-
-    Each histogram is dealt in hashed buckets, which start at folds of their own, so that a common
-    histogram is no hot key; images without annotations are in no fold.
-    """
-    rows = histograms(annots).withColumn("bucket", g.portable_hash(F.col("image_id"), seed + 6) % buckets)
-    place = F.row_number().over(W.partitionBy("histogram", "bucket").orderBy("image_id"))
-    return rows.select("image_id", ((place + F.col("bucket") + F.length("histogram")) % k).cast("int").alias("fold"))
-
-
-def split_images(annots: DataFrame, factor: int = 3) -> DataFrame:
-    """image_id and split: fold 0 is test; of the rest, dealt anew, fold 0 is vali, all others train."""
-    first = stratified_folds(annots, factor)
-    rest = annots.join(first.where("fold > 0").select("image_id"), "image_id", "left_semi")
-    second = stratified_folds(rest, factor, seed=1)
-    test = first.where("fold = 0").select("image_id", F.lit("test").alias("split"))
-    return test.unionAll(second.select("image_id", F.when(F.col("fold") == 0, "vali").otherwise("train")))
-
-
 def toy_samples(spark, n: int, size: tuple[int, int] = (416, 416), classes: int = 3, most: int = 4, seed: int = 0) -> DataFrame:
     """Boxes of n made-up images: index, k, category_id and the box, the same for the same seed, made where they are read."""
     h, w = size

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sampling, selection
+from ..operators import folds, sampling, selection
 from ..sources.annotations import PRELUDE, derived
 from .catalog import BOXES_SQL, MET, SHARED, hash_sql
 from .registry import registered
@@ -65,32 +65,75 @@ def nms_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.spread_positives(sampling.targets(derived(spark, sf_dir)), (64, 96), 0.1)
 
 
-def folds_sql(annots: str, k: int, seed: int) -> str:
-    return f"""(SELECT image_id, ((row_number() OVER (PARTITION BY histogram, bucket ORDER BY image_id) + bucket + length(histogram)) % {k})::INT AS fold FROM
-  (SELECT *, {hash_sql('image_id', seed + 6)} % 64 AS bucket FROM (SELECT image_id, string_agg(category_id || ':' || n, ',' ORDER BY category_id) AS histogram
-    FROM (SELECT image_id, category_id, count(*) AS n FROM {annots} GROUP BY ALL) GROUP BY image_id)))"""
+#: Classes that the derived annotations can have.
+CLASSES = 7
 
 
-@registered("stratified_group_kfold", PRELUDE + f" SELECT * FROM {folds_sql('annots', 3, 0)}")
+def folds_sql(name: str, annots: str, k: int, seed: int) -> str:
+    """CTEs that end in `name` (image_id, fold): a round for each class, the rarest one first."""
+    n = lambda x: f"{name}_{x}"
+    parts = [
+        f"{n('pair')} AS (SELECT DISTINCT image_id, category_id FROM {annots} WHERE category_id IS NOT NULL)",
+        f"{n('freq')} AS (SELECT category_id, row_number() OVER (ORDER BY count(*), category_id) - 1 AS r FROM {n('pair')} GROUP BY 1)",
+        f"{n('has')} AS MATERIALIZED (SELECT image_id, r FROM {n('pair')} JOIN {n('freq')} USING (category_id))",
+        f"{n('pl')} AS MATERIALIZED (SELECT image_id, key, row_number() OVER (PARTITION BY key ORDER BY {hash_sql('image_id', seed + 6)}, image_id) AS place FROM (SELECT image_id, min(r) AS key FROM {n('has')} GROUP BY 1))",
+        f"{n('to')} AS (SELECT NULL::BIGINT AS image_id, NULL::INT AS fold WHERE FALSE)",
+    ]
+    for r in range(CLASSES):
+        last = n("to") if r == 0 else n(f"d{r - 1}")
+        parts.append(f"""{n(f'have{r}')} AS (SELECT f, count(h.image_id) AS a FROM (SELECT unnest(range({k})) AS f) LEFT JOIN {last} d ON d.fold = f LEFT JOIN {n('has')} h ON h.image_id = d.image_id AND h.r = {r} GROUP BY f),
+{n(f'slot{r}')} AS (SELECT f, row_number() OVER (ORDER BY a + j, f) AS place FROM (SELECT f, a, unnest(range((SELECT count(*) FROM {n('pl')} WHERE key = {r}))) AS j FROM {n(f'have{r}')})),
+{name if r == CLASSES - 1 else n(f'd{r}')} AS MATERIALIZED (SELECT * FROM {last} UNION ALL SELECT image_id, f::INT FROM {n('pl')} JOIN {n(f'slot{r}')} USING (place) WHERE key = {r})""")
+    return ",\n" + ",\n".join(parts)
+
+
+@registered("stratified_group_kfold", PRELUDE + folds_sql("fo", "annots", 3, 0) + " SELECT * FROM fo")
 def stratified_group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.stratified_folds(derived(spark, sf_dir).annots)
+    """Folds as they are dealt, before any image changes its fold."""
+    return folds.stratified_folds(derived(spark, sf_dir).annots, swing=0)
+
+
+@registered("balanced_group_kfold")
+def balanced_group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.stratified_folds(derived(spark, sf_dir).annots, 5)
+
+
+@registered("greedy_group_kfold", PRELUDE.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+an AS (SELECT i.video_id, a.image_id, a.category_id FROM annots a JOIN images i ON i.id = a.image_id WHERE a.category_id IS NOT NULL),
+cs AS (SELECT video_id, list(category_id ORDER BY category_id) AS classes FROM (SELECT DISTINCT video_id, category_id FROM an) GROUP BY 1),
+cn AS (SELECT video_id, image_id, category_id, count(*)::DOUBLE AS n FROM an GROUP BY ALL),
+vc AS (SELECT g.video_id, g.image_id, size, list(coalesce(cn.n, 0) ORDER BY c) AS v FROM (SELECT video_id, image_id, sum(n) AS size FROM cn GROUP BY ALL) g JOIN (SELECT video_id, unnest(classes) AS c FROM cs) u ON u.video_id = g.video_id
+  LEFT JOIN cn ON cn.video_id = g.video_id AND cn.image_id = g.image_id AND cn.category_id = c GROUP BY ALL),
+od AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY size DESC, image_id DESC) AS nth FROM vc),
+tg AS MATERIALIZED (SELECT video_id, list(n / t ORDER BY category_id) AS target, list(0::DOUBLE ORDER BY category_id) AS zero FROM (SELECT video_id, category_id, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY video_id) AS t FROM cn GROUP BY 1, 2) GROUP BY 1),
+gr AS (SELECT video_id, 0::BIGINT AS nth, NULL::BIGINT AS image_id, NULL::INT AS fold, [zero, zero, zero] AS freq, list_transform([1, 2, 3], lambda f: list_sum(list_transform(target, lambda t: t * t))) AS far FROM tg UNION ALL
+  SELECT video_id, nth, image_id, fold, list_transform([1, 2, 3], lambda f: CASE WHEN f = fold + 1 THEN cand[f] ELSE freq[f] END), list_transform([1, 2, 3], lambda f: CASE WHEN f = fold + 1 THEN cfar[f] ELSE far[f] END) FROM (
+    SELECT *, list_position(losses, list_min(losses)) - 1 AS fold FROM (
+      SELECT *, list_transform([1, 2, 3], lambda f: round(list_sum(far) - far[f] + cfar[f] + CASE WHEN list_sum(flatten(freq)) > 0 THEN list_sum(freq[f]) / list_sum(flatten(freq)) ELSE 0 END, 10)) AS losses FROM (
+        SELECT *, list_transform(cand, lambda c: list_sum(list_transform(list_zip(c, target), lambda p: (p[1] / list_sum(c) - p[2]) * (p[1] / list_sum(c) - p[2])))) AS cfar FROM (
+          SELECT o.video_id, o.nth, o.image_id, target, freq, far, list_transform(freq, lambda f: list_transform(list_zip(f, o.v), lambda p: p[1] + p[2])) AS cand
+          FROM gr JOIN od o ON o.video_id = gr.video_id AND o.nth = gr.nth + 1 JOIN tg ON tg.video_id = o.video_id)))))
+SELECT video_id, image_id, fold::INT AS fold FROM gr WHERE nth > 0""")
+def greedy_group_kfold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each video's frames in folds of their own."""
+    d = derived(spark, sf_dir)
+    rows = d.annots.join(d.images.select(F.col("id").alias("image_id"), "video_id"), "image_id")
+    return folds.greedy_folds(rows, 3, scope="video_id")
 
 
-SPLIT_SQL = PRELUDE + f""",
-f1 AS {folds_sql('annots', 3, 0)},
-rest AS (SELECT * FROM annots WHERE image_id IN (SELECT image_id FROM f1 WHERE fold > 0)),
-f2 AS {folds_sql('rest', 3, 1)},
+SPLIT_SQL = PRELUDE + folds_sql("f1", "annots", 3, 0) + """,
+rest AS (SELECT * FROM annots WHERE image_id IN (SELECT image_id FROM f1 WHERE fold > 0))""" + folds_sql("f2", "rest", 3, 1) + """,
 sp AS (SELECT image_id, 'test' AS split FROM f1 WHERE fold = 0 UNION ALL SELECT image_id, CASE WHEN fold = 0 THEN 'vali' ELSE 'train' END FROM f2)"""
 
 
 @registered("train_vali_test_split", SPLIT_SQL + " SELECT * FROM sp")
 def train_vali_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.split_images(derived(spark, sf_dir).annots)
+    return folds.split_images(derived(spark, sf_dir).annots, swing=0)
 
 
-@registered("split_disjoint", SPLIT_SQL + " SELECT split, count(*) AS n_images, count(DISTINCT image_id) AS n_distinct, 0::BIGINT AS n_shared FROM sp GROUP BY split")
+@registered("split_disjoint", SPLIT_SQL + " SELECT split, count(*) AS n_images, count(DISTINCT image_id) AS n_distinct, count(*) FILTER (image_id IN (SELECT o.image_id FROM sp o GROUP BY 1 HAVING count(DISTINCT o.split) > 1)) AS n_shared FROM sp GROUP BY split")
 def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = selection.split_images(derived(spark, sf_dir).annots)
+    rows = folds.split_images(derived(spark, sf_dir).annots, swing=0)
     shared = rows.groupBy("image_id").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
     return rows.join(shared, "image_id", "left").groupBy("split").agg(F.count("*").alias("n_images"), F.count_distinct("image_id").alias("n_distinct"), F.count("splits").alias("n_shared"))
 
@@ -98,7 +141,7 @@ def split_disjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("split_no_test", SPLIT_SQL + " SELECT s.image_id, s.split = 'test' AS was_test, count(a.id) AS n_annots FROM sp s LEFT JOIN annots a ON a.image_id = s.image_id WHERE s.split <> 'vali' GROUP BY ALL")
 def split_no_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived(spark, sf_dir)
-    rows = selection.split_images(d.annots)
+    rows = folds.split_images(d.annots, swing=0)
     train = rows.where("split = 'train'").unionAll(rows.where("split = 'test'"))
     part = d.subset(train.select(F.col("image_id").alias("id")))
     counts = part.annots.groupBy("image_id").agg(F.count("*").alias("n_annots"))
