@@ -30,13 +30,6 @@ def made_tiles(channels: DataFrame, value, tile: int = TILE) -> DataFrame:
     return rows.select("gid", "channel", "height", "width", "ty", "tx", "th", "tw", F.transform(at, lambda i: pixel(i).cast("double")).alias("values"))
 
 
-def tiles_of(pixels: DataFrame, channels: DataFrame, tile: int = TILE) -> DataFrame:
-    """Tiles from pixels (gid, channel, y, x, v); every pixel of a tile must be there."""
-    key = [F.floor(F.col(c) / tile).cast("int").alias(n) for c, n in (("y", "ty"), ("x", "tx"))]
-    grouped = pixels.groupBy("gid", "channel", *key).agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda s: s["v"].cast("double")).alias("values"))
-    return tile_layout(channels, tile).join(grouped, ["gid", "channel", "ty", "tx"])
-
-
 def region_lines(tiles: DataFrame, regions: DataFrame, tile: int = TILE) -> DataFrame:
     """sample_id, channel, y, x (of the first pixel) and values of each run of pixels of regions (sample_id, gid, y0, y1, x0, x1).
 
@@ -82,7 +75,7 @@ def padded_lines(tiles: DataFrame, regions: DataFrame, channels: DataFrame, fill
 
 
 def aligned_pixels(tiles: DataFrame, grids: DataFrame, tile: int = TILE) -> DataFrame:
-    """sample_id, rel_frame, channel, y, x and v on a grid, nearest pixel by the map from grid to channel.
+    """sample_id, rel_frame, channel, y, x and v on a grid, nearest pixel by any map from grid to channel; for maps that turn or shear.
 
     grids: sample_id, rel_frame, gid, channel, y0, y1, x0, x1 and warp (six numbers, grid to channel
     coordinates, pixel centres at halves). Pixels that fall outside are absent.
@@ -98,12 +91,6 @@ def aligned_pixels(tiles: DataFrame, grids: DataFrame, tile: int = TILE) -> Data
     return met.where(inside).select("sample_id", "rel_frame", "channel", "y", "x", F.get("values", at).alias("v"))
 
 
-def fused(pixels: DataFrame, channels: list[str]) -> DataFrame:
-    """One row a pixel (sample_id, rel_frame, y, x) with a column for each channel; NaN where a channel has none."""
-    wide = pixels.groupBy("sample_id", "rel_frame", "y", "x").pivot("channel", channels).agg(F.first("v"))
-    return wide.select("sample_id", "rel_frame", "y", "x", *[F.coalesce(F.col(c), F.lit(float("nan"))).alias(c) for c in channels])
-
-
 def native_parts(assets: DataFrame) -> DataFrame:
     """Each channel at its own resolution: gid, channel, height, width and the scale back to the image."""
     return assets.select("gid", "channel", "height", "width", (F.col("img_width") / F.col("width")).alias("scale"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import grid, rasters
+from ..operators import grid, rasters, resample
 from ..sources.annotations import PRELUDE, derived
+from ..sources.staging import staged, staging_folder
+from ..sources.tiles import TileStore
 from .registry import registered
 
 TILE = 16
@@ -22,28 +26,50 @@ pix AS (SELECT gid, channel, y, x, ((gid * 31 + y * 13 + x * 7 + c * 17) % 256):
 DIGEST = "count(*) AS n, sum(v) AS total, sum(v * ((y * 31 + x * 17) % 101)) AS check_sum"
 
 
+def _tiles_of(channels: DataFrame) -> DataFrame:
+    value = lambda y, x: (F.col("gid") * 31 + y * 13 + x * 7 + F.col("c") * 17) % 256
+    return rasters.made_tiles(channels, value, TILE)
+
+
 def _raster(spark: SparkSession, sf_dir: str):
     d = derived(spark, sf_dir)
     channels = spark.sql(CHANNELS, images=d.images)
-    value = lambda y, x: (F.col("gid") * 31 + y * 13 + x * 7 + F.col("c") * 17) % 256
-    return d, channels, rasters.made_tiles(channels, value, TILE)
+    return d, channels, _tiles_of(channels)
+
+
+def _store(spark: SparkSession, sf_dir: str, which: str = "true") -> TileStore:
+    """A stored table of the tiles of those channels."""
+    store = TileStore(spark, f"{staging_folder(spark)}/tiles-{uuid.uuid4().hex}", 8, TILE)
+    store.ingest(_raster(spark, sf_dir)[1].where(which), _tiles_of)
+    return store
 
 
 def _digest(lines: DataFrame, *keys: str) -> DataFrame:
-    pixels = lines.select(*keys, "y", F.posexplode("values").alias("at", "v"), *(["x"] if "x" in lines.columns else []))
+    pixels = lines.select(*keys, "y", F.posexplode("values").alias("at", "v"), *(["x"] if "x" in lines.columns else [])).where(~F.isnan("v"))
     x = F.col("x") + F.col("at") if "x" in lines.columns else F.col("at")
     return pixels.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * ((F.col("y") * 31 + x * 17) % 101)).alias("check_sum"))
 
 
-def _digest_pixels(pixels: DataFrame, *keys: str) -> DataFrame:
-    return pixels.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("v").alias("total"), F.sum(F.col("v") * ((F.col("y") * 31 + F.col("x") * 17) % 101)).alias("check_sum"))
-
-
 @registered("region_pixels", PIXELS + f" SELECT gid AS sample_id, channel, {DIGEST} FROM pix WHERE y >= 3 AND y < 12 AND x >= 5 AND x < 22 GROUP BY ALL")
 def region_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, _, tiles = _raster(spark, sf_dir)
-    regions = rasters.whole_images(d.images).withColumns({c: F.lit(v).cast("long") for c, v in (("y0", 3), ("y1", 12), ("x0", 5), ("x1", 22))})
-    return _digest(rasters.region_lines(tiles, regions, TILE), "sample_id", "channel")
+    """Regions of all images from a stored table of tiles."""
+    d, store = derived(spark, sf_dir).images, _store(spark, sf_dir)
+    regions = rasters.whole_images(d).withColumns({c: F.lit(v).cast("long") for c, v in (("y0", 3), ("y1", 12), ("x0", 5), ("x1", 22))})
+    return _digest(store.lines(regions), "sample_id", "channel")
+
+
+@registered("tile_store", PRELUDE + f", ch AS ({CHANNELS.format(images='images')}) SELECT gid, channel, ceil(height / 16)::BIGINT * ceil(width / 16)::BIGINT AS n_tiles, height * width AS n_pixels, gid % 3 = 0 AS added_later FROM ch")
+def tile_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that got two thirds of all images first, then the rest, then nothing more."""
+    _, channels, _ = _raster(spark, sf_dir)
+    store = _store(spark, sf_dir, "gid % 3 <> 0")
+    before = store.tiles().select("gid", F.lit(False).alias("added_later")).distinct()
+    before = staged(before, "tiles-before")
+    store.ingest(channels, _tiles_of)
+    if store.ingest(channels, _tiles_of):
+        raise AssertionError("a second ingest found something left")
+    counts = store.tiles().groupBy("gid", "channel").agg(F.count("*").alias("n_tiles"), F.sum(F.size("values")).cast("int").alias("n_pixels"))
+    return counts.join(before, "gid", "left").withColumn("added_later", F.coalesce("added_later", F.lit(True)))
 
 
 @registered("image_pixels", PIXELS + f" SELECT gid AS sample_id, {DIGEST} FROM pix WHERE channel = 'g' GROUP BY ALL")
@@ -67,7 +93,7 @@ def sample_2d_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _whole_grid(channels: DataFrame, scale) -> DataFrame:
     zero = F.lit(0).cast("long")
-    return channels.select(F.col("gid").alias("sample_id"), F.lit(0).alias("rel_frame"), "gid", "channel", zero.alias("y0"), F.col("img_height").cast("long").alias("y1"), zero.alias("x0"), F.col("img_width").cast("long").alias("x1"), F.array(scale, F.lit(0.0), F.lit(0.0), F.lit(0.0), scale, F.lit(0.0)).alias("warp"))
+    return channels.select(F.col("gid").alias("sample_id"), F.lit(0).alias("rel_frame"), "gid", "channel", zero.alias("y0"), F.col("img_height").cast("long").alias("y1"), zero.alias("x0"), F.col("img_width").cast("long").alias("x1"), F.array(scale, F.lit(0.0), F.lit(0.0), F.lit(0.0), scale, F.lit(0.0)).alias("warp"), "height", "width")
 
 
 @registered("channel_align_nearest", PIXELS + """,
@@ -76,15 +102,78 @@ SELECT i.gid AS sample_id, count(*) AS n, sum(v) AS total, sum(v * ((i.y * 31 +
 def channel_align_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, channels, tiles = _raster(spark, sf_dir)
     aux = channels.where("channel = 'b'")
-    return _digest_pixels(rasters.aligned_pixels(tiles, _whole_grid(aux, F.lit(1 / 3)), TILE), "sample_id")
+    return _digest(resample.aligned_lines(tiles, _whole_grid(aux, F.lit(1 / 3)), linear=False, tile=TILE), "sample_id")
+
+
+def linear_sql(pixels: str, grid: str, factor: str, n: str) -> str:
+    """Pixels of a grid (g.y, g.x) from pixels p at factor source pixels a grid pixel: weights along y and x, each brought to one."""
+    half = f"greatest({factor}, 1)"
+    w = lambda u, j: f"greatest(1 - abs({j} + 0.5 - (({u}) + 0.5) * {factor}) / {half}, 0)"
+    return f"""(SELECT g.gid, g.channel, g.y, g.x, sum(p.v * {w('g.y', 'p.y')} * {w('g.x', 'p.x')}) / sum({w('g.y', 'p.y')} * {w('g.x', 'p.x')}) AS v
+  FROM {grid} g JOIN {pixels} p ON p.gid = g.gid AND p.channel = g.channel AND abs(p.y + 0.5 - (g.y + 0.5) * {factor}) < {half} AND abs(p.x + 0.5 - (g.x + 0.5) * {factor}) < {half}
+  WHERE (g.y + 0.5) * {factor} < g.height AND (g.x + 0.5) * {factor} < g.width {n} GROUP BY ALL)"""
+
+
+ROUNDED = "count(*) AS n, round(sum(v), 4) AS total, round(sum(v * ((y * 31 + x * 17) % 101)), 3) AS check_sum"
+
+
+def _rounded(lines: DataFrame, *keys: str) -> DataFrame:
+    """The digest of pixels that are there, to some digits."""
+    found = lines.select(*keys, "y", "x", F.posexplode("values").alias("at", "v")).where(~F.isnan("v")).withColumn("x", F.col("x") + F.col("at"))
+    return found.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.sum("v"), 4).alias("total"), F.round(F.sum(F.col("v") * ((F.col("y") * 31 + F.col("x") * 17) % 101)), 3).alias("check_sum"))
+
+
+@registered("channel_align_linear", PIXELS + """,
+gy AS (SELECT gid, channel, height, width, img_width, unnest(range(img_height)) AS y FROM ch WHERE channel = 'b'), gx AS (SELECT gid, channel, height, width, y, unnest(range(img_width)) AS x FROM gy)
+SELECT gid AS sample_id, """ + ROUNDED + " FROM " + linear_sql("pix", "gx", "(1 / 3::DOUBLE)", "") + " GROUP BY gid")
+def channel_align_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The coarse channel on its image's grid, three pixels for each one."""
+    _, channels, tiles = _raster(spark, sf_dir)
+    return _rounded(resample.aligned_lines(tiles, _whole_grid(channels.where("channel = 'b'"), F.lit(1 / 3)), tile=TILE), "sample_id")
+
+
+@registered("channels_shrunk_smooth", PIXELS + """,
+gy AS (SELECT gid, channel, height, width, unnest(range(-2, 9)) AS y FROM ch WHERE channel <> 'b'), gx AS (SELECT gid, channel, height, width, y, unnest(range(-1, 14)) AS x FROM gy WHERE y >= 0)
+SELECT gid AS sample_id, channel, """ + ROUNDED + " FROM " + linear_sql("pix", "gx", "2::DOUBLE", "AND g.x >= 0") + " GROUP BY gid, channel")
+def channels_shrunk_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels at half their size, on a grid that goes beyond the image on all sides; pixels outside are NaN."""
+    _, channels, tiles = _raster(spark, sf_dir)
+    c = lambda v: F.lit(v).cast("long")
+    grids = _whole_grid(channels.where("channel <> 'b'"), F.lit(2.0)).withColumns({"y0": c(-2), "y1": c(9), "x0": c(-1), "x1": c(14)})
+    return _rounded(resample.aligned_lines(tiles, grids, tile=TILE, band=4), "sample_id", "channel")
+
+
+@registered("realigned_parts", PIXELS + """,
+gy AS (SELECT b.gid, b.channel, b.height, b.width, g.width AS gw, unnest(range(g.height)) AS y FROM ch b JOIN ch g ON g.gid = b.gid AND g.channel = 'g' WHERE b.channel = 'b'), gx AS (SELECT gid, channel, height, width, y, unnest(range(gw)) AS x FROM gy)
+SELECT sample_id, channel, n, round(total, 4) AS total, round(check_sum, 3) AS check_sum FROM (SELECT gid AS sample_id, channel, """ + DIGEST + " FROM pix WHERE channel <> 'b' GROUP BY gid, channel UNION ALL SELECT gid, channel, " + DIGEST + " FROM " + linear_sql("pix", "gx", "(1 / 3::DOUBLE)", "") + " GROUP BY gid, channel)")
+def realigned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native parts of different sizes, all on the grid of the largest; that grid is half the image's size."""
+    _, channels, tiles = _raster(spark, sf_dir)
+    own = lambda s: F.array(*[F.lit(v) for v in (s, 0.0, 0.0, 0.0, s, 0.0)])
+    parts = channels.select("gid", "channel", "height", "width", F.when(F.col("channel") == "b", own(6.0)).otherwise(own(2.0)).alias("warp"))
+    return _rounded(resample.realigned(tiles, parts, tile=TILE), "sample_id", "channel")
 
 
 @registered("fused_region", PIXELS + " SELECT a.gid AS sample_id, count(*) AS n, sum(a.v * b.v) AS total FROM pix a JOIN pix b ON a.gid = b.gid AND a.y = b.y AND a.x = b.x AND a.channel = 'r' AND b.channel = 'g' WHERE a.y < 8 AND a.x < 8 GROUP BY ALL")
 def fused_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, channels, tiles = _raster(spark, sf_dir)
-    part = _whole_grid(channels.where("channel <> 'b'"), F.lit(1.0)).withColumns({"y1": F.lit(8).cast("long"), "x1": F.lit(8).cast("long")})
-    wide = rasters.fused(rasters.aligned_pixels(tiles, part, TILE), ["r", "g"])
-    return wide.groupBy("sample_id").agg(F.count("*").alias("n"), F.sum(F.col("r") * F.col("g")).alias("total"))
+    part = _whole_grid(channels.where("channel <> 'b'"), F.lit(1.0)).withColumns({"y1": F.lit(8).cast("long"), "x1": F.least(F.lit(8), "width").cast("long")})
+    wide = resample.fused_lines(resample.aligned_lines(tiles, part, linear=False, tile=TILE), ["r", "g"])
+    product = F.zip_with("r", "g", lambda a, b: a * b)
+    return wide.select("sample_id", F.explode(product).alias("v")).where(~F.isnan("v")).groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
+@registered("fused_missing_channel", PIXELS + """
+SELECT a.gid AS sample_id, a.y, sum(a.v) AS r_sum, sum(b.v) FILTER (a.gid % 2 = 0) AS g_sum, count(*) FILTER (a.gid % 2 = 1) AS n_nan
+FROM pix a JOIN pix b ON a.gid = b.gid AND a.y = b.y AND a.x = b.x AND a.channel = 'r' AND b.channel = 'g' WHERE a.y < 6 GROUP BY a.gid, a.y""")
+def fused_missing_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channels r and g side by side where every second image lacks g."""
+    _, channels, tiles = _raster(spark, sf_dir)
+    part = _whole_grid(channels.where("channel = 'r' or (channel = 'g' and gid % 2 = 0)"), F.lit(1.0)).withColumn("y1", F.lit(6).cast("long"))
+    wide = resample.fused_lines(resample.aligned_lines(tiles, part, linear=False, tile=TILE), ["r", "g"])
+    there = lambda c: F.filter(c, lambda v: ~F.isnan(v))
+    sum_of = lambda c: F.when(F.size(there(c)) > 0, F.aggregate(there(c), F.lit(0.0), lambda a, v: a + v))
+    return wide.select("sample_id", "y", sum_of("r").alias("r_sum"), sum_of("g").alias("g_sum"), (F.size("g") - F.size(there("g"))).cast("long").alias("n_nan"))
 
 
 @registered("sample_3d_pixels", PIXELS + """,
@@ -92,11 +181,12 @@ fr AS (SELECT id AS gid, video_id AS sample_id, frame_index AS rel_frame, vid_sc
 wy AS (SELECT *, unnest(range(2, 8)) AS y FROM fr), wx AS (SELECT *, unnest(range(3, 11)) AS x FROM wy)
 SELECT sample_id, rel_frame, count(*) AS n, sum(v) AS total, sum(v * ((w.y * 31 + w.x * 17) % 101)) AS check_sum FROM wx w JOIN pix p ON p.gid = w.gid AND p.channel = 'r' AND p.y = floor((w.y + 0.5) / s) AND p.x = floor((w.x + 0.5) / s) GROUP BY ALL""")
 def sample_3d_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d, _, tiles = _raster(spark, sf_dir)
+    d, channels, tiles = _raster(spark, sf_dir)
     back = 1 / F.col("vid_scale")
     c = lambda v: F.lit(v).cast("long")
+    sizes = channels.where("channel = 'r'").select("gid", "height", "width")
     grids = grid.ordered_frames(d.images).where("place < 2").select(F.col("video_id").alias("sample_id"), F.col("place").alias("rel_frame"), F.col("image_id").alias("gid"), F.lit("r").alias("channel"), c(2).alias("y0"), c(8).alias("y1"), c(3).alias("x0"), c(11).alias("x1"), F.array(back, F.lit(0.0), F.lit(0.0), F.lit(0.0), back, F.lit(0.0)).alias("warp"))
-    return _digest_pixels(rasters.aligned_pixels(tiles, grids, TILE), "sample_id", "rel_frame")
+    return _digest(resample.aligned_lines(tiles, grids.join(sizes, "gid"), linear=False, tile=TILE), "sample_id", "rel_frame")
 
 
 @registered("native_jagged", PRELUDE + f", ch AS ({CHANNELS.format(images='images')}) SELECT gid, channel, height, width, round(img_width / width, 6) AS scale FROM ch")
@@ -104,7 +194,7 @@ def native_jagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.native_parts(_raster(spark, sf_dir)[1]).withColumn("scale", F.round("scale", 6))
 
 
-@registered("largest_part", PRELUDE + f", ch AS ({CHANNELS.format(images='images')}) SELECT gid, 'g' AS channel, height, width FROM ch WHERE channel = 'g'")
+@registered("largest_part", PRELUDE + f", ch AS ({CHANNELS.format(images='images')}) SELECT gid, channel, height, width FROM ch QUALIFY row_number() OVER (PARTITION BY gid ORDER BY height * width DESC, channel) = 1")
 def largest_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.largest_part(_raster(spark, sf_dir)[1])
 
