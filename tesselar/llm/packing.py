@@ -7,10 +7,11 @@ of tails is full, each tier is packed longest first: a tail opens a window of it
 tier, and the gap is filled with the best-fitting tails of shorter tiers, the last of
 them cut to size. Every window is thus exactly as long as its tier; what is left when
 a partition ends is cut into powers of two, so no sequence needs padding. Windows of
-a tier are dealt to step groups of equal token count.
+a tier are dealt to step groups of step_tokens; those that fill no group by the end of a partition are put together, longest first. So
+all step groups of a partition hold the same number of tokens, but for its last one (tiers and step_tokens being powers of two).
 
 Edge cases: null text is empty and yields only the end id; repeated rows are packed
-as documents of their own; an empty table gives no rows; extra columns are ignored.
+as documents of their own; long texts and words count whole (a text's ids are held at once); tails of equal length go by the smaller id; an empty table gives no rows; extra columns are ignored.
 A partition's order of rows is that of its file split, so a rerun after a lost
 executor gives the same sequences.
 """
@@ -126,20 +127,38 @@ class TierPacker:
         self.tiers, self.step_tokens = tiers, step_tokens
         self.pool: dict[int, list] = {t: [] for t in tiers}
         self.held, self.first = 0, first_id
-        self.sequences, self.steps, self.open_steps = 0, 0, {}
+        self.sequences, self.steps = 0, 0
+        self.open: dict[int, list[list[tuple]]] = {}  # windows of each tier that wait for a whole step group
         self.out: list[tuple] = []
 
     def window(self, parts: list, tier: int) -> None:
-        step, room = self.open_steps.get(tier, (None, 0))
-        if room < tier:
-            step, room = self.steps, max(self.step_tokens, tier)
-            self.steps += 1
-        self.open_steps[tier] = step, room - tier
-        at = 0
+        at, rows = 0, []
         for _, doc, start, ids, total in parts:
-            self.out.append((doc, start, ids, total, self.first + self.sequences, at, tier, self.first + step))
+            rows.append((doc, start, ids, total, self.first + self.sequences, at, tier))
             at += len(ids) // 4
         self.sequences += 1
+        group = self.open.setdefault(tier, [])
+        group.append(rows)
+        if (len(group) + 1) * tier > self.step_tokens:
+            self.step(self.open.pop(tier))
+
+    def step(self, windows: list[list[tuple]]) -> None:
+        self.out += [(*row, self.first + self.steps) for rows in windows for row in rows]
+        self.steps += 1
+
+    def finish(self) -> None:
+        """Deal the windows that are left to groups of all tiers, longest first: powers of two fill each group, but for the last one."""
+        group, room = [], self.step_tokens
+        for tier in sorted(self.open, reverse=True):
+            for rows in self.open[tier]:
+                if group and tier > room:
+                    self.step(group)
+                    group, room = [], self.step_tokens
+                group.append(rows)
+                room -= tier
+        if group:
+            self.step(group)
+        self.open = {}
 
     def add(self, doc: int, ids: bytes) -> None:
         total, longest, start = len(ids) // 4, self.tiers[-1], 0
@@ -250,6 +269,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, tiers: tuple[int, ...] =
             if packer.out:
                 yield packer.rows(with_ids)
         packer.flush()
+        packer.finish()
         if packer.out:
             yield packer.rows(with_ids)
 

@@ -229,6 +229,13 @@ def test_packing_round_trip(spark, sf_dir):
         assert total <= 2048
         used, padded = used + total, padded + (total if total & (total - 1) == 0 else 2048)
     assert used >= 0.99 * padded
+    steps = {}
+    for p in pieces:
+        steps.setdefault(p["step_group"] >> 36, {}).setdefault(p["step_group"], []).append(p["length"])
+    for groups in steps.values():
+        *whole, last = [sum(groups[g]) for g in sorted(groups)]
+        assert set(whole) <= {packing.STEP_TOKENS} and 0 < last <= packing.STEP_TOKENS
+
 
 
 def test_toxicity_held_out(spark):
