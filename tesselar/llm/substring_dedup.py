@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, table
+from .common import stage, table, unstage
 from .hashing import runs, spans, word_hashes
 from .packing import pieces_of
 
@@ -266,6 +266,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     repeated = stage(counted.where("n > 1").select("anchor"), "substring-anchors")
     listed = texts.mapInArrow(_list_anchors(length), "anchor long, context long, doc long, twin long, start int, size int")
     seen = stage(listed.join(repeated, "anchor"), "substring-seen")
+    unstage(repeated)
     firsts = stage(
         seen.groupBy("anchor", "context").agg(F.min(F.struct("doc", "twin", "start")).alias("first"), F.min("size").alias("size")),
         "substring-firsts",
@@ -281,7 +282,10 @@ def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     searched = cold.groupBy(F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard")).applyInArrow(_search(length), "doc long, twin long, start int, size int")
     earliest = hot.groupBy("route").agg(F.min(F.struct("doc", "twin", "start")).alias("first"))
     compared = hot.join(earliest, "route").where(F.struct("doc", "twin", "start") != F.col("first")).select("doc", "twin", "start", F.lit(length).alias("size"))
-    return later.unionByName(searched).unionByName(compared)
+    found = stage(later.unionByName(searched).unionByName(compared), "substring-repeats")
+    for done in (seen, firsts, contexts):
+        unstage(done)
+    return found
 
 
 def cut_words(text: str | None, starts: list[int] | None, sizes: list[int] | None) -> tuple[str, int, int]:
