@@ -1,7 +1,7 @@
 """Joins of windows with annotations of the same image.
 
 All joins have the image as equality key, so Catalyst plans a hash or sort-merge join with the
-range as residual condition; many annotations on one image are left to AQE's skew join.
+range as residual condition; many annotations on one image are left to AQE's skew join, or joined by cells of the image.
 """
 
 from __future__ import annotations
@@ -36,6 +36,26 @@ def overlaps(windows: DataFrame, annots: DataFrame, visible: float = 0.0, how: s
     return met.select(*windows.columns, *more, "aid", "category_id", g.iou(w, b).alias("iou"), g.iooa(w, b).alias("iooa"), g.shared_area(w, b).alias("shared"), g.area(b).alias("annot_area"))
 
 
+def overlaps_by_cell(windows: DataFrame, annots: DataFrame, visible: float = 0.0, cell: int = 256) -> DataFrame:
+    """The rows of overlaps, joined by square cells of an image, for images so crowded that none should be in one task.
+
+    Windows and boxes are in each cell that they reach; a pair counts in the cell of its first common point, so it comes once.
+    """
+    reached = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    whole = lambda p: F.col(f"{p}x2") >= F.col(f"{p}x1")
+    a = boxed(annots).withColumnRenamed("image_id", "a_image").where(whole("a") & (F.col("ay2") >= F.col("ay1")))
+    a = a.withColumn("a_cx", reached("ax1", "ax2")).withColumn("a_cy", reached("ay1", "ay2"))
+    keyed = windows.where(whole("") & (F.col("y2") >= F.col("y1"))).withColumn("_cx", reached("x1", "x2")).withColumn("_cy", reached("y1", "y2"))
+    w, b = g.box(), g.box("a")
+    first = lambda lo: F.floor(F.greatest(F.col(lo), F.col(f"a{lo}")) / cell)
+    on = (F.col("image_id") == F.col("a_image")) & (F.col("_cx") == F.col("a_cx")) & (F.col("_cy") == F.col("a_cy"))
+    on = on & g.touches(b, w) & (F.col("_cx") == first("x1")) & (F.col("_cy") == first("y1"))
+    if visible > 0:
+        on = on & (g.iooa(w, b) > visible)
+    met = keyed.join(a, on)
+    return met.select(*windows.columns, "aid", "category_id", g.iou(w, b).alias("iou"), g.iooa(w, b).alias("iooa"), g.shared_area(w, b).alias("shared"), g.area(b).alias("annot_area"))
+
+
 def annotations_of(images: DataFrame, annots: DataFrame) -> DataFrame:
     """The rows of annots whose image is in images."""
     return annots.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi")

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.annotations import Dataset
+from ..sources.staging import staged
 from .overlap import boxed
 
+#: Numbers of candidates of different rounds are so far apart.
+ROUND = 1 << 40
+
 
 def targets(data: Dataset) -> DataFrame:
     """All positives: one row for each annotation with a box, centre form."""
@@ -26,32 +32,29 @@ def negative_anchors(rows: DataFrame, most: int = 1000, seed: int = 0) -> DataFr
     return rows.orderBy(g.portable_hash(F.col("aid"), seed), "aid").limit(most).select("aid", (F.col("width").cast("double") / side).alias("w"), (F.col("height").cast("double") / side).alias("h"))
 
 
-def random_negatives(data: Dataset, window: tuple[int, int], num: int, thresh: float = 0.0, tries: int = 2, seed: int = 0) -> DataFrame:
+def random_negatives(data: Dataset, window: tuple[int, int], num: int, thresh: float = 0.0, tries: int = 2, rounds: int = 5, seed: int = 0) -> DataFrame:
     """num windows (width, height) that meet no annotation by more than thresh of its area (0: no contact).
 
-    `tries` places are drawn on each image that is large enough; the kept ones are taken in hashed order.
+    In each of up to `rounds` rounds `tries` places are drawn on each image that is large enough, until num are free; with fewer it warns.
+    The kept ones are taken in hashed order.
     """
     w, h = window
-    tried = data.images.where((F.col("width") >= w) & (F.col("height") >= h)).withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    key = F.col("id") * tries + F.col("try")
-    tried = tried.select(
-        key.alias("cand"),
-        F.col("id").alias("image_id"),
-        (g.portable_hash(key, seed + 1) % (F.col("width") - w + 1)).cast("double").alias("x1"),
-        (g.portable_hash(key, seed + 2) % (F.col("height") - h + 1)).cast("double").alias("y1"),
-    ).withColumns({"x2": F.col("x1") + w, "y2": F.col("y1") + h})
+    large = data.images.where((F.col("width") >= w) & (F.col("height") >= h))
     a = boxed(data.annots).withColumnRenamed("image_id", "a_image")
     on = (F.col("image_id") == F.col("a_image")) & g.touches(g.box("a"), g.box())
     if thresh > 0:
         on = on & (g.iooa(g.box(), g.box("a")) >= thresh)
-    free = tried.join(a, on, "left_anti")
-    return free.orderBy(g.portable_hash(F.col("cand"), seed + 3), "cand").limit(num)
-
-
-def pool(positives: DataFrame, negatives: DataFrame) -> DataFrame:
-    """Targets of both kinds in one addressable table: positives come first."""
-    neg = negatives.select(
-        F.lit(-1).cast("long").alias("aid"), F.col("image_id").alias("gid"), F.lit(0).alias("category_id"), ((F.col("x1") + F.col("x2")) / 2).cast("float").alias("cx"), ((F.col("y1") + F.col("y2")) / 2).cast("float").alias("cy"), F.col("cand")
-    )
-    pos = positives.select("aid", "gid", "category_id", "cx", "cy", F.col("aid").alias("cand"))
-    return pos.unionByName(neg)
+    found, have = None, 0
+    for k in range(rounds):
+        tried = large.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
+        key = F.col("id") * tries + F.col("try") + F.lit(k * ROUND).cast("long")
+        place = lambda s, whole, own, key=key: (g.portable_hash(key, seed + s) % (F.col(whole) - own + 1)).cast("double")
+        tried = tried.select(key.alias("cand"), F.col("id").alias("image_id"), place(1, "width", w).alias("x1"), place(2, "height", h).alias("y1")).withColumns({"x2": F.col("x1") + w, "y2": F.col("y1") + h})
+        free = staged(tried.join(a, on, "left_anti"), "free-windows")
+        found = free if found is None else found.unionByName(free)
+        have += free.count()
+        if have >= num:
+            break
+    if have < num:
+        warnings.warn(f"{have} of {num} negatives found", stacklevel=2)
+    return found.orderBy(g.portable_hash(F.col("cand"), seed + 3), "cand").limit(num)

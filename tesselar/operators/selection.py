@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.annotations import Dataset
+from ..sources.staging import dropped, staged
 from .ordinals import with_ordinal
 from .overlap import boxed
 
@@ -92,23 +93,61 @@ def items_at(pool: DataFrame, wanted: DataFrame, kind: str = "item") -> DataFram
     return pool.join(wanted.select("ordinal"), "ordinal")
 
 
-def spread_positives(targets: DataFrame, window: tuple[int, int], thresh: float = 0.0, seed: int = 0) -> DataFrame:
+#: Targets of an image up to which they are looked at one after the other, as an array.
+CROWDED = 2000
+
+
+def spread_positives(targets: DataFrame, window: tuple[int, int], thresh: float = 0.0, seed: int = 0, crowded: int = CROWDED) -> DataFrame:
     """aid and gid of targets whose windows (height, width), centred on them, overlap at most thresh (IoU).
 
-    Greedy in each image by hashed scores: a window stays if it overlaps no better one that stayed too much.
+    Greedy in each image by hashed scores: a window stays if it overlaps no better one that stayed too much. Images of more than
+    `crowded` targets get the same result in rounds over cells.
     """
     h, w = float(window[0]), float(window[1])
-    one = F.struct(g.portable_hash(F.col("aid"), seed + 5).alias("score"), "aid", F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
-    rows = targets.groupBy("gid").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    scored = targets.select("gid", "aid", g.portable_hash(F.col("aid"), seed + 5).alias("score"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
+    large = staged(scored.groupBy("gid").count().where(F.col("count") > crowded).select("gid"), "crowded")
+    few = scored.join(large, "gid", "left_anti")
+    one = F.struct("score", "aid", "x", "y")
+    rows = few.groupBy("gid").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    none = F.array().cast("array<struct<score:bigint,aid:bigint,x:double,y:double>>")
+    kept = F.aggregate("all", none, lambda have, p: F.when(F.exists(have, lambda q: window_iou(p["x"] - q["x"], p["y"] - q["y"], w, h) > thresh), have).otherwise(F.concat(have, F.array(p))))
+    found = rows.select("gid", F.explode(kept).alias("p")).select(F.col("p.aid").alias("aid"), "gid")
+    return found if large.isEmpty() else found.unionByName(spread_in_rounds(scored.join(large, "gid", "left_semi"), w, h, thresh))
 
-    def overlap(p: Column, q: Column) -> Column:
-        side = lambda c, n: F.greatest(F.lit(n) - F.abs(p[c] - q[c]), F.lit(0.0))
-        both = side("x", w) * side("y", h)
-        return both / (F.lit(2 * w * h) - both)
 
-    none = F.array().cast("array<struct<score:bigint,aid:bigint,x:double,y:double>>")
-    kept = F.aggregate("all", none, lambda have, p: F.when(F.exists(have, lambda q: overlap(p, q) > thresh), have).otherwise(F.concat(have, F.array(p))))
-    return rows.select("gid", F.explode(kept).alias("p")).select(F.col("p.aid").alias("aid"), "gid")
+def window_iou(dx: Column, dy: Column, w: float, h: float) -> Column:
+    """IoU of two windows of one size whose centres are so far apart."""
+    both = F.greatest(F.lit(w) - F.abs(dx), F.lit(0.0)) * F.greatest(F.lit(h) - F.abs(dy), F.lit(0.0))
+    return both / (F.lit(2 * w * h) - both)
+
+
+def spread_in_rounds(scored: DataFrame, w: float, h: float, thresh: float) -> DataFrame:
+    """aid and gid of what greedy selection keeps of scored (gid, aid, score, x, y), without an image in one task.
+
+    Cells are as large as a window, so only windows of adjacent cells overlap. A window that is the best one left in its cell and the eight
+    around it is kept: nothing that is still to be decided can take its place. Then those that overlap it too much go, and the next round
+    looks at the rest. A cell's best one is an aggregate, and kept windows are few in a cell, so a dense cell makes no pairs.
+    """
+    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = lambda rows: rows.select("gid", F.explode(shifts).alias("s"), "best", "cx", "cy").select("gid", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "best")
+    left = staged(scored.withColumns({"cx": F.floor(F.col("x") / w), "cy": F.floor(F.col("y") / h)}), "undecided")
+    rounds = []
+    while True:
+        best = left.groupBy("gid", "cx", "cy").agg(F.min(F.struct("score", "aid", "x", "y")).alias("best"))
+        least = around(best).groupBy("gid", "cx", "cy").agg(F.min("best").alias("least"))
+        final = staged(best.join(least, ["gid", "cx", "cy"]).where("best = least").drop("least"), "kept")
+        if final.isEmpty():
+            break
+        rounds.append(final)
+        near = around(final).select(F.col("gid").alias("k_gid"), F.col("cx").alias("k_cx"), F.col("cy").alias("k_cy"), F.col("best.aid").alias("k_aid"), F.col("best.x").alias("k_x"), F.col("best.y").alias("k_y"))
+        over = (F.col("aid") == F.col("k_aid")) | (window_iou(F.col("x") - F.col("k_x"), F.col("y") - F.col("k_y"), w, h) > thresh)
+        rest = staged(left.join(near, (F.col("gid") == F.col("k_gid")) & (F.col("cx") == F.col("k_cx")) & (F.col("cy") == F.col("k_cy")) & over, "left_anti"), "undecided")
+        dropped(left)
+        left = rest
+    found = scored.sparkSession.createDataFrame([], f"aid {dict(scored.dtypes)['aid']}, gid {dict(scored.dtypes)['gid']}")
+    for final in rounds:
+        found = found.unionByName(final.select(F.col("best.aid").alias("aid"), "gid"))
+    return found
 
 
 def toy_samples(spark, n: int, size: tuple[int, int] = (416, 416), classes: int = 3, most: int = 4, seed: int = 0) -> DataFrame:

@@ -74,6 +74,13 @@ def overlap_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlaps(_windows(d), d.annots).select("image_id", "x1", "y1", "aid", F.round("iou", 6).alias("iou"))
 
 
+@registered("overlap_iou_cells", SQL["overlap_iou"])
+def overlap_iou_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, joined by cells of the images."""
+    d = derived(spark, sf_dir)
+    return overlap.overlaps_by_cell(_windows(d), d.annots, cell=100).select("image_id", "x1", "y1", "aid", F.round("iou", 6).alias("iou"))
+
+
 @registered("overlap_iooa", PRELUDE + WINDOW_SQL + BOXES_SQL + f" SELECT w.image_id, x1, y1, aid, round({SHARED} / (a_area + 1e-6), 6) AS iooa FROM win w JOIN b ON {MET}")
 def overlap_iooa(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived(spark, sf_dir)

@@ -175,3 +175,15 @@ def affine_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     there = g.warp(g.xywh_box(*map(F.col, "xywh")), m)
     back = g.warp(there, g.invert(m))
     return rows.select("id", *[F.round(c, 6).alias(n) for c, n in zip((there[0], there[1], back[0], back[1]), ("u", "v", "bx", "by"))])
+
+
+@registered("pixel_defaults", PRELUDE + """
+SELECT id, CASE WHEN id % 4 = 0 THEN (id % 7)::DOUBLE WHEN id % 3 = 1 THEN NULL ELSE 0 END AS fill, id % 4 <> 0 AND id % 3 = 1 AS is_nan,
+  CASE WHEN id % 5 = 1 THEN 'nearest' WHEN id % 5 = 2 THEN 'cubic' ELSE 'linear' END AS interpolation, CASE WHEN id % 2 = 0 THEN id % 5 <> 1 ELSE id % 3 = 0 END AS antialias FROM images""")
+def pixel_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill values and resampling that a request leaves open."""
+    images = derived(spark, sf_dir).images
+    i = F.col("id")
+    fill = g.fill_value(F.when(i % 4 == 0, i % 7), F.when(i % 3 == 1, F.when(i % 2 == 0, "float").otherwise("auto")).when(i % 3 == 2, "none"))
+    kind, smooth = g.resampling(F.when(i % 5 == 1, "nearest").when(i % 5 == 2, "cubic").when(i % 5 == 3, "auto"), F.when(i % 2 == 1, i % 3 == 0))
+    return images.select("id", F.nanvl(fill, F.lit(None).cast("double")).alias("fill"), F.isnan(fill).alias("is_nan"), kind.alias("interpolation"), smooth.alias("antialias"))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators import folds, sampling, selection
 from ..sources.annotations import PRELUDE, derived
+from ..sources.staging import staged
 from .catalog import BOXES_SQL, MET, SHARED, hash_sql
-from .registry import registered
+from .registry import SQL, registered
 
 TARGETS_SQL = """,
 tg AS (SELECT a.id AS aid, image_id AS gid, category_id, (x + w / 2)::FLOAT AS cx, (y + h / 2)::FLOAT AS cy, w::FLOAT AS width, h::FLOAT AS height FROM annots a JOIN images i ON a.image_id = i.id WHERE x IS NOT NULL)"""
@@ -51,8 +52,9 @@ def preselect_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("item_by_index", POOL_SQL + " SELECT ordinal, is_positive, aid, gid, cx, cy FROM pool WHERE ordinal % 97 = 0")
 def item_by_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = spark.range(0, 10_000_000, 97).withColumnRenamed("id", "ordinal")
-    return selection.items_at(_pool(spark, sf_dir), wanted).select("ordinal", "is_positive", "aid", "gid", "cx", "cy")
+    pool = staged(_pool(spark, sf_dir), "pool")
+    wanted = spark.range(0, pool.count(), 97).withColumnRenamed("id", "ordinal")
+    return selection.items_at(pool, wanted).select("ordinal", "is_positive", "aid", "gid", "cx", "cy")
 
 
 @registered("nms_positives", PRELUDE.replace("WITH ", "WITH RECURSIVE ", 1) + TARGETS_SQL + f""",
@@ -65,6 +67,12 @@ def nms_positives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.spread_positives(sampling.targets(derived(spark, sf_dir)), (64, 96), 0.1)
 
 
+@registered("nms_positives_rounds", SQL["nms_positives"])
+def nms_positives_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every image taken as a crowded one."""
+    return selection.spread_positives(sampling.targets(derived(spark, sf_dir)), (64, 96), 0.1, crowded=0)
+
+
 #: Classes that the derived annotations can have.
 CLASSES = 7
 
