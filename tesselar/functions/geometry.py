@@ -83,6 +83,15 @@ def window_starts(size: Column, window: int | None, overlap: float) -> Column:
     return F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(stride)), F.array(last)))
 
 
+def starts_around(place: Column, size: Column, window: int, overlap: float) -> Column:
+    """Array of the starts of those sliding windows over 0 .. size - 1 that hold a place."""
+    stride = max(1, round(window * (1 - overlap)))
+    last = F.greatest(size - window, F.lit(0))
+    low, high = F.greatest(F.ceil((place - window + 1) / stride), F.lit(0)).cast("int"), F.floor(F.least(place, last) / stride).cast("int")
+    even = F.when(high >= low, F.transform(F.sequence(low, high), lambda k: k * stride)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.concat(even, F.when(place >= last, F.array(last)).otherwise(F.array().cast("array<int>"))))
+
+
 def portable_hash(key: Column, seed: int) -> Column:
     """0 .. 2^31 - 2, the same in any engine; two rounds make neighbours independent."""
     once = (key + F.lit(seed * 7919)) * F.lit(48271).cast("long") % F.lit(2147483647)

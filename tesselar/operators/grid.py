@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -49,26 +49,23 @@ def image_grid(data: Dataset, window: tuple[int, int] | None, overlap: float = 0
     return grid.select("image_id", "x1", "y1", "x2", "y2", "aids", "n_counted", (F.col("n_counted") > 0).alias("is_positive"))
 
 
-def ordered_frames(images: DataFrame) -> DataFrame:
-    """image_id, video_id, place (from 0, by frame index) and vid_scale of frames of videos."""
+def ordered_frames(images: DataFrame, *more: Column) -> DataFrame:
+    """image_id, video_id, place (from 0, by frame index) and vid_scale of frames of videos, and more columns."""
     place = F.expr("CAST(row_number() OVER (PARTITION BY video_id ORDER BY frame_index, id) - 1 AS INT)")
-    return images.where("video_id is not null").select(F.col("id").alias("image_id"), "video_id", place.alias("place"), "vid_scale")
+    return images.where("video_id is not null").select(F.col("id").alias("image_id"), "video_id", place.alias("place"), "vid_scale", *more)
 
 
 def video_grid(data: Dataset, window: tuple[int, int, int], overlap: float = 0.0) -> DataFrame:
     """One row a window of (frames, height, width) in video space: its aids and is_positive."""
     t, h, w = window
-    frames = ordered_frames(data.images)
-    lengths = frames.groupBy("video_id").agg(F.count("*").cast("int").alias("frames"))
-    spans = data.videos.select(F.col("id").alias("video_id"), "width", "height").join(lengths, "video_id")
-    for name, size, step in (("t0", "frames", t), ("y0", "height", h), ("x0", "width", w)):
+    # A frame names the windows that hold it, so neither lengths nor windows are joined with frames.
+    length = F.expr("CAST(count(*) OVER (PARTITION BY video_id) AS INT)")
+    frames = ordered_frames(data.images, length.alias("length")).withColumn("t0", F.explode(g.starts_around(F.col("place"), F.col("length"), t, overlap)))
+    spans = frames.join(data.videos.select(F.col("id").alias("video_id"), "width", "height"), "video_id")
+    for name, size, step in (("y0", "height", h), ("x0", "width", w)):
         spans = spans.withColumn(name, F.explode(g.window_starts(F.col(size), step, overlap)))
-    framed = frames.withColumnRenamed("video_id", "f_video")
-    on = (F.col("f_video") == F.col("video_id")) & (F.col("place") >= F.col("t0")) & (F.col("place") < F.col("t0") + t)
     d = lambda c: c.cast("double")
     boxes = (d(F.col("x0")), d(F.col("y0")), d(F.col("x0") + w), d(F.col("y0") + h))
-    placed = spans.join(framed, on).select(
-        "video_id", "t0", "x0", "y0", "image_id", *[c.alias(n) for c, n in zip(g.scale(boxes, 1 / F.col("vid_scale")), ("x1", "y1", "x2", "y2"))]
-    )
+    placed = spans.select("video_id", "t0", "x0", "y0", "image_id", *[c.alias(n) for c, n in zip(g.scale(boxes, 1 / F.col("vid_scale")), ("x1", "y1", "x2", "y2"))])
     met = overlaps(placed, data.annots, how="left")
     return met.groupBy("video_id", "t0", "x0", "y0").agg(F.array_sort(F.collect_set("aid")).alias("aids"), (F.count("aid") > 0).alias("is_positive"))

@@ -50,6 +50,14 @@ def test_windows(spark):
     assert one(spark, g.window_starts(F.lit(500), 224, 0.0), g.window_starts(F.lit(100), 224, 0.0)) == ([0, 224, 276], [0])
 
 
+def test_windows_around_a_place(spark):
+    for size in (1, 2, 3, 7, 10):
+        for window, overlap in ((2, 0.0), (3, 0.5), (4, 0.75), (5, 0.0)):
+            starts = one(spark, g.window_starts(F.lit(size), window, overlap))[0]
+            for place in range(size):
+                assert sorted(one(spark, g.starts_around(F.lit(place), F.lit(size), window, overlap))[0]) == [s for s in starts if s <= place < s + window]
+
+
 def test_union_area(spark):
     r = random.Random(4)
     lists = [[(0, 0, 4, 4), (2, 2, 6, 6)], [(0, 0, 1, 1), (5, 5, 6, 7)], [], [(1, 1, 1, 5)]]
