@@ -104,7 +104,7 @@ class Layout:
 
 
 def _picked(values: Column, at: list[int]) -> Column:
-    return F.transform(ints(at), lambda i: F.get(values, i).cast("double"))
+    return let(values, lambda v: F.transform(ints(at), lambda i: F.get(v, i).cast("double")))
 
 
 def _conditional(layout: Layout, e: Column) -> Column:
