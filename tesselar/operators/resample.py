@@ -106,8 +106,9 @@ def aligned_lines(tiles: DataFrame, grids: DataFrame, linear: bool = True, fill:
 def fused_lines(lines: DataFrame, channels: list[str]) -> DataFrame:
     """One row a line (sample_id, rel_frame, y, x) with a column of values for each channel; NaN where a frame lacks it."""
     wide = lines.groupBy("sample_id", "rel_frame", "y", "x").pivot("channel", channels).agg(F.first("values"))
-    width = F.greatest(*[F.coalesce(F.size(c), F.lit(-1)) for c in channels], F.lit(0))
-    return wide.select("sample_id", "rel_frame", "y", "x", *[F.coalesce(F.col(c), F.array_repeat(F.lit(NAN), width)).alias(c) for c in channels])
+    own = [F.col(f"`{c}`") for c in channels]
+    width = F.greatest(*[F.coalesce(F.size(c), F.lit(-1)) for c in own], F.lit(0), F.lit(0))
+    return wide.select("sample_id", "rel_frame", "y", "x", *[F.coalesce(c, F.array_repeat(F.lit(NAN), width)).alias(n) for c, n in zip(own, channels)])
 
 
 def realigned(tiles: DataFrame, parts: DataFrame, linear: bool = True, tile: int = TILE, band: int = BAND) -> DataFrame:

@@ -52,15 +52,15 @@ def annotation_index(resolved: DataFrame, annots: DataFrame) -> DataFrame:
     return rows.select("target_id", "aids", place.alias("annot_idx"))
 
 
-def load_samples(resolved: DataFrame, data: Dataset, with_annots: str | None = "boxes", visible: float = 0.0) -> DataFrame:
-    """One row a sample: its parameters and, as with_annots ("+"-separated) asks, arrays of its annotations."""
-    asked = (with_annots or "").split("+") if with_annots else []
+def load_samples(resolved: DataFrame, data: Dataset, with_annots: str | list[str] | None = "boxes", visible: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """One row a sample: its parameters and, as with_annots (a list, or "+"-separated) asks, arrays of its annotations."""
+    asked = with_annots.split("+") if isinstance(with_annots, str) and with_annots else list(with_annots or [])
     if unknown := set(asked) - set(PARTS):
         raise ValueError(f"unknown parts of annotations: {sorted(unknown)}")
     out = sample_boxes(resolved)
     if not asked:
         return out
-    rows = sample_annotations(resolved, data, visible)
+    rows = sample_annotations(resolved, data, visible, scale)
     extra = [c for c in ("segmentation", "keypoints") if c in asked and c in data.annots.columns]
     if extra:
         rows = rows.join(data.annots.select(F.col("id").alias("aid"), *extra), "aid", "left")

@@ -281,4 +281,4 @@ def infer_target_center(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "m", x0.alias("x0"), x1.alias("x1"), y0.alias("y0"), y1.alias("y1"))
 
 
-from . import decisions, rasters, samples, selection, stored, wide  # noqa: E402,F401  they register their own queries
+from . import decisions, pixels, rasters, samples, selection, stored, wide  # noqa: E402,F401  they register their own queries
