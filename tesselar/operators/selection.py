@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..sources.annotations import Dataset
 from ..sources.staging import dropped, staged
 from .ordinals import with_ordinal
 from .overlap import boxed
+from .targets import TARGET
 
 BACKGROUND = 0
 ITEM = ("aid", "gid", "category_id", "cx", "cy", "width", "height")
@@ -93,6 +95,50 @@ def items_at(pool: DataFrame, wanted: DataFrame, kind: str = "item") -> DataFram
     return pool.join(wanted.select("ordinal"), "ordinal")
 
 
+def preselect(positives: DataFrame, negatives: Callable[[int], DataFrame] | None = None, n_pos: int | None = None, n_neg: int | None = None, ratio: float | None = None, seed: int = 0) -> DataFrame:
+    """A pool of n_pos positives in hashed order (all without it) and as many negatives as n_neg, or ratio times the positives, says.
+
+    negatives(n) makes n of them. With neither n_neg nor ratio there are none.
+    """
+    chosen = positives
+    if n_pos is not None:
+        chosen = staged(positives.orderBy(g.portable_hash(F.col("aid"), seed + 7), "aid").limit(n_pos), "positives")
+    if n_neg is None and ratio is not None:
+        n_neg = int(ratio * chosen.count())
+    if n_neg and negatives is None:
+        raise MissingNegatives("nothing makes negatives")
+    return item_pool(chosen, negatives(n_neg) if n_neg else None)
+
+
+def drawn_ordinals(spark: SparkSession, num: int, size: int, seed: int = 0) -> DataFrame:
+    """num rows (target_id, ordinal), each ordinal drawn by hash from 0 to size - 1, with repeats."""
+    if size <= 0:
+        raise LookupError("nothing to draw from")
+    rows = spark.range(num).withColumnRenamed("id", "target_id")
+    return rows.withColumn("ordinal", g.portable_hash(F.col("target_id"), seed + 8) % size)
+
+
+def item_targets(pool: DataFrame, wanted: DataFrame, kind: str = "item") -> DataFrame:
+    """Targets of the pool's items at the ordinals of wanted (target_id, ordinal), for targets.resolve.
+
+    Further columns of wanted that a target may have win over the item's where they are not null. kind counts all
+    items, or the positives or negatives alone. Ordinals go round: one past the last is the first again, -1 the last.
+    """
+    if kind not in ("item", "positive", "negative"):
+        raise ValueError(f"unknown kind {kind!r}")
+    counted = pool.agg(F.count_if("is_positive").alias("positive"), F.count("*").alias("item")).first()
+    first = counted["positive"] if kind == "negative" else 0
+    size = counted["item"] - counted["positive"] if kind == "negative" else counted[kind]
+    if not size:
+        if kind == "negative":
+            raise MissingNegatives("the pool has no negatives")
+        raise LookupError(f"the pool has no {kind}")
+    own = set(wanted.columns)
+    at = wanted.withColumn("_at", F.pmod("ordinal", F.lit(size)) + first).withColumnsRenamed({c: f"_new_{c}" for c in ITEM if c in own})
+    rows = at.join(pool.select(F.col("ordinal").alias("_at"), "is_positive", *ITEM), "_at")
+    return rows.withColumns({c: F.coalesce(F.col(f"_new_{c}").cast(TARGET[c]), F.col(c).cast(TARGET[c])) for c in ITEM if c in own}).drop("_at", *[f"_new_{c}" for c in ITEM])
+
+
 #: Targets of an image up to which they are looked at one after the other, as an array.
 CROWDED = 2000
 
@@ -150,10 +196,10 @@ def spread_in_rounds(scored: DataFrame, w: float, h: float, thresh: float) -> Da
     return found
 
 
-def toy_samples(spark, n: int, size: tuple[int, int] = (416, 416), classes: int = 3, most: int = 4, seed: int = 0) -> DataFrame:
-    """Boxes of n made-up images: index, k, category_id and the box, the same for the same seed, made where they are read."""
+def toy_samples(indices: DataFrame, size: tuple[int, int] = (416, 416), classes: int = 3, most: int = 4, seed: int = 0) -> DataFrame:
+    """Made-up boxes for each index of a table: index, k, category_id and the box, the same for the same seed, made where they are read."""
     h, w = size
-    rows = spark.range(n).withColumnRenamed("id", "index").withColumn("n", g.portable_hash(F.col("index"), seed) % most + 1)
+    rows = indices.select(F.col("index").cast("long").alias("index")).withColumn("n", g.portable_hash(F.col("index"), seed) % most + 1)
     rows = rows.select("index", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
     key = F.col("index") * most + F.col("k")
     r = lambda s: g.portable_hash(key, seed * 31 + s)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import folds, sampling, selection
+from ..operators import folds, samples, sampling, selection, targets
 from ..sources.annotations import PRELUDE, derived
 from ..sources.staging import staged
 from .catalog import BOXES_SQL, MET, SHARED, hash_sql
@@ -164,9 +164,43 @@ def class_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.join(F.broadcast(total)).select("category_id", "n", F.round(F.col("n") / F.col("total"), 9).alias("ratio"))
 
 
-@registered("toy_samples", f"""WITH i AS (SELECT i AS index, unnest(range({hash_sql('i', 0)} % 4 + 1)) AS k FROM range(5000) t(i)),
+@registered("toy_samples", f"""WITH i AS (SELECT i AS index, unnest(range({hash_sql('i', 0)} % 4 + 1)) AS k FROM (SELECT o_orderkey AS i FROM orders)),
 r AS (SELECT index, k, index * 4 + k AS q FROM i),
 s AS (SELECT index, k, {hash_sql('q', 1)} % 3 + 1 AS category_id, {hash_sql('q', 2)} % 208 + 8 AS w, {hash_sql('q', 3)} % 208 + 8 AS h, {hash_sql('q', 4)} AS rx, {hash_sql('q', 5)} AS ry FROM r)
 SELECT index, k, category_id, rx % (416 - w) AS x, ry % (416 - h) AS y, w, h FROM s""")
 def toy_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.toy_samples(spark, 5000)
+    """A made-up stand-in for every image of the dataset."""
+    return selection.toy_samples(derived(spark, sf_dir).images.select(F.col("id").alias("index")))
+
+
+ITEMS_SQL = POOL_SQL + """,
+ct AS MATERIALIZED (SELECT count(*) AS n, count(*) FILTER (is_positive) AS n_pos FROM pool),
+wn AS (SELECT k AS target_id, k * 89 - 1000 AS k FROM range(((SELECT n FROM ct) * 2 // 89)::BIGINT) t(k)),
+it AS (SELECT target_id, is_positive, aid, gid, CASE WHEN target_id % 3 = 0 THEN 5 ELSE category_id END::BIGINT AS category_id, CASE WHEN target_id % 4 = 0 THEN 100.5 ELSE cx::DOUBLE END AS cx, cy::DOUBLE AS cy,
+  CASE WHEN target_id % 2 = 0 THEN 60 ELSE ceil(width::DOUBLE) END AS ww, CASE WHEN target_id % 2 = 0 THEN 40 ELSE ceil(height::DOUBLE) END AS wh, CASE WHEN target_id % 5 = 0 THEN 7 ELSE 0 END AS pad
+  FROM wn JOIN pool ON ordinal = ((k % (SELECT n FROM ct)) + (SELECT n FROM ct)) % (SELECT n FROM ct)),
+sl AS (SELECT *, floor(cx - ww / 2) AS x0, floor(cy - wh / 2) AS y0 FROM it),
+hits AS (SELECT target_id, count(*) AS n FROM sl s JOIN annots a ON a.image_id = s.gid AND x IS NOT NULL AND x + w >= x0 - pad AND x <= x0 + ww + pad AND y + h >= y0 - pad AND y <= y0 + wh + pad GROUP BY 1)
+SELECT s.target_id, aid, gid, category_id, x0::BIGINT AS x0, (x0 + ww)::BIGINT AS x1, y0::BIGINT AS y0, (y0 + wh)::BIGINT AS y1, pad AS pad_x, coalesce(n, 0)::INT AS n_annots FROM sl s LEFT JOIN hits h ON h.target_id = s.target_id"""
+
+
+@registered("load_items", ITEMS_SQL)
+def load_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of a pool by ordinals that go round it, with windows, centres, classes and padding of one's own for some."""
+    d, pool = derived(spark, sf_dir), staged(_pool(spark, sf_dir), "pool")
+    t = F.col("target_id")
+    wanted = spark.range(pool.count() * 2 // 89).select(F.col("id").alias("target_id"), (F.col("id") * 89 - 1000).alias("ordinal"))
+    wanted = wanted.withColumns({"category_id": F.when(t % 3 == 0, 5), "cx": F.when(t % 4 == 0, 100.5), "window": F.when(t % 2 == 0, "40,60"), "pad_x": F.when(t % 5 == 0, 7), "pad_y": F.when(t % 5 == 0, 7)})
+    resolved = staged(targets.resolve(selection.item_targets(pool, wanted), d), "resolved")
+    rows = samples.load_samples(resolved, d)
+    return rows.select("target_id", F.coalesce("aid", F.lit(-1)).alias("aid"), "gid", "category_id", "x0", "x1", "y0", "y1", "pad_x", F.coalesce(F.size("annots"), F.lit(0)).alias("n_annots"))
+
+
+@registered("preselect_ratio", PRELUDE + relative_sql(125, 0.3) + TARGETS_SQL + f""",
+ps AS (SELECT * FROM tg ORDER BY {hash_sql('aid', 7)}, aid LIMIT 250)
+SELECT row_number() OVER (ORDER BY aid) - 1 AS ordinal, TRUE AS is_positive, aid, gid FROM ps UNION ALL SELECT 250 + row_number() OVER (ORDER BY cand) - 1, FALSE, -1, image_id FROM ng""")
+def preselect_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pool of 250 positives and half as many negatives."""
+    d = derived(spark, sf_dir)
+    pool = selection.preselect(sampling.targets(d), lambda n: _negatives(d, n, 0.3), n_pos=250, ratio=0.5)
+    return pool.select("ordinal", "is_positive", "aid", "gid")
