@@ -18,7 +18,7 @@ from ..sources.annotations import Dataset
 from ..sources.staging import staged
 from .rasters import TILE
 from .resample import BAND, NAN, aligned_lines, fused_lines
-from .samples import load_samples
+from .samples import listed_annotations
 from .targets import sample_boxes, sample_frames
 
 #: Fixed names that stand for several channels.
@@ -128,7 +128,7 @@ def sample_lines(
 def load_pixels(resolved: DataFrame, data: Dataset, tiles: DataFrame, assets: DataFrame, with_annots: str | None = "boxes", visible: float = 0.0, scale: float = 1.0, **how) -> DataFrame:
     """One row for each frame of each sample: target_id, rel_frame, image_id, its slice and offset, lines and annots.
 
-    lines is an array of structs (y and an array a channel) from top to bottom; annots an array as load_samples gives it, of that frame only
+    lines is an array of structs (y and an array a channel) from top to bottom; annots an array as listed_annotations gives it, of that frame only
     (null without any, and if with_annots is none), in the sample's pixels. how: see sample_lines.
     """
     resolved = staged(resolved, "resolved")
@@ -139,6 +139,6 @@ def load_pixels(resolved: DataFrame, data: Dataset, tiles: DataFrame, assets: Da
     out = frames.join(sample_boxes(resolved).select("target_id", "category_id", "y0", "y1", "x0", "x1", "pad_y", "pad_x", "dx", "dy"), "target_id")
     if not with_annots:
         return out
-    listed = load_samples(resolved, data, with_annots, visible, scale).select("target_id", F.explode("annots").alias("a"))
+    listed = listed_annotations(resolved, data, with_annots, visible, scale).select("target_id", F.explode("annots").alias("a"))
     listed = listed.groupBy("target_id", F.col("a.rel_frame").alias("rel_frame")).agg(F.array_sort(F.collect_list("a")).alias("annots"))
     return out.join(listed, ["target_id", "rel_frame"], "left")

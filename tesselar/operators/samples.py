@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.annotations import Dataset
+from ..sources.staging import staged
 from .overlap import overlaps
 from .targets import sample_boxes, sample_frames
 
@@ -52,21 +53,25 @@ def annotation_index(resolved: DataFrame, annots: DataFrame) -> DataFrame:
     return rows.select("target_id", "aids", place.alias("annot_idx"))
 
 
-def load_samples(resolved: DataFrame, data: Dataset, with_annots: str | list[str] | None = "boxes", visible: float = 0.0, scale: float = 1.0) -> DataFrame:
-    """One row a sample: its parameters and, as with_annots (a list, or "+"-separated) asks, arrays of its annotations."""
-    asked = with_annots.split("+") if isinstance(with_annots, str) and with_annots else list(with_annots or [])
+def listed_annotations(resolved: DataFrame, data: Dataset, with_annots: str | list[str], visible: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """target_id and annots, an array of what with_annots (a list, or "+"-separated) names of each annotation."""
+    asked = with_annots.split("+") if isinstance(with_annots, str) else list(with_annots)
     if unknown := set(asked) - set(PARTS):
         raise ValueError(f"unknown parts of annotations: {sorted(unknown)}")
-    out = sample_boxes(resolved)
-    if not asked:
-        return out
     rows = sample_annotations(resolved, data, visible, scale)
     extra = [c for c in ("segmentation", "keypoints") if c in asked and c in data.annots.columns]
     if extra:
         rows = rows.join(data.annots.select(F.col("id").alias("aid"), *extra), "aid", "left")
     boxes = ["rx1", "ry1", "rx2", "ry2"] if "boxes" in asked else []
-    listed = rows.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("rel_frame", "aid", "category_id", *boxes, *extra))).alias("annots"))
-    return out.join(listed, "target_id", "left")
+    return rows.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("rel_frame", "aid", "category_id", *boxes, *extra))).alias("annots"))
+
+
+def load_samples(resolved: DataFrame, data: Dataset, with_annots: str | list[str] | None = "boxes", visible: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """One row a sample: its parameters and, as with_annots (a list, or "+"-separated) asks, arrays of its annotations."""
+    if not with_annots:
+        return sample_boxes(resolved)
+    resolved = staged(resolved, "resolved")  # read twice
+    return sample_boxes(resolved).join(listed_annotations(resolved, data, with_annots, visible, scale), "target_id", "left")
 
 
 def segmentations(annots: DataFrame, aids: DataFrame) -> DataFrame:

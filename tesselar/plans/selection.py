@@ -191,8 +191,7 @@ def load_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("target_id")
     wanted = spark.range(pool.count() * 2 // 89).select(F.col("id").alias("target_id"), (F.col("id") * 89 - 1000).alias("ordinal"))
     wanted = wanted.withColumns({"category_id": F.when(t % 3 == 0, 5), "cx": F.when(t % 4 == 0, 100.5), "window": F.when(t % 2 == 0, "40,60"), "pad_x": F.when(t % 5 == 0, 7), "pad_y": F.when(t % 5 == 0, 7)})
-    resolved = staged(targets.resolve(selection.item_targets(pool, wanted), d), "resolved")
-    rows = samples.load_samples(resolved, d)
+    rows = samples.load_samples(targets.resolve(selection.item_targets(pool, wanted), d), d)
     return rows.select("target_id", F.coalesce("aid", F.lit(-1)).alias("aid"), "gid", "category_id", "x0", "x1", "y0", "y1", "pad_x", F.coalesce(F.size("annots"), F.lit(0)).alias("n_annots"))
 
 
