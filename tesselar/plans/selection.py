@@ -203,3 +203,12 @@ def preselect_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = derived(spark, sf_dir)
     pool = selection.preselect(sampling.targets(d), lambda n: _negatives(d, n, 0.3), n_pos=250, ratio=0.5)
     return pool.select("ordinal", "is_positive", "aid", "gid")
+
+
+@registered("free_corners", PRELUDE + BOXES_SQL + """,
+big AS (SELECT id AS image_id, width - 120 AS mx, height - 90 AS my FROM images WHERE width >= 120 AND height >= 90),
+xs AS (SELECT image_id, 0 AS x FROM big UNION SELECT image_id, floor(ax2)::BIGINT + 1 FROM b), ys AS (SELECT image_id, 0 AS y FROM big UNION SELECT image_id, floor(ay2)::BIGINT + 1 FROM b)
+SELECT image_id, x::DOUBLE AS x1, min(y)::DOUBLE AS y1 FROM big JOIN xs USING (image_id) JOIN ys USING (image_id) WHERE x <= mx AND y <= my
+  AND NOT EXISTS (SELECT 1 FROM b WHERE b.image_id = big.image_id AND ax2 >= x AND ax1 <= x + 120 AND ay2 >= y AND ay1 <= y + 90) GROUP BY image_id, x""")
+def free_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.free_corners(derived(spark, sf_dir), (120, 90))
