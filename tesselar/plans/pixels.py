@@ -54,7 +54,7 @@ hit AS (SELECT target_id, rel_frame, count(*) AS n, sum(((a.x * s - sx1) / 20))
   AND a.x + w >= floor(sx1 / s) AND a.x <= ceil((sx1 + 200) / s) AND a.y + h >= floor(sy1 / s) AND a.y <= ceil((sy1 + 160) / s) GROUP BY ALL),
 px_ AS (SELECT p.target_id, p.rel_frame, p.gid, count(*) AS n_pixels, round(sum(coalesce(r.v, 0) * (p.y * 10 + p.x)), 3) AS r_sum, round(sum(coalesce(g.v, 0)), 3) AS g_sum
   FROM sp p LEFT JOIN pix r ON r.gid = p.gid AND r.channel = 'r' AND r.y = floor(p.v_) AND r.x = floor(p.u) LEFT JOIN pix g ON g.gid = p.gid AND g.channel = 'g' AND g.y = floor(p.v_) AND g.x = floor(p.u) GROUP BY ALL)
-SELECT p.target_id, p.rel_frame::INT AS rel_frame, gid AS image_id, n_pixels, r_sum, g_sum, coalesce(n, 0)::INT AS n_annots, round(coalesce(left_sum, 0), 4) AS left_sum FROM px_ p LEFT JOIN hit h ON h.target_id = p.target_id AND h.rel_frame = p.rel_frame""")
+SELECT p.target_id, p.rel_frame::INT AS rel_frame, gid AS image_id, n_pixels, r_sum, g_sum, coalesce(n, 0)::INT AS n_annots, round(coalesce(left_sum, 0), 4) + 0::DOUBLE AS left_sum FROM px_ p LEFT JOIN hit h ON h.target_id = p.target_id AND h.rel_frame = p.rel_frame""")
 def load_sample_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels and annotations of video and image targets in one table."""
     resolved, d, tiles, assets = _samples(spark, sf_dir)
@@ -62,4 +62,4 @@ def load_sample_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     r, green = F.flatten(F.transform("lines", lambda s: s["r"])), F.flatten(F.transform("lines", lambda s: s["g"]))
     placed = F.transform(r, lambda v, i: v * i)
     left = F.aggregate("annots", F.lit(0.0), lambda a, x: a + x["rx1"])
-    return rows.select("target_id", "rel_frame", "image_id", F.size(r).cast("long").alias("n_pixels"), F.round(_summed(placed), 3).alias("r_sum"), F.round(_summed(green), 3).alias("g_sum"), F.coalesce(F.size("annots"), F.lit(0)).alias("n_annots"), F.round(F.coalesce(left, F.lit(0.0)), 4).alias("left_sum"))
+    return rows.select("target_id", "rel_frame", "image_id", F.size(r).cast("long").alias("n_pixels"), F.round(_summed(placed), 3).alias("r_sum"), F.round(_summed(green), 3).alias("g_sum"), F.coalesce(F.size("annots"), F.lit(0)).alias("n_annots"), (F.round(F.coalesce(left, F.lit(0.0)), 4) + F.lit(0.0)).alias("left_sum"))
