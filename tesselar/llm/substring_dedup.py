@@ -5,11 +5,12 @@ by its anchor: the run of ANCHOR words in it with the smallest hash, so equal wi
 Anchors that occur once can't lie in a repeated window and go first. The windows
 around one occurrence of an anchor form its context. Equal contexts are grouped: all but the first are
 removed whole. The first ones of an anchor with several contexts are dealt to shards
-by anchor. Each shard has an FM-index over its contexts (Burrows-Wheeler transform in
-a wavelet matrix of packed bits); contexts are streamed through it by backward search, which
+by anchor. Each shard has a compressed FM-index over its contexts (Burrows-Wheeler transform in
+a wavelet matrix of packed bits, a bit a suffix for the bounds of parent intervals, no suffix array);
+contexts are streamed through it by backward search, which
 gives their matching statistics, cut at the threshold: one step to the left for each
 window, between steps the interval widens to all suffixes with the same length - 1 words. A window is
-reported if the earliest text position of its interval lies before its own.
+reported if an earlier one came to the same interval.
 An anchor with more than HOT contexts would fill a shard alone; its windows are
 compared by their hashes in a grouped aggregation instead, which is exact too.
 
@@ -40,8 +41,10 @@ from .packing import pieces_of
 LENGTH = 20
 ANCHOR = 8
 #: Contexts of one anchor beyond which its windows are compared by hash, and contexts in a shard.
-HOT = 2_000
+HOT = 10_000
 SHARD = 20_000
+#: A key with more than one in HEAVY of a join's rows is dealt to several tasks.
+HEAVY = 1_000
 #: Texts that a task works on at a time have about so many bytes.
 PIECE_CHARS = 2_000_000
 FIRST = -(2**63)
@@ -80,8 +83,38 @@ def find_anchors(words: np.ndarray, cuts: np.ndarray, length: int = LENGTH) -> t
     return grams[at[own]], row[at[own]], first[own], last[own] + length
 
 
+class Bits:
+    """A packed row of bits, with a count of ones in front of each 64."""
+
+    def __init__(self, ones: np.ndarray):
+        packed = np.packbits(ones, bitorder="little")
+        self.words = np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(np.uint64)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)]).astype(np.int32)
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Number of ones in front of a position."""
+        block = at >> 6
+        return self.before[block] + np.bitwise_count(self.words[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+
+    def select(self, nth: np.ndarray) -> np.ndarray:
+        """Position of a one, counted from 0: its block by bisection, its place there by halving."""
+        block = np.searchsorted(self.before, nth, side="right") - 1
+        left, word, at = nth - self.before[block], self.words[block], block << 6
+        for half in (32, 16, 8, 4, 2, 1):
+            low = np.bitwise_count(word & np.uint64((1 << half) - 1))
+            above = left >= low
+            left = np.where(above, left - low, left)
+            word = np.where(above, word >> np.uint64(half), word)
+            at = at + half * above
+        return at
+
+
 class FmIndex:
-    """FM-index of a text of word numbers; 0 separates passages."""
+    """FM-index of a text of word numbers; 0 separates passages.
+
+    It holds bits only: the Burrows-Wheeler transform as a wavelet matrix, and one bit a suffix that tells
+    whether it shares length - 1 words with its neighbour. The suffix array lives while it is built.
+    """
 
     def __init__(self, text: np.ndarray, length: int):
         n = len(text)
@@ -104,35 +137,28 @@ class FmIndex:
                 break
         if depth == power:
             at_power = order
-        self.n, self.sa = n, sa
-        # Suffixes that share length - 1 words are neighbours: their bounds stand for the parent interval.
+        # Suffixes that share length - 1 words are neighbours: bits at their bounds stand for the parent interval.
         step = length - 1 - power
         tail = np.full(n, -1, np.int64)
         tail[: max(0, n - step)] = at_power[step:]
-        new = np.ones(n, bool)
-        new[1:] = (at_power[sa[1:]] != at_power[sa[:-1]]) | (tail[sa[1:]] != tail[sa[:-1]])
-        self.group = (np.cumsum(new) - 1).astype(np.int32)
-        self.bounds = np.append(np.flatnonzero(new), n)
-        bwt = text[sa - 1]
+        new = np.ones(n + 1, bool)
+        new[1:-1] = (at_power[sa[1:]] != at_power[sa[:-1]]) | (tail[sa[1:]] != tail[sa[:-1]])
+        self.n, self.bounds = n, Bits(new)
+        left = text[sa - 1]
         letters = int(text.max()) + 1
         self.levels = []
         smaller = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=letters))])
-        left = bwt
         for bit in range(max(1, (letters - 1).bit_length()) - 1, -1, -1):
             ones = (left >> bit & 1).astype(bool)
-            packed = np.packbits(ones, bitorder="little")
-            packed = np.concatenate([packed, np.zeros(-len(packed) % 8 + 8, np.uint8)]).view(np.uint64)
-            before = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.int32)
-            self.levels.append((bit, packed, before, n - int(ones.sum())))
+            self.levels.append((bit, Bits(ones), n - int(ones.sum())))
             left = np.concatenate([left[~ones], left[ones]])
         every = np.arange(letters)
         self.base = smaller[:-1] - self.down(np.zeros(letters, np.int64), every)
 
     def down(self, at: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """Place of position `at` in the lowest level of the wavelet matrix, on the letter's way."""
-        for bit, packed, before, zeros in self.levels:
-            block = at >> 6
-            ones = before[block] + np.bitwise_count(packed[block] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+        for bit, row, zeros in self.levels:
+            ones = row.rank(at)
             at = np.where(letter >> bit & 1, zeros + ones, at - ones).astype(np.int64)
         return at
 
@@ -142,14 +168,15 @@ class FmIndex:
         return base + self.down(lo, letter), base + self.down(hi, letter)
 
     def parent(self, lo: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        group = self.group[lo]
-        return self.bounds[group], self.bounds[group + 1]
+        group = self.bounds.rank(lo + 1) - 1
+        return self.bounds.select(group), self.bounds.select(group + 1)
 
 
 def earlier_windows(passages: list[np.ndarray], places: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """(passage, offset) of each window of the passages that also occurs at an earlier place.
 
-    places: a row (document, twin, first word) for each passage.
+    places: a row (document, twin, first word) for each passage. All passages are streamed, so the places
+    that were seen in an interval are those of its suffixes, and the index need not keep them.
     """
     sizes = np.array([len(p) for p in passages])
     flat = np.concatenate(passages)
@@ -157,33 +184,29 @@ def earlier_windows(passages: list[np.ndarray], places: np.ndarray, length: int
     starts = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     text = np.zeros(len(flat) + len(passages), np.int64)
     of = np.repeat(np.arange(len(passages)), sizes)
-    within = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    text[starts[of] + within] = number
+    text[starts[of] + np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = number
     index = FmIndex(text, length)
-    # Rank of each text position by document, twin and place in the document; separators come last.
-    by = np.lexsort((places[of, 2] + within, places[of, 1], places[of, 0]))
-    key = np.stack([places[of, 0], places[of, 1], places[of, 2] + within])[:, by]
-    rank = np.full(len(text), len(text), np.int64)
-    rank[(starts[of] + within)[by]] = np.cumsum(np.any(np.diff(key, axis=1, prepend=key[:, :1]) != 0, axis=0))
-    ranked = np.append(rank[index.sa], len(text))
     live = np.arange(len(passages))
     lo, hi = np.zeros(len(live), np.int64), np.full(len(live), index.n, np.int64)
     for back in range(1, length + 1):
         lo, hi = index.extend(lo, hi, text[starts + sizes - back])
-    found, offset = [], sizes - length
+    steps, offset = [], sizes - length
     while len(live):
-        uniq, which = np.unique(lo, return_inverse=True)
-        ends = np.zeros(len(uniq), np.int64)
-        ends[which] = hi
-        first = np.minimum.reduceat(ranked, np.stack([uniq, ends], 1).ravel())[::2][which]
-        hit = first < rank[starts[live] + offset]
-        found.append((live[hit], offset[hit]))
+        shared = hi - lo > 1
+        steps.append((live[shared], offset[shared], lo[shared]))
         more = offset > 0
         live, lo, offset = live[more], lo[more], offset[more] - 1
         if len(live):
             lo, hi = index.parent(lo)
             lo, hi = index.extend(lo, hi, text[starts[live] + offset])
-    return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+    passage, offset, lo = (np.concatenate(c) for c in zip(*steps))
+    place = np.stack([lo, places[passage, 0], places[passage, 1], places[passage, 2] + offset])
+    by = np.lexsort(place[::-1])
+    place = place[:, by]
+    first = np.flatnonzero(np.diff(place[0], prepend=-1))
+    earliest = np.repeat(place[:, first], np.diff(first, append=len(by)), axis=1)
+    hit = by[np.any(place != earliest, axis=0)]
+    return passage[hit], offset[hit]
 
 
 def with_key(docs: DataFrame) -> DataFrame:
@@ -259,31 +282,47 @@ def _search(length: int):
     return run
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """rows joined with keyed (each key once, with n, its number of rows), so that no task gets many more than total / HEAVY rows of one key.
+
+    A key with more rows than that is dealt to several tasks by a hash of the columns `by`. Fewer than HEAVY keys have so
+    many; they alone are broadcast, and repeated fewer than 2 * HEAVY times in all.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] or 1
+    parts = F.least("n", F.ceil(F.col("n") * HEAVY / total))
+    heavy = keyed.where(parts > 1)
+    marked = rows.join(F.broadcast(heavy.select(*keys, parts.alias("parts"))), keys, "left")
+    dealt = marked.withColumn("part", F.coalesce(F.pmod(F.xxhash64(*by), "parts"), F.lit(0))).drop("parts")
+    copies = keyed.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
+    return dealt.join(copies, [*keys, "part"]).drop("part")
+
+
 def find_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc, twin, start and size (in words) of passages to remove; docs is keyed by with_key."""
     texts = docs.select(F.col("__doc").alias("doc"), "text", F.col("__twin").alias("twin"))
     counted = texts.mapInArrow(_count_anchors(length), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    repeated = stage(counted.where("n > 1").select("anchor"), "substring-anchors")
+    repeated = stage(counted.where("n > 1"), "substring-anchors")
     listed = texts.mapInArrow(_list_anchors(length), "anchor long, context long, doc long, twin long, start int, size int")
-    seen = stage(listed.join(repeated, "anchor"), "substring-seen")
+    seen = stage(spread_join(listed, repeated, ["anchor"], ["doc", "start"]), "substring-seen")
     unstage(repeated)
     firsts = stage(
-        seen.groupBy("anchor", "context").agg(F.min(F.struct("doc", "twin", "start")).alias("first"), F.min("size").alias("size")),
+        seen.groupBy("anchor", "context").agg(F.min(F.struct("doc", "twin", "start")).alias("first"), F.min("size").alias("size"), F.count("*").alias("n")),
         "substring-firsts",
     )
-    later = seen.join(firsts.select("anchor", "context", "first"), ["anchor", "context"]).where(F.struct("doc", "twin", "start") != F.col("first")).select("doc", "twin", "start", "size")
-    several = firsts.groupBy("anchor").agg(F.count("*").alias("contexts")).where("contexts > 1")
-    open_ = firsts.join(several, "anchor").select("first.*", "size", "anchor", (F.col("contexts") > HOT).alias("hot"))
+    copied = firsts.where("n > 1").select("anchor", "context", "first", "n")
+    later = spread_join(seen, copied, ["anchor", "context"], ["doc", "start"]).where(F.struct("doc", "twin", "start") != F.col("first")).select("doc", "twin", "start", "size")
+    several = stage(firsts.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("hot", F.col("n") > HOT), "substring-several")
+    open_ = spread_join(firsts.drop("n"), several, ["anchor"], ["first"]).select("first.*", "size", "anchor", "hot")
     by_doc = open_.groupBy("doc", "twin").agg(F.collect_set(F.struct("start", "size", "anchor", "hot")).alias("at"))
     cut = texts.join(by_doc, ["doc", "twin"]).select("doc", "text", "twin", "at.start", "at.size", "at.anchor", "at.hot")
     contexts = stage(cut.mapInArrow(_cut_contexts(length), "route long, words binary, doc long, twin long, start int"), "substring-contexts")
     cold, hot = contexts.where("words is not null"), contexts.where("words is null").drop("words")
     shards = cold.count() // SHARD + 1
     searched = cold.groupBy(F.pmod(F.xxhash64("route"), F.lit(shards)).alias("shard")).applyInArrow(_search(length), "doc long, twin long, start int, size int")
-    earliest = hot.groupBy("route").agg(F.min(F.struct("doc", "twin", "start")).alias("first"))
-    compared = hot.join(earliest, "route").where(F.struct("doc", "twin", "start") != F.col("first")).select("doc", "twin", "start", F.lit(length).alias("size"))
+    earliest = stage(hot.groupBy("route").agg(F.min(F.struct("doc", "twin", "start")).alias("first"), F.count("*").alias("n")).where("n > 1"), "substring-hot")
+    compared = spread_join(hot, earliest, ["route"], ["doc", "start"]).where(F.struct("doc", "twin", "start") != F.col("first")).select("doc", "twin", "start", F.lit(length).alias("size"))
     found = stage(later.unionByName(searched).unionByName(compared), "substring-repeats")
-    for done in (seen, firsts, contexts):
+    for done in (seen, firsts, several, contexts, earliest):
         unstage(done)
     return found
 

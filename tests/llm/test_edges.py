@@ -145,6 +145,40 @@ def test_candidates_brute(spark, seed):
     assert {tuple(sorted(x)) for x in got} == want
 
 
+def test_bits_rank_and_select():
+    import numpy as np
+
+    ones = np.random.default_rng(4).random(1000) < np.repeat([0.0, 1.0, 0.02, 0.5], 250)
+    row, at = substring_dedup.Bits(ones), np.flatnonzero(ones)
+    assert row.select(np.arange(len(at))).tolist() == at.tolist()
+    assert row.rank(np.arange(1001)).tolist() == [int(ones[:i].sum()) for i in range(1001)]
+
+
+def test_index_keeps_no_array_of_its_text():
+    """What stays of an index is bits: less than two bytes a word for a text of 4096 words of 64 kinds."""
+    import numpy as np
+
+    text = np.random.default_rng(5).integers(1, 64, 4096)
+    text[63::64] = 0
+    index = substring_dedup.FmIndex(text, 5)
+    rows = [index.bounds] + [row for _, row, _ in index.levels]
+    assert sum(row.words.nbytes + row.before.nbytes for row in rows) + index.base.nbytes < 2 * len(text)
+    assert set(vars(index)) == {"n", "bounds", "levels", "base"}
+
+
+@pytest.mark.parametrize("heavy", [2, 1000])
+def test_heavy_keys_join_in_parts(spark, monkeypatch, heavy):
+    """Keys of any weight, that of a third of the rows and null ones included, give what a plain join gives."""
+    monkeypatch.setattr(substring_dedup, "HEAVY", heavy)
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)] + [(None, 900)], "key long, row long")
+    keyed = rows.where("key <> 5").groupBy("key").count().withColumnRenamed("count", "n").withColumn("x", F.col("key") * 2)
+    got = substring_dedup.spread_join(rows, keyed, ["key"], ["row"]).select("key", "row", "x")
+    want = rows.join(keyed.drop("n"), "key").select("key", "row", "x")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    none = keyed.where("key > 99")
+    assert substring_dedup.spread_join(rows, none, ["key"], ["row"]).count() == 0
+
+
 def test_fm_index_counts():
     import numpy as np
 
