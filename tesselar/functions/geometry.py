@@ -74,6 +74,11 @@ def rectify(start: Column, stop: Column, size: Column) -> tuple[Column, Column]:
     return lo, F.when(hi < 0, size + hi).otherwise(F.least(hi, size))
 
 
+def rectify_at(place: Column) -> tuple[Column, Column]:
+    """A reader's slice of one line."""
+    return place, place + 1
+
+
 def window_starts(size: Column, window: int | None, overlap: float) -> Column:
     """Array of starts of sliding windows; the last one ends at the edge."""
     if window is None:

@@ -69,3 +69,12 @@ def video_grid(data: Dataset, window: tuple[int, int, int], overlap: float = 0.0
     placed = spans.select("video_id", "t0", "x0", "y0", "image_id", *[c.alias(n) for c, n in zip(g.scale(boxes, 1 / F.col("vid_scale")), ("x1", "y1", "x2", "y2"))])
     met = overlaps(placed, data.annots, how="left")
     return met.groupBy("video_id", "t0", "x0", "y0").agg(F.array_sort(F.collect_set("aid")).alias("aids"), (F.count("aid") > 0).alias("is_positive"))
+
+
+def sample_grid(data: Dataset, task: str, window: tuple, overlap: float = 0.0, **options) -> DataFrame:
+    """The grid for a task: image_detection has windows of (height, width), video_detection of (frames, height, width)."""
+    if task == "video_detection":
+        return video_grid(data, window, overlap, **options)
+    if task == "image_detection":
+        return image_grid(data, window, overlap, **options)
+    raise NotImplementedError(task)

@@ -62,6 +62,21 @@ def by_channel(assets: DataFrame, name: str = "channels") -> DataFrame:
     return assets.withColumn("channel", F.explode(channel_array(F.col(name)))).drop(name)
 
 
+def requested_assets(requests: DataFrame, assets: DataFrame) -> DataFrame:
+    """sample_id, gid, place, channel and the asset's columns for each channel of requests (sample_id, gid, request), in the order asked for.
+
+    Both sides are expanded, so "rgb" finds "r|g|b" and "m.1" finds "m:3". A channel that no asset of the image has comes out with nulls;
+    a null request or <all> is every channel of the image, by name.
+    """
+    have = by_channel(assets)
+    every = F.col("request").isNull() | (F.col("request") == "<all>")
+    listed = requests.where(~every).select("sample_id", "gid", F.posexplode(channel_array(F.col("request"))).alias("place", "channel"))
+    listed = listed.join(have, ["gid", "channel"], "left")
+    whole = requests.where(every).select("sample_id", "gid").join(have, "gid")
+    place = F.expr("CAST(dense_rank() OVER (PARTITION BY sample_id, gid ORDER BY channel) - 1 AS INT)")
+    return listed.unionByName(whole.withColumn("place", place))
+
+
 def channels_of(assets: DataFrame, request: str | None) -> list[str]:
     """What a request names, whether or not an asset has it; null or <all> is every channel, by name."""
     if request in (None, "<all>"):

@@ -87,6 +87,26 @@ def decode_keypoints(flat: Column, names: Column) -> Column:
     return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), each)).otherwise(F.array().cast("array<struct<name:string,x:double,y:double,visible:int>>"))
 
 
+def keypoint_names(categories: DataFrame) -> DataFrame:
+    """One row: names, a map from the id of each keypoint category (id, name) to its name."""
+    return categories.agg(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("long"), "name"))).alias("names"))
+
+
+def decode_keypoint_structs(points: Column, names: Column) -> Column:
+    """The same array as decode_keypoints gives, from structs of keypoint_category_id, xy and visible; null gives an empty one, an unknown category a null name."""
+    each = lambda p: F.struct(F.try_element_at(names, p["keypoint_category_id"].cast("long")).alias("name"), F.get(p["xy"], F.lit(0)).alias("x"), F.get(p["xy"], F.lit(1)).alias("y"), p["visible"].cast("int").alias("visible"))
+    return F.coalesce(F.transform(points, each), F.array().cast("array<struct<name:string,x:double,y:double,visible:int>>"))
+
+
+def images_with_annotations(images: DataFrame, annots: DataFrame) -> DataFrame:
+    """A row for each annotation of each image, with all columns of both; images without annotations have one row with nulls.
+
+    Columns of annotations are named annot_id, annot_w and so on.
+    """
+    named = annots.select(*[F.col(c).alias(f"annot_{c}") for c in annots.columns])
+    return images.join(named, F.col("id") == F.col("annot_image_id"), "left").drop("annot_image_id")
+
+
 def class_names(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """rows with the name of their category_id."""
     return rows.join(categories.select(F.col("id").alias("category_id"), F.col("name").alias("class_name")), "category_id", "left")

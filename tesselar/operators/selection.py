@@ -110,6 +110,16 @@ def preselect(positives: DataFrame, negatives: Callable[[int], DataFrame] | None
     return item_pool(chosen, negatives(n_neg) if n_neg else None)
 
 
+def pool_counts(pool: DataFrame) -> DataFrame:
+    """One row: n_positives, n_negatives and n_samples of a pool."""
+    return pool.agg(F.count_if("is_positive").alias("n_positives"), F.count_if(~F.col("is_positive")).alias("n_negatives"), F.count("*").alias("n_samples"))
+
+
+def drawn_images(windows: DataFrame) -> DataFrame:
+    """image_id and n, the number of windows drawn on it, of images that have any."""
+    return windows.groupBy("image_id").agg(F.count("*").alias("n"))
+
+
 def drawn_ordinals(spark: SparkSession, num: int, size: int, seed: int = 0) -> DataFrame:
     """num rows (target_id, ordinal), each ordinal drawn by hash from 0 to size - 1, with repeats."""
     if size <= 0:

@@ -282,3 +282,4 @@ def infer_target_center(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from . import decisions, pixels, rasters, samples, selection, stored, wide  # noqa: E402,F401  they register their own queries
+from . import files, requests  # noqa: E402,F401  isort: skip

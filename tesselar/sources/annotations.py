@@ -45,11 +45,13 @@ class Dataset:
     categories: DataFrame
 
     def subset(self, image_ids: DataFrame) -> Dataset:
-        """The dataset of the images named in column id of image_ids."""
+        """The dataset of the images named in column id of image_ids, with the videos that these belong to."""
         ids = image_ids.select("id").distinct()
         images = self.images.join(ids, "id", "left_semi")
         annots = self.annots.join(ids.withColumnRenamed("id", "image_id"), "image_id", "left_semi")
-        return Dataset(images, self.videos, annots, self.categories)
+        shown = images.where("video_id is not null").select(F.col("video_id").alias("id")).distinct() if "video_id" in images.columns else None
+        videos = self.videos if shown is None else self.videos.join(shown, "id", "left_semi")
+        return Dataset(images, videos, annots, self.categories)
 
 
 def derived(spark: SparkSession, sf_dir: str) -> Dataset:
