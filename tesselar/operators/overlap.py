@@ -52,7 +52,8 @@ def overlaps_by_cell(windows: DataFrame, annots: DataFrame, visible: float = 0.0
     on = on & g.touches(b, w) & (F.col("_cx") == first("x1")) & (F.col("_cy") == first("y1"))
     if visible > 0:
         on = on & (g.iooa(w, b) > visible)
-    met = keyed.join(a, on)
+    # Spark takes exploded tables for as small as they were, and would broadcast them.
+    met = keyed.join(a.hint("merge"), on)
     return met.select(*windows.columns, "aid", "category_id", g.iou(w, b).alias("iou"), g.iooa(w, b).alias("iooa"), g.shared_area(w, b).alias("shared"), g.area(b).alias("annot_area"))
 
 

@@ -51,3 +51,10 @@ def test_negatives_in_rounds(spark):
     full = dataset(spark, [(1, 50, 50)], [(1, 1, 1, 0.0, 0.0, 50.0, 50.0)])
     with pytest.warns(UserWarning, match="0 of 3"):
         assert sampling.random_negatives(full, (10, 10), 3).count() == 0
+
+
+def test_exploded_sides_are_not_broadcast(spark):
+    """Cells multiply both sides, which Spark's sizes don't show."""
+    windows = spark.createDataFrame([(1, 0.0, 0.0, 500.0, 500.0)], "image_id long, x1 double, y1 double, x2 double, y2 double")
+    met = overlap.overlaps_by_cell(windows, spark.createDataFrame([(7, 1, 1, 3.0, 4.0, 900.0, 900.0)], ANNOTS), cell=10)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 1
