@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as g
 from ..sources.annotations import Dataset
 from ..sources.staging import staged
-from .rasters import TILE
+from .rasters import TILE, MadeTiles
 from .resample import BAND, NAN, aligned_lines, fused_lines
 from .samples import listed_annotations
 from .targets import sample_boxes, sample_frames
@@ -105,7 +105,7 @@ def sample_grids(frames: DataFrame, assets: DataFrame) -> DataFrame:
 def sample_lines(
     resolved: DataFrame,
     data: Dataset,
-    tiles: DataFrame,
+    tiles: DataFrame | MadeTiles,
     assets: DataFrame,
     channels: str | None = None,
     interpolation: str | None = None,
@@ -140,7 +140,7 @@ def sample_lines(
     return rows.select(F.col("sample_id").alias("target_id"), "rel_frame", "image_id", "y", *[F.transform(values(c), cast).alias(c) for c in wanted])
 
 
-def load_pixels(resolved: DataFrame, data: Dataset, tiles: DataFrame, assets: DataFrame, with_annots: str | None = "boxes", visible: float = 0.0, scale: float = 1.0, **how) -> DataFrame:
+def load_pixels(resolved: DataFrame, data: Dataset, tiles: DataFrame | MadeTiles, assets: DataFrame, with_annots: str | None = "boxes", visible: float = 0.0, scale: float = 1.0, **how) -> DataFrame:
     """One row for each frame of each sample: target_id, rel_frame, image_id, its slice and offset, lines and annots.
 
     lines is an array of structs (y and an array a channel) from top to bottom; annots an array as listed_annotations gives it, of that frame only

@@ -1,8 +1,8 @@
-"""Channels resampled onto a sample's grid: linear with smoothing, or nearest, as separable weighted sums on arrays.
+"""Channels resampled onto a sample's grid: linear with smoothing, or nearest, as separable weighted sums on arrays in tasks.
 
 A grid is cut into bands of at most BAND lines. A band's source region is what its pixels take weight from, so it reaches past
-tile borders (its halo); the tiles it meets are joined once, by image, channel and tile, and put together to whole source lines. Then each
-source line is resampled along x and the lines are summed along y. So a row is a band or a line, never a pixel, and no row grows with
+tile borders (its halo); the tiles it meets are joined once, by image, channel and tile, and dealt by bands. A task puts the parts of a band together,
+resamples its source lines along x and sums them along y. So a row is a band or a line, never a pixel, and no row grows with
 the height of an image.
 
 A pixel of the grid has its centre at u + 0.5, which the map takes to c in the channel. Linear weights fall from c to both sides, to nothing at a distance of
@@ -13,94 +13,118 @@ Maps may scale, shift and flip; those that turn or shear are for rasters.aligned
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from ..sources.staging import staged
-from .rasters import TILE, largest_part, region_lines
+from .rasters import TILE, MadeTiles, bands_with_tiles, largest_part, pictures_by_band
 
 BAND = 64
 NAN = float("nan")
 
 
-def total(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-
-
-def taps(u: Column, a: Column, t: Column, n: Column, linear: bool) -> Column:
-    """First source pixel, weights and their sum for pixel u of a grid; null outside of 0 .. n - 1."""
-    c = a * (u + 0.5) + t
-    if linear:
-        half = F.greatest(F.abs(a), F.lit(1.0))
-        first = F.greatest(F.floor(c - half - 0.5) + 1, F.lit(0)).cast("int")
-        last = F.least(F.ceil(c + half - 0.5) - 1, n - 1).cast("int")
-        weights = F.transform(F.sequence(first, last), lambda j: 1 - F.abs(j + 0.5 - c) / half)
-    else:
-        first, weights = F.floor(c).cast("int"), F.array(F.lit(1.0))
-    return F.when((c >= 0) & (c < n), F.struct(first.alias("first"), weights.alias("w"), total(weights).alias("sum")))
-
-
-def reach(all_taps: Column) -> tuple[Column, Column]:
-    """First and past last source pixel that taps need; null where they need none."""
-    used = F.filter(all_taps, lambda p: p.isNotNull())
-    return F.array_min(F.transform(used, lambda p: p["first"])), F.array_max(F.transform(used, lambda p: p["first"] + F.size(p["w"])))
+#: What a band's lines are named by.
+KEYS = ["sample_id", "rel_frame", "channel", "ya", "x0"]
+
+
+@lru_cache(maxsize=4096)
+def taps(lo: int, hi: int, a: float, t: float, n: int, linear: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For pixels lo .. hi - 1 of a grid: whether they are inside of 0 .. n - 1, their first source pixels, weights (0 past the last) and sums of these."""
+    c = a * (np.arange(lo, hi) + 0.5) + t
+    inside = (c >= 0) & (c < n)
+    c = np.where(inside, c, 0.5)
+    if not linear:
+        return inside, np.floor(c).astype(np.int64), np.ones((len(c), 1)), np.ones(len(c))
+    half = max(abs(a), 1.0)
+    first = np.maximum(np.floor(c - half - 0.5) + 1, 0).astype(np.int64)
+    last = np.minimum(np.ceil(c + half - 0.5) - 1, n - 1).astype(np.int64)
+    j = first[:, None] + np.arange((last - first).max() + 1)
+    weights = np.where(j <= last[:, None], 1 - np.abs(j + 0.5 - c[:, None]) / half, 0.0)
+    weights[first == last] = np.arange(weights.shape[1]) == 0  # a lone pixel is taken as it is
+    total = np.zeros(len(c))
+    for k in range(weights.shape[1]):
+        total = total + weights[:, k]
+    return inside, first, weights, total
+
+
+def across(lines: np.ndarray, gone: np.ndarray | None, start: int, found: tuple) -> tuple[np.ndarray, np.ndarray | None]:
+    """lines (the first column is source pixel `start`) resampled along columns, and which of the results are null."""
+    inside, first, weights, sums = found
+    out = np.zeros((lines.shape[0], len(first)))
+    lost = None if gone is None else np.zeros(out.shape, bool)
+    for k in range(weights.shape[1]):
+        used = weights[:, k] != 0
+        at = np.clip(first - start + k, 0, lines.shape[1] - 1)
+        part = lines[:, at] * weights[:, k]
+        out = out + (part if used.all() else np.where(used, part, 0.0))
+        if lost is not None:
+            lost |= gone[:, at] & used
+    return out / sums, lost
+
+
+def resampled(band: dict, parts: list, linear: bool, fill: float) -> np.ndarray:
+    """The lines of a band from the parts of tiles that it takes weight from."""
+    wy, wx = (taps(band[lo], band[hi], band[s], band[t], band[n], linear) for lo, hi, s, t, n in (("ya", "yb", "sy", "ty_", "height"), ("x0", "x1", "sx", "tx_", "width")))
+    shape = (band["yb"] - band["ya"], band["x1"] - band["x0"])
+    if not (wy[0].any() and wx[0].any()):
+        return np.full(shape, fill)
+    reach = lambda w: (int(w[1][w[0]].min()), int((w[1] + (w[2] != 0).sum(1))[w[0]].max()))
+    (top, bottom), (left, right) = reach(wy), reach(wx)
+    source, there = np.zeros((bottom - top, right - left)), np.zeros((bottom - top, right - left), np.int8)
+    gone = np.zeros(source.shape, bool) if any(g is not None for *_, g in parts) else None
+    for y, x, values, null in parts:
+        h, w = values.shape
+        y0, y1, x0, x1 = max(y, top), min(y + h, bottom), max(x, left), min(x + w, right)
+        if y0 < y1 and x0 < x1:
+            source[y0 - top : y1 - top, x0 - left : x1 - left] = values[y0 - y : y1 - y, x0 - x : x1 - x]
+            there[y0 - top : y1 - top, x0 - left : x1 - left] += 1
+            if null is not None:
+                gone[y0 - top : y1 - top, x0 - left : x1 - left] = null[y0 - y : y1 - y, x0 - x : x1 - x]
+    if not (there == 1).all():
+        raise ValueError(f"tiles are missing for {band}" if (there == 0).any() else f"tiles are repeated for {band}")
+    lines, gone = across(source, gone, left, wx)
+    out, gone = across(lines.T, None if gone is None else gone.T, top, wy)
+    out = out.T
+    if gone is not None:
+        out = np.where(gone.T, fill, out)
+    return out if wy[0].all() and wx[0].all() else np.where(wy[0][:, None] & wx[0][None, :], out, fill)
 
 
 def bands_of(grids: DataFrame, linear: bool, band: int) -> DataFrame:
-    """Grids (sample_id, rel_frame, gid, channel, y0, y1, x0, x1, warp, height, width) cut into bands with their taps."""
+    """Grids (sample_id, rel_frame, gid, channel, y0, y1, x0, x1, warp, height, width) cut into bands; top .. right hold all that their pixels may take weight from, null if nothing does."""
     a, b, c, d, e, f = g.affine(F.col("warp"))
     turned = F.raise_error(F.lit("a map that turns or shears can't be resampled along lines")).cast("double")
     rows = grids.where("y1 > y0 and x1 > x0").withColumns({"sx": F.when((b == 0) & (d == 0), a).otherwise(turned), "tx_": c, "sy": e, "ty_": f})
     rows = rows.withColumn("ya", F.explode(F.sequence(F.col("y0"), F.col("y1") - 1, F.lit(band).cast("long")))).withColumn("yb", F.least(F.col("ya") + band, F.col("y1")))
-    over = lambda lo, hi, s, t, n: F.transform(F.sequence(lo, hi - 1), lambda u: taps(u, F.col(s), F.col(t), F.col(n), linear))
-    rows = rows.withColumns({"wx": over(F.col("x0"), F.col("x1"), "sx", "tx_", "width"), "wy": over(F.col("ya"), F.col("yb"), "sy", "ty_", "height")})
-    (top, bottom), (left, right) = reach(F.col("wy")), reach(F.col("wx"))
-    rows = rows.withColumns({"top": top, "bottom": bottom, "left": left, "right": right})
-    return rows.withColumn("band", F.struct("sample_id", "rel_frame", "channel", "ya")).select("band", "gid", "x0", "wx", "wy", "top", "bottom", "left", "right")
-
-
-def resampled(band: Column, wx: Column, wy: Column, top: Column, left: Column, fill: float) -> Column:
-    """Lines of a band from its source lines (arrays that begin at `left`, the first one `top`)."""
-
-    def across(line: Column) -> Column:
-        part = lambda p: F.slice(line, (p["first"] - left + 1).cast("int"), F.size(p["w"]))
-        summed = lambda p: total(F.zip_with(part(p), p["w"], lambda v, w: v * w)) / p["sum"]
-        return F.transform(wx, lambda p: F.when(F.size(p["w"]) == 1, F.get(line, (p["first"] - left).cast("int"))).when(p.isNotNull(), summed(p)))
 
-    def down(lines: Column) -> Column:
-        outside = F.transform(wx, lambda p: F.lit(float(fill)))
-        zero = F.transform(wx, lambda p: F.lit(0.0))
-        weighted = lambda p: F.zip_with(F.slice(lines, (p["first"] - top + 1).cast("int"), F.size(p["w"])), p["w"], lambda line, w: F.transform(line, lambda v: v * w))
-        summed = lambda p: F.aggregate(weighted(p), zero, lambda a, line: F.zip_with(a, line, lambda x, y: x + y), lambda a: F.transform(a, lambda v: F.coalesce(v / p["sum"], F.lit(float(fill)))))
-        lone = lambda p: F.transform(F.get(lines, (p["first"] - top).cast("int")), lambda v: F.coalesce(v, F.lit(float(fill))))
-        return F.transform(wy, lambda p: F.when(p.isNull(), outside).when(F.size(p["w"]) == 1, lone(p)).otherwise(summed(p)))
+    def reach(lo: str, hi: str, s: str, t: str, n: str) -> tuple[Column, Column]:
+        own, size = F.col(s), F.col(n)
+        ends = [own * (u + 0.5) + F.col(t) for u in (F.col(lo), F.col(hi) - 1)]
+        least, most = F.least(*ends), F.greatest(*ends)
+        near, far = F.greatest(least, F.lit(0.0)), F.least(most, size.cast("double"))
+        half = F.greatest(F.abs(own), F.lit(1.0))
+        first = F.greatest(F.floor(near - half - 0.5) + 1, F.lit(0)) if linear else F.floor(near)
+        last = F.ceil(far + half - 0.5) if linear else F.floor(far) + 1
+        return tuple(F.when((most >= 0) & (least < size), v).cast("long") for v in (first, F.least(last, size)))
 
-    # The array of one element holds the lines resampled along x, so that they are made once a band.
-    return F.get(F.transform(F.array(F.transform(band, across)), down), F.lit(0))
+    (top, bottom), (left, right) = reach("ya", "yb", "sy", "ty_", "height"), reach("x0", "x1", "sx", "tx_", "width")
+    both = lambda v: F.when(top.isNotNull() & left.isNotNull(), v)
+    rows = rows.withColumns({"top": both(top), "bottom": both(bottom), "left": both(left), "right": both(right)})
+    return rows.select(*KEYS, "yb", "x1", "gid", "height", "width", "sx", "tx_", "sy", "ty_", "top", "bottom", "left", "right")
 
 
-def aligned_lines(tiles: DataFrame, grids: DataFrame, linear: bool = True, fill: float = NAN, tile: int = TILE, band: int = BAND) -> DataFrame:
+def aligned_lines(tiles: DataFrame | MadeTiles, grids: DataFrame, linear: bool = True, fill: float = NAN, tile: int = TILE, band: int = BAND) -> DataFrame:
     """sample_id, rel_frame, channel, y, x (of the first pixel) and values of every line of every grid.
 
     grids: sample_id, rel_frame, gid, channel, y0, y1, x0, x1 (of the grid; one gid for each sample, frame and channel), warp (six numbers, grid to channel coordinates, pixel centres at halves), height and width of the channel.
     A band whose tiles are not all there is an error.
     """
-    bands = staged(bands_of(grids, linear, band), "bands")  # else conditions on what taps reach are pushed into every pixel's weights
-    long = lambda c: F.col(c).cast("long")
-    regions = bands.where("top is not null and left is not null").select(F.col("band").alias("sample_id"), "gid", F.col("band.channel").alias("channel"), long("top").alias("y0"), long("bottom").alias("y1"), long("left").alias("x0"), long("right").alias("x1"))
-    runs = region_lines(tiles, regions, tile).select(F.col("sample_id").alias("key"), "y", "x", "values").repartition("key")
-    whole = runs.groupBy("key", "y").agg(F.array_sort(F.collect_list(F.struct("x", "values"))).alias("runs"))
-    whole = whole.select("key", "y", F.flatten(F.transform("runs", lambda r: r["values"])).alias("line"))
-    patches = whole.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda s: s["line"]).alias("lines"))
-    rows = bands.join(patches, F.col("band") == F.col("key"), "left")
-    width = F.coalesce(F.size(F.get("lines", F.lit(0))), F.lit(0))
-    short = (F.coalesce(F.size("lines"), F.lit(0)) != F.col("bottom") - F.col("top")) | (width != F.col("right") - F.col("left"))
-    missing = F.raise_error(F.concat(F.lit("tiles are missing for "), F.to_json("band"))).cast("array<array<double>>")
-    blank = F.transform("wy", lambda p: F.transform("wx", lambda q: F.lit(float(fill))))
-    made = resampled(F.col("lines"), F.col("wx"), F.col("wy"), F.col("top"), F.col("left"), fill)
-    lines = F.when(F.col("top").isNull() | F.col("left").isNull(), blank).when(short, missing).otherwise(made)
-    return rows.select("band", "x0", F.posexplode(lines).alias("at", "values")).select("band.sample_id", "band.rel_frame", "band.channel", (F.col("band.ya") + F.col("at")).alias("y"), F.col("x0").alias("x"), "values")
+    rows = bands_with_tiles(tiles, bands_of(grids, linear, band), KEYS, tile)
+    made = pictures_by_band(rows, KEYS, lambda row, parts: resampled(row, parts, linear, float(fill)))
+    return made.select(*KEYS, F.posexplode("lines").alias("at", "values")).select("sample_id", "rel_frame", "channel", (F.col("ya") + F.col("at")).alias("y"), F.col("x0").alias("x"), "values")
 
 
 def fused_lines(lines: DataFrame, channels: list[str]) -> DataFrame:
@@ -111,7 +135,7 @@ def fused_lines(lines: DataFrame, channels: list[str]) -> DataFrame:
     return wide.select("sample_id", "rel_frame", "y", "x", *[F.coalesce(c, F.array_repeat(F.lit(NAN), width)).alias(n) for c, n in zip(own, channels)])
 
 
-def realigned(tiles: DataFrame, parts: DataFrame, linear: bool = True, tile: int = TILE, band: int = BAND) -> DataFrame:
+def realigned(tiles: DataFrame | MadeTiles, parts: DataFrame, linear: bool = True, tile: int = TILE, band: int = BAND) -> DataFrame:
     """All channels of each image on the grid of its largest one, as lines (sample_id is the image).
 
     parts: gid, channel, height, width and warp (part to image) of every channel; the map from the largest part's grid to a part goes by the image.

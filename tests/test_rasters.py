@@ -112,3 +112,25 @@ def test_tile_store(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
     again.close()
+
+
+def test_made_tiles(spark):
+    """Tiles whose pixels are made after the joins give the lines that stored ones give; they are neither broadcast nor made in the tasks of the file."""
+    channels = spark.createDataFrame([(g, c, k, 9 + g, 6 + k) for g in range(6) for k, c in enumerate("rg")], "gid long, channel string, c int, height int, width int")
+    made = rasters.MadeTiles(rasters.tile_layout(channels, TILE), lambda column, y, x: column("gid") * 100 + y * 10 + x + column("c") * 7, TILE)
+    stored = rasters.made_tiles(channels, lambda y, x: F.col("gid") * 100 + y * 10 + x, TILE)
+    stored = stored.withColumn("values", F.transform("values", lambda v: v + F.when(F.col("channel") == "g", 7).otherwise(0)))
+    rows = lambda df: sorted(map(repr, df.collect()))
+    assert rows(made.frame()) == rows(stored.select(made.frame().columns))
+    regions = spark.createDataFrame([(k, k % 6, -2, 7 + k, 1, 5 + k) for k in range(9)], "sample_id long, gid long, y0 long, y1 long, x0 long, x1 long")
+    lines = rasters.region_lines(made, regions, TILE)
+    assert "Broadcast" not in lines._jdf.queryExecution().executedPlan().toString()
+    assert rows(lines) == rows(rasters.region_lines(stored, regions, TILE))
+    wanted = regions.select("sample_id", F.explode(F.array(*map(F.lit, "rgq"))).alias("channel"))
+    for band in (2, 64):
+        padded = rasters.padded_lines(made, regions, wanted, -1.0, TILE, band)
+        assert padded.count() == 3 * sum(9 + k for k in range(9)) and rows(padded) == rows(rasters.padded_lines(stored, regions, wanted, -1.0, TILE))
+    grids = regions.join(channels, "gid").withColumns({"rel_frame": F.lit(0), "warp": F.array(*[F.lit(v) for v in (0.7, 0.0, 0.2, 0.0, 1.9, 0.0)])})
+    aligned = resample.aligned_lines(made, grids, tile=TILE, band=3)
+    assert "Broadcast" not in aligned._jdf.queryExecution().executedPlan().toString()
+    assert rows(aligned) == rows(resample.aligned_lines(stored, grids, tile=TILE, band=64))
