@@ -47,6 +47,12 @@ def window_of(window: Column, width: Column, height: Column) -> tuple[Column, Co
     return F.when(window.contains(","), fixed(1)).otherwise(eh), F.when(window.contains(","), fixed(2)).otherwise(ew)
 
 
+def left_on(rows: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """rows left-joined with right by a whole-number key; rows without a key meet nothing, and are dealt to all tasks instead of to one."""
+    dealt = rows.withColumn("_dealt", F.coalesce(F.col(key), F.xxhash64("target_id")))
+    return dealt.join(right.withColumn("_dealt", F.col(key)), [key, "_dealt"], "left").drop("_dealt")
+
+
 def resolve(targets: DataFrame, data: Dataset) -> DataFrame:
     """One row a target: aid, gid, vidid, category_id, gids (frames in order), space_height, space_width, slices and padding.
 
@@ -57,16 +63,16 @@ def resolve(targets: DataFrame, data: Dataset) -> DataFrame:
     centre = (F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, F.col("w"), F.col("h"))
     known = data.annots.select(F.col("id").alias("aid"), F.col("image_id").alias("a_gid"), F.col("category_id").cast("long").alias("a_category_id"), *[F.when(F.col("x").isNotNull(), c.cast("double")).alias(f"a_{n}") for c, n in zip(centre, ("cx", "cy", "width", "height"))])
     filled = ("gid", "category_id", "cx", "cy", "width", "height")
-    t = t.join(known, "aid", "left").withColumns({c: F.coalesce(F.col(c), F.col(f"a_{c}")) for c in filled}).drop(*[f"a_{c}" for c in filled])
+    t = left_on(t, known, "aid").withColumns({c: F.coalesce(F.col(c), F.col(f"a_{c}")) for c in filled}).drop(*[f"a_{c}" for c in filled])
     given = common_video(targets, data.images).select("target_id", F.col("video_id").alias("v"))
     t = t.join(given, "target_id", "left").withColumn("vidid", F.coalesce("vidid", "v")).drop("v")
     is_video = F.col("vidid").isNotNull() | F.col("gids").isNotNull()
     frames = ordered_frames(data.images).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("place", "image_id"))).alias("frames"))
     videos = data.videos.select(F.col("id").alias("vidid"), F.col("height").alias("v_height"), F.col("width").alias("v_width")).join(frames.withColumnRenamed("video_id", "vidid"), "vidid", "left")
-    t = t.join(videos, "vidid", "left")
+    t = left_on(t, videos, "vidid")
     lone = F.when(~is_video, F.col("gid")).when(F.col("vidid").isNull() & (F.size("gids") == 1), F.get("gids", F.lit(0)))
     images = data.images.select(F.col("id").alias("lone"), F.col("height").alias("i_height"), F.col("width").alias("i_width"))
-    t = t.withColumn("lone", lone).join(images, "lone", "left")
+    t = left_on(t.withColumn("lone", lone), images, "lone")
     missing = F.raise_error(F.concat(F.lit("a target has neither image nor video: "), F.col("target_id").cast("string"))).cast("long")
     size = lambda c: F.when(is_video | F.col("gid").isNotNull(), F.coalesce(f"v_{c}", f"i_{c}").cast("long")).otherwise(missing)
     t = t.withColumns({"space_height": size("height"), "space_width": size("width")})
