@@ -13,14 +13,12 @@ Maps may scale, shift and flip; those that turn or shear are for rasters.aligned
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from .rasters import TILE, MadeTiles, bands_with_tiles, largest_part, pictures_by_band
+from .rasters import TILE, MadeTiles, Parts, Summary, largest_part, pictures_by_band, spots
 
 BAND = 64
 NAN = float("nan")
@@ -30,19 +28,18 @@ NAN = float("nan")
 KEYS = ["sample_id", "rel_frame", "channel", "ya", "x0"]
 
 
-@lru_cache(maxsize=4096)
-def taps(lo: int, hi: int, a: float, t: float, n: int, linear: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For pixels lo .. hi - 1 of a grid: whether they are inside of 0 .. n - 1, their first source pixels, weights (0 past the last) and sums of these."""
-    c = a * (np.arange(lo, hi) + 0.5) + t
+def taps(u: np.ndarray, a: np.ndarray, t: np.ndarray, n: np.ndarray, linear: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For pixels u of grids: whether they are inside of 0 .. n - 1, their first source pixels, weights (0 past the last) and sums of these."""
+    c = a * (u + 0.5) + t
     inside = (c >= 0) & (c < n)
     c = np.where(inside, c, 0.5)
     if not linear:
         return inside, np.floor(c).astype(np.int64), np.ones((len(c), 1)), np.ones(len(c))
-    half = max(abs(a), 1.0)
+    half = np.maximum(np.abs(a), 1.0)
     first = np.maximum(np.floor(c - half - 0.5) + 1, 0).astype(np.int64)
     last = np.minimum(np.ceil(c + half - 0.5) - 1, n - 1).astype(np.int64)
-    j = first[:, None] + np.arange((last - first).max() + 1)
-    weights = np.where(j <= last[:, None], 1 - np.abs(j + 0.5 - c[:, None]) / half, 0.0)
+    j = first[:, None] + np.arange((last - first).max(initial=0) + 1)
+    weights = np.where(j <= last[:, None], 1 - np.abs(j + 0.5 - c[:, None]) / half[:, None], 0.0)
     weights[first == last] = np.arange(weights.shape[1]) == 0  # a lone pixel is taken as it is
     total = np.zeros(len(c))
     for k in range(weights.shape[1]):
@@ -50,47 +47,64 @@ def taps(lo: int, hi: int, a: float, t: float, n: int, linear: bool) -> tuple[np
     return inside, first, weights, total
 
 
-def across(lines: np.ndarray, gone: np.ndarray | None, start: int, found: tuple) -> tuple[np.ndarray, np.ndarray | None]:
-    """lines (the first column is source pixel `start`) resampled along columns, and which of the results are null."""
-    inside, first, weights, sums = found
-    out = np.zeros((lines.shape[0], len(first)))
-    lost = None if gone is None else np.zeros(out.shape, bool)
+def along(values: np.ndarray, gone: np.ndarray | None, start: np.ndarray, step: np.ndarray | int, most: np.ndarray, first: np.ndarray, own: np.ndarray, weights: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Weighted means along an axis, and which are null: result i is of the values at start[i] + step * (first[i] + k), k counting on to at most most[i], by the weights of own[i]."""
+    out = np.zeros(len(own))
+    lost = None if gone is None else np.zeros(len(own), bool)
     for k in range(weights.shape[1]):
-        used = weights[:, k] != 0
-        at = np.clip(first - start + k, 0, lines.shape[1] - 1)
-        part = lines[:, at] * weights[:, k]
+        weight = weights[own, k]
+        used = weight != 0
+        at = start + step * np.clip(first + k, 0, most)
+        part = values[at] * weight
         out = out + (part if used.all() else np.where(used, part, 0.0))
         if lost is not None:
-            lost |= gone[:, at] & used
-    return out / sums, lost
-
-
-def resampled(band: dict, parts: list, linear: bool, fill: float) -> np.ndarray:
-    """The lines of a band from the parts of tiles that it takes weight from."""
-    wy, wx = (taps(band[lo], band[hi], band[s], band[t], band[n], linear) for lo, hi, s, t, n in (("ya", "yb", "sy", "ty_", "height"), ("x0", "x1", "sx", "tx_", "width")))
-    shape = (band["yb"] - band["ya"], band["x1"] - band["x0"])
-    if not (wy[0].any() and wx[0].any()):
-        return np.full(shape, fill)
-    reach = lambda w: (int(w[1][w[0]].min()), int((w[1] + (w[2] != 0).sum(1))[w[0]].max()))
-    (top, bottom), (left, right) = reach(wy), reach(wx)
-    source, there = np.zeros((bottom - top, right - left)), np.zeros((bottom - top, right - left), np.int8)
-    gone = np.zeros(source.shape, bool) if any(g is not None for *_, g in parts) else None
-    for y, x, values, null in parts:
-        h, w = values.shape
-        y0, y1, x0, x1 = max(y, top), min(y + h, bottom), max(x, left), min(x + w, right)
-        if y0 < y1 and x0 < x1:
-            source[y0 - top : y1 - top, x0 - left : x1 - left] = values[y0 - y : y1 - y, x0 - x : x1 - x]
-            there[y0 - top : y1 - top, x0 - left : x1 - left] += 1
-            if null is not None:
-                gone[y0 - top : y1 - top, x0 - left : x1 - left] = null[y0 - y : y1 - y, x0 - x : x1 - x]
+            lost |= gone[at] & used
+    return out / sums[own], lost
+
+
+def axis(some: dict, names: tuple[str, ...], linear: bool) -> tuple[tuple, np.ndarray, np.ndarray, np.ndarray]:
+    """Along one axis of bands: taps of all pixels, where a band's begin, and from where to where (0 and 0 where no pixel is inside) these reach in the source."""
+    lo, hi, s, t, n = (some[c] for c in names)
+    size = (hi - lo).astype(np.int64)
+    base = np.cumsum(size) - size
+    which = np.repeat(np.arange(len(size)), size)
+    found = taps(np.arange(len(which)) - base[which] + lo[which], s[which], t[which], n[which], linear)
+    inside, first, weights, _ = found
+    far = np.iinfo(np.int64).max
+    least = np.minimum.reduceat(np.where(inside, first, far), base)
+    most = np.maximum.reduceat(np.where(inside, first + (weights != 0).sum(1), 0), base)
+    return found, base, np.where(least == far, 0, least), most
+
+
+def resampled(some: dict, parts: Parts, linear: bool, fill: float) -> np.ndarray:
+    """The pixels of bands, one after the other, from the parts of tiles that they take weight from."""
+    (wy, row, top, bottom), (wx, column, left, right) = (axis(some, names, linear) for names in (("ya", "yb", "sy", "ty_", "height"), ("x0", "x1", "sx", "tx_", "width")))
+    live = (bottom > top) & (right > left)
+    top, bottom, left, right = (np.where(live, v, 0) for v in (top, bottom, left, right))
+    source, there, gone = parts.pasted(top, bottom, left, right, 0.0)
+    high, wide = bottom - top, right - left
     if not (there == 1).all():
-        raise ValueError(f"tiles are missing for {band}" if (there == 0).any() else f"tiles are repeated for {band}")
-    lines, gone = across(source, gone, left, wx)
-    out, gone = across(lines.T, None if gone is None else gone.T, top, wy)
-    out = out.T
-    if gone is not None:
-        out = np.where(gone.T, fill, out)
-    return out if wy[0].all() and wx[0].all() else np.where(wy[0][:, None] & wx[0][None, :], out, fill)
+        bad = int(np.flatnonzero(there != 1)[0])
+        band = int(np.searchsorted(np.cumsum(high * wide), bad, "right"))
+        raise ValueError(f"tiles are {'repeated' if there[bad] else 'missing'} for { {c: v[band] for c, v in some.items()} }")
+    grid_high, grid_wide = ((some[b] - some[a]).astype(np.int64) for a, b in (("ya", "yb"), ("x0", "x1")))
+    out = np.full((grid_high * grid_wide).sum(), float(fill))
+    keep = np.repeat(live, grid_high * grid_wide)
+    if not live.any():
+        return out
+    begin = lambda size: np.cumsum(size) - size
+    # Along x for each line of the source, then along y.
+    which, i, x = spots(np.where(live, high, 0), grid_wide)
+    own = column[which] + x
+    lines, lost = along(source, gone, begin(high * wide)[which] + i * wide[which], 1, wide[which] - 1, wx[1][own] - left[which], own, wx[2], wx[3])
+    which, y, x = spots(np.where(live, grid_high, 0), grid_wide)
+    own = row[which] + y
+    made, lost = along(lines, lost, begin(np.where(live, high, 0) * grid_wide)[which] + x, grid_wide[which], high[which] - 1, wy[1][own] - top[which], own, wy[2], wy[3])
+    good = wy[0][own] & wx[0][column[which] + x]
+    if lost is not None:
+        good &= ~lost
+    out[keep] = np.where(good, made, fill)
+    return out
 
 
 def bands_of(grids: DataFrame, linear: bool, band: int) -> DataFrame:
@@ -116,15 +130,14 @@ def bands_of(grids: DataFrame, linear: bool, band: int) -> DataFrame:
     return rows.select(*KEYS, "yb", "x1", "gid", "height", "width", "sx", "tx_", "sy", "ty_", "top", "bottom", "left", "right")
 
 
-def aligned_lines(tiles: DataFrame | MadeTiles, grids: DataFrame, linear: bool = True, fill: float = NAN, tile: int = TILE, band: int = BAND) -> DataFrame:
+def aligned_lines(tiles: DataFrame | MadeTiles, grids: DataFrame, linear: bool = True, fill: float = NAN, tile: int = TILE, band: int = BAND, then: Summary | None = None) -> DataFrame:
     """sample_id, rel_frame, channel, y, x (of the first pixel) and values of every line of every grid.
 
     grids: sample_id, rel_frame, gid, channel, y0, y1, x0, x1 (of the grid; one gid for each sample, frame and channel), warp (six numbers, grid to channel coordinates, pixel centres at halves), height and width of the channel.
-    A band whose tiles are not all there is an error.
+    A band whose tiles are not all there is an error. `then` puts a summary in place of values.
     """
-    rows = bands_with_tiles(tiles, bands_of(grids, linear, band), KEYS, tile)
-    made = pictures_by_band(rows, KEYS, lambda row, parts: resampled(row, parts, linear, float(fill)))
-    return made.select(*KEYS, F.posexplode("lines").alias("at", "values")).select("sample_id", "rel_frame", "channel", (F.col("ya") + F.col("at")).alias("y"), F.col("x0").alias("x"), "values")
+    picture = lambda some, parts: resampled(some, parts, linear, float(fill))
+    return pictures_by_band(tiles, bands_of(grids, linear, band), KEYS, ("ya", "x0"), ("yb", "x1"), picture, tile, then).drop("ya", "x0")
 
 
 def fused_lines(lines: DataFrame, channels: list[str]) -> DataFrame:
@@ -135,7 +148,7 @@ def fused_lines(lines: DataFrame, channels: list[str]) -> DataFrame:
     return wide.select("sample_id", "rel_frame", "y", "x", *[F.coalesce(c, F.array_repeat(F.lit(NAN), width)).alias(n) for c, n in zip(own, channels)])
 
 
-def realigned(tiles: DataFrame | MadeTiles, parts: DataFrame, linear: bool = True, tile: int = TILE, band: int = BAND) -> DataFrame:
+def realigned(tiles: DataFrame | MadeTiles, parts: DataFrame, linear: bool = True, tile: int = TILE, band: int = BAND, then: Summary | None = None) -> DataFrame:
     """All channels of each image on the grid of its largest one, as lines (sample_id is the image).
 
     parts: gid, channel, height, width and warp (part to image) of every channel; the map from the largest part's grid to a part goes by the image.
@@ -148,4 +161,4 @@ def realigned(tiles: DataFrame | MadeTiles, parts: DataFrame, linear: bool = Tru
     grids = parts.join(big, "gid").select(
         F.col("gid").alias("sample_id"), F.lit(0).alias("rel_frame"), "gid", "channel", zero.alias("y0"), F.col("big_height").cast("long").alias("y1"), zero.alias("x0"), F.col("big_width").cast("long").alias("x1"), F.array(*between).alias("warp"), "height", "width"
     )
-    return aligned_lines(tiles, grids, linear, NAN, tile, band)
+    return aligned_lines(tiles, grids, linear, NAN, tile, band, then)

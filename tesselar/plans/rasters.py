@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +27,7 @@ DIGEST = "count(*) AS n, sum(v) AS total, sum(v * ((y * 31 + x * 17) % 101)) AS
 
 
 def _value(column, y, x):
-    return (column("gid") * 31 + y * 13 + x * 7 + column("c") * 17) % 256
+    return (column("gid") * 31 + y * 13 + x * 7 + column("c") * 17) & 255  # % 256
 
 
 def _made(channels: DataFrame, value=_value) -> rasters.MadeTiles:
@@ -61,26 +58,24 @@ def _store(spark: SparkSession, sf_dir: str, which: str = "true") -> TileStore:
     return store
 
 
+def _sums(y: np.ndarray, x: np.ndarray, values: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Of the pixels of each line that are there."""
+    n = np.diff(at)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(values)) * 17 + np.repeat((x - at[:-1]) * 17 + y * 31, n)
+    there = ~np.isnan(values)
+    v, row, place = (values, row, place) if there.all() else (values[there], row[there], place[there])
+    return [np.bincount(row, w, len(n)).astype(t) for w, t in zip((None, v, v * np.fmod(place, 101)), (np.int64, np.float64, np.float64))]
+
+
+SUMS = rasters.Summary(_sums, "n long, total double, check_sum double")
+
+
 def _digest(lines: DataFrame, *keys: str) -> DataFrame:
-    """Digests of pixels that are there: sums of each line in its task, then of lines."""
-    rows = lines.select(*keys, "y", (F.col("x") if "x" in lines.columns else F.lit(0)).cast("long").alias("x"), "values")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v, at, _ = rasters.arrays_of(batch)
-            n = np.diff(at)
-            row = np.repeat(np.arange(batch.num_rows), n)
-            y, x = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("y", "x"))
-            place = np.arange(len(v)) * 17 + np.repeat((x - at[:-1]) * 17 + y * 31, n)
-            there = ~np.isnan(v)
-            whole = there.all()
-            v, row, place = (v, row, place) if whole else (v[there], row[there], place[there])
-            sums = [np.bincount(row, w, batch.num_rows) for w in (None, v, v * np.fmod(place, 101))]
-            made = [pa.array(s.astype(t)) for s, t in zip(sums, (np.int64, np.float64, np.float64))]
-            yield pa.RecordBatch.from_arrays([*batch.select(list(keys)).columns, *made], names=[*keys, "n", "total", "check_sum"])
-
-    kept = ", ".join(f"{k} {t}" for k, t in lines.select(*keys).dtypes)
-    return rows.mapInArrow(run, f"{kept}, n long, total double, check_sum double").where("n > 0").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "total", "check_sum")])
+    """Digests of pixels that are there: sums of each line in its task (lines may have them already), then of lines."""
+    if "values" in lines.columns:
+        lines = rasters.summarized(lines.select(*keys, "y", (F.col("x") if "x" in lines.columns else F.lit(0)).cast("long").alias("x"), "values"), SUMS)
+    return lines.where("n > 0").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "total", "check_sum")])
 
 
 @registered("region_pixels", PIXELS + f" SELECT gid AS sample_id, channel, {DIGEST} FROM pix WHERE y >= 3 AND y < 12 AND x >= 5 AND x < 22 GROUP BY ALL")
@@ -109,7 +104,7 @@ def tile_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def image_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, _, tiles = _raster(spark, sf_dir)
     regions = _whole(d.images).withColumn("channel", F.lit("g"))
-    return _digest(rasters.region_lines(tiles, regions, TILE), "sample_id")
+    return _digest(rasters.region_lines(tiles, regions, TILE, SUMS), "sample_id")
 
 
 @registered("sample_2d_padded", PIXELS + """,
@@ -121,7 +116,7 @@ def sample_2d_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, channels, tiles = _raster(spark, sf_dir)
     regions = d.images.select(F.col("id").alias("sample_id"), F.col("id").alias("gid"), F.lit(-3).cast("long").alias("y0"), F.lit(12).cast("long").alias("y1"), F.lit(-2).cast("long").alias("x0"), (F.col("width") / 20 + 4).cast("long").alias("x1"))
     wanted = channels.where("channel <> 'b'").select(F.col("gid").alias("sample_id"), "channel")
-    return _digest(rasters.padded_lines(tiles, regions, wanted, -1.0, TILE), "sample_id", "channel")
+    return _digest(rasters.padded_lines(tiles, regions, wanted, -1.0, TILE, then=SUMS), "sample_id", "channel")
 
 
 def _whole_grid(channels: DataFrame, scale) -> DataFrame:
@@ -135,7 +130,7 @@ SELECT i.gid AS sample_id, count(*) AS n, sum(v) AS total, sum(v * ((i.y * 31 +
 def channel_align_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, channels, tiles = _raster(spark, sf_dir)
     aux = channels.where("channel = 'b'")
-    return _digest(resample.aligned_lines(tiles, _whole_grid(aux, F.lit(1 / 3)), linear=False, tile=TILE), "sample_id")
+    return _digest(resample.aligned_lines(tiles, _whole_grid(aux, F.lit(1 / 3)), linear=False, tile=TILE, then=SUMS), "sample_id")
 
 
 def linear_sql(pixels: str, grid: str, factor: str, n: str) -> str:
@@ -161,7 +156,7 @@ SELECT gid AS sample_id, """ + ROUNDED + " FROM " + linear_sql("pix", "gx", "(1
 def channel_align_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coarse channel on its image's grid, three pixels for each one."""
     _, channels, tiles = _raster(spark, sf_dir)
-    return _rounded(resample.aligned_lines(tiles, _whole_grid(channels.where("channel = 'b'"), F.lit(1 / 3)), tile=TILE), "sample_id")
+    return _rounded(resample.aligned_lines(tiles, _whole_grid(channels.where("channel = 'b'"), F.lit(1 / 3)), tile=TILE, then=SUMS), "sample_id")
 
 
 @registered("channels_shrunk_smooth", PIXELS + """,
@@ -172,7 +167,7 @@ def channels_shrunk_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, channels, tiles = _raster(spark, sf_dir)
     c = lambda v: F.lit(v).cast("long")
     grids = _whole_grid(channels.where("channel <> 'b'"), F.lit(2.0)).withColumns({"y0": c(-2), "y1": c(9), "x0": c(-1), "x1": c(14)})
-    return _rounded(resample.aligned_lines(tiles, grids, tile=TILE, band=4), "sample_id", "channel")
+    return _rounded(resample.aligned_lines(tiles, grids, tile=TILE, band=4, then=SUMS), "sample_id", "channel")
 
 
 @registered("realigned_parts", PIXELS + """,
@@ -183,7 +178,7 @@ def realigned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, channels, tiles = _raster(spark, sf_dir)
     own = lambda s: F.array(*[F.lit(v) for v in (s, 0.0, 0.0, 0.0, s, 0.0)])
     parts = channels.select("gid", "channel", "height", "width", F.when(F.col("channel") == "b", own(6.0)).otherwise(own(2.0)).alias("warp"))
-    return _rounded(resample.realigned(tiles, parts, tile=TILE), "sample_id", "channel")
+    return _rounded(resample.realigned(tiles, parts, tile=TILE, then=SUMS), "sample_id", "channel")
 
 
 @registered("fused_region", PIXELS + " SELECT a.gid AS sample_id, count(*) AS n, sum(a.v * b.v) AS total FROM pix a JOIN pix b ON a.gid = b.gid AND a.y = b.y AND a.x = b.x AND a.channel = 'r' AND b.channel = 'g' WHERE a.y < 8 AND a.x < 8 GROUP BY ALL")
@@ -218,7 +213,7 @@ def sample_3d_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = lambda v: F.lit(v).cast("long")
     sizes = channels.where("channel = 'r'").select("gid", "height", "width")
     grids = grid.ordered_frames(d.images).where("place < 2").select(F.col("video_id").alias("sample_id"), F.col("place").alias("rel_frame"), F.col("image_id").alias("gid"), F.lit("r").alias("channel"), c(2).alias("y0"), c(8).alias("y1"), c(3).alias("x0"), c(11).alias("x1"), F.array(back, F.lit(0.0), F.lit(0.0), F.lit(0.0), back, F.lit(0.0)).alias("warp"))
-    return _digest(resample.aligned_lines(tiles, grids.join(sizes, "gid"), linear=False, tile=TILE), "sample_id", "rel_frame")
+    return _digest(resample.aligned_lines(tiles, grids.join(sizes, "gid"), linear=False, tile=TILE, then=SUMS), "sample_id", "rel_frame")
 
 
 @registered("native_jagged", PRELUDE + f", ch AS ({CHANNELS.format(images='images')}) SELECT gid, channel, height, width, round(img_width / width, 6) AS scale FROM ch")
@@ -258,7 +253,7 @@ def channel_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered("nonzero_check", PIXELS + " SELECT gid, channel, max(v * (gid % 7 <> 0)::INT) > 0 AS has_data FROM pix GROUP BY ALL")
 def nonzero_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     tiles = _made(_raster(spark, sf_dir)[1], lambda column, y, x: _value(column, y, x) * (column("gid") % 7 != 0))
-    return rasters.empty_channels(tiles.frame())
+    return rasters.empty_channels(tiles)
 
 
 @registered("tile_validation", PRELUDE + f""", ch AS ({CHANNELS.format(images='images')}), ti AS (SELECT gid, channel, ceil(height / 16) * ceil(width / 16) AS n FROM ch)

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,38 @@ def test_made_tiles(spark):
     aligned = resample.aligned_lines(made, grids, tile=TILE, band=3)
     assert "Broadcast" not in aligned._jdf.queryExecution().executedPlan().toString()
     assert rows(aligned) == rows(resample.aligned_lines(stored, grids, tile=TILE, band=64))
+
+
+def test_pixels_stay_in_their_tasks(spark):
+    """Sums of lines and checks of made tiles leave no pixels for Spark to move, and are those of stored tiles."""
+    channels = spark.createDataFrame([(g, c, k, 9 + g, 6 + k) for g in range(6) for k, c in enumerate("rg")], "gid long, channel string, c int, height int, width int")
+    value = lambda column, y, x: (column("gid") % 3) * (y * 10 + x + column("c"))
+    made = rasters.MadeTiles(rasters.tile_layout(channels, TILE), value, TILE)
+    stored = made.frame().localCheckpoint()
+    then = rasters.Summary(lambda y, x, values, at: [np.diff(np.concatenate(([0.0], np.cumsum(values)))[at]), y * 1000 + x], "total double, place long")
+    rows = lambda df: sorted(map(repr, df.collect()))
+    regions = spark.createDataFrame([(k, k % 6, -2, 7 + k, 1, 5 + k) for k in range(9)], "sample_id long, gid long, y0 long, y1 long, x0 long, x1 long")
+    wanted = regions.select("sample_id", F.explode(F.array(*map(F.lit, "rgq"))).alias("channel"))
+    grids = regions.join(channels, "gid").withColumns({"rel_frame": F.lit(0), "warp": F.array(*[F.lit(v) for v in (0.7, 0.0, 0.2, 0.0, 1.9, 0.0)])})
+    for lines in (
+        lambda tiles: rasters.region_lines(tiles, regions, TILE, then),
+        lambda tiles: rasters.padded_lines(tiles, regions, wanted, -1.0, TILE, 3, then),
+        lambda tiles: resample.aligned_lines(tiles, grids, fill=0.0, tile=TILE, band=3, then=then),
+        rasters.empty_channels,
+    ):
+        plan = lines(made)._jdf.queryExecution().executedPlan().toString()
+        assert "values" not in plan and "Broadcast" not in plan
+        assert rows(lines(made)) == rows(lines(stored))
+    assert {r.gid: r.has_data for r in rasters.empty_channels(made).collect()} == {g: g % 3 > 0 for g in range(6)}
+
+
+def test_bands_are_resampled_together(spark):
+    """One call for many bands, some of which are outside of their channel, is what a call for each gives."""
+    r = np.random.default_rng(1)
+    n, high, wide = 40, r.integers(1, 5, 40), r.integers(1, 6, 40)
+    some = {"ya": np.zeros(n, int), "yb": r.integers(1, 4, n), "x0": -r.integers(0, 3, n), "x1": r.integers(1, 7, n), "sy": r.choice([0.4, 1.0, 2.5], n), "sx": r.choice([0.3, -1.0, 1.0], n), "ty_": r.choice([0.0, -40.0], n), "tx_": r.choice([0.0, 2.0], n), "height": high, "width": wide}
+    values, ends, zero = r.random((high * wide).sum()), np.cumsum(high * wide), np.zeros(n, int)
+    for linear in (True, False):
+        whole = resample.resampled(some, rasters.Parts(np.arange(n), zero, zero, high, wide, values, None), linear, -1.0)
+        each = [resample.resampled({k: v[i : i + 1] for k, v in some.items()}, rasters.Parts(zero[:1], zero[:1], zero[:1], high[i : i + 1], wide[i : i + 1], values[ends[i] - high[i] * wide[i] : ends[i]], None), linear, -1.0) for i in range(n)]
+        assert np.array_equal(whole, np.concatenate(each))
