@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesselar.operators import overlap, sampling, selection
+from tesselar.operators import grid, overlap, sampling, selection
 from tesselar.sources.annotations import Dataset
 
 ANNOTS = "id long, image_id long, category_id int, x double, y double, w double, h double"
@@ -58,3 +58,18 @@ def test_exploded_sides_are_not_broadcast(spark):
     windows = spark.createDataFrame([(1, 0.0, 0.0, 500.0, 500.0)], "image_id long, x1 double, y1 double, x2 double, y2 double")
     met = overlap.overlaps_by_cell(windows, spark.createDataFrame([(7, 1, 1, 3.0, 4.0, 900.0, 900.0)], ANNOTS), cell=10)
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 1
+
+
+def test_windows_are_not_shuffled(spark):
+    """Windows come after all shuffles, and see the boxes that a join shows them; images of very many boxes are joined."""
+    r = random.Random(2)
+    boxes = [(i, i % 4, 1 + i % 3, float(r.randrange(-20, 90)), float(r.randrange(-20, 90)), float(r.randrange(0, 60)), float(r.randrange(0, 60))) for i in range(150)] + [(999, 1, 1, None, 0.0, 1.0, 1.0), (1000, 4, None, 1.0, 2.0, 9.0, 9.0)]
+    data = dataset(spark, [(i, 90 + i, 70 + 3 * i) for i in range(6)], boxes + [(2000 + i, 4, 3, 5.0 * i, 0.0, 9.0, 70.0) for i in range(12)])
+    data = Dataset(data.images, None, data.annots, spark.createDataFrame([(1, "a"), (2, "b"), (3, "Ignore")], "id int, name string"))
+    for window, overlap_, interest in (((32, 40), 0.5, ()), ((50, 50), 0.0, ("B",)), (None, 0.0, ())):
+        rows = lambda df: sorted(map(repr, df.collect()))
+        want = rows(grid.crowded_grid(data, window, overlap_, interest))
+        for crowded in (0, 36, 10**6):
+            assert rows(grid.image_grid(data, window, overlap_, interest, crowded=crowded)) == want
+    plan = grid.image_grid(data, (32, 40), 0.5)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.index("Generate") < plan.index("Join") and plan.index("Generate") < plan.index("Aggregate")
