@@ -170,3 +170,15 @@ def test_bands_are_resampled_together(spark):
         whole = resample.resampled(some, rasters.Parts(np.arange(n), zero, zero, high, wide, values, None), linear, -1.0)
         each = [resample.resampled({k: v[i : i + 1] for k, v in some.items()}, rasters.Parts(zero[:1], zero[:1], zero[:1], high[i : i + 1], wide[i : i + 1], values[ends[i] - high[i] * wide[i] : ends[i]], None), linear, -1.0) for i in range(n)]
         assert np.array_equal(whole, np.concatenate(each))
+
+
+def test_sizes_of_tiles(spark):
+    """Faults of made tiles are found by sizes that tasks take, and are those of the tiles themselves."""
+    channels = spark.createDataFrame([(g, "r", 0, 9 + g, 6) for g in range(4)], "gid long, channel string, c int, height int, width int")
+    made = rasters.MadeTiles(rasters.tile_layout(channels, TILE).where("gid <> 1 or ty > 0"), lambda column, y, x: y + x, TILE)
+    first = lambda batch, values: rasters.listed(np.ones(len(values)), np.ones(len(values), int))
+    sizes = rasters.tile_sizes(made)
+    assert "array<double>" not in dict(sizes.dtypes).values()
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(rasters.tile_faults(sizes, channels, TILE)) == rows(rasters.tile_faults(made.frame(), channels, TILE)) == [(1, "r", 2, 0, 0)]
+    assert {r.misfit for r in rasters.tile_faults(rasters.tile_sizes(made, first), channels, TILE).collect()} > {4}
