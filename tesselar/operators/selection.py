@@ -35,7 +35,7 @@ def relative_negatives(data: Dataset, anchors: DataFrame, num: int, thresh: floa
     Up to `rounds` rounds of `tries` places an image are drawn until num windows are free; with
     fewer, exact=True raises, "warn" warns and False keeps silent.
     """
-    listed = numbered_anchors(anchors)
+    listed = staged(numbered_anchors(anchors), "anchors")  # a few rows of a whole join, read in each round
     n = listed.count()
     a = boxed(data.annots).withColumnRenamed("image_id", "a_image")
     on = (F.col("image_id") == F.col("a_image")) & g.touches(g.box("a"), g.box())
@@ -80,7 +80,7 @@ def item_pool(positives: DataFrame, negatives: DataFrame | None) -> DataFrame:
     if negatives is None:
         return pos
     neg = with_ordinal(negative_items(negatives), ["cand"]).withColumn("is_positive", F.lit(False)).drop("cand")
-    return pos.unionByName(neg.withColumn("ordinal", F.col("ordinal") + positives.count()))
+    return pos.unionByName(neg.withColumn("ordinal", F.col("ordinal") + pos.count()))  # of the staged rows, not of what made them
 
 
 def items_at(pool: DataFrame, wanted: DataFrame, kind: str = "item") -> DataFrame:

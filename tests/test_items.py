@@ -3,6 +3,7 @@
 import pytest
 
 from tesselar.operators import selection
+from tesselar.sources.annotations import Dataset
 
 POSITIVES = "aid long, gid long, category_id int, cx float, cy float, width float, height float"
 NEGATIVES = "cand long, image_id long, x1 double, y1 double, x2 double, y2 double"
@@ -54,3 +55,18 @@ def test_draws(spark):
     assert selection.drawn_ordinals(spark, 500, 7, 3).collect() == rows
     with pytest.raises(LookupError):
         selection.drawn_ordinals(spark, 1, 0)
+
+
+def test_pool_makes_positives_once(spark, monkeypatch):
+    """Positives and anchors may be joins of all annotations: they are not made again to be counted."""
+    positives = spark.createDataFrame([(i, i, 1, 1.0, 2.0, 3.0, 4.0) for i in range(9)], "aid long, gid long, category_id int, cx float, cy float, width float, height float")
+    negatives = spark.createDataFrame([(3, 1, 0.0, 0.0, 4.0, 4.0)], "cand long, image_id long, x1 double, y1 double, x2 double, y2 double")
+    counted, count = [], type(positives).count
+    monkeypatch.setattr(type(positives), "count", lambda df: (counted.append(df._jdf.queryExecution().analyzed().toString()), count(df))[1])
+    pool = selection.item_pool(positives, negatives)
+    assert sorted((r.ordinal, r.is_positive) for r in pool.collect()) == [(i, i < 9) for i in range(10)]
+    anchors = spark.createDataFrame([(i, 0.1, 0.2) for i in range(5)], "aid long, w double, h double")
+    images = spark.createDataFrame([(i, 90, 80) for i in range(6)], "id long, width int, height int")
+    annots = spark.createDataFrame([(1, 1, 1, 0.0, 0.0, 5.0, 5.0)], "id long, image_id long, category_id int, x double, y double, w double, h double")
+    assert selection.relative_negatives(Dataset(images, None, annots, None), anchors, 4).count() == 4
+    assert len(counted) >= 3 and not any("LogicalRDD [aid#" in plan for plan in counted)
