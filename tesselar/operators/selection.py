@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -161,14 +162,19 @@ def spread_positives(targets: DataFrame, window: tuple[int, int], thresh: float
     """
     h, w = float(window[0]), float(window[1])
     scored = targets.select("gid", "aid", g.portable_hash(F.col("aid"), seed + 5).alias("score"), F.col("cx").cast("double").alias("x"), F.col("cy").cast("double").alias("y"))
-    large = staged(scored.groupBy("gid").count().where(F.col("count") > crowded).select("gid"), "crowded")
-    few = scored.join(large, "gid", "left_anti")
+    scored = staged(scored, "scored")  # read several times
+    sizes, many = scored.groupBy("gid").count(), (F.col("count") > crowded) & F.col("gid").isNotNull()
+    images, n_large = sizes.agg(F.count("*"), F.count_if(many)).first()
+    if images and n_large == images:
+        return spread_in_rounds(scored, w, h, thresh)
+    large = staged(sizes.where(many).select("gid"), "crowded") if n_large else None
+    few = scored if large is None else scored.join(large, "gid", "left_anti")
     one = F.struct("score", "aid", "x", "y")
     rows = few.groupBy("gid").agg(F.array_sort(F.collect_list(one)).alias("all"))
     none = F.array().cast("array<struct<score:bigint,aid:bigint,x:double,y:double>>")
     kept = F.aggregate("all", none, lambda have, p: F.when(F.exists(have, lambda q: window_iou(p["x"] - q["x"], p["y"] - q["y"], w, h) > thresh), have).otherwise(F.concat(have, F.array(p))))
     found = rows.select("gid", F.explode(kept).alias("p")).select(F.col("p.aid").alias("aid"), "gid")
-    return found if large.isEmpty() else found.unionByName(spread_in_rounds(scored.join(large, "gid", "left_semi"), w, h, thresh))
+    return found if large is None else found.unionByName(spread_in_rounds(scored.join(large, "gid", "left_semi"), w, h, thresh))
 
 
 def window_iou(dx: Column, dy: Column, w: float, h: float) -> Column:
@@ -177,33 +183,63 @@ def window_iou(dx: Column, dy: Column, w: float, h: float) -> Column:
     return both / (F.lit(2 * w * h) - both)
 
 
-def spread_in_rounds(scored: DataFrame, w: float, h: float, thresh: float) -> DataFrame:
+#: Cells along a side of a block, and how many windows of a block a round looks at.
+SIDE, LISTED = 16, 256
+
+
+def spread_in_rounds(scored: DataFrame, w: float, h: float, thresh: float, side: int = SIDE, listed: int = LISTED) -> DataFrame:
     """aid and gid of what greedy selection keeps of scored (gid, aid, score, x, y), without an image in one task.
 
-    Cells are as large as a window, so only windows of adjacent cells overlap. A window that is the best one left in its cell and the eight
-    around it is kept: nothing that is still to be decided can take its place. Then those that overlap it too much go, and the next round
-    looks at the rest. A cell's best one is an aggregate, and kept windows are few in a cell, so a dense cell makes no pairs.
+    Cells are as large as a window, so only windows of adjacent cells overlap; a block has side x side cells, and a rim of one cell that it shares
+    with its neighbours. A round takes the best `listed` windows of each block and its rim. All that are better than one of these are listed
+    with it, so its fate is known unless it hangs on one of the rim, or on one that does. Those left over, and those not listed, that no
+    kept window overlaps too much go to the next round. The best window of an image is always kept, so rounds end.
     """
-    shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    around = lambda rows: rows.select("gid", F.explode(shifts).alias("s"), "best", "cx", "cy").select("gid", (F.col("cx") + F.col("s.i")).alias("cx"), (F.col("cy") + F.col("s.j")).alias("cy"), "best")
-    left = staged(scored.withColumns({"cx": F.floor(F.col("x") / w), "cy": F.floor(F.col("y") / h)}), "undecided")
-    rounds = []
+    block = lambda c: F.floor((F.col(c) + side // 2) / side)  # noqa: E731  (images up to half a block each way lie in one)
+    reached = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + (side // 2 + i)) / side) for i in (-1, 0, 1)])))
+    in_cells = lambda rows: rows.withColumns({"cx": F.floor(F.col("x") / w), "cy": F.floor(F.col("y") / h)})
+    types = dict(scored.dtypes)
+    none = F.array().cast(f"array<struct<score:bigint,aid:{types['aid']},x:double,y:double,own:boolean>>")
+
+    def step(state: Column, p: Column) -> Column:
+        meets = lambda name: F.coalesce(F.exists(state[name], lambda q: window_iou(p["x"] - q["x"], p["y"] - q["y"], w, h) > thresh), F.lit(False))
+        grown = lambda name, on: F.when(on, F.concat(state[name], F.array(p))).otherwise(state[name]).alias(name)
+        open_ = ~p["own"] | meets("unsure")
+        return F.struct(grown("kept", ~open_ & ~meets("kept")), grown("unsure", open_ & ~meets("kept")))
+
+    left, rounds = scored, []
     while True:
-        best = left.groupBy("gid", "cx", "cy").agg(F.min(F.struct("score", "aid", "x", "y")).alias("best"))
-        least = around(best).groupBy("gid", "cx", "cy").agg(F.min("best").alias("least"))
-        final = staged(best.join(least, ["gid", "cx", "cy"]).where("best = least").drop("least"), "kept")
-        if final.isEmpty():
-            break
+        seen = in_cells(left).withColumn("bx", reached("cx")).withColumn("by", reached("cy"))
+        seen = seen.select("gid", "bx", "by", "score", "aid", "x", "y", ((F.col("bx") == block("cx")) & (F.col("by") == block("cy"))).alias("own"))
+        best = seen.withColumn("nth", F.row_number().over(W.partitionBy("gid", "bx", "by").orderBy("score", "aid"))).where(F.col("nth") <= listed)
+        blocks = best.groupBy("gid", "bx", "by").agg(F.array_sort(F.collect_list(F.struct("score", "aid", "x", "y", "own"))).alias("all"))
+        last = F.element_at("all", -1)
+        state = F.aggregate("all", F.struct(none.alias("kept"), none.alias("unsure")), step)
+        until = F.when(F.size("all") == listed, F.struct(last["score"].alias("score"), last["aid"].alias("aid"))).alias("until")
+        blocks = blocks.select("gid", "bx", "by", state.alias("s"), until).select("gid", "bx", "by", "s.kept", F.filter("s.unsure", lambda p: p["own"]).alias("unsure"), "until")
+        final = staged(blocks.where("size(kept) + size(unsure) > 0 OR until IS NOT NULL"), "kept")
         rounds.append(final)
-        near = around(final).select(F.col("gid").alias("k_gid"), F.col("cx").alias("k_cx"), F.col("cy").alias("k_cy"), F.col("best.aid").alias("k_aid"), F.col("best.x").alias("k_x"), F.col("best.y").alias("k_y"))
-        over = (F.col("aid") == F.col("k_aid")) | (window_iou(F.col("x") - F.col("k_x"), F.col("y") - F.col("k_y"), w, h) > thresh)
-        rest = staged(left.join(near, (F.col("gid") == F.col("k_gid")) & (F.col("cx") == F.col("k_cx")) & (F.col("cy") == F.col("k_cy")) & over, "left_anti"), "undecided")
-        dropped(left)
+        unsure, full = final.agg(F.sum(F.size("unsure")), F.count("until")).first()
+        rest = None
+        if unsure or full:
+            rest = final.select("gid", F.inline("unsure")).drop("own")
+            if full:
+                more = in_cells(left).withColumns({"bx": block("cx"), "by": block("cy")}).join(final.where("until IS NOT NULL").select("gid", "bx", "by", "until"), ["gid", "bx", "by"])
+                rest = rest.unionByName(more.where(F.struct("score", "aid") > F.col("until")).select(*rest.columns))
+            shifts = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+            going_on = final.where("size(unsure) > 0 OR until IS NOT NULL").select("gid").distinct()
+            near = in_cells(final.join(going_on, "gid", "left_semi").select("gid", F.inline("kept"))).withColumn("s", F.explode(shifts))
+            near = near.select(F.col("gid").alias("k_gid"), (F.col("cx") + F.col("s.i")).alias("k_cx"), (F.col("cy") + F.col("s.j")).alias("k_cy"), F.col("x").alias("k_x"), F.col("y").alias("k_y"))
+            over = window_iou(F.col("x") - F.col("k_x"), F.col("y") - F.col("k_y"), w, h) > thresh
+            rest = in_cells(rest).join(near, (F.col("gid") == F.col("k_gid")) & (F.col("cx") == F.col("k_cx")) & (F.col("cy") == F.col("k_cy")) & over, "left_anti")
+            rest = staged(rest.drop("cx", "cy"), "undecided")
+        if left is not scored:
+            dropped(left)
+        if rest is None or rest.isEmpty():
+            break
         left = rest
-    found = scored.sparkSession.createDataFrame([], f"aid {dict(scored.dtypes)['aid']}, gid {dict(scored.dtypes)['gid']}")
-    for final in rounds:
-        found = found.unionByName(final.select(F.col("best.aid").alias("aid"), "gid"))
-    return found
+    found = [final.select("gid", F.inline("kept")).select("aid", "gid") for final in rounds]
+    return reduce(DataFrame.unionByName, found)
 
 
 def toy_samples(indices: DataFrame, size: tuple[int, int] = (416, 416), classes: int = 3, most: int = 4, seed: int = 0) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tesselar.functions import geometry as g
 from tesselar.operators import grid, overlap, sampling, selection
 from tesselar.sources.annotations import Dataset
 
@@ -42,6 +43,26 @@ def test_rounds_select_as_arrays_do(spark, thresh):
     assert selection.spread_positives(targets.limit(0), (24, 32), thresh).count() == 0
 
 
+@pytest.mark.parametrize("side, listed", [(1, 4), (2, 7), (16, 20)])
+def test_small_blocks_select_as_arrays_do(spark, side, listed):
+    """Blocks with many neighbours, and more windows than a round looks at."""
+    r = random.Random(side)
+    rows = [(i, i % 2, r.gauss(0, 90), r.gauss(0, 60)) for i in range(90)] + [(1000 + i, 0, -3.0, 4.0) for i in range(30)]
+    targets = spark.createDataFrame(rows, "aid long, gid long, cx double, cy double")
+    want = sorted(map(tuple, selection.spread_positives(targets, (24, 32), 0.1).collect()))
+    scored = targets.select("gid", "aid", g.portable_hash(F.col("aid"), 5).alias("score"), F.col("cx").alias("x"), F.col("cy").alias("y"))
+    assert sorted(map(tuple, selection.spread_in_rounds(scored, 32.0, 24.0, 0.1, side, listed).collect())) == want
+
+
+def test_a_block_takes_one_round(spark, monkeypatch):
+    """Windows whose fate hangs on one another are settled together, and nothing is written again for a further round."""
+    said, write = [], selection.staged
+    monkeypatch.setattr(selection, "staged", lambda df, label: said.append(label) or write(df, label))
+    targets = spark.createDataFrame([(i, i % 5, 6.0 * (i // 5), 9.0) for i in range(200)], "aid long, gid long, cx double, cy double")
+    got = sorted(map(tuple, selection.spread_positives(targets, (24, 32), 0.1, crowded=0).collect()))
+    assert said == ["scored", "kept"] and got == sorted(map(tuple, selection.spread_positives(targets, (24, 32), 0.1).collect()))
+
+
 def test_negatives_in_rounds(spark):
     """Images that are mostly covered: a first round finds too few windows, later ones go on; what can't be found is said."""
     boxes = [(i, i % 20, 1, 0.0, 0.0, 100.0, 78.0) for i in range(20)]
