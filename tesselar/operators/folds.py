@@ -11,6 +11,8 @@ pairs, as long as that evens out the counts of all images.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +30,11 @@ SWING = 4096
 DIGITS = 10
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value evaluated once however often it is used; a plain expression in a lambda is evaluated at each use."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def greedy_folds(annots: DataFrame, k: int = 3, scope: str | None = None, most: int = MOST_GROUPS) -> DataFrame:
     """(scope,) image_id and fold: in each scope images by number of annotations, then id, both falling; each goes to the fold of least loss.
 
@@ -37,13 +44,14 @@ def greedy_folds(annots: DataFrame, k: int = 3, scope: str | None = None, most:
     key = F.lit(0).alias("scope") if scope is None else F.col(scope).alias("scope")
     counts = annots.where("category_id is not null").select(key, "image_id", "category_id").groupBy("scope", "image_id", "category_id").agg(F.count("*").cast("double").alias("n"))
     images = counts.groupBy("scope", "image_id").agg(F.sum("n").alias("size"), F.array_sort(F.collect_list(F.struct("category_id", "n"))).alias("of"))
+    images = staged(images, "histograms")  # read twice
     sizes = images.groupBy("scope").agg(F.count("*").alias("images"))
     if (large := sizes.where(F.col("images") > most).limit(1).collect()) != []:
         raise ValueError(f"{large[0]['images']} images in one scope, at most {most} can be folded one after the other; use stratified_folds")
     rows = images.groupBy("scope").agg(F.reverse(F.array_sort(F.collect_list(F.struct("size", "image_id", "of")))).alias("all"))
     rows = rows.withColumn("classes", F.array_sort(F.array_distinct(F.flatten(F.transform("all", lambda i: i["of"]["category_id"])))))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    vector = lambda i: F.transform("classes", lambda c: F.coalesce(F.try_element_at(F.map_from_entries(i["of"]), c), F.lit(0.0)))
+    vector = lambda i: bound(F.map_from_entries(i["of"]), lambda n: F.transform("classes", lambda c: F.coalesce(F.try_element_at(n, c), F.lit(0.0))))
     rows = rows.withColumn("all", F.transform("all", lambda i: F.struct(i["image_id"].alias("image_id"), vector(i).alias("v"))))
     sums = F.aggregate("all", F.transform("classes", lambda c: F.lit(0.0)), lambda a, i: F.zip_with(a, i["v"], lambda x, y: x + y))
     rows = rows.withColumn("sums", sums)
@@ -51,8 +59,8 @@ def greedy_folds(annots: DataFrame, k: int = 3, scope: str | None = None, most:
 
     def distance(freq: Column) -> Column:
         """Of a fold's class ratios from the scope's."""
-        of = total(freq)
-        return F.aggregate(F.zip_with(freq, F.col("target"), lambda x, t: (x / of - t) * (x / of - t)), F.lit(0.0), lambda a, x: a + x)
+        gaps = lambda of: F.zip_with(freq, F.col("target"), lambda x, t: (x / of - t) * (x / of - t))
+        return total(bound(total(freq), gaps))
 
     first = total(F.transform("target", lambda t: t * t))
     start = F.struct(
@@ -62,14 +70,21 @@ def greedy_folds(annots: DataFrame, k: int = 3, scope: str | None = None, most:
     )
 
     def step(state: Column, image: Column) -> Column:
-        all_far, all_sum = total(state["far"]), total(F.flatten(state["freq"]))
-        join = F.transform(state["freq"], lambda f: F.zip_with(f, image["v"], lambda x, y: x + y))
-        part = lambda i: F.when(all_sum > 0, total(F.get(state["freq"], i)) / all_sum).otherwise(0.0)
-        losses = F.transform(join, lambda f, i: F.round(all_far - F.get(state["far"], i) + distance(f) + part(i), DIGITS))
-        # array_min over (loss, fold): the first fold of the least loss, with what it then holds
-        best = F.array_min(F.transform(losses, lambda x, i: F.struct(x.alias("loss"), i.alias("fold"))))["fold"]
-        keep = lambda old, new: F.transform(old, lambda x, i: F.when(i == best, F.get(new, i)).otherwise(x))
-        return F.struct(keep(state["freq"], join).alias("freq"), keep(state["far"], F.transform(join, distance)).alias("far"), F.concat(state["folds"], F.array(F.struct(image["image_id"].alias("image_id"), best.cast("int").alias("fold")))).alias("folds"))
+        joined = F.transform(state["freq"], lambda f: bound(F.zip_with(f, image["v"], lambda x, y: x + y), lambda v: F.struct(v.alias("v"), distance(v).alias("far"))))
+
+        def chosen(tried: Column, sums: Column, all_far: Column) -> Column:
+            """The first fold of the least loss."""
+            part = lambda i: F.when(sums["all"] > 0, F.get(sums["each"], i) / sums["all"]).otherwise(0.0)
+            losses = F.transform(tried, lambda x, i: F.struct(F.round(all_far - F.get(state["far"], i) + x["far"] + part(i), DIGITS).alias("loss"), i.alias("fold")))
+            return F.array_min(losses)["fold"]
+
+        def after(tried: Column, best: Column) -> Column:
+            keep = lambda old, name: F.transform(old, lambda x, i: F.when(i == best, F.get(tried, i)[name]).otherwise(x))
+            return F.struct(keep(state["freq"], "v").alias("freq"), keep(state["far"], "far").alias("far"), F.concat(state["folds"], F.array(F.struct(image["image_id"].alias("image_id"), best.cast("int").alias("fold")))).alias("folds"))
+
+        sums = F.struct(total(F.flatten(state["freq"])).alias("all"), F.transform(state["freq"], total).alias("each"))
+        best = lambda tried: bound(sums, lambda s: bound(total(state["far"]), lambda a: chosen(tried, s, a)))
+        return bound(joined, lambda tried: bound(best(tried), lambda fold: after(tried, fold)))
 
     found = rows.select("scope", F.inline(F.aggregate("all", start, step, lambda s: s["folds"])))
     return found.drop("scope") if scope is None else found.withColumnRenamed("scope", scope)

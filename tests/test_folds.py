@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesselar.operators import folds
 
@@ -102,3 +103,12 @@ def test_settle_keeps_counts():
     new = folds.settle(images, old, counts - counts.sum(0) / 3)
     after = np.stack([images[new == f].sum(0) for f in range(3)])
     assert np.abs(after - after.mean(0)).max() <= 1 < np.abs(counts - counts.mean(0)).max()
+
+
+def test_bound_values_are_evaluated_once(spark):
+    """A value that is used many times in nested lambdas is made once a row; folding one long scope takes no time beyond its length."""
+    made = spark.range(50).select(folds.bound(F.expr("uuid()"), lambda v: F.array(v, v, v)).alias("a")).collect()
+    assert all(len(set(r["a"])) == 1 for r in made) and len({r["a"][0] for r in made}) == 50
+    rows = spark.range(600).select(F.expr("id div 3 AS image_id"), (F.col("id") * 7 % 11).cast("int").alias("category_id"))
+    plan = folds.greedy_folds(rows, 3)._jdf.queryExecution().analyzed().toString()
+    assert plan.count("round(") == 1
