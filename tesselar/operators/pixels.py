@@ -68,13 +68,16 @@ def requested_assets(requests: DataFrame, assets: DataFrame) -> DataFrame:
     Both sides are expanded, so "rgb" finds "r|g|b" and "m.1" finds "m:3". A channel that no asset of the image has comes out with nulls;
     a null request or <all> is every channel of the image, by name.
     """
-    have = by_channel(assets)
+    more = [c for c in assets.columns if c not in ("gid", "channels")]
+    listed = assets.groupBy("gid").agg(F.collect_list(F.struct("channels", *more)).alias("assets"))
+    of = lambda a: F.transform(channel_array(a["channels"]), lambda c: F.struct(c.alias("channel"), *[a[m].alias(m) for m in more]))
+    # Channels are expanded after the shuffles: a row an image is shuffled, not one a channel.
+    rows = requests.select("sample_id", "gid", "request").join(listed, "gid", "left").withColumn("have", F.flatten(F.transform(F.filter("assets", lambda a: a["channels"].isNotNull()), of)))
     every = F.col("request").isNull() | (F.col("request") == "<all>")
-    listed = requests.where(~every).select("sample_id", "gid", F.posexplode(channel_array(F.col("request"))).alias("place", "channel"))
-    listed = listed.join(have, ["gid", "channel"], "left")
-    whole = requests.where(every).select("sample_id", "gid").join(have, "gid")
-    place = F.expr("CAST(dense_rank() OVER (PARTITION BY sample_id, gid ORDER BY channel) - 1 AS INT)")
-    return listed.unionByName(whole.withColumn("place", place))
+    asked = F.when(every, F.array_sort(F.array_distinct(F.transform("have", lambda h: h["channel"])))).otherwise(channel_array(F.col("request")))
+    rows = rows.select("sample_id", "gid", "have", F.posexplode(asked).alias("place", "channel"))
+    rows = rows.select("sample_id", "gid", "place", "channel", F.explode_outer(F.filter("have", lambda h: h["channel"] == F.col("channel"))).alias("found"))
+    return rows.select("sample_id", "gid", "place", "channel", *[F.col("found")[m].alias(m) for m in more])
 
 
 def channels_of(assets: DataFrame, request: str | None) -> list[str]:

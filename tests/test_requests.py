@@ -64,6 +64,19 @@ def test_requests_find_what_assets_name_otherwise(spark):
     }
 
 
+def test_channels_are_expanded_after_shuffles(spark):
+    """Assets that share a channel all come out; nothing is expanded below a shuffle."""
+    assets = spark.createDataFrame([(1, "r|g", "a"), (1, "g", "b"), (2, None, "c")], "gid long, channels string, file_name string")
+    asked = spark.createDataFrame([(7, 1, "g|r"), (8, 1, "<all>"), (9, 2, "g"), (10, 2, None), (11, None, "g"), (12, None, None)], "sample_id long, gid long, request string")
+    out = pixels.requested_assets(asked, assets)
+    assert sorted(map(repr, map(tuple, out.select("sample_id", "place", "channel", "file_name").collect()))) == sorted(map(repr, [
+        (7, 0, "g", "a"), (7, 0, "g", "b"), (7, 1, "r", "a"), (8, 0, "g", "a"), (8, 0, "g", "b"), (8, 1, "r", "a"), (9, 0, "g", None), (11, 0, "g", None),
+    ]))
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert plan.rindex("Generate") < plan.index("Join") and "Window" not in plan
+    assert pixels.requested_assets(asked, assets.drop("file_name")).count() == 8
+
+
 def test_keypoint_structs(spark):
     points = "array<struct<keypoint_category_id:int,xy:array<double>,visible:int>>"
     rows = spark.createDataFrame([(1, [(2, [1.0, 2.0], 2), (9, [3.0], None)]), (2, None), (3, [])], f"id int, points {points}")
