@@ -11,13 +11,12 @@ pairs, as long as that evens out the counts of all images.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..functions.geometry import bound
 from ..sources.staging import staged
 from .ordinals import with_ordinal
 
@@ -30,11 +29,6 @@ SWING = 4096
 DIGITS = 10
 
 
-def bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value), with value evaluated once however often it is used; a plain expression in a lambda is evaluated at each use."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def greedy_folds(annots: DataFrame, k: int = 3, scope: str | None = None, most: int = MOST_GROUPS) -> DataFrame:
     """(scope,) image_id and fold: in each scope images by number of annotations, then id, both falling; each goes to the fold of least loss.
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from ..sources.staging import staged
 
 
 def boxed(annots: DataFrame) -> DataFrame:
@@ -75,14 +76,36 @@ def union_area(boxes: Column) -> Column:
         spans = F.transform(F.filter(boxes, lambda b: (b["x1"] <= lo) & (b["x2"] >= hi)), lambda b: F.struct(b["y1"], b["y2"]))
         return (hi - lo) * F.aggregate(F.array_sort(spans), start, add, lambda a: a["covered"])
 
-    slabs = F.transform(edges, lambda lo, i: F.when(i + F.lit(1) < F.size(edges), slab(lo, F.get(edges, i + F.lit(1)))).otherwise(0.0))
-    return F.aggregate(slabs, F.lit(0.0), lambda a, x: a + x)
+    each = lambda es: F.transform(es, lambda lo, i: F.when(i + F.lit(1) < F.size(es), slab(lo, F.get(es, i + F.lit(1)))).otherwise(0.0))
+    return F.aggregate(g.bound(edges, each), F.lit(0.0), lambda a, x: a + x)
 
 
-def uncovered_area(images: DataFrame, annots: DataFrame, cell: int = 256) -> DataFrame:
-    """id, covered and uncovered (areas) of each image; unions are taken in cells, so that a crowded image is spread over tasks."""
+#: Boxes of an image up to which its union is taken of all of them at once, as an array.
+CROWDED = 500
+
+
+def uncovered_area(images: DataFrame, annots: DataFrame, cell: int = 256, crowded: int = CROWDED) -> DataFrame:
+    """id, covered and uncovered (areas) of each image. Boxes are shuffled as one array an image; images of more than `crowded` boxes are cut in cells."""
     size = images.select(F.col("id").alias("image_id"), F.col("width").cast("double").alias("width"), F.col("height").cast("double").alias("height"))
-    b = boxed(annots).join(size, "image_id")
+    boxes = boxed(annots)
+    large = staged(boxes.groupBy("image_id").count().where(F.col("count") > crowded).select("image_id"), "crowded")
+    many = not large.isEmpty()
+    few = boxes.join(large, "image_id", "left_anti") if many else boxes
+    listed = few.groupBy("image_id").agg(F.collect_set(F.struct("ax1", "ay1", "ax2", "ay2")).alias("boxes"))
+    edges = lambda b: (F.greatest(b["ax1"], F.lit(0.0)), F.greatest(b["ay1"], F.lit(0.0)), F.least(b["ax2"], "width"), F.least(b["ay2"], "height"))
+    inside = F.transform("boxes", lambda b: F.struct(*[e.alias(n) for e, n in zip(edges(b), ("x1", "y1", "x2", "y2"))]))
+    rows = size.join(listed, "image_id", "left").withColumn("boxes", F.filter(inside, lambda b: (b["x1"] < b["x2"]) & (b["y1"] < b["y2"])))
+    rows = rows.select("image_id", "width", "height", union_area(F.col("boxes")).alias("covered"))
+    if many:
+        cut = cell_unions(size.join(large, "image_id", "left_semi"), boxes, cell).withColumnRenamed("covered", "in_cells")
+        rows = rows.join(cut, "image_id", "left").withColumn("covered", F.coalesce("in_cells", "covered")).drop("in_cells")
+    covered = F.coalesce("covered", F.lit(0.0))
+    return rows.select(F.col("image_id").alias("id"), covered.alias("covered"), (F.col("width") * F.col("height") - covered).alias("uncovered"))
+
+
+def cell_unions(size: DataFrame, boxes: DataFrame, cell: int) -> DataFrame:
+    """image_id and covered (area) of the images of size (image_id, width, height) that have boxes inside; unions are taken in cells."""
+    b = boxes.join(size, "image_id")
     x1, y1, x2, y2 = (F.greatest("ax1", F.lit(0.0)), F.greatest("ay1", F.lit(0.0)), F.least("ax2", "width"), F.least("ay2", "height"))
     inside = b.select("image_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2")).where("x1 < x2 AND y1 < y2").distinct()
     cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.ceil(F.col(hi) / cell) - 1)
@@ -90,6 +113,4 @@ def uncovered_area(images: DataFrame, annots: DataFrame, cell: int = 256) -> Dat
     part = lambda f, name, at: f(F.col(name), (F.col(at) * cell).cast("double")).alias(name)
     cut = cut.withColumns({"ex": F.col("cx") + 1, "ey": F.col("cy") + 1})
     box = F.struct(part(F.greatest, "x1", "cx"), part(F.greatest, "y1", "cy"), part(F.least, "x2", "ex"), part(F.least, "y2", "ey"))
-    unions = cut.groupBy("image_id", "cx", "cy").agg(union_area(F.collect_set(box)).alias("area")).groupBy("image_id").agg(F.sum("area").alias("covered"))
-    covered = F.coalesce("covered", F.lit(0.0))
-    return size.join(unions, "image_id", "left").select(F.col("image_id").alias("id"), covered.alias("covered"), (F.col("width") * F.col("height") - covered).alias("uncovered"))
+    return cut.groupBy("image_id", "cx", "cy").agg(union_area(F.collect_set(box)).alias("area")).groupBy("image_id").agg(F.sum("area").alias("covered"))

@@ -81,6 +81,18 @@ def test_exploded_sides_are_not_broadcast(spark):
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString() and met.count() == 1
 
 
+def test_uncovered_area_has_one_array_an_image(spark):
+    """Unions of arrays equal those of cells and a count of unit squares; only crowded images are cut in cells."""
+    r = random.Random(8)
+    boxes = [(i, i % 3, 1, float(r.randrange(-20, 90)), float(r.randrange(-20, 70)), float(r.randrange(0, 40)), float(r.randrange(0, 40))) for i in range(90)] + [(999, 1, 1, None, 0.0, 1.0, 1.0)]
+    data = dataset(spark, [(i, 90, 60 + i) for i in range(4)], boxes)
+    full = {i: {(x, y) for b in boxes if b[1] == i and b[3] is not None for x in range(max(int(b[3]), 0), min(int(b[3] + b[5]), 90)) for y in range(max(int(b[4]), 0), min(int(b[4] + b[6]), 60 + i))} for i in range(4)}
+    want = [(i, float(len(full[i])), 90.0 * (60 + i) - len(full[i])) for i in range(4)]
+    for crowded in (0, 30, 500):
+        assert sorted(map(tuple, overlap.uncovered_area(data.images, data.annots, 16, crowded).collect())) == want
+    assert "Generate" not in overlap.uncovered_area(data.images, data.annots)._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_windows_are_not_shuffled(spark):
     """Windows come after all shuffles, and see the boxes that a join shows them; images of very many boxes are joined."""
     r = random.Random(2)
