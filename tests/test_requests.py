@@ -52,6 +52,33 @@ def test_faulty_images_are_named(spark, tmp_path):
         arrays.with_file_hash(files, "GIVEN")
 
 
+def test_packs(spark, tmp_path):
+    """Packs hold the files that write_arrays writes, one a pack or several; a damaged record is an error that names its image."""
+    path, same = f"file://{tmp_path}", lambda df: sorted(map(tuple, df.select(*arrays.ARROW_TILES.names).collect()))
+    arrays.write_arrays(raster(spark), f"{path}/s", ["r", "g"], tile=4)
+    single = {r["gid"]: bytes(r["content"]) for r in arrays.array_files(spark, f"{path}/s").collect()}
+    for size in (1, 1 << 28):
+        folder = tmp_path / str(size)
+        files = arrays.write_packs(raster(spark).coalesce(1), f"file://{folder}", ["r", "g"], tile=4, pack=size)
+        rows = {r["gid"]: r for r in files.collect()}
+        packs = list(folder.glob("*.npz"))
+        assert len(packs) == len({r["pack"] for r in rows.values()}) and (len(packs) == 3 if size == 1 else len(packs) <= 4)
+        for gid, r in rows.items():
+            assert r["n_bytes"] == len(single[gid]) and np.array_equal(np.load(folder / r["pack"])[r["file_name"][:-4]], arrays.array_of(single[gid]))
+        for listed in (files, files.orderBy(F.desc("gid")).coalesce(1)):
+            contents = arrays.listed_arrays(listed, f"file://{folder}")
+            assert {r["gid"]: bytes(r["content"]) for r in contents.collect()} == single
+            assert same(arrays.read_arrays(contents, ["r", "g"], tile=4)) == same(raster(spark))
+    one = rows[-2]
+    whole = bytearray((folder / one["pack"]).read_bytes())
+    whole[one["start"] + one["size"] - 20] ^= 1
+    (folder / one["pack"]).write_bytes(whole)
+    with pytest.raises(Exception, match="file of image -2"):
+        arrays.listed_arrays(files, f"file://{folder}").collect()
+    with pytest.raises(Exception, match="image 1 lacks pixels"):
+        arrays.write_packs(raster(spark).where("gid = 1 and not (channel = 'g' and tx = 1)"), path, ["r", "g"], tile=4)
+
+
 def test_requests_find_what_assets_name_otherwise(spark):
     assets = spark.createDataFrame([(1, "r|g|b", "own"), (1, "m:2", "aux"), (2, "g", "own")], "gid long, channels string, file_name string")
     asked = spark.createDataFrame([(7, 1, "m.1 | rgb"), (8, 2, "g|zz"), (9, 1, None), (10, 2, "<all>"), (11, 3, "r"), (12, 3, None)], "sample_id long, gid long, request string")
