@@ -35,10 +35,6 @@ def _made(channels: DataFrame, value=_value) -> rasters.MadeTiles:
     return rasters.MadeTiles(rasters.tile_layout(channels, TILE).select("gid", "channel", "c", "height", "width", "ty", "tx", "th", "tw"), value, TILE)
 
 
-def _tiles_of(channels: DataFrame) -> DataFrame:
-    return _made(channels).frame()
-
-
 def _raster(spark: SparkSession, sf_dir: str):
     d = derived(spark, sf_dir)
     # Images are dealt out before they become pixels, as a file of them may be one task's; by a fixed number, as they are too small for AQE to leave them apart.
@@ -54,8 +50,8 @@ def _whole(images: DataFrame) -> DataFrame:
 
 def _store(spark: SparkSession, sf_dir: str, which: str = "true") -> TileStore:
     """A stored table of the tiles of those channels."""
-    store = TileStore(spark, f"{staging_folder(spark)}/tiles-{uuid.uuid4().hex}", 8, TILE)
-    store.ingest(_raster(spark, sf_dir)[1].where(which), _tiles_of)
+    store = TileStore(spark, f"{staging_folder(spark)}/tiles-{uuid.uuid4().hex}", max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), TILE)
+    store.ingest(_raster(spark, sf_dir)[1].where(which), _made)
     return store
 
 
@@ -94,8 +90,8 @@ def tile_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _store(spark, sf_dir, "gid % 3 <> 0")
     before = store.tiles().select("gid", F.lit(False).alias("added_later")).distinct()
     before = staged(before, "tiles-before")
-    store.ingest(channels, _tiles_of)
-    if store.ingest(channels, _tiles_of):
+    store.ingest(channels, _made)
+    if store.ingest(channels, _made):
         raise AssertionError("a second ingest found something left")
     counts = store.tiles().groupBy("gid", "channel").agg(F.count("*").alias("n_tiles"), F.sum(F.size("values")).cast("int").alias("n_pixels"))
     return counts.join(before, "gid", "left").withColumn("added_later", F.coalesce("added_later", F.lit(True)))

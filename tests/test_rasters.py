@@ -115,6 +115,27 @@ def test_tile_store(spark, tmp_path):
     again.close()
 
 
+def test_store_moves_no_pixels(spark, tmp_path):
+    """Made tiles get their pixels after they are dealt and sorted, with no sort in the writing, and regions look up tiles that are not sorted."""
+    channels = spark.range(1500).select(F.col("id").alias("gid"), F.lit("r").alias("channel"), F.lit(9).alias("height"), F.lit(6).alias("width"))
+    store = TileStore(spark, f"file://{tmp_path}/tiles", 4, TILE)
+    make = lambda rows: rasters.MadeTiles(rasters.tile_layout(rows, TILE), lambda column, y, x: column("gid") * 100 + y * 10 + x, TILE)
+    plan = store.dealt(make(channels))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") < plan.index("Sort") < plan.index("Exchange") and plan.count("MapInArrow") == 1
+    name = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    assert store.ingest(channels.where("gid < 1400"), make) and store.ingest(channels, make) and not store.ingest(channels, make)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == name
+    assert len(list((tmp_path / "tiles").glob("*.parquet"))) == 8 and rasters.tile_faults(store.tiles(), channels, TILE).count() == 0
+    regions = channels.select(F.col("gid").alias("sample_id"), "gid", *[F.lit(v).cast("long").alias(c) for c, v in (("y0", 2), ("y1", 7), ("x0", 1), ("x1", 9))])
+    lines = store.lines(regions)
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("SortedBy", "") and plan.count("Exchange hashpartitioning") == 1
+    total = lines.select(F.explode("values").alias("v")).agg(F.count("*").alias("n"), F.sum("v").alias("s")).first()
+    want = [g * 100 + y * 10 + x for g in range(1500) for y in range(2, 7) for x in range(1, 6)]
+    assert (total.n, total.s) == (len(want), sum(want))
+    store.close()
+
+
 def test_made_tiles(spark):
     """Tiles whose pixels are made after the joins give the lines that stored ones give; they are neither broadcast nor made in the tasks of the file."""
     channels = spark.createDataFrame([(g, c, k, 9 + g, 6 + k) for g in range(6) for k, c in enumerate("rg")], "gid long, channel string, c int, height int, width int")
