@@ -1,8 +1,8 @@
 """Samples with their pixels: targets, channels, resampling and annotations put together.
 
 A sample's grid has one pixel for each unit of its padded slice, times a scale. For each frame and channel the map from that grid to
-the channel's own pixels is composed of the slice's offset, the frame's map from its video and the channel's from its image; resample.aligned_lines
-does the rest. sample_lines gives a row a line, whatever the size of a sample; load_pixels gathers the lines of each frame of each sample
+the channel's own pixels is composed of the slice's offset, the frame's map from its video and the channel's from its image; resample.aligned_channels
+does the rest, so pixels never leave the task that makes them but as results. sample_lines gives a row a line, whatever the size of a sample; load_pixels gathers the lines of each frame of each sample
 in a row, with the annotations there, so its rows are as large as the windows asked for.
 """
 
@@ -17,7 +17,7 @@ from ..functions import geometry as g
 from ..sources.annotations import Dataset
 from ..sources.staging import staged
 from .rasters import TILE, MadeTiles
-from .resample import BAND, NAN, aligned_lines, fused_lines
+from .resample import BAND, NAN, aligned_channels
 from .samples import listed_annotations
 from .targets import sample_boxes, sample_frames
 
@@ -87,22 +87,22 @@ def channels_of(assets: DataFrame, request: str | None) -> list[str]:
     return channel_list(request)
 
 
-def placed_frames(resolved: DataFrame, data: Dataset, scale: float = 1.0) -> DataFrame:
-    """target_id, rel_frame, image_id, size (y1, x1) and to_image, the map from a sample's pixels to the image, of every frame of every sample."""
+def placed_frames(resolved: DataFrame, data: Dataset, scale: float = 1.0, more: tuple[str, ...] = ()) -> DataFrame:
+    """target_id, rel_frame, image_id, size (y1, x1) and to_image, the map from a sample's pixels to the image, of every frame of every sample; with more, a struct `sample` of these columns."""
     frames = sample_frames(resolved, data.images)
     s, by = F.coalesce("vid_scale", F.lit(1.0)), F.lit(float(scale))
     to_image = g.compose(g.scaling(1 / s), g.compose(g.translation(F.col("sx1"), F.col("sy1")), g.scaling(1 / by)))
     size = lambda lo, hi: F.round((F.col(hi) - F.col(lo)) * by).cast("long")
-    return frames.select("target_id", "rel_frame", "image_id", F.array(*to_image).alias("to_image"), size("sy1", "sy2").alias("y1"), size("sx1", "sx2").alias("x1"))
+    return frames.select("target_id", "rel_frame", "image_id", F.array(*to_image).alias("to_image"), size("sy1", "sy2").alias("y1"), size("sx1", "sx2").alias("x1"), *([F.struct(*more).alias("sample")] if more else []))
 
 
-def sample_grids(frames: DataFrame, assets: DataFrame) -> DataFrame:
-    """Grids for aligned_lines of placed frames, for each of the assets (gid, channel, height, width and warp to the image)."""
+def sample_grids(frames: DataFrame, assets: DataFrame, *more: str) -> DataFrame:
+    """Grids for aligned_channels of placed frames, for each of the assets (gid, channel, height, width and warp to the image), and more columns of frames; a frame without any has one without a channel."""
     parts = assets.select(F.col("gid").alias("image_id"), "channel", "height", "width", F.col("warp").alias("to_img"))
-    rows = frames.join(parts, "image_id")
+    rows = frames.join(parts, "image_id", "left")
     warp = g.compose(g.invert(g.affine(F.col("to_img"))), g.affine(F.col("to_image")))
-    zero = F.lit(0).cast("long")
-    return rows.select(F.col("target_id").alias("sample_id"), "rel_frame", F.col("image_id").alias("gid"), "channel", zero.alias("y0"), "y1", zero.alias("x0"), "x1", F.array(*warp).alias("warp"), "height", "width")
+    zero, size = F.lit(0).cast("long"), lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return rows.select(F.col("target_id").alias("sample_id"), "rel_frame", F.col("image_id").alias("gid"), "channel", zero.alias("y0"), "y1", zero.alias("x0"), "x1", F.array(*warp).alias("warp"), size("height"), size("width"), *more)
 
 
 def sample_lines(
@@ -124,39 +124,57 @@ def sample_lines(
     Channels that a frame lacks are NaN; pixels outside of an image are `constant`, else NaN where nodata is "float" or "auto", else 0.
     interpolation: linear (also for "auto" and null) or nearest. dtype is a Spark type; whole-number types have 0 for NaN.
     """
+    wanted = channels_of(assets, channels)
+    lines = aligned_frames(placed_frames(resolved, data, scale), tiles, assets, wanted, interpolation, constant, nodata, tile, band)
+    return lines.select(F.col("sample_id").alias("target_id"), "rel_frame", F.col("gid").alias("image_id"), "y", *[cast_values(F.col(f"`{c}`"), dtype).alias(c) for c in wanted])
+
+
+def cast_values(values: Column, dtype: str) -> Column:
+    """Arrays of doubles as arrays of a Spark type; whole-number types have 0 for NaN."""
+    whole = dtype in ("byte", "tinyint", "short", "smallint", "int", "integer", "long", "bigint")
+    return values if dtype == "double" else F.transform(values, lambda v: (F.nanvl(v, F.lit(0.0)) if whole else v).cast(dtype))
+
+
+def aligned_frames(frames: DataFrame, tiles: DataFrame | MadeTiles, assets: DataFrame, wanted: list[str], interpolation: str | None, constant: float | None, nodata: str | None, tile: int, band: int, by_frame: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """aligned_channels for placed frames; see sample_lines. Every line of every frame is there, so frames without any of the channels come out as NaN."""
     kind = interpolation or "auto"
     if kind not in ("auto", "linear", "nearest"):
         raise ValueError(f"unknown interpolation {kind!r}")
     fill = constant if constant is not None else NAN if nodata in ("float", "auto") else 0.0
-    wanted = channels_of(assets, channels)
     if not wanted:
         raise ValueError("no channel is asked for")
-    frames = staged(placed_frames(resolved, data, scale), "frames")  # a row a frame, read twice
-    grids = sample_grids(frames, assets.where(F.col("channel").isin(*wanted)))
-    lines = fused_lines(aligned_lines(tiles, grids, kind != "nearest", fill, tile, band), wanted)
-    # Every line of every frame is a row, so frames without any of the channels come out as NaN.
-    frames = frames.where("y1 > 0 and x1 > 0").select(F.col("target_id").alias("sample_id"), "rel_frame", "image_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("y1") - 1)).alias("y"), F.col("x1").cast("int").alias("n"))
-    rows = frames.join(lines.drop("x"), ["sample_id", "rel_frame", "y"], "left")
-    whole = dtype in ("byte", "tinyint", "short", "smallint", "int", "integer", "long", "bigint")
-    cast = lambda v: (F.nanvl(v, F.lit(0.0)) if whole else v).cast(dtype)
-    values = lambda c: F.coalesce(F.col(f"`{c}`"), F.array_repeat(F.lit(NAN), F.col("n")))
-    return rows.select(F.col("sample_id").alias("target_id"), "rel_frame", "image_id", "y", *[F.transform(values(c), cast).alias(c) for c in wanted])
+    grids = sample_grids(frames, assets.where(F.col("channel").isin(*wanted)), *more)
+    return aligned_channels(tiles, grids, wanted, kind != "nearest", fill, tile, band, by_frame, more)
 
 
-def load_pixels(resolved: DataFrame, data: Dataset, tiles: DataFrame | MadeTiles, assets: DataFrame, with_annots: str | None = "boxes", visible: float = 0.0, scale: float = 1.0, **how) -> DataFrame:
+def load_pixels(
+    resolved: DataFrame,
+    data: Dataset,
+    tiles: DataFrame | MadeTiles,
+    assets: DataFrame,
+    with_annots: str | None = "boxes",
+    visible: float = 0.0,
+    scale: float = 1.0,
+    channels: str | None = None,
+    interpolation: str | None = None,
+    constant: float | None = None,
+    nodata: str | None = None,
+    dtype: str = "double",
+    tile: int = TILE,
+    band: int = BAND,
+) -> DataFrame:
     """One row for each frame of each sample: target_id, rel_frame, image_id, its slice and offset, lines and annots.
 
     lines is an array of structs (y and an array a channel) from top to bottom; annots an array as listed_annotations gives it, of that frame only
-    (null without any, and if with_annots is none), in the sample's pixels. how: see sample_lines.
+    (null without any; no column if with_annots is none), in the sample's pixels. channels to band: see sample_lines.
     """
-    resolved = staged(resolved, "resolved")
-    lines = sample_lines(resolved, data, tiles, assets, scale=scale, **how)
-    names = [c for c in lines.columns if c not in ("target_id", "rel_frame", "image_id", "y")]
-    one = F.struct("y", *[F.col(f"`{c}`") for c in names])
-    frames = lines.groupBy("target_id", "rel_frame", "image_id").agg(F.array_sort(F.collect_list(one)).alias("lines"))
-    out = frames.join(sample_boxes(resolved).select("target_id", "category_id", "y0", "y1", "x0", "x1", "pad_y", "pad_x", "dx", "dy"), "target_id")
-    if not with_annots:
-        return out
-    listed = listed_annotations(resolved, data, with_annots, visible, scale).select("target_id", F.explode("annots").alias("a"))
-    listed = listed.groupBy("target_id", F.col("a.rel_frame").alias("rel_frame")).agg(F.array_sort(F.collect_list("a")).alias("annots"))
-    return out.join(listed, ["target_id", "rel_frame"], "left")
+    if with_annots:
+        resolved = staged(resolved, "resolved")  # read twice
+    wanted, own = channels_of(assets, channels), ("category_id", "y0", "y1", "x0", "x1", "pad_y", "pad_x", "dx", "dy")
+    frames, more = placed_frames(resolved, data, scale, own), ("sample", *(["annots"] if with_annots else []))
+    if with_annots:
+        listed = listed_annotations(resolved, data, with_annots, visible, scale, ("target_id", "rel_frame"))
+        frames = frames.join(listed, ["target_id", "rel_frame"], "left")
+    rows = aligned_frames(frames, tiles, assets, wanted, interpolation, constant, nodata, tile, band, True, more)
+    lines = F.col("lines") if dtype == "double" else F.transform("lines", lambda s: F.struct(s["y"].alias("y"), *[cast_values(s[c], dtype).alias(c) for c in wanted]))
+    return rows.select(F.col("sample_id").alias("target_id"), "rel_frame", F.col("gid").alias("image_id"), lines.alias("lines"), *[F.col("sample")[c].alias(c) for c in own], *more[1:])

@@ -13,19 +13,29 @@ Maps may scale, shift and flip; those that turn or shear are for rasters.aligned
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import geometry as g
-from .rasters import TILE, MadeTiles, Parts, Summary, largest_part, pictures_by_band, spots
+from .rasters import TILE, MadeTiles, Parts, Rows, Summary, largest_part, listed, pictures_by_band, spots, starts_of
 
 BAND = 64
 NAN = float("nan")
 
 
+#: Bands are resampled by shape where there are so many times as many of them as of shapes.
+ALIKE = 3
 #: What a band's lines are named by.
 KEYS = ["sample_id", "rel_frame", "channel", "ya", "x0"]
+#: What the bands of a frame's channels at one place have in common.
+PLACE = ["sample_id", "rel_frame", "ya", "x0"]
+FRAME = ["sample_id", "rel_frame"]
 
 
 def taps(u: np.ndarray, a: np.ndarray, t: np.ndarray, n: np.ndarray, linear: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -76,9 +86,26 @@ def axis(some: dict, names: tuple[str, ...], linear: bool) -> tuple[tuple, np.nd
     return found, base, np.where(least == far, 0, least), most
 
 
+def together(values: np.ndarray, axis: int, found: tuple, start: int) -> np.ndarray:
+    """What `along` gives, along an axis of windows of one shape whose pixels have the same taps."""
+    _, first, weights, sums = found
+    shape = [-1 if i == axis else 1 for i in range(3)]
+    out = 0.0
+    for k in range(weights.shape[1]):
+        weight = weights[:, k]
+        used = weight != 0
+        part = values.take(np.clip(first - start + k, 0, values.shape[axis] - 1), axis) * weight.reshape(shape)
+        out = out + (part if used.all() else np.where(used.reshape(shape), part, 0.0))
+    return out / sums.reshape(shape)
+
+
 def resampled(some: dict, parts: Parts, linear: bool, fill: float) -> np.ndarray:
     """The pixels of bands, one after the other, from the parts of tiles that they take weight from."""
-    (wy, row, top, bottom), (wx, column, left, right) = (axis(some, names, linear) for names in (("ya", "yb", "sy", "ty_", "height"), ("x0", "x1", "sx", "tx_", "width")))
+    names = (("ya", "yb", "sy", "ty_", "height"), ("x0", "x1", "sx", "tx_", "width"))
+    # Bands of one shape, place and map have the same weights.
+    _, one, kind = np.unique(np.column_stack([some[c] for c in (*names[0], *names[1])]).astype(np.float64), axis=0, return_index=True, return_inverse=True)
+    kind = kind.ravel()
+    (wy, row, top, bottom), (wx, column, left, right) = ((found, *(v[kind] for v in more)) for found, *more in (axis({c: some[c][one] for c in own}, own, linear) for own in names))
     live = (bottom > top) & (right > left)
     top, bottom, left, right = (np.where(live, v, 0) for v in (top, bottom, left, right))
     source, there, gone = parts.pasted(top, bottom, left, right, 0.0)
@@ -93,6 +120,18 @@ def resampled(some: dict, parts: Parts, linear: bool, fill: float) -> np.ndarray
     if not live.any():
         return out
     begin = lambda size: np.cumsum(size) - size
+    if gone is None and ALIKE * len(one) <= len(kind):
+        start, end = begin(high * wide), begin(grid_high * grid_wide)
+        for i in range(len(one)):
+            same = np.flatnonzero(kind == i)
+            b = same[0]
+            if live[b]:
+                whole = source[start[same][:, None] + np.arange(high[b] * wide[b])].reshape(len(same), high[b], wide[b])
+                y, x = (tuple(v[at : at + n] for v in w) for w, at, n in ((wy, row[b], grid_high[b]), (wx, column[b], grid_wide[b])))
+                made = together(together(whole, 2, x, left[b]), 1, y, top[b])
+                good = y[0][:, None] & x[0]
+                out[end[same][:, None] + np.arange(good.size)] = (made if good.all() else np.where(good, made, fill)).reshape(len(same), -1)
+        return out
     # Along x for each line of the source, then along y.
     which, i, x = spots(np.where(live, high, 0), grid_wide)
     own = column[which] + x
@@ -107,8 +146,11 @@ def resampled(some: dict, parts: Parts, linear: bool, fill: float) -> np.ndarray
     return out
 
 
-def bands_of(grids: DataFrame, linear: bool, band: int) -> DataFrame:
-    """Grids (sample_id, rel_frame, gid, channel, y0, y1, x0, x1, warp, height, width) cut into bands; top .. right hold all that their pixels may take weight from, null if nothing does."""
+def bands_of(grids: DataFrame, linear: bool, band: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Grids (sample_id, rel_frame, gid, channel, y0, y1, x0, x1, warp, height, width) cut into bands; top .. right hold all that their pixels may take weight from, null if nothing does.
+
+    A grid's first band has its other columns `more`, the others nulls.
+    """
     a, b, c, d, e, f = g.affine(F.col("warp"))
     turned = F.raise_error(F.lit("a map that turns or shears can't be resampled along lines")).cast("double")
     rows = grids.where("y1 > y0 and x1 > x0").withColumns({"sx": F.when((b == 0) & (d == 0), a).otherwise(turned), "tx_": c, "sy": e, "ty_": f})
@@ -127,7 +169,7 @@ def bands_of(grids: DataFrame, linear: bool, band: int) -> DataFrame:
     (top, bottom), (left, right) = reach("ya", "yb", "sy", "ty_", "height"), reach("x0", "x1", "sx", "tx_", "width")
     both = lambda v: F.when(top.isNotNull() & left.isNotNull(), v)
     rows = rows.withColumns({"top": both(top), "bottom": both(bottom), "left": both(left), "right": both(right)})
-    return rows.select(*KEYS, "yb", "x1", "gid", "height", "width", "sx", "tx_", "sy", "ty_", "top", "bottom", "left", "right")
+    return rows.select(*KEYS, "yb", "x1", "gid", "height", "width", "sx", "tx_", "sy", "ty_", "top", "bottom", "left", "right", *[F.when(F.col("ya") == F.col("y0"), F.col(c)).alias(c) for c in more])
 
 
 def aligned_lines(tiles: DataFrame | MadeTiles, grids: DataFrame, linear: bool = True, fill: float = NAN, tile: int = TILE, band: int = BAND, then: Summary | None = None) -> DataFrame:
@@ -148,6 +190,48 @@ def fused_lines(lines: DataFrame, channels: list[str]) -> DataFrame:
     return wide.select("sample_id", "rel_frame", "y", "x", *[F.coalesce(c, F.array_repeat(F.lit(NAN), width)).alias(n) for c, n in zip(own, channels)])
 
 
+def side_by_side(channels: list[str], own: list[str], by_frame: bool) -> Callable:
+    """What makes one row of the lines of several channels at one place, or of all lines of a frame: columns own of heads, y and an array a channel, or an array of structs of these; NaN for a channel without a band."""
+
+    def of(heads: pa.RecordBatch, y: np.ndarray, high: np.ndarray, wide: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        slot = starts_of(heads, PLACE)
+        at = np.repeat(np.arange(len(slot)), np.diff(np.append(slot, heads.num_rows)))
+        begin = lambda n: np.cumsum(n) - n
+        size, rows = high * wide, high[slot]
+        source, target = begin(size), begin(size[slot])
+        line = np.repeat(slot, rows)
+        columns = [pa.array(y[line] + np.arange(len(line)) - np.repeat(begin(rows), rows))]
+        for channel in channels:
+            mine = np.flatnonzero(pc.fill_null(pc.equal(heads.column("channel"), channel), False).to_numpy(zero_copy_only=False))
+            made, n = np.full(size[slot].sum(), NAN), size[mine]
+            step = np.arange(n.sum()) - np.repeat(begin(n), n)
+            made[np.repeat(target[at[mine]], n) + step] = values[np.repeat(source[mine], n) + step]
+            columns.append(listed(made, wide[line]))
+        names = ["y", *channels]
+        if by_frame:
+            frame = starts_of(heads, FRAME)
+            lines = pa.ListArray.from_arrays(pa.array(np.append(np.searchsorted(line, frame), len(line)).astype(np.int32)), pa.StructArray.from_arrays(columns, names))
+            line, columns, names = frame, [lines], ["lines"]
+        return pa.RecordBatch.from_arrays([*heads.select(own).take(pa.array(line)).columns, *columns], names=[*own, *names])
+
+    return of
+
+
+def aligned_channels(tiles: DataFrame | MadeTiles, grids: DataFrame, channels: list[str], linear: bool = True, fill: float = NAN, tile: int = TILE, band: int = BAND, by_frame: bool = False, more: tuple[str, ...] = ()) -> DataFrame:
+    """fused_lines of aligned_lines, put together by the tasks that resample: sample_id, rel_frame, gid, y and an array for each channel, NaN where a frame lacks it.
+
+    The grids of a frame are of one image and size; one with null as channel gives rows to a frame that has none. by_frame: a row a frame, with
+    lines, an array of structs of y and the channels' arrays, and columns `more` of grids.
+    """
+    bands = bands_of(grids, linear, band, more)
+    own = [*FRAME, "gid", *more]
+    arrays = [T.StructField("y", T.LongType()), *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in channels]]
+    schema = [*bands.select(*own).schema.fields, *([T.StructField("lines", T.ArrayType(T.StructType(arrays)))] if by_frame else arrays)]
+    then = Rows(side_by_side(channels, own, by_frame), T.StructType(schema), [*PLACE, "channel", "gid", *more], FRAME if by_frame else PLACE)
+    picture = lambda some, parts: resampled(some, parts, linear, float(fill))
+    return pictures_by_band(tiles, bands, [*PLACE, "channel"], ("ya", "x0"), ("yb", "x1"), picture, tile, then)
+
+
 def realigned(tiles: DataFrame | MadeTiles, parts: DataFrame, linear: bool = True, tile: int = TILE, band: int = BAND, then: Summary | None = None) -> DataFrame:
     """All channels of each image on the grid of its largest one, as lines (sample_id is the image).
 

@@ -53,8 +53,8 @@ def annotation_index(resolved: DataFrame, annots: DataFrame) -> DataFrame:
     return rows.select("target_id", "aids", place.alias("annot_idx"))
 
 
-def listed_annotations(resolved: DataFrame, data: Dataset, with_annots: str | list[str], visible: float = 0.0, scale: float = 1.0) -> DataFrame:
-    """target_id and annots, an array of what with_annots (a list, or "+"-separated) names of each annotation."""
+def listed_annotations(resolved: DataFrame, data: Dataset, with_annots: str | list[str], visible: float = 0.0, scale: float = 1.0, keys: tuple[str, ...] = ("target_id",)) -> DataFrame:
+    """keys and annots, an array of what with_annots (a list, or "+"-separated) names of each annotation."""
     asked = with_annots.split("+") if isinstance(with_annots, str) else list(with_annots)
     if unknown := set(asked) - set(PARTS):
         raise ValueError(f"unknown parts of annotations: {sorted(unknown)}")
@@ -63,7 +63,7 @@ def listed_annotations(resolved: DataFrame, data: Dataset, with_annots: str | li
     if extra:
         rows = rows.join(data.annots.select(F.col("id").alias("aid"), *extra), "aid", "left")
     boxes = ["rx1", "ry1", "rx2", "ry2"] if "boxes" in asked else []
-    return rows.groupBy("target_id").agg(F.array_sort(F.collect_list(F.struct("rel_frame", "aid", "category_id", *boxes, *extra))).alias("annots"))
+    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rel_frame", "aid", "category_id", *boxes, *extra))).alias("annots"))
 
 
 def load_samples(resolved: DataFrame, data: Dataset, with_annots: str | list[str] | None = "boxes", visible: float = 0.0, scale: float = 1.0) -> DataFrame:

@@ -32,7 +32,7 @@ def _value(column, y, x):
 
 
 def _made(channels: DataFrame, value=_value) -> rasters.MadeTiles:
-    return rasters.MadeTiles(rasters.tile_layout(channels, TILE).select("gid", "channel", "c", "height", "width", "ty", "tx", "th", "tw"), value, TILE)
+    return rasters.MadeTiles(rasters.tile_layout(channels, TILE).select("gid", "channel", "c", "height", "width", "ty", "tx", "th", "tw"), value, TILE, channels.select("gid", "channel", "c", "height", "width"))
 
 
 def _raster(spark: SparkSession, sf_dir: str):
@@ -65,11 +65,11 @@ def _sums(y: np.ndarray, x: np.ndarray, values: np.ndarray, at: np.ndarray) -> l
     return [np.bincount(row, w, len(n)).astype(t) for w, t in zip((None, v, v * np.fmod(place, 101)), (np.int64, np.float64, np.float64))]
 
 
-SUMS = rasters.Summary(_sums, "n long, total double, check_sum double")
+SUMS = rasters.Summary(_sums, "n long, total double, check_sum double", added=True)
 
 
 def _digest(lines: DataFrame, *keys: str) -> DataFrame:
-    """Digests of pixels that are there: sums of each line in its task (lines may have them already), then of lines."""
+    """Digests of pixels that are there: sums in the tasks that have them (rows may have them already), then of these."""
     if "values" in lines.columns:
         lines = rasters.summarized(lines.select(*keys, "y", (F.col("x") if "x" in lines.columns else F.lit(0)).cast("long").alias("x"), "values"), SUMS)
     return lines.where("n > 0").groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("n", "total", "check_sum")])
@@ -182,7 +182,7 @@ def realigned_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fused_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, channels, tiles = _raster(spark, sf_dir)
     part = _whole_grid(channels.where("channel <> 'b'"), F.lit(1.0)).withColumns({"y1": F.lit(8).cast("long"), "x1": F.least(F.lit(8), "width").cast("long")})
-    wide = resample.fused_lines(resample.aligned_lines(tiles, part, linear=False, tile=TILE), ["r", "g"])
+    wide = resample.aligned_channels(tiles, part, ["r", "g"], linear=False, tile=TILE)
     product = F.zip_with("r", "g", lambda a, b: a * b)
     return wide.select("sample_id", F.explode(product).alias("v")).where(~F.isnan("v")).groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
 

@@ -181,6 +181,53 @@ def test_pixels_stay_in_their_tasks(spark):
     assert {r.gid: r.has_data for r in rasters.empty_channels(made).collect()} == {g: g % 3 > 0 for g in range(6)}
 
 
+def test_made_channels_side_by_side(spark):
+    """Bands that meet made channels, and channels put together by tasks, give what tiles and a pivot of lines give; a band stays one row, and no pixels are shuffled."""
+    channels = spark.createDataFrame([(g, c, k, 9 + g, 6 + k) for g in range(6) for k, c in enumerate("rg") if g < 5 or c == "r"], "gid long, channel string, c int, height int, width int")
+    value = lambda column, y, x: column("gid") * 100 + y * 10 + x + column("c") * 7
+    by_tile = rasters.MadeTiles(rasters.tile_layout(channels, TILE), value, TILE)
+    made = rasters.MadeTiles(by_tile.rows, value, TILE, channels)
+    rows = lambda df: sorted(map(repr, df.collect()))
+    frames = spark.createDataFrame([(k, k % 3, k % 6, -2, 7 + k, 1, 5 + k) for k in range(9)], "sample_id long, rel_frame int, gid long, y0 long, y1 long, x0 long, x1 long")
+    grids = frames.join(channels.drop("c"), "gid").withColumn("warp", F.array(*[F.lit(v) for v in (0.7, 0.0, 0.2, 0.0, 1.9, 0.0)]))
+    for linear in (True, False):
+        lines = resample.aligned_lines(made, grids, linear, 0.0, TILE, 3)
+        assert rows(lines) == rows(resample.aligned_lines(by_tile, grids, linear, 0.0, TILE, 64))
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+        assert "tx" not in plan.replace("tx_", "") and plan.index("MapInArrow") < plan.index("SortMergeJoin")
+        want = resample.fused_lines(lines, ["r", "g", "q"]).drop("x")
+        for tiles in (made, by_tile, by_tile.frame()):
+            got = resample.aligned_channels(tiles, grids, ["r", "g", "q"], linear, 0.0, TILE, 3).drop("gid")
+            assert rows(got) == rows(want.select(got.columns))
+        plan = resample.aligned_channels(made, grids, ["r", "g"], linear, 0.0, TILE, 3)._jdf.queryExecution().executedPlan().toString()
+        assert "MapInArrow" not in plan[plan.index("Exchange") :]  # nothing is shuffled once there are pixels
+        whole = resample.aligned_channels(made, grids.withColumn("own", F.struct("y1")), ["r", "g", "q"], linear, 0.0, TILE, 3, True, ("own",))
+        assert all(r.own.y1 == 7 + r.sample_id for r in whole.collect()) and whole.count() == 9
+        assert rows(whole.select("sample_id", "rel_frame", F.inline("lines"))) == rows(want.select("sample_id", "rel_frame", "y", "r", "g", "q"))
+    then = lambda added: rasters.Summary(lambda y, x, values, at: [np.diff(np.concatenate(([0.0], np.cumsum(values)))[at]), y * 1000 + x], "total double, place long", added)
+    sums = lambda added: resample.aligned_lines(made, grids, True, 0.0, TILE, 3, then(added)).groupBy("sample_id", "channel").agg(F.round(F.sum("total"), 6), F.sum("place"), F.lit(0))
+    assert rows(sums(True)) == rows(sums(False))
+    assert resample.aligned_lines(made, grids, True, 0.0, TILE, 3, then(True)).count() < lines.count() / 2
+
+
+def test_bands_of_one_shape(spark, monkeypatch):
+    """Bands of few shapes are resampled shape by shape, to the same numbers."""
+    r = np.random.default_rng(5)
+    for linear in (True, False):
+        for n_shapes in (1, 3, 5):
+            n, pick = 40, r.integers(0, n_shapes, 40)
+            each = lambda *v: r.choice(v, n_shapes)[pick]
+            high, wide = each(1, 2, 5), each(1, 4, 6)
+            some = {"ya": each(-2, 0), "yb": each(1, 4), "x0": each(-2, 0), "x1": each(1, 6), "sy": each(0.4, 1.0, 2.5), "sx": each(0.3, -1.0, 1.0), "ty_": each(0.0, -40.0, 1.3), "tx_": each(0.0, 2.0), "height": high, "width": wide}
+            values, zero, calls = r.random((high * wide).sum()), np.zeros(n, int), []
+            monkeypatch.setattr(resample, "together", lambda *a, own=resample.together: calls.append(1) or own(*a))
+            whole = resample.resampled(some, rasters.Parts(np.arange(n), zero, zero, high, wide, values, None), linear, -1.0)
+            monkeypatch.setattr(resample, "ALIKE", 1000)
+            assert np.array_equal(whole, resample.resampled(some, rasters.Parts(np.arange(n), zero, zero, high, wide, values, None), linear, -1.0))
+            monkeypatch.undo()
+            assert len(calls) <= 2 * n_shapes
+
+
 def test_bands_are_resampled_together(spark):
     """One call for many bands, some of which are outside of their channel, is what a call for each gives."""
     r = np.random.default_rng(1)
