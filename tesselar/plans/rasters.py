@@ -157,13 +157,13 @@ def channel_align_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered("channels_shrunk_smooth", PIXELS + """,
-gy AS (SELECT gid, channel, height, width, unnest(range(-2, 9)) AS y FROM ch WHERE channel <> 'b'), gx AS (SELECT gid, channel, height, width, y, unnest(range(-1, 14)) AS x FROM gy WHERE y >= 0)
-SELECT gid AS sample_id, channel, """ + ROUNDED + " FROM " + linear_sql("pix", "gx", "2::DOUBLE", "AND g.x >= 0") + " GROUP BY gid, channel")
+gy AS (SELECT gid, channel, height, width, unnest(range(-2, ceil(height / 2)::BIGINT + 2)) AS y FROM ch WHERE channel <> 'b'), gx AS (SELECT gid, channel, height, width, y, unnest(range(-1, ceil(width / 2)::BIGINT + 1)) AS x FROM gy)
+SELECT gid AS sample_id, channel, """ + ROUNDED + " FROM " + linear_sql("pix", "gx", "2::DOUBLE", "AND g.y >= 0 AND g.x >= 0") + " GROUP BY gid, channel")
 def channels_shrunk_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two channels at half their size, on a grid that goes beyond the image on all sides; pixels outside are NaN."""
+    """Two channels at half their size, whole, on a grid that goes beyond the image on all sides; pixels outside are NaN."""
     _, channels, tiles = _raster(spark, sf_dir)
     c = lambda v: F.lit(v).cast("long")
-    grids = _whole_grid(channels.where("channel <> 'b'"), F.lit(2.0)).withColumns({"y0": c(-2), "y1": c(9), "x0": c(-1), "x1": c(14)})
+    grids = _whole_grid(channels.where("channel <> 'b'"), F.lit(2.0)).withColumns({"y0": c(-2), "y1": F.ceil(F.col("height") / 2) + 2, "x0": c(-1), "x1": F.ceil(F.col("width") / 2) + 1})
     return _rounded(resample.aligned_lines(tiles, grids, tile=TILE, band=4, then=SUMS), "sample_id", "channel")
 
 
@@ -189,12 +189,12 @@ def fused_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered("fused_missing_channel", PIXELS + """
 SELECT a.gid AS sample_id, a.y, sum(a.v) AS r_sum, sum(b.v) FILTER (a.gid % 2 = 0) AS g_sum, count(*) FILTER (a.gid % 2 = 1) AS n_nan
-FROM pix a JOIN pix b ON a.gid = b.gid AND a.y = b.y AND a.x = b.x AND a.channel = 'r' AND b.channel = 'g' WHERE a.y < 6 GROUP BY a.gid, a.y""")
+FROM pix a JOIN pix b ON a.gid = b.gid AND a.y = b.y AND a.x = b.x AND a.channel = 'r' AND b.channel = 'g' GROUP BY a.gid, a.y""")
 def fused_missing_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Channels r and g side by side where every second image lacks g."""
+    """Channels r and g side by side, line by line of whole images, where every second one lacks g."""
     _, channels, tiles = _raster(spark, sf_dir)
-    part = _whole_grid(channels.where("channel = 'r' or (channel = 'g' and gid % 2 = 0)"), F.lit(1.0)).withColumn("y1", F.lit(6).cast("long"))
-    wide = resample.fused_lines(resample.aligned_lines(tiles, part, linear=False, tile=TILE), ["r", "g"])
+    part = _whole_grid(channels.where("channel = 'r' or (channel = 'g' and gid % 2 = 0)"), F.lit(1.0))
+    wide = resample.aligned_channels(tiles, part, ["r", "g"], linear=False, tile=TILE)
     there = lambda c: F.filter(c, lambda v: ~F.isnan(v))
     sum_of = lambda c: F.when(F.size(there(c)) > 0, F.aggregate(there(c), F.lit(0.0), lambda a, v: a + v))
     return wide.select("sample_id", "y", sum_of("r").alias("r_sum"), sum_of("g").alias("g_sum"), (F.size("g") - F.size(there("g"))).cast("long").alias("n_nan"))

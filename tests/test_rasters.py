@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesselar.operators import rasters, resample
+from tesselar.plans import catalog
+from tesselar.sources.annotations import derived
 from tesselar.sources.tiles import TileStore
 
 TILE = 4
@@ -228,6 +230,16 @@ def test_bands_of_one_shape(spark, monkeypatch):
             assert len(calls) <= 2 * n_shapes
 
 
+def test_whole_images_are_resampled(spark, sf_dir):
+    """Shrunk channels have all pixels of each image at half its size, and channels side by side all its lines."""
+    sizes = {r.id: (r.height // 20, r.width // 20) for r in derived(spark, sf_dir).images.collect()}
+    shrunk = catalog.QUERIES["channels_shrunk_smooth"](spark, sf_dir).collect()
+    assert len(shrunk) == 2 * len(sizes) and all(r.n == (sizes[r.sample_id][0] // 2) * (sizes[r.sample_id][1] // 2) for r in shrunk)
+    lines = catalog.QUERIES["fused_missing_channel"](spark, sf_dir).groupBy("sample_id").agg(F.count("*").alias("n"), F.sum("n_nan").alias("n_nan")).collect()
+    assert {r.sample_id: r.n for r in lines} == {i: h for i, (h, _) in sizes.items()}
+    assert all(r.n_nan == (sizes[r.sample_id][0] * sizes[r.sample_id][1] if r.sample_id % 2 else 0) for r in lines)
+
+
 def test_bands_are_resampled_together(spark):
     """One call for many bands, some of which are outside of their channel, is what a call for each gives."""
     r = np.random.default_rng(1)
