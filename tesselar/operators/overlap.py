@@ -13,20 +13,22 @@ from ..functions import geometry as g
 from ..sources.staging import staged
 
 
-def boxed(annots: DataFrame) -> DataFrame:
-    """aid, image_id, category_id and the box of annotations that have one."""
-    return annots.where("x is not null").select(
-        F.col("id").alias("aid"), "image_id", "category_id", *[c.alias(n) for c, n in zip(g.xywh_box(*map(F.col, "xywh")), ("ax1", "ay1", "ax2", "ay2"))]
-    )
+#: Columns of an annotation's box.
+BOX = ("ax1", "ay1", "ax2", "ay2")
 
 
-def overlaps(windows: DataFrame, annots: DataFrame, visible: float = 0.0, how: str = "inner", clipped: bool = False) -> DataFrame:
+def boxed(annots: DataFrame, *more: str) -> DataFrame:
+    """aid, image_id, category_id, the box and more columns of annotations that have one."""
+    return annots.where("x is not null").select(F.col("id").alias("aid"), "image_id", "category_id", *[c.alias(n) for c, n in zip(g.xywh_box(*map(F.col, "xywh")), BOX)], *more)
+
+
+def overlaps(windows: DataFrame, annots: DataFrame, visible: float = 0.0, how: str = "inner", clipped: bool = False, own: tuple[str, ...] = ()) -> DataFrame:
     """windows (image_id, x1, y1, x2, y2, ...) with aid, category_id, iou, iooa and shared of each annotation that touches.
 
     visible: least share of the annotation that must be inside (strict); 0 asks for contact only.
-    clipped: also the part of the annotation's box inside the window.
+    clipped: also the part of the annotation's box inside the window. own: more columns of the annotation, as BOX.
     """
-    a = boxed(annots).withColumnRenamed("image_id", "a_image")
+    a = boxed(annots, *[c for c in own if c not in BOX]).withColumnRenamed("image_id", "a_image")
     w, b = g.box(), g.box("a")
     on = (F.col("image_id") == F.col("a_image")) & g.touches(b, w)
     if visible > 0:
@@ -34,7 +36,7 @@ def overlaps(windows: DataFrame, annots: DataFrame, visible: float = 0.0, how: s
     met = windows.join(a, on, how)
     edges = [f(F.col("a" + n), F.col(n)).alias(n) for n, f in (("x1", F.greatest), ("y1", F.greatest), ("x2", F.least), ("y2", F.least))]
     more = [F.struct(*edges).alias("clipped")] if clipped else []
-    return met.select(*windows.columns, *more, "aid", "category_id", g.iou(w, b).alias("iou"), g.iooa(w, b).alias("iooa"), g.shared_area(w, b).alias("shared"), g.area(b).alias("annot_area"))
+    return met.select(*windows.columns, *more, "aid", "category_id", g.iou(w, b).alias("iou"), g.iooa(w, b).alias("iooa"), g.shared_area(w, b).alias("shared"), g.area(b).alias("annot_area"), *own)
 
 
 def overlaps_by_cell(windows: DataFrame, annots: DataFrame, visible: float = 0.0, cell: int = 256) -> DataFrame:

@@ -173,7 +173,7 @@ def load_pixels(
     wanted, own = channels_of(assets, channels), ("category_id", "y0", "y1", "x0", "x1", "pad_y", "pad_x", "dx", "dy")
     frames, more = placed_frames(resolved, data, scale, own), ("sample", *(["annots"] if with_annots else []))
     if with_annots:
-        listed = listed_annotations(resolved, data, with_annots, visible, scale, ("target_id", "rel_frame"))
+        listed = listed_annotations(resolved, data, with_annots, visible, scale)
         frames = frames.join(listed, ["target_id", "rel_frame"], "left")
     rows = aligned_frames(frames, tiles, assets, wanted, interpolation, constant, nodata, tile, band, True, more)
     lines = F.col("lines") if dtype == "double" else F.transform("lines", lambda s: F.struct(s["y"].alias("y"), *[cast_values(s[c], dtype).alias(c) for c in wanted]))

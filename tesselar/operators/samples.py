@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..sources.annotations import Dataset
-from ..sources.staging import staged
-from .overlap import overlaps
+from .overlap import BOX, overlaps
 from .targets import sample_boxes, sample_frames
 
 #: What with_annots may name.
@@ -23,26 +24,35 @@ def target_annotations(resolved: DataFrame, data: Dataset) -> DataFrame:
     return overlaps(windows, data.annots).select("target_id", "image_id", "aid")
 
 
-def sample_annotations(resolved: DataFrame, data: Dataset, visible: float = 0.0, scale: float = 1.0, only: DataFrame | None = None) -> DataFrame:
-    """target_id, rel_frame, image_id, aid, category_id and the box (rx1, ry1, rx2, ry2) in sample space.
+def sample_annotations(resolved: DataFrame, data: Dataset, visible: float = 0.0, scale: float = 1.0, only: DataFrame | None = None, own: tuple[str, ...] = (), stills: bool = False) -> DataFrame:
+    """target_id, rel_frame, image_id, aid, category_id, the box (rx1, ry1, rx2, ry2) in sample space and columns `own` of annotations.
 
     Overlap is tested in image space; the box of a video sample is mapped there and widened to whole
-    numbers. only (target_id, aid) restricts a target to listed annotations.
+    numbers. only (target_id, aid) restricts a target to listed annotations. stills: see sample_frames.
+    """
+    met = framed_annotations(sample_frames(resolved, data.images, stills=stills), data, visible, own)
+    if only is not None:
+        met = met.join(only.select("target_id", "aid"), ["target_id", "aid"], "left_semi")
+    return met.select("target_id", "rel_frame", "image_id", "aid", "category_id", *in_sample(scale), *own)
+
+
+def framed_annotations(frames: DataFrame, data: Dataset, visible: float = 0.0, own: tuple[str, ...] = (), how: str = "inner", more: tuple[str, ...] = ()) -> DataFrame:
+    """target_id, rel_frame, image_id, s, dx, dy and columns `more` of frames of samples, and aid, category_id, box and columns `own` of each annotation that a frame meets.
+
+    An annotation brings its box and other columns along, so that pairs are not joined with annotations again.
     """
-    frames = sample_frames(resolved, data.images)
     s = F.coalesce("vid_scale", F.lit(1.0))
     box = tuple(map(F.col, ("sx1", "sy1", "sx2", "sy2")))
     moved = g.quantize(g.warp(box, g.scaling(1 / s)))
     in_image = [F.when(F.col("vidid").isNotNull(), m.cast("double")).otherwise(b).alias(n) for m, b, n in zip(moved, box, ("x1", "y1", "x2", "y2"))]
-    windows = frames.select("target_id", "rel_frame", "image_id", s.alias("s"), "dx", "dy", *in_image)
-    met = overlaps(windows, data.annots, visible)
-    if only is not None:
-        met = met.join(only.select("target_id", "aid"), ["target_id", "aid"], "left_semi")
-    boxes = data.annots.where("x is not null").select(F.col("id").alias("aid"), "x", "y", "w", "h")
-    met = met.join(boxes, "aid")
+    windows = frames.select("target_id", "rel_frame", "image_id", s.alias("s"), "dx", "dy", *more, *in_image)
+    return overlaps(windows, data.annots, visible, how, own=(*BOX, *own))
+
+
+def in_sample(scale: float = 1.0) -> list[Column]:
+    """The box of an annotation that a frame meets (see framed_annotations), in sample space."""
     to_sample = g.compose(g.scaling(F.lit(scale)), g.compose(g.translation(F.col("dx"), F.col("dy")), g.scaling(F.col("s"))))
-    placed = g.warp(g.xywh_box(*map(F.col, "xywh")), to_sample)
-    return met.select("target_id", "rel_frame", "image_id", "aid", "category_id", *[c.alias(n) for c, n in zip(placed, ("rx1", "ry1", "rx2", "ry2"))])
+    return [c.alias(n) for c, n in zip(g.warp(tuple(map(F.col, BOX)), to_sample), ("rx1", "ry1", "rx2", "ry2"))]
 
 
 def annotation_index(resolved: DataFrame, annots: DataFrame) -> DataFrame:
@@ -53,25 +63,33 @@ def annotation_index(resolved: DataFrame, annots: DataFrame) -> DataFrame:
     return rows.select("target_id", "aids", place.alias("annot_idx"))
 
 
-def listed_annotations(resolved: DataFrame, data: Dataset, with_annots: str | list[str], visible: float = 0.0, scale: float = 1.0, keys: tuple[str, ...] = ("target_id",)) -> DataFrame:
-    """keys and annots, an array of what with_annots (a list, or "+"-separated) names of each annotation."""
+def asked_parts(data: Dataset, with_annots: str | list[str]) -> tuple[tuple[str, ...], Callable]:
+    """(columns of annotations that with_annots, a list or "+"-separated, names; what makes a struct of all that it names, with the box in sample space by a scale)."""
     asked = with_annots.split("+") if isinstance(with_annots, str) else list(with_annots)
     if unknown := set(asked) - set(PARTS):
         raise ValueError(f"unknown parts of annotations: {sorted(unknown)}")
-    rows = sample_annotations(resolved, data, visible, scale)
-    extra = [c for c in ("segmentation", "keypoints") if c in asked and c in data.annots.columns]
-    if extra:
-        rows = rows.join(data.annots.select(F.col("id").alias("aid"), *extra), "aid", "left")
-    boxes = ["rx1", "ry1", "rx2", "ry2"] if "boxes" in asked else []
-    return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("rel_frame", "aid", "category_id", *boxes, *extra))).alias("annots"))
+    extra = tuple(c for c in ("segmentation", "keypoints") if c in asked and c in data.annots.columns)
+    return extra, lambda scale: F.struct("rel_frame", "aid", "category_id", *(in_sample(scale) if "boxes" in asked else []), *extra)
+
+
+def listed_annotations(resolved: DataFrame, data: Dataset, with_annots: str | list[str], visible: float = 0.0, scale: float = 1.0) -> DataFrame:
+    """target_id, rel_frame and annots, an array of what with_annots (a list, or "+"-separated) names of each annotation that a frame meets."""
+    extra, part = asked_parts(data, with_annots)
+    met = framed_annotations(sample_frames(resolved, data.images), data, visible, extra)
+    return met.groupBy("target_id", "rel_frame").agg(F.array_sort(F.collect_list(part(scale))).alias("annots"))
 
 
-def load_samples(resolved: DataFrame, data: Dataset, with_annots: str | list[str] | None = "boxes", visible: float = 0.0, scale: float = 1.0) -> DataFrame:
-    """One row a sample: its parameters and, as with_annots (a list, or "+"-separated) asks, arrays of its annotations."""
+def load_samples(resolved: DataFrame, data: Dataset, with_annots: str | list[str] | None = "boxes", visible: float = 0.0, scale: float = 1.0, stills: bool = False) -> DataFrame:
+    """One row a sample: its parameters and, as with_annots (a list, or "+"-separated) asks, arrays of its annotations (null without any). stills: see sample_frames."""
     if not with_annots:
         return sample_boxes(resolved)
-    resolved = staged(resolved, "resolved")  # read twice
-    return sample_boxes(resolved).join(listed_annotations(resolved, data, with_annots, visible, scale), "target_id", "left")
+    extra, part = asked_parts(data, with_annots)
+    # A sample's parameters go with its frames, so that its annotations are not joined with it again; stills are put together where their images are.
+    frames = sample_frames(resolved, data.images, empty=True, stills=stills).withColumn("sample", F.struct(*[c for c in resolved.columns if c != "target_id"]))
+    met = framed_annotations(frames, data, visible, extra, "left", ("sample", "there"))
+    listed = F.array_sort(F.collect_list(F.when(F.col("aid").isNotNull() & F.col("there"), part(scale))))
+    rows = met.groupBy("target_id", "sample", *(["image_id"] if stills else [])).agg(listed.alias("annots"))
+    return sample_boxes(rows.select("target_id", "sample.*", F.when(F.size("annots") > 0, F.col("annots")).alias("annots"))).select(*sample_boxes(resolved).columns, "annots")
 
 
 def segmentations(annots: DataFrame, aids: DataFrame) -> DataFrame:

@@ -57,22 +57,29 @@ def resolve(targets: DataFrame, data: Dataset) -> DataFrame:
     """One row a target: aid, gid, vidid, category_id, gids (frames in order), space_height, space_width, slices and padding.
 
     An unknown aid, and an annotation without a box, give no centre; a target without slice and centre
-    takes the whole extent. A target without image and video is an error.
+    takes the whole extent. A target without image and video is an error. Columns that targets don't have cost no join.
     """
     t = normalized(targets)
     centre = (F.col("x") + F.col("w") / 2, F.col("y") + F.col("h") / 2, F.col("w"), F.col("h"))
     known = data.annots.select(F.col("id").alias("aid"), F.col("image_id").alias("a_gid"), F.col("category_id").cast("long").alias("a_category_id"), *[F.when(F.col("x").isNotNull(), c.cast("double")).alias(f"a_{n}") for c, n in zip(centre, ("cx", "cy", "width", "height"))])
     filled = ("gid", "category_id", "cx", "cy", "width", "height")
-    t = left_on(t, known, "aid").withColumns({c: F.coalesce(F.col(c), F.col(f"a_{c}")) for c in filled}).drop(*[f"a_{c}" for c in filled])
-    given = common_video(targets, data.images).select("target_id", F.col("video_id").alias("v"))
-    t = t.join(given, "target_id", "left").withColumn("vidid", F.coalesce("vidid", "v")).drop("v")
+    if "aid" in targets.columns:
+        t = left_on(t, known, "aid").withColumns({c: F.coalesce(F.col(c), F.col(f"a_{c}")) for c in filled}).drop(*[f"a_{c}" for c in filled])
+    if {"gids", "image_ids"} & set(targets.columns):
+        given = common_video(targets, data.images).select("target_id", F.col("video_id").alias("v"))
+        t = t.join(given, "target_id", "left").withColumn("vidid", F.coalesce("vidid", "v")).drop("v")
     is_video = F.col("vidid").isNotNull() | F.col("gids").isNotNull()
     frames = ordered_frames(data.images).groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("place", "image_id"))).alias("frames"))
     videos = data.videos.select(F.col("id").alias("vidid"), F.col("height").alias("v_height"), F.col("width").alias("v_width")).join(frames.withColumnRenamed("video_id", "vidid"), "vidid", "left")
-    t = left_on(t, videos, "vidid")
+    stills = not {"gids", "image_ids", "vidid", "video_id"} & set(targets.columns)
+    if stills:
+        t = t.withColumns({c: F.lit(None).cast(k) for c, k in videos.dtypes if c != "vidid"})
+    else:
+        t = left_on(t, videos, "vidid")
     lone = F.when(~is_video, F.col("gid")).when(F.col("vidid").isNull() & (F.size("gids") == 1), F.get("gids", F.lit(0)))
     images = data.images.select(F.col("id").alias("lone"), F.col("height").alias("i_height"), F.col("width").alias("i_width"))
-    t = left_on(t.withColumn("lone", lone), images, "lone")
+    # Stills stay where their images are; one without an image is an error below.
+    t = t.withColumn("lone", F.col("gid")).join(images, "lone", "left").withColumn("gid", F.col("lone")) if stills else left_on(t.withColumn("lone", lone), images, "lone")
     missing = F.raise_error(F.concat(F.lit("a target has neither image nor video: "), F.col("target_id").cast("string"))).cast("long")
     size = lambda c: F.when(is_video | F.col("gid").isNotNull(), F.coalesce(f"v_{c}", f"i_{c}").cast("long")).otherwise(missing)
     t = t.withColumns({"space_height": size("height"), "space_width": size("width")})
@@ -98,9 +105,19 @@ def sample_boxes(resolved: DataFrame) -> DataFrame:
     return named.withColumns({"dx": F.lit(0.0) - F.col("sx1"), "dy": F.lit(0.0) - F.col("sy1")})
 
 
-def sample_frames(resolved: DataFrame, images: DataFrame) -> DataFrame:
-    """One row for each frame of each sample: rel_frame, image_id, vid_scale (null for image targets) and the sample's columns."""
+def sample_frames(resolved: DataFrame, images: DataFrame, empty: bool = False, stills: bool = False) -> DataFrame:
+    """One row for each frame of each sample: rel_frame, image_id, vid_scale (null for image targets) and the sample's columns.
+
+    empty: also for frames whose image is not there, and for samples without frames one, with null as there. stills: all samples are of images (else it is an
+    error), so none is exploded, and resolved ones are where their images are.
+    """
+    rows = sample_boxes(resolved)
+    if stills:
+        video = F.raise_error(F.lit("a sample of a video is among stills")).cast("boolean")
+        rows = rows.where(F.when(F.col("gids").isNull(), True).otherwise(video)).select("*", F.lit(0).alias("rel_frame"), F.col("gid").alias("image_id"), F.lit(None).cast("double").alias("vid_scale"))
+        there = F.when(F.col("space_height").isNotNull(), True)
+        return rows.withColumn("there", there) if empty else rows.where(there)
     one = F.when(F.col("gids").isNull(), F.array("gid")).otherwise(F.col("gids"))
-    rows = sample_boxes(resolved).select("*", F.posexplode(one).alias("rel_frame", "image_id"))
-    scales = images.select(F.col("id").alias("image_id"), "vid_scale")
-    return rows.join(scales, "image_id").withColumn("vid_scale", F.when(F.col("vidid").isNotNull(), F.col("vid_scale")))
+    rows = rows.select("*", (F.posexplode_outer if empty else F.posexplode)(one).alias("rel_frame", "image_id"))
+    scales = images.select(F.col("id").alias("image_id"), "vid_scale", *([F.lit(True).alias("there")] if empty else []))
+    return rows.join(scales, "image_id", "left" if empty else "inner").withColumn("vid_scale", F.when(F.col("vidid").isNotNull(), F.col("vid_scale")))

@@ -54,7 +54,7 @@ def sample_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     x1, y1, x2, y2 = g.xywh_box(*map(F.col, "xywh"))
     flat = F.array_repeat(F.lit(1.0), (F.col("id") % 4 * 3).cast("int"))
     annots = d.annots.withColumns({"segmentation": F.array(x1, y1, x2, y1, x2, y2), "keypoints": flat})
-    rows = samples.load_samples(resolved, Dataset(d.images, d.videos, annots, d.categories), "segmentation+keypoints").where("annots is not null")
+    rows = samples.load_samples(resolved, Dataset(d.images, d.videos, annots, d.categories), "segmentation+keypoints", stills=True).where("annots is not null")
     outline = F.aggregate("annots", F.lit(0.0), lambda a, s: a + F.aggregate(s["segmentation"], F.lit(0.0), lambda b, v: b + v))
     points = F.aggregate("annots", F.lit(0).cast("long"), lambda a, s: a + F.size(samples.decode_keypoints(s["keypoints"], F.array(*map(F.lit, ("head", "tail", "left"))))))
     return rows.select("target_id", F.size("annots").alias("n"), outline.alias("outline"), points.alias("n_points"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..operators import samples, targets
 from ..sources.annotations import PRELUDE, derived
+from ..sources.staging import staged
 from .registry import registered
 
 #: Targets from annotations: windows of four kinds, images left out, unknown annotations.
@@ -21,6 +24,7 @@ VIDEO_TARGETS = """SELECT id AS target_id, id AS video_id, CASE WHEN id % 2 = 0
 
 def _image_targets(spark: SparkSession, sf_dir: str):
     d = derived(spark, sf_dir)
+    d = replace(d, annots=staged(d.annots, "annots"))  # read for targets, for their annotations and for those that they meet
     return targets.resolve(spark.sql(IMAGE_TARGETS, annots=d.annots).withColumnRenamed("win", "window"), d), d
 
 
@@ -86,12 +90,12 @@ sa AS (SELECT target_id, r.aid AS own, r.gid AS image_id, a.id AS aid, a.categor
 
 @registered("sample_annots_rel", IMAGE_ANNOTS.format(s=1) + " SELECT target_id, 0 AS rel_frame, image_id, aid, category_id, rx1, ry1, rx2, ry2 FROM sa")
 def sample_annots_rel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.sample_annotations(*_image_targets(spark, sf_dir))
+    return samples.sample_annotations(*_image_targets(spark, sf_dir), stills=True)
 
 
 @registered("sample_annots_scaled", IMAGE_ANNOTS.format(s=2) + " SELECT target_id, aid, rx1, ry1, rx2, ry2 FROM sa WHERE seen > 0.3")
 def sample_annots_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return samples.sample_annotations(*_image_targets(spark, sf_dir), visible=0.3, scale=2.0).select("target_id", "aid", "rx1", "ry1", "rx2", "ry2")
+    return samples.sample_annotations(*_image_targets(spark, sf_dir), visible=0.3, scale=2.0, stills=True).select("target_id", "aid", "rx1", "ry1", "rx2", "ry2")
 
 
 @registered("sample_annots_video", VIDEO_SQL + """,
@@ -106,14 +110,14 @@ def sample_annots_video(spark: SparkSession, sf_dir: str) -> DataFrame:
 def annot_ids_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, d = _image_targets(spark, sf_dir)
     only = rows.join(d.annots.select(F.col("id").alias("listed"), "image_id"), F.col("gid") == F.col("image_id")).where("listed % 3 = 0").select("target_id", F.col("listed").alias("aid"))
-    return samples.sample_annotations(rows, d, only=only).select("target_id", "aid", "rx1", "ry1")
+    return samples.sample_annotations(rows, d, only=only, stills=True).select("target_id", "aid", "rx1", "ry1")
 
 
 @registered("annot_idx", IMAGE_ANNOTS.format(s=1) + """ SELECT rs.target_id, coalesce(n, 0)::INT AS n, coalesce(k, -1)::INT AS annot_idx FROM rs LEFT JOIN
   (SELECT target_id, count(*) AS n, CASE WHEN count(*) FILTER (aid = own) > 0 THEN count(*) FILTER (aid < own) ELSE -1 END AS k FROM sa GROUP BY 1) USING (target_id)""")
 def annot_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, d = _image_targets(spark, sf_dir)
-    found = samples.annotation_index(rows, samples.sample_annotations(rows, d))
+    found = samples.annotation_index(rows, samples.sample_annotations(rows, d, stills=True))
     return found.select("target_id", F.size("aids").alias("n"), "annot_idx")
 
 
@@ -122,7 +126,7 @@ def annot_idx(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, d = _image_targets(spark, sf_dir)
     total = F.aggregate("annots", F.lit(0.0), lambda a, x: a + x["rx1"])
-    out = samples.load_samples(rows, d)
+    out = samples.load_samples(rows, d, stills=True)
     return out.select("target_id", "gid", "y0", "y1", "x0", "x1", "dx", "dy", F.coalesce(F.size("annots"), F.lit(0)).alias("n_annots"), F.coalesce(total, F.lit(0.0)).alias("sum_x"))
 
 
